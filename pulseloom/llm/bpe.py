@@ -28,7 +28,7 @@ from .common import list_of
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that a worker keeps before it starts anew (some 300 bytes each).
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -64,7 +64,7 @@ class PairIndexBpe:
         self.spaces = regex.compile(rf"[{SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 where there is none."""
@@ -144,10 +144,10 @@ class PairIndexBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet."""
-        new = [w for w in words if w not in self.known]
+        new = sorted(words)
         if not new:
             return
-        spelt = [self.normal_pieces(w) for w in new]
+        spelt = [[] if w in self.specials else self.normal_pieces(w) for w in new]
         distinct = list({p: None for s in spelt for p in s if p})
         if distinct:
             ids, counts = self.merge(distinct)
@@ -156,11 +156,11 @@ class PairIndexBpe:
         else:
             of = {}
         for w, s in zip(new, spelt, strict=True):
-            self.known[w] = b"".join([of[p] for p in s if p])
+            self.known[w] = self.specials[w].to_bytes(4, "little") if w in self.specials else b"".join([of[p] for p in s if p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        split: list[list] = []
+        split: list[list[str]] = []
         for text in texts:
             if not self.special.search(text):
                 split.append(self.words_of(text))
@@ -168,23 +168,18 @@ class PairIndexBpe:
             row, at = [], 0
             for m in self.special.finditer(text):
                 row += self.words_of(text[at : m.start()])
-                row.append(self.specials[m[0]])
+                row.append(m[0])
                 at = m.end()
             split.append(row + self.words_of(text[at:]))
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        need: set[str] = set()
-        for row in split:
-            need.update(row)
-        specials = {w for w in need if isinstance(w, int)}
-        need -= specials
-        need.discard("")
-        self.learn(need)
-        known = self.known
-        known[""] = b""
-        if not specials:
-            return [b"".join([known[w] for w in row]) for row in split]
-        return [b"".join([int(w).to_bytes(4, "little") if isinstance(w, int) else known[w] for w in row]) for row in split]
+            self.known = {"": b""}
+        get = self.known.get
+        found = [list(map(get, row)) for row in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        self.learn({w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+        for i in lacking:
+            found[i] = list(map(get, split[i]))
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes without a decoder: the tokens' own strings, joined by spaces."""
@@ -227,7 +222,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     return given.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """batch, in halves where it holds more than so many bytes."""
     if batch.nbytes <= most or batch.num_rows <= 1:
         yield batch
