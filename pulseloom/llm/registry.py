@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .common import table
+from .tokenfile import token_digest
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_file": op2_token_file,
     "op8_bpe": op8_bpe,
 }
 
