@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .common import table
+from .mixing import mix_report
+from .sharding import assign_shards
+from .simhash import near_duplicate_report
 from .tokenfile import token_digest
+from .toxicity import toxicity_report
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +24,28 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
 }
 
