@@ -241,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int, segment_ids:
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """One row a document of the segments at path: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     files = spark.read.schema(SEGMENTS).parquet(path)
-    # one row for each partition of the write, so that this window stays small
+    # one row for each partition of the write, so that this window and the broadcast stay small
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
@@ -260,7 +260,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(all_ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return files.join(first, "part").select("image", (F.col("first") + F.col("before")).alias("start")).mapInArrow(run, schema)
+    return files.join(F.broadcast(first), "part").select("image", (F.col("first") + F.col("before")).alias("start")).mapInArrow(run, schema)
 
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
