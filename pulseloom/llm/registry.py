@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .common import table
+from .embeddings import embedding_links
 from .mixing import mix_report
 from .sharding import assign_shards
 from .simhash import near_duplicate_report
 from .tokenfile import token_digest
+from .topk import search_top
 from .toxicity import toxicity_report
 
 
@@ -40,6 +42,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_top(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_simhash": op3_simhash,
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
+    "op9_lattice": op9_lattice,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
