@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .common import table
 from .embeddings import embedding_links
+from .lines import line_report
 from .mixing import mix_report
 from .sharding import assign_shards
 from .simhash import near_duplicate_report
@@ -34,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_lines": op5_lines,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
