@@ -206,7 +206,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     made = [c for c in (ids, decoded) if c]
     through = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
     given = docs.select(*through, docs[text].alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded, T.StringType(), False)] * bool(decoded))
+    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)

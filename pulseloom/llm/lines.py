@@ -273,7 +273,7 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
 def _without(joined: DataFrame, docs: DataFrame, dropped: str | None) -> DataFrame:
     """The texts of joined without the lines in __gone."""
     through = [c for c in docs.columns if c not in ("text", dropped)]
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField("text", T.StringType())] + [T.StructField(dropped, T.LongType())] * bool(dropped))
+    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField("text", T.StringType())] + ([T.StructField(dropped, T.LongType())] if dropped else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -158,7 +158,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
     made = [c for c in (score, spans) if c]
     through = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(score, T.DoubleType(), False)] + [T.StructField(spans, span)] * bool(spans))
+    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(score, T.DoubleType(), False)] + ([T.StructField(spans, span)] if spans else []))
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES + 1 numbers, whatever the input
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
