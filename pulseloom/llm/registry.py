@@ -14,6 +14,7 @@ from .lines import line_report
 from .mixing import mix_report
 from .sharding import assign_shards
 from .simhash import near_duplicate_report
+from .substrings import repeat_report
 from .tokenfile import token_digest
 from .topk import search_top
 from .toxicity import toxicity_report
@@ -23,6 +24,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op2_token_file": op2_token_file,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
