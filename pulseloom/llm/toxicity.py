@@ -4,7 +4,8 @@ A document is a bag of sentences. Each sentence has a logistic score over hashed
 (the word and its first 3 to 6 letters); a document's score is the noisy-or of its sentences'. The
 weights are fitted to document labels alone, by gradient ascent on the documents' likelihood in one task
 over a bounded sample (SAMPLE documents of each label); scoring covers every whole text where it lies. A
-sentence's own score then locates the offending ones.
+sentence's own score then locates the offending ones. Weights are kept from falling below 0, with a small
+price on each: a word can speak for toxicity, and no number of harmless words beside it speaks against.
 
 Defined results: null, empty and blank texts score the bias of an empty bag, 0; a null doc_id is not held
 out; without labels of both kinds every score is 0; repeated rows score alike; other columns pass
@@ -29,8 +30,10 @@ from .bpe import pieces
 FEATURES = 1 << 18
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
 SAMPLE = 2500
-STEPS, RATE, RIDGE, LEAST_DOCS = 120, 0.15, 2e-3, 4
-BIAS = -5.0
+STEPS, RATE, LASSO, LEAST_DOCS = 100, 0.2, 2e-5, 4
+#: Features below this weight after the first fit are left out of the second: many small ones add up in long sentences.
+LEAST_WEIGHT = 1.0
+BIAS = -6.0
 #: Words that a worker keeps with their summed weights.
 CACHED_WORDS = 1_000_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -81,11 +84,24 @@ def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
     common = np.bincount(seen % FEATURES, minlength=FEATURES) >= LEAST_DOCS
     keep = common[x]
     x, sent_of = x[keep], sent_of[keep]
-    used, x = np.unique(x, return_inverse=True)
-    n, y = len(per_sentence), labels.astype(float)
+    y = labels.astype(float)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, b = np.zeros(len(used)), BIAS
-    m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    for _ in range(2):
+        used, x = np.unique(x, return_inverse=True)
+        w, b = ascend(x, sent_of, doc_of, y, share, len(used))
+        strong = w >= LEAST_WEIGHT
+        weights[:-1] = 0
+        weights[used], weights[-1] = w, b
+        keep = strong[x]
+        x, sent_of = used[x[keep]], sent_of[keep]
+    return weights
+
+
+def ascend(x: np.ndarray, sent_of: np.ndarray, doc_of: np.ndarray, y: np.ndarray, share: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the documents' weighted log-likelihood; weights stay at 0 or above."""
+    n = len(doc_of)
+    w, b = np.zeros(features), BIAS
+    m1, m2 = np.zeros(features + 1), np.zeros(features + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sent_of, w[x], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -93,15 +109,13 @@ def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
         score = np.clip(1 - np.exp(quiet), 1e-9, 1 - 1e-9)
         # d log-likelihood / d z: (y - score) / score * p, sentence by sentence
         g = ((y - score) / score * share)[doc_of] * p
-        grad = np.append(np.bincount(x, g[sent_of], minlength=len(used)) - RIDGE * w / len(used), g.sum())
+        grad = np.append(np.bincount(x, g[sent_of], minlength=features) - LASSO, g.sum())
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        w += move[:-1]
+        w = np.maximum(w + move[:-1], 0)
         b += move[-1]
-    weights[used] = w
-    weights[-1] = b
-    return weights
+    return w, b
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
