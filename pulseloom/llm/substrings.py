@@ -36,9 +36,11 @@ LENGTH, ANCHOR = 50, 16
 #: Places of the text that are looked at together; a place fits in the low bits of a hash.
 STEP_BITS = 20
 #: Bytes of fragments whose suffixes are sorted together, at least; a hash's fragments are never parted.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Chunks and shards for each shuffle partition.
 DEALT = 2
+#: Low bits of an anchor's hash that do not travel; what they would tell apart is told apart by the text.
+LOOSE_BITS = 12
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,25 +102,51 @@ class Chunk:
         self.hash, self.first, self.last, self.doc = self.hash[at], self.first[at], self.last[at], self.doc[at]
 
     def contents(self) -> np.ndarray:
-        """A hash of each fragment and its anchor's hash, from sums of bytes times powers."""
-        n = len(self.text)
-        inverse = pow(int(POWER), -1, 1 << 64)
-        out = np.zeros(len(self.hash), np.uint64)
-        with np.errstate(over="ignore"):
-            step = 1 << 20
-            power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(step + 4096, POWER, np.uint64)])
-            back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(step, np.uint64(inverse), np.uint64)])
-            for base in range(0, n, step):
-                at = np.flatnonzero((self.first >= base) & (self.first < base + step))
-                if not len(at):
-                    continue
-                part = self.text[base : base + step + 4096].astype(np.uint64) + np.uint64(1)
-                sums = np.r_[np.uint64(0), np.cumsum(part * power[: len(part)])]
-                a, z = self.first[at] - base, self.last[at] + LENGTH - base
-                h = (sums[z] - sums[a]) * back[a] ^ (z - a).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) ^ self.hash[at]
-                out[at] = h ^ (h >> np.uint64(29))
-        return out
+        return content_hashes(self.text, self.first, self.last + LENGTH, self.hash | np.uint64(1))
+
+
+def content_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """A hash of each fragment, starts rising, and its anchor's hash, from sums of bytes times powers."""
+    out = np.zeros(len(start), np.uint64)
+    step, room = 1 << 18, 4096
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(step + room, POWER, np.uint64)])
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(step, pow(int(POWER), -1, 1 << 64), np.uint64)])
+        for base in range(0, len(text), step):
+            i, j = np.searchsorted(start, [base, base + step])
+            if i == j:
+                continue
+            part = text[base : base + step + room].astype(np.uint64) + np.uint64(1)
+            sums = np.r_[np.uint64(0), np.cumsum(part * power[: len(part)])]
+            a, z = start[i:j] - base, end[i:j] - base
+            h = (sums[z] - sums[a]) * back[a] ^ (z - a).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) ^ anchor[i:j]
+            out[i:j] = h ^ (h >> np.uint64(29))
+    return out
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns behind one another, wide ones byte by byte, compressed: they wait in a shuffle."""
+    raw = []
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        body = (c.view(np.uint8).reshape(-1, 8).T if c.dtype.itemsize == 8 and len(c) else c).tobytes()
+        raw += [len(body).to_bytes(8, "little"), body]
+    joined = b"".join(raw)
+    return len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        body = np.frombuffer(raw, np.uint8, n, at + 8)
+        if kind.endswith("8"):
+            body = np.ascontiguousarray(body.reshape(8, -1).T).ravel()
+        out.append(body.view(kind))
+        at += 8 + n
+    return out
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -134,33 +162,37 @@ def by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
         yield int(of[a]), slice(a, z)
 
 
-def sent_hashes(c: Chunk) -> np.ndarray:
-    """The distinct anchor hashes of a chunk, sorted; the lowest bit tells whether several of its documents have it."""
-    h = c.hash | np.uint64(1)
+def sent_hashes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchor hashes of a chunk, sorted, without their LOOSE_BITS, and whether several of its documents have it."""
+    h = c.hash >> np.uint64(LOOSE_BITS)
     order = np.argsort(h, kind="stable")
     h, doc = h[order], c.doc[order]
     if not len(h):
-        return h
+        return h, np.zeros(0, np.uint8)
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-    return (h[starts] & ~np.uint64(1)) | several.astype(np.uint64)
+    return h[starts], several.astype(np.uint8)
 
 
-def shared_hashes(blobs: list[bytes]) -> list[np.ndarray]:
-    """Of each chunk's hashes those that several documents have (lowest bit set)."""
-    parts = [np.frombuffer(b, "<u8") for b in blobs]
+def shared_hashes(blobs: list[bytes]) -> list[bytes]:
+    """Of each chunk's hashes those that several documents have."""
+    parts, flags = [], []
+    for b in blobs:
+        gaps, several = opened(b, "<u8", "u1")
+        parts.append(np.cumsum(gaps, dtype=np.uint64))
+        flags.append(several)
     h = np.concatenate(parts)
-    plain, sorted_h = h | np.uint64(1), None
-    order = np.argsort(plain, kind="stable")
-    sorted_h = plain[order]
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
     starts = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])
-    several = np.diff(np.r_[starts, len(sorted_h)]) > 1
-    several |= np.maximum.reduceat((h & np.uint64(1))[order].astype(np.int8), starts) > 0
+    number = np.diff(np.r_[starts, len(sorted_h)])
+    several = (number > 1) | (np.maximum.reduceat(np.concatenate(flags)[order], starts) > 0)
     flag = np.empty(len(h), bool)
-    flag[order] = np.repeat(several, np.diff(np.r_[starts, len(sorted_h)]))
+    flag[order] = np.repeat(several, number)
     out, at = [], 0
     for p in parts:
-        out.append(plain[at : at + len(p)][flag[at : at + len(p)]])
+        got = p[flag[at : at + len(p)]]
+        out.append(squeezed(np.diff(got, prepend=np.uint64(0))) if len(got) else b"")
         at += len(p)
     return out
 
@@ -169,9 +201,34 @@ FRAGMENT = np.dtype([("hash", "<u8"), ("content", "<u8"), ("least", "<i8"), ("mo
 ANSWER = np.dtype([("content", "<u8"), ("least", "<i8"), ("at", "<u2"), ("count", "<u2")])
 
 
+def sent_fragments(r: np.ndarray, body: np.ndarray) -> bytes:
+    """Fragments for the shuffle; their contents' hashes are made again from the text."""
+    return squeezed(np.diff(r["hash"], prepend=np.uint64(0)), r["least"], r["most"] - r["least"], r["size"], body)
+
+
+def read_fragments(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, least, more, size, body = opened(blob, "<u8", "<i8", "<i8", "<u2", "u1")
+    out = np.zeros(len(gaps), FRAGMENT)
+    with np.errstate(over="ignore"):
+        out["hash"], out["least"], out["most"], out["size"] = np.cumsum(gaps, dtype=np.uint64), least, least + more, size
+    end = np.cumsum(size.astype(np.int64))
+    out["content"] = content_hashes(body, end - size, end, out["hash"])
+    return out, body
+
+
+def read_answers(blobs: list[bytes]) -> np.ndarray:
+    parts = []
+    for b in blobs:
+        content, least, at, count = opened(b, "<u8", "<i8", "<u2", "<u2")
+        x = np.zeros(len(content), ANSWER)
+        x["content"], x["least"], x["at"], x["count"] = content, least, at, count
+        parts.append(x)
+    return np.concatenate(parts)
+
+
 def fragments(c: Chunk, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(records sorted by hash, text starts, text ends) of the distinct fragments whose anchors are shared."""
-    h = c.hash | np.uint64(1)
+    h = c.hash >> np.uint64(LOOSE_BITS)
     shared = np.sort(shared)
     at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
     c.take(np.flatnonzero(shared[at] == h) if len(shared) else np.zeros(0, np.int64))
@@ -232,9 +289,9 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
     """The answer to each chunk of a shard: runs of windows with an owner smaller than the chunk's largest."""
     records, texts = [], []
     for b in blobs:
-        n = int.from_bytes(b[:8], "little")
-        records.append(np.frombuffer(b, FRAGMENT, n, 8))
-        texts.append(np.frombuffer(b, np.uint8, -1, 8 + n * FRAGMENT.itemsize))
+        r, body = read_fragments(b)
+        records.append(r)
+        texts.append(body)
     every, text = np.concatenate(records), np.concatenate(texts)
     of_chunk = np.repeat(np.arange(len(blobs)), [len(r) for r in records])
     size = every["size"].astype(np.int64)
@@ -268,7 +325,8 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
         answer = np.zeros(len(at), ANSWER)
         answer["content"] = np.repeat(every["content"][mine], n)
         answer["least"], answer["at"], answer["count"] = who[at], run[at, 1], run[at, 2]
-        out.append(answer[who[at] < np.repeat(every["most"][mine], n)].tobytes())
+        answer = answer[who[at] < np.repeat(every["most"][mine], n)]
+        out.append(squeezed(answer["content"], answer["least"], answer["at"], answer["count"]) if len(answer) else b"")
     return out
 
 
@@ -286,7 +344,7 @@ def removed(c: Chunk, answers: np.ndarray) -> np.ndarray:
     edge = np.zeros(len(c.text) + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + answers["count"][at].astype(np.int64) + LENGTH - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _by_shard(solve, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,21 +385,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def send(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk")[0].as_py()
-        h = sent_hashes(_table_chunk(group))
-        return _blob_rows([(s, chunk, h[at].astype("<u8").tobytes()) for s, at in by_shard(h, shards)])
+        h, several = sent_hashes(_table_chunk(group))
+        return _blob_rows([(s, chunk, squeezed(np.diff(h[at], prepend=np.uint64(0)), several[at])) for s, at in by_shard(h << np.uint64(LOOSE_BITS), shards)])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_shard(lambda chunks, blobs: [h.astype("<u8").tobytes() for h in shared_hashes(blobs)], batches)
+        return _by_shard(lambda chunks, blobs: shared_hashes(blobs), batches)
 
     def cut_out(group: pa.Table, shared: pa.Table) -> pa.Table:
         if not group.num_rows or not shared.num_rows:
             return _blob_rows([])
         chunk, c = group.column("chunk")[0].as_py(), _table_chunk(group)
-        records, start, end = fragments(c, np.concatenate([np.frombuffer(b, "<u8") for b in shared.column("blob").to_pylist()]))
+        records, start, end = fragments(c, np.concatenate([np.cumsum(opened(b, "<u8")[0], dtype=np.uint64) for b in shared.column("blob").to_pylist()]))
         rows = []
         for s, at in by_shard(records["hash"], shards):
-            body = gathered(c.text, start[at], end[at])
-            rows.append((s, chunk, (at.stop - at.start).to_bytes(8, "little") + records[at].tobytes() + body.tobytes()))
+            rows.append((s, chunk, sent_fragments(records[at], gathered(c.text, start[at], end[at]))))
         return _blob_rows(rows)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +412,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ids = group.column("doc_id").to_pylist()
         if answered.num_rows:
             c = _table_chunk(group)
-            gone = removed(c, np.concatenate([np.frombuffer(b, ANSWER) for b in answered.column("blob").to_pylist()]))
+            gone = removed(c, read_answers(answered.column("blob").to_pylist()))
             text, ends, sizes = c.text, c.ends, c.sizes
         else:
             data = [(t or "").encode() for t in group.column("text").to_pylist()]

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Up to so many different names a string is sorted by induction; a bucket costs some 50 microseconds.
-FEW_NAMES = 512
+FEW_NAMES = 128
 
 
 def smaller(s: np.ndarray) -> np.ndarray:
@@ -26,13 +26,17 @@ def smaller(s: np.ndarray) -> np.ndarray:
 
 def _spread(found: np.ndarray, symbols: np.ndarray, buckets: list[list[np.ndarray]]) -> None:
     """Append found, in order, to the buckets of its symbols."""
-    if not len(found):
+    n = len(found)
+    if not n:
         return
-    order = np.argsort(symbols, kind="stable")
+    order = symbols.argsort(kind="stable")
     found, symbols = found[order], symbols[order]
-    starts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    for c, a, z in zip(symbols[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(found)], strict=True):
-        buckets[c].append(found[a:z])
+    cuts = (symbols[1:] != symbols[:-1]).nonzero()[0]
+    at = 0
+    for z, c in zip((cuts + 1).tolist(), symbols[cuts].tolist(), strict=True):
+        buckets[c].append(found[at:z])
+        at = z
+    buckets[int(symbols[-1])].append(found[at:])
 
 
 def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
