@@ -31,6 +31,8 @@ K, EVERY, FACTOR = 20, 20, 64
 #: Rows of a block, queries of a group, rows that the pivots are chosen from, pivots at most.
 BLOCK, GROUP, SAMPLE, PIVOTS = 4096, 1024, 4096, 1024
 LEAF = 64
+#: Children of a node at most; where so many do not reach half its radius, they cover as closely as they can.
+FANOUT = 32
 #: Tasks that one group's blocks are dealt to.
 SHARES = 8
 NO_SCORE = -np.iinfo(np.int64).max
@@ -70,9 +72,9 @@ def farthest_first(x: np.ndarray, most: int, within: float = 0.0) -> tuple[np.nd
 
 
 class CoverTree:
-    """Nested nets: a node's children lie within its scale, half its parent's, and cover its rows.
+    """Nested nets: a node's children are a net of its rows that covers them within half its radius.
 
-    Rows are reordered so that a node's rows are rows start to end; radius covers all of them.
+    Rows are reordered so that a node's rows are rows start to end; radius is what covers all of them.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
@@ -98,7 +100,7 @@ class CoverTree:
         self.order[first : first + len(rows)] = rows
         if len(rows) <= leaf or dist.max() == 0:
             return me
-        net, near, _ = farthest_first(own, len(rows) // 4, dist.max() / 2)
+        net, near, _ = farthest_first(own, min(FANOUT, len(rows) // 4), dist.max() / 2)
         for c in range(len(net)):
             mine = np.flatnonzero(near == c)
             mine = np.r_[net[c], mine[mine != net[c]]]  # the child keeps its net point as its center
@@ -108,34 +110,39 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, vec_id) of each of some queries."""
+    """The k best (score, vec_id) of each of some queries; scores below floor cannot count."""
 
-    def __init__(self, n: int, k: int = K):
-        self.k = k
+    def __init__(self, n: int, k: int = K, floor: int | None = None):
+        self.k, self.floor = k, NO_SCORE if floor is None else floor
         self.score = np.full((n, k), NO_SCORE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Candidates of some rows; ties go to the smaller id, which is why all of the k-th score are weighed."""
-        s = np.concatenate([self.score[rows], scores], axis=1)
-        i = np.concatenate([self.id[rows], ids], axis=1)
+    def least(self, rows: np.ndarray | slice) -> np.ndarray:
+        """What a score must reach to count, row by row."""
+        return np.maximum(self.score[rows, -1], self.floor)
+
+    def add(self, first: int, row: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates (rows ascending, counted from first on); ties go to the smaller id."""
+        if not len(row):
+            return
+        own, place, count = np.unique(row, return_index=True, return_counts=True)
+        s = np.full((len(own), int(count.max())), NO_SCORE)
+        i = np.full(s.shape, np.iinfo(np.int64).max)
+        r, c = np.repeat(np.arange(len(own)), count), np.arange(len(row)) - np.repeat(place, count)
+        s[r, c], i[r, c] = scores, ids
+        at = first + own
+        s, i = np.concatenate([self.score[at], s], axis=1), np.concatenate([self.id[at], i], axis=1)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        self.score[at], self.id[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
-    def worst(self) -> np.ndarray:
-        return self.score[:, -1]
 
-
-def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Integer inner products, by floating-point multiplication where that is exact."""
-    if not len(q) or not len(r):
-        return np.zeros((len(q), len(r)), np.int64)
-    most = int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
+def products(q: np.ndarray, r: np.ndarray, most: int) -> np.ndarray:
+    """Integer inner products, most at most in size: by floating-point multiplication where that is exact."""
     if most < 2**52:
-        return (q.astype(np.float64) @ r.astype(np.float64).T).astype(np.int64)
+        return q @ r.T  # doubles
     if most < 2**63:
-        return q @ r.T
-    exact = q.astype(object) @ r.astype(object).T
+        return q.astype(np.int64) @ r.astype(np.int64).T
+    exact = q.astype(np.int64).astype(object) @ r.astype(np.int64).astype(object).T
     return np.clip(exact, NO_SCORE + 1, 2**63 - 1).astype(np.int64)
 
 
@@ -148,43 +155,43 @@ def bound(qc: np.ndarray, qr: np.ndarray, rc: np.ndarray, rr: np.ndarray) -> np.
 
 def search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, rt: CoverTree, r: np.ndarray, r_ids: np.ndarray, best: Best) -> None:
     """Dual-tree traversal; q and r are in their trees' orders, best is by the rows of q."""
-    worst_of = lambda node: best.score[qt.start[node] : qt.end[node], -1].min()
+    most = int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
+    q, r = (x.astype(np.float64 if most < 2**52 else np.int64) for x in (q, r))
     stack = [(0, 0)]
     jobs: dict[int, list[int]] = {}
     while stack:  # pairs of nodes down to leaves, without scores: jobs gathers what is left
         a, b = stack.pop()
-        if bound(qt.centers[a : a + 1], qt.radii[a : a + 1], rt.centers[b : b + 1], rt.radii[b : b + 1])[0] < worst_of(a):
-            continue
+        worst = best.least(slice(qt.start[a], qt.end[a])).min()
         qa, rb = qt.children[a], rt.children[b]
         if not qa and not rb:
             jobs.setdefault(a, []).append(b)
         elif rb and (not qa or rt.radii[b] >= qt.radii[a]):
             kids = np.array(rb)
-            ok = bound(qt.centers[[a] * len(kids)], qt.radii[[a] * len(kids)], rt.centers[kids], rt.radii[kids]) >= worst_of(a)
+            ok = bound(qt.centers[a : a + 1], qt.radii[a : a + 1], rt.centers[kids], rt.radii[kids]) >= worst
             stack += [(a, int(c)) for c in kids[ok]]
         else:
-            stack += [(c, b) for c in qa]
+            kids = np.array(qa)
+            ok = bound(qt.centers[kids], qt.radii[kids], rt.centers[b : b + 1], rt.radii[b : b + 1]) >= worst
+            stack += [(int(c), b) for c in kids[ok]]
     for a, leaves in jobs.items():
-        rows = np.arange(qt.start[a], qt.end[a])
-        near = bound(qt.centers[[a] * len(leaves)], qt.radii[[a] * len(leaves)], rt.centers[leaves], rt.radii[leaves])
+        first, last = qt.start[a], qt.end[a]
+        near = bound(qt.centers[a : a + 1], qt.radii[a : a + 1], rt.centers[leaves], rt.radii[leaves])
         turn = np.argsort(-near)
         for i in range(0, len(turn), 16):  # the most promising leaves first, so that the rest are pruned
-            some = [leaves[x] for x in turn[i : i + 16] if near[x] >= worst_of(a)]
+            least = best.least(slice(first, last))
+            some = [leaves[x] for x in turn[i : i + 16] if near[x] >= least.min()]
             if not some:
                 break
             at = np.concatenate([np.arange(rt.start[b], rt.end[b]) for b in some])
-            s = products(q[rows], r[at])
-            ids = np.broadcast_to(r_ids[at], s.shape).copy()
-            own = ids == q_ids[rows][:, None]
-            s[own], ids[own] = NO_SCORE, np.iinfo(np.int64).max
-            if s.shape[1] > 4 * best.k:  # all that reach the k-th score, and no more than can count
-                cutoff = np.partition(s, s.shape[1] - best.k, axis=1)[:, s.shape[1] - best.k]
-                use = (s >= np.maximum(cutoff, best.score[rows, -1])[:, None]).sum(axis=1).max()
-                if use == 0:
-                    continue
-                top = np.lexsort((ids, -s), axis=1)[:, : min(max(use, 1), best.k)]
-                s, ids = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
-            best.add(rows, s, ids)
+            s = products(q[first:last], r[at], most)
+            k = best.k + 1  # one may be the query itself
+            if s.shape[1] > k and least.min() == NO_SCORE:
+                least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+            row, col = np.nonzero(s >= least[:, None])
+            ids = r_ids[at[col]]
+            other = ids != q_ids[first + row]
+            row, col, ids = row[other], col[other], ids[other]
+            best.add(first, row, s[row, col].astype(np.int64), ids)
 
 
 def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray]:
@@ -197,7 +204,7 @@ def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray]:
 
 def smallest(v: np.ndarray) -> np.ndarray:
     """v in the smallest integers that hold it."""
-    return v.astype(np.min_scalar_type(-max(1, int(np.abs(v).max()))))
+    return v.astype(np.min_scalar_type(-1 - int(np.abs(v).max())))
 
 
 def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FACTOR) -> DataFrame:
@@ -256,27 +263,28 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
         for batch in batches:
             for i in range(batch.num_rows):
                 name = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                floor = batch.column(5)[i].as_py()
                 if now is None or now[0] != name:
                     if now:
                         yield done()
                     group = pickle.loads(batch.column(3)[i].as_py())
-                    now = (name, group, Best(len(group[2]), k))
+                    now = (name, group, Best(len(group[2]), k, floor))
                 tree, q, q_ids = now[1]
                 rt, r, r_ids = pickle.loads(batch.column(4)[i].as_py())
-                search(tree, q.astype(np.int64), q_ids, rt, r.astype(np.int64), r_ids, now[2])
+                search(tree, q, q_ids, rt, r, r_ids, now[2])
         if now:
             yield done()
 
     def searched(pairs: DataFrame, shares: int) -> DataFrame:
         """The best of each query over the pairs of group and block."""
         met = pairs.repartition(n_parts, "dim", "gcell", "gpart", F.col("part") % shares).sortWithinPartitions("dim", "gcell", "gpart", F.desc("most"))
-        return met.select("dim", "gcell", "gpart", "gimage", "image").mapInArrow(solve, "gcell int, gpart int, query_id long, vec_id long, score long")
+        return met.select("dim", "gcell", "gpart", "gimage", "image", F.col("floor").cast("long").alias("floor")).mapInArrow(solve, "gcell int, gpart int, query_id long, vec_id long, score long")
 
     g = groups.select("dim", F.col("cell").alias("gcell"), F.col("part").alias("gpart"), F.col("center").alias("gcenter"), F.col("radius").alias("gradius"), F.col("image").alias("gimage"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     dot = F.aggregate(F.zip_with("center", "gcenter", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     most = dot + norm("center") * F.col("gradius") + norm("gcenter") * F.col("radius") + F.col("radius") * F.col("gradius")
-    own = g.join(blocks, (g.dim == blocks.dim) & (g.gcell == blocks.cell)).drop(blocks.dim).withColumn("most", most)
+    own = g.join(blocks, (g.dim == blocks.dim) & (g.gcell == blocks.cell)).drop(blocks.dim).withColumns({"most": most, "floor": F.lit(None).cast("long")})
     first = cut(searched(own, SHARES))
     # each query's k-th score so far, then the worst of its group: what a block must be able to reach
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -287,7 +295,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     heads = blocks.select("dim", "cell", "part", "center", "radius")
     ghead = other.select("dim", "gcell", "gpart", "gcenter", "gradius", "floor")
     left = ghead.join(heads, (ghead.dim == heads.dim) & (ghead.gcell != heads.cell)).drop(heads.dim).withColumn("most", most)
-    left = left.where(F.col("floor").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))).select("dim", "gcell", "gpart", "cell", "part", "most")
+    left = left.where(F.col("floor").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))).select("dim", "gcell", "gpart", "cell", "part", "most", "floor")
     pairs = left.join(g.select("dim", "gcell", "gpart", "gimage"), ["dim", "gcell", "gpart"]).join(blocks.select("dim", "cell", "part", "image"), ["dim", "cell", "part"])
     pairs = pairs.withColumn("part", F.col("cell") + F.col("part"))
     every_one = so_far.select("query_id", "vec_id", "score").unionByName(searched(pairs, SHARES).select("query_id", "vec_id", "score"))
