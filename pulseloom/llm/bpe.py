@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_of
+from .common import list_of, unused
 
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -205,7 +205,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     """
     made = [c for c in (ids, decoded) if c]
     through = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
-    given = docs.select(*through, docs[text].alias("__text"))
+    given = docs.select(*through, docs[text].alias(unused(docs, "__text")))
     schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces
-from .common import cut, parallelism
+from .common import cut, parallelism, unused
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint
                 made = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(made)], names=[*through, column])
 
-    return docs.select(*through, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*through, docs[text].alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:

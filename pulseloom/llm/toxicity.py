@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces
+from .common import unused
 
 FEATURES = 1 << 18
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
 SAMPLE = 2500
-STEPS, RATE, LASSO, LEAST_DOCS = 100, 0.2, 2e-5, 4
+STEPS, RATE, LASSO = 100, 0.2, 2e-5
+#: A feature must stand in so many sampled documents, and in so many times as large a share of the toxic ones.
+LEAST_DOCS, LEAST_LIFT = 4, 3.0
 #: Features below this weight after the first fit are left out of the second: many small ones add up in long sentences.
 LEAST_WEIGHT = 1.0
 BIAS = -6.0
 #: Words that a worker keeps with their summed weights.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 _trim = ".,;:!?\"'()[]{}<>*_-"
 
@@ -60,31 +64,30 @@ def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
     if not len(labels) or labels.min() == labels.max():
         weights[-1] = -30.0
         return weights
+    y = labels.astype(float)
     of_word: dict[str, list[int]] = {}
-    feat: list[int] = []
-    per_sentence: list[int] = []
-    per_doc: list[int] = []
-    for t in texts:
-        rows = 0
+    seen = np.zeros((2, FEATURES), np.int32)  # documents of each label that have a feature
+    for t, label in zip(texts, labels.tolist(), strict=True):
+        found: set[int] = set()
+        for w in set(t.split()):
+            if w not in of_word:
+                of_word[w] = features(w)
+            found.update(of_word[w])
+        seen[int(label), list(found)] += 1
+    # weights start at 0 and never fall below it, so what speaks for nothing can be left out at once
+    share_of = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
+    useful = (seen.sum(axis=0) >= LEAST_DOCS) & (share_of[1] >= LEAST_LIFT * share_of[0])
+    of_word = {w: kept for w, f in of_word.items() if (kept := [x for x in f if useful[x]])}
+    x, sent_of, doc_of = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
         for s in sentences(t):
-            before = len(feat)
-            for w in s.split():
-                if w not in of_word:
-                    of_word[w] = features(w)
-                feat += of_word[w]
-            if len(feat) > before:
-                per_sentence.append(len(feat) - before)
-                rows += 1
-        per_doc.append(rows)
-    x = np.array(feat, np.int64)
-    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    sent_of = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    # features of a few documents only tell those documents apart
-    seen = np.unique(doc_of[sent_of] * np.int64(FEATURES) + x)
-    common = np.bincount(seen % FEATURES, minlength=FEATURES) >= LEAST_DOCS
-    keep = common[x]
-    x, sent_of = x[keep], sent_of[keep]
-    y = labels.astype(float)
+            if words := s.split():
+                for w in words:
+                    if w in of_word:
+                        x.extend(of_word[w])
+                        sent_of.extend([len(doc_of)] * len(of_word[w]))
+                doc_of.append(d)
+    x, sent_of, doc_of = (np.array(v, np.int64) for v in (x, sent_of, doc_of))
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for _ in range(2):
         used, x = np.unique(x, return_inverse=True)
@@ -191,7 +194,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
                 cols = [*rest, pa.array(scores, pa.float64())] + [pa.array(located, kind)] * bool(spans)
                 yield pa.RecordBatch.from_arrays(cols, names=[*through, *made])
 
-    return docs.select(*through, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*through, docs[text].alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
