@@ -36,9 +36,9 @@ LENGTH, ANCHOR = 50, 16
 #: Places of the text that are looked at together; a place fits in the low bits of a hash.
 STEP_BITS = 20
 #: Bytes of fragments whose suffixes are sorted together, at least; a hash's fragments are never parted.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Chunks and shards for each shuffle partition.
-DEALT = 2
+CHUNKS, SHARDS = 3, 2
 #: Low bits of an anchor's hash that do not travel; what they would tell apart is told apart by the text.
 LOOSE_BITS = 12
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -269,20 +269,20 @@ def least_owners(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: np
     s = np.append(s, np.uint16(0))
     sa = suffix_array(s)
     plcp = common_prefixes(s, sa)
-    head = np.cumsum(size + 1) - (size + 1)
-    owner = np.r_[np.repeat(np.arange(len(size)), size + 1), len(size) - 1]
-    place = np.arange(len(s)) - head[owner]
-    room = (place + LENGTH <= size[owner]) & (np.arange(len(s)) < len(s) - 1)
-    new = plcp[sa] < LENGTH
-    starts = np.flatnonzero(new)
-    group_least = np.minimum.reduceat(least[owner[sa]], starts)
+    head = (np.cumsum(size + 1) - (size + 1)).astype(np.int32)
+    owner = np.append(np.repeat(np.arange(len(size), dtype=np.int32), size + 1), np.int32(len(size) - 1))
+    place = np.arange(len(s), dtype=np.int32) - head[owner]
+    room = place + LENGTH <= size.astype(np.int32)[owner]
+    room[-1] = False
+    starts = np.flatnonzero(plcp[sa] < LENGTH)
+    group = np.minimum.reduceat(least[owner[sa]], starts)
     of = np.empty(len(s), np.int64)
-    of[sa] = np.repeat(group_least, np.diff(np.r_[starts, len(s)]))
+    of[sa] = np.repeat(group, np.diff(np.append(starts, len(s))))
     w = np.flatnonzero(room)
     f, p, v = owner[w], place[w], of[w]
-    cuts = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (v[1:] != v[:-1])]) if len(f) else np.zeros(0, int)
-    count = np.diff(np.r_[cuts, len(f)])
-    return np.stack([f[cuts], p[cuts], count], axis=1) if len(cuts) else np.zeros((0, 3), np.int64), v[cuts]
+    cuts = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (v[1:] != v[:-1]))) if len(f) else np.zeros(0, int)
+    count = np.diff(np.append(cuts, len(f)))
+    return np.stack([f[cuts], p[cuts], count], axis=1).astype(np.int64) if len(cuts) else np.zeros((0, 3), np.int64), v[cuts]
 
 
 def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
@@ -293,7 +293,8 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
         records.append(r)
         texts.append(body)
     every, text = np.concatenate(records), np.concatenate(texts)
-    of_chunk = np.repeat(np.arange(len(blobs)), [len(r) for r in records])
+    of_chunk = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(r) for r in records])
+    del records, texts
     size = every["size"].astype(np.int64)
     end = np.cumsum(size)
     order = np.lexsort((every["content"], every["hash"]))
@@ -380,8 +381,8 @@ def _blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of each row of docs (doc_id, text)."""
     n = parallelism(docs.sparkSession)
-    shards = DEALT * n
-    dealt = docs.select("doc_id", text_or_empty().alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(n, "chunk")
+    shards = SHARDS * n
+    dealt = docs.select("doc_id", text_or_empty().alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHUNKS * n)).cast("int")).repartition(n, "chunk")
 
     def send(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk")[0].as_py()

@@ -126,6 +126,19 @@ def doubled(names: np.ndarray) -> np.ndarray:
         length *= 2
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, up to n at least."""
+    if len(_powers[0]) <= n:
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                _powers[i] = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+    return _powers
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffixes of s in order. s: integers from 0, the last of which is the only 0."""
     n, names = len(s), int(s.max()) + 1
@@ -139,15 +152,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     ordered = rough[is_lms[rough]]
     # names: equal substrings, up to and with the next LMS place, have equal sums of symbols times powers
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, 0x9E3779B97F4A7C15, np.uint64)])
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)])
-        sums = np.r_[np.uint64(0), np.cumsum((s.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0xA5A5A5A5)) * power[:n])]
-        end = np.minimum(np.r_[lms[1:], n - 1] + 1, n)
-        of = np.zeros(n, np.uint64)
-        of[lms] = (sums[end] - sums[lms]) * back[lms]
-        long = np.zeros(n, np.int32)
-        long[lms] = end - lms
-    changed = np.r_[True, (of[ordered[1:]] != of[ordered[:-1]]) | (long[ordered[1:]] != long[ordered[:-1]])]
+        power, back = powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((s.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0xA5A5A5A5)) * power[:n], out=sums[1:])
+        end = np.minimum(np.append(lms[1:], n - 1) + 1, n)
+        of = (sums[end] - sums[lms]) * back[lms]
+    del sums
+    nth = np.zeros(n, np.int32)
+    nth[lms] = np.arange(len(lms), dtype=np.int32)
+    k = nth[ordered]
+    of, long = of[k], (end - lms)[k]
+    changed = np.append(True, (of[1:] != of[:-1]) | (long[1:] != long[:-1]))
     name = np.zeros(n, np.int32)
     name[ordered] = np.cumsum(changed) - 1
     reduced = name[lms]
@@ -165,26 +180,26 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     than at the place before.
     """
     n = len(s)
-    prior = np.full(n, -1, np.int64)
+    prior = np.full(n, -1, np.int32)
     prior[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     has = prior >= 0
     reducible = np.zeros(n, bool)
     reducible[1:] = has[1:] & (prior[1:] > 0) & (s[:-1] == s[np.maximum(prior[1:] - 1, 0)])
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     i = np.flatnonzero(~reducible & has)
     # four symbols at a time; behind the end stand symbols that match nothing
     wide = np.concatenate([s.astype("<u2"), np.array([60000, 60001, 60002, 60003], "<u2")])
     quads = np.ndarray((n + 1,), "<u8", wide, 0, (2,))
-    a, b, start = i.copy(), prior[i], i
-    while len(i):
+    a, b, start = i, prior[i].astype(np.int64), i
+    while len(a):
         x = quads[np.minimum(a, n)] ^ quads[np.minimum(b, n)]
         same = x == 0
         stop = ~same
         # whole equal symbols: trailing zero bits over 16
         low = x[stop] & (~x[stop] + np.uint64(1))
         value[start[stop]] = (a[stop] - start[stop]) + (np.frexp(low.astype(np.float64))[1] - 1) // 16
-        a, b, start, i = a[same] + 4, b[same] + 4, start[same], i[same]
+        a, b, start = a[same] + 4, b[same] + 4, start[same]
     head = np.maximum.accumulate(np.where(reducible, 0, at))
     plcp = value[head] - (at - head)
     return np.where(has, np.maximum(plcp, 0), 0)
