@@ -30,9 +30,11 @@ from .common import cut, parallelism
 K, EVERY, FACTOR = 20, 20, 64
 #: Rows of a block, queries of a group, rows that the pivots are chosen from, pivots at most.
 BLOCK, GROUP, SAMPLE, PIVOTS = 4096, 1024, 4096, 1024
-LEAF = 64
+LEAF = 256
 #: Children of a node at most; where so many do not reach half its radius, they cover as closely as they can.
-FANOUT = 32
+FANOUT = 16
+#: Rows of a block's leaves that are multiplied at once.
+TOGETHER = 1024
 #: Tasks that one group's blocks are dealt to.
 SHARES = 8
 NO_SCORE = -np.iinfo(np.int64).max
@@ -177,9 +179,13 @@ def search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, rt: CoverTree, r: np
         first, last = qt.start[a], qt.end[a]
         near = bound(qt.centers[a : a + 1], qt.radii[a : a + 1], rt.centers[leaves], rt.radii[leaves])
         turn = np.argsort(-near)
-        for i in range(0, len(turn), 16):  # the most promising leaves first, so that the rest are pruned
+        upto = np.cumsum([rt.end[leaves[x]] - rt.start[leaves[x]] for x in turn])
+        done = 0
+        while done < len(turn):  # the most promising leaves first, so that the rest are pruned
             least = best.least(slice(first, last))
-            some = [leaves[x] for x in turn[i : i + 16] if near[x] >= least.min()]
+            z = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + TOGETHER)) + 1
+            some = [leaves[x] for x in turn[done:z][near[turn[done:z]] >= least.min()]]
+            done = z
             if not some:
                 break
             at = np.concatenate([np.arange(rt.start[b], rt.end[b]) for b in some])
