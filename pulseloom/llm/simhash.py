@@ -177,6 +177,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(docs.select("doc_id", "text"), drop_text=True))
     kept = grouped(prints).where("doc_id = component_id").select("doc_id").distinct()
     with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    loose = fingerprints(docs.where("doc_id is null")).dropDuplicates(["fingerprint"])
-    loose = loose.join(prints.where("doc_id is not null").select("fingerprint").distinct(), "fingerprint", "left_anti")
+    own = unused(docs, "__fingerprint")
+    loose = fingerprints(docs.where("doc_id is null"), column=own).dropDuplicates([own])
+    loose = loose.join(prints.where("doc_id is not null").select(F.col("fingerprint").alias(own)).distinct(), own, "left_anti")
     return with_id.select(*docs.columns).unionByName(loose.select(*docs.columns))
