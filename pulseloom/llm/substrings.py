@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import parallelism, text_or_empty
 from .suffixes import common_prefixes, suffix_array
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 20
 #: Places of the text that are looked at together; a place fits in the low bits of a hash.
 STEP_BITS = 20
-#: Bytes of fragments whose suffixes are sorted together, at least; a hash's fragments are never parted.
-SHARD_BYTES = 1 << 20
+#: Bytes of fragments whose suffixes are sorted together, about; fragments of one hash are never parted.
+SHARD_BYTES = 1 << 19
 #: Chunks and shards for each shuffle partition.
 CHUNKS, SHARDS = 3, 2
 #: Low bits of an anchor's hash that do not travel; what they would tell apart is told apart by the text.
@@ -50,6 +50,11 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
     doc_end: for each document the place behind it, in order; no window crosses one.
     """
     width, out = length - k + 1, []
+    inside = np.ones(len(x), bool)  # places where a window of a document starts
+    first = 0
+    for end in doc_end.tolist():
+        inside[max(first, end - length + 1) : end] = False
+        first = end
     step = (1 << STEP_BITS) - length
     for base in range(0, len(x) - length + 1, step):
         part = np.ascontiguousarray(x[base : base + step + length - 1])
@@ -57,7 +62,10 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
             break
         words = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
         with np.errstate(over="ignore"):
-            h = words[: len(part) - k + 1] * np.uint64(0xD6E8FEB86659FD93) ^ (words[k - 8 : len(part) - 7] + np.uint64(77)) * POWER
+            h = words[: len(part) - k + 1] * np.uint64(0xD6E8FEB86659FD93)
+            for o in sorted({*range(8, k - 7, 8), k - 8}):  # eight bytes at a time, the last eight as they come
+                h ^= h >> np.uint64(32)
+                h = (h ^ words[o : o + len(h)]) * POWER
             h ^= h >> np.uint64(31)
             h *= np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(29)
@@ -69,13 +77,12 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
             span *= 2
         if span < width:
             low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-        at = (low & mask).astype(np.int64)  # the anchor of each window
-        start = np.arange(len(at)) + base
-        end = doc_end[np.searchsorted(doc_end, start, side="right")]
-        ok = start + length <= end
-        begins = np.flatnonzero(ok & np.r_[True, (at[1:] != at[:-1]) | ~ok[:-1]])
-        ends = np.flatnonzero(ok & np.r_[(at[1:] != at[:-1]) | ~ok[1:], True])
-        out.append((h[at[begins]], start[begins], start[ends]))
+        at = (low & mask).astype(np.int32)  # the anchor of each window
+        ok = inside[base : base + len(at)]
+        other = at[1:] != at[:-1]
+        begins = np.flatnonzero(ok & np.append(True, other | ~ok[:-1]))
+        ends = np.flatnonzero(ok & np.append(other | ~ok[1:], True))
+        out.append((h[at[begins]], begins + base, ends + base))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -304,18 +311,27 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
     lead = order[starts]
     kind = np.empty(len(every), np.int64)  # of each fragment, its place among the distinct ones
     kind[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    # a hash with one distinct fragment has nothing to sort it against: its windows are one run
     hashes = r["hash"][starts]
-    runs, owners, at = [], [], 0
-    filled = np.cumsum(size[lead])
-    while at < len(lead):  # batches of whole hashes
+    alone = np.append(True, hashes[1:] != hashes[:-1]) & np.append(hashes[1:] != hashes[:-1], True)
+    one = np.flatnonzero(alone)
+    runs = [np.stack([one, np.zeros(len(one), np.int64), size[lead[one]] - LENGTH + 1], axis=1)]
+    owners = [least[one]]
+    many = np.flatnonzero(~alone)
+    filled, at = np.cumsum(size[lead[many]]), 0
+    while at < len(many):  # batches of whole hashes
         z = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + SHARD_BYTES)) + 1
-        z = int(np.searchsorted(hashes, hashes[min(z, len(lead)) - 1], side="right"))
-        got, who = least_owners(text, (end - size)[lead[at:z]], end[lead[at:z]], least[at:z])
-        got[:, 0] += at
+        own = hashes[many]
+        z = int(np.searchsorted(own, own[min(z, len(many)) - 1], side="right"))
+        mine = many[at:z]
+        got, who = least_owners(text, (end - size)[lead[mine]], end[lead[mine]], least[mine])
+        got[:, 0] = mine[got[:, 0]]
         runs.append(got)
         owners.append(who)
         at = z
     run, who = np.concatenate(runs), np.concatenate(owners)
+    back = np.argsort(run[:, 0], kind="stable")
+    run, who = run[back], who[back]
     first = np.searchsorted(run[:, 0], np.arange(len(lead) + 1))
     out = []
     for i in range(len(blobs)):
