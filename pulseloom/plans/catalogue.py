@@ -607,3 +607,144 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = e.where("event_type = 'view'").select("event_id", "user_id", F.col("us").alias("start_us"), (F.col("us") + 2 * HOUR).alias("end_us"))
     b = e.where("event_type = 'error'").select("user_id", (F.col("us") - HOUR).alias("b_start_us"), (F.col("us") + HOUR).alias("b_end_us"))
     return iv.overlaps(a, b, KEY, WIDTH).groupBy("event_id").agg(F.count("*").alias("n"), F.sum(F.col("common_end_us") - F.col("common_start_us")).alias("common_us"))
+
+
+DAY = 24 * HOUR
+# a protocol of contiguous blocks over a day, as the schedule table of range joins
+BLOCKS = [("rest", 0, 6), ("gentle", 6, 10), ("handling", 10, 14), ("torso", 14, 20), ("recovery", 20, 24)]
+BLOCKS_SQL = "b(name, s, t) AS (VALUES " + ", ".join(f"('{n}', {a * HOUR}, {z * HOUR})" for n, a, z in BLOCKS) + ")"
+
+
+def protocol(spark: SparkSession) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a * HOUR).cast("long").alias("s"), F.lit(z * HOUR).cast("long").alias("t")) for n, a, z in BLOCKS])
+    return spark.range(1).select(F.inline(rows))
+
+
+@query(
+    "protocol_context",
+    f"""WITH {E_SQL}, {BLOCKS_SQL}, w AS (SELECT event_id, us % {DAY} AS s, us % {DAY} + {HOUR} AS t FROM e),
+m AS (SELECT w.event_id, count(b.name) FILTER (w.s >= b.s AND w.t <= b.t) AS inside, max(CASE WHEN w.s >= b.s AND w.t <= b.t THEN b.name END) AS block, max(CASE WHEN w.s >= b.s AND w.t <= b.t THEN least(w.s - b.s, b.t - w.t) END) AS edge_us FROM w JOIN b ON w.s < b.t AND w.t > b.s GROUP BY w.event_id)
+SELECT event_id, CASE WHEN inside = 1 THEN block ELSE 'crosses_activity_block' END AS context, coalesce(edge_us < {HOUR}, true) AS guarded FROM m""",
+)
+def protocol_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = stream(spark, sf_dir).select("event_id", (F.col("us") % DAY).alias("ws"), (F.col("us") % DAY + HOUR).alias("wt"))
+    m = w.join(F.broadcast(protocol(spark)), (F.col("ws") < F.col("t")) & (F.col("wt") > F.col("s")))  # five rows
+    inside = (F.col("ws") >= F.col("s")) & (F.col("wt") <= F.col("t"))
+    m = m.groupBy("event_id").agg(F.count_if(inside).alias("n"), F.max(F.when(inside, F.col("name"))).alias("block"), F.max(F.when(inside, F.least(F.col("ws") - F.col("s"), F.col("t") - F.col("wt")))).alias("edge"))
+    return m.select("event_id", F.when(F.col("n") == 1, F.col("block")).otherwise("crosses_activity_block").alias("context"), F.coalesce(F.col("edge") < HOUR, F.lit(True)).alias("guarded"))
+
+
+@query(
+    "latest_per_type",
+    f"""WITH {E_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM e)
+SELECT user_id, event_type, n, us AS last_us, value AS last_value, k AS last_k FROM r WHERE rn = 1""",
+)
+def latest_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.max_by(F.struct("us", "value", "k"), F.struct("us", "event_id"))
+    return stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), last.alias("x")).select("user_id", "event_type", "n", F.col("x.us").alias("last_us"), F.col("x.value").alias("last_value"), F.col("x.k").alias("last_k"))
+
+
+@query("last_n_events", f"WITH {E_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS nth FROM e WHERE event_type = 'error') SELECT event_id, user_id, nth FROM r WHERE nth <= 7")
+def last_n_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("event_id")))
+    return stream(spark, sf_dir).where("event_type = 'error'").withColumn("nth", nth.cast("long")).where("nth <= 7").select("event_id", "user_id", "nth")
+
+
+@query("downsample_stride", f"WITH {E_SQL}, r AS (SELECT event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM e) SELECT event_id, value FROM r WHERE i % 5 = 0")
+def downsample_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.row_number().over(se.in_order(KEY, "us", "event_id")) - 1
+    return stream(spark, sf_dir).withColumn("i", i).where("i % 5 = 0").select("event_id", "value")
+
+
+@query(
+    "relational_division",
+    f"""WITH {E_SQL} SELECT user_id, count(DISTINCT us // {24 * HOUR}) AS days FROM e WHERE value > 20 GROUP BY user_id HAVING count(DISTINCT event_type) = 5""",
+)
+def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = stream(spark, sf_dir).where("value > 20").groupBy("user_id").agg(F.countDistinct(F.expr(f"us div {DAY}")).alias("days"), F.countDistinct("event_type").alias("types"))
+    return g.where("types = 5").select("user_id", "days")
+
+
+@query(
+    "end_anchored_windows",
+    f"""WITH {E_SQL}, l AS (SELECT user_id, max(us) AS last_us FROM e GROUP BY user_id), d AS (SELECT user_id, last_us, dur, unnest(generate_series(0, 3)) AS nth FROM l, (SELECT unnest([{6 * HOUR}, {24 * HOUR}, {72 * HOUR}]) AS dur))
+SELECT d.user_id, d.dur AS duration_us, d.nth, count(e.event_id) AS n, max(e.value) AS most FROM d LEFT JOIN e ON e.user_id = d.user_id AND e.us > d.last_us - (d.nth + 1) * d.dur AND e.us <= d.last_us - d.nth * d.dur GROUP BY ALL""",
+)
+def end_anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of several lengths counted back from each device's end: a row's window is its age over the length."""
+    e = stream(spark, sf_dir).withColumn("age", F.max("us").over(Window.partitionBy("user_id")) - F.col("us"))
+    lengths = F.explode(F.array(*[F.lit(h * HOUR).cast("long") for h in (6, 24, 72)])).alias("duration_us")
+    got = e.select("user_id", "age", "value", lengths).withColumn("nth", F.expr("age div duration_us")).where("nth <= 3").groupBy("user_id", "duration_us", "nth").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    grid = e.select("user_id").distinct().select("user_id", lengths).select("user_id", "duration_us", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("nth"))
+    return grid.join(got, ["user_id", "duration_us", "nth"], "left").select("user_id", "duration_us", "nth", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "most")
+
+
+@query(
+    "consensus_cluster",
+    f"""WITH {E_SQL}, v AS (SELECT user_id, event_id, value FROM e WHERE event_type = 'view'), c AS (SELECT a.user_id, a.event_id, a.value, count(*) AS members, round(avg(b.value), 6) AS mean FROM v a JOIN v b ON a.user_id = b.user_id AND abs(a.value - b.value) <= 5 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY members DESC, value, event_id) AS rn FROM c)
+SELECT user_id, event_id AS centre_id, members, mean FROM r WHERE rn = 1""",
+)
+def consensus_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre with most values within 5 of it: a range frame over the ordered values, not a self-join."""
+    near = Window.partitionBy("user_id").orderBy("value").rangeBetween(-5, 5)
+    v = stream(spark, sf_dir).where("event_type = 'view'").select("user_id", "event_id", "value", F.count("*").over(near).alias("members"), F.avg("value").over(near).alias("mean"))
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("members"), "value", "event_id"))
+    return v.withColumn("rn", rn).where("rn = 1").select("user_id", F.col("event_id").alias("centre_id"), "members", r6("mean").alias("mean"))
+
+
+@query(
+    "review_errors",
+    """SELECT source, count(*) FILTER (quality = 1) AS usable, count(*) FILTER (quality = 0) AS unusable, count(*) FILTER (quality IS NULL) AS unscored, count(*) FILTER (quality = 0 AND n_chars >= 500) AS false_accepted, count(*) FILTER (quality = 1 AND n_chars < 500) AS false_rejected,
+ round(count(*) FILTER (quality = 0 AND n_chars >= 500) / nullif(count(*) FILTER (quality = 0), 0), 6) AS false_acceptance FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
+)
+def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    good, bad, big = F.col("quality") == 1, F.col("quality") == 0, F.col("n_chars") >= 500
+    n = lambda c: F.count_if(c)
+    return d.groupBy("source").agg(n(good).alias("usable"), n(bad).alias("unusable"), n(F.col("quality").isNull()).alias("unscored"), n(bad & big).alias("false_accepted"), n(good & ~big).alias("false_rejected"), r6(ratio(n(bad & big), n(bad))).alias("false_acceptance"))
+
+
+@query(
+    "nested_value_counts",
+    f"""WITH {E_SQL}, c AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT user_id, sum(n) AS total FROM c GROUP BY user_id)
+SELECT user_id, event_type, n, round(n / total, 6) AS share FROM c JOIN t USING (user_id)""",
+)
+def nested_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return c.select("user_id", "event_type", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("share"))
+
+
+@query(
+    "contiguity_check",
+    f"""WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS s FROM orders), n AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey), s) AS t FROM o), g AS (SELECT *, lag(t) OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) AS before FROM n)
+SELECT o_custkey, count(*) AS n_blocks, bool_and(before IS NULL OR before = s) AS contiguous, max(t) - min(s) AS span_us FROM g GROUP BY o_custkey""",
+)
+def contiguity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("s", "o_orderkey")
+    n = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", micros("o_orderdate").alias("s")).withColumn("t", F.coalesce(F.lead("s").over(w), F.col("s")))
+    g = n.withColumn("before", F.lag("t").over(w))
+    return g.groupBy("o_custkey").agg(F.count("*").alias("n_blocks"), F.bool_and(F.col("before").isNull() | (F.col("before") == F.col("s"))).alias("contiguous"), (F.max("t") - F.min("s")).alias("span_us"))
+
+
+@query(
+    "policy_decision",
+    f"""WITH {PRED_SQL}, b AS (SELECT o_orderpriority, abs(guess - truth) AS a, abs(150 - truth) AS c, guess BETWEEN 50 AND 300 AS kept FROM p WHERE guess IS NOT NULL),
+m AS (SELECT o_orderpriority, round(avg(a), 6) AS base_mae, round(avg(c) FILTER (kept), 6) AS candidate_mae, round(count(*) FILTER (kept) / count(*), 6) AS retention FROM b GROUP BY o_orderpriority)
+SELECT o_orderpriority, base_mae, candidate_mae, retention, retention >= 0.6 AND candidate_mae - base_mae <= 2 AS accepted FROM m""",
+)
+def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir).where("guess is not null")
+    kept = F.col("guess").between(50, 300)
+    m = p.groupBy("o_orderpriority").agg(r6(F.avg(F.abs(F.col("guess") - F.col("truth")))).alias("base_mae"), r6(F.avg(F.when(kept, F.abs(150 - F.col("truth"))))).alias("candidate_mae"), r6(ratio(F.count_if(kept), F.count("*"))).alias("retention"))
+    return m.withColumn("accepted", (F.col("retention") >= 0.6) & (F.col("candidate_mae") - F.col("base_mae") <= 2))
+
+
+@query(
+    "turn_dialogue_stats",
+    """WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, count(*) FILTER (before = role) AS repeated_roles, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(turn) AS first_turn FROM c GROUP BY conv_id""",
+)
+def turn_dialogue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.count_if(F.col("before") == F.col("role")).alias("repeated_roles"), F.sum(F.length("text")).alias("n_chars"), F.min("turn").alias("first_turn"))
