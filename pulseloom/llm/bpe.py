@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_of, unused
+from .common import keep_only, list_of, unused
 
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -172,7 +172,8 @@ class PairIndexBpe:
                 at = m.end()
             split.append(row + self.words_of(text[at:]))
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+            self.known.clear()
+        self.known[""] = b""
         get = self.known.get
         found = [list(map(get, row)) for row in split]
         lacking = [i for i, ids in enumerate(found) if None in ids]
@@ -210,6 +211,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
+        keep_only("bpe", lambda: bpe.known.clear())
         for whole in batches:
             for batch in pieces(whole):
                 *rest, texts = batch.columns

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,24 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Rows are texts here: fewer of them in an Arrow batch keep both sides of a Python worker's pipe small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+    return spark
+
+
+_kept: list = [None, None]
+
+
+def keep_only(owner: str, forget: Callable[[], object] | None = None) -> None:
+    """A Python worker serves one operator after another; only the one at work keeps what it has cached."""
+    if _kept[0] not in (None, owner) and _kept[1]:
+        _kept[1]()
+    _kept[:] = owner, forget
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces
-from .common import cut, parallelism, scratch
+from .common import cut, keep_only, parallelism, scratch
 
 MIN_WORDS = 8
 #: Tables joined to texts are broadcast up to so many rows (some 50 bytes each), beyond that by a shuffle.
@@ -51,6 +51,10 @@ class WordHasher:
         self.known: dict[str, int] = {}
         self.power = self.inverse = np.ones(1, np.uint64)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.power = self.inverse = self.sums = np.ones(1, np.uint64)
+
     def hashes(self, lines: list[list[str]]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
@@ -69,9 +73,10 @@ class WordHasher:
         return np.array(flat, np.uint64)
 
     def load(self, lines: list[list[str]]) -> None:
+        keep_only("lines", self.forget)
         w = self.hashes(lines)
         if len(self.power) <= len(w):
-            n = 2 * len(w) + 1
+            n = len(w) + len(w) // 4 + 1
             with np.errstate(over="ignore"):
                 self.power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
                 self.inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE_INVERSE, np.uint64)])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
-from .common import table
+from .common import small_batches, table
 from .embeddings import embedding_links
 from .lines import line_report
 from .mixing import mix_report
@@ -21,35 +21,35 @@ from .toxicity import toxicity_report
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_digest(table(small_batches(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_report(table(spark, sf_dir, "documents"))
+    return repeat_report(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digest(table(small_batches(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_report(table(spark, sf_dir, "documents"))
+    return near_duplicate_report(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents"))
+    return mix_report(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_report(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"))
+    return assign_shards(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces
-from .common import cut, parallelism, unused
+from .common import cut, keep_only, parallelism, unused
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
 #: More bands make more cells a row and far fewer candidates.
 BANDS = 6
 SEGMENTS = 32
+#: Ids of documents that go are broadcast up to so many (some 20 bytes each), beyond that joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -56,6 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint
     schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(column, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
         for whole in batches:
             for batch in pieces(whole):
                 *rest, texts = batch.columns
@@ -175,8 +178,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay only where their whole group has none, one a fingerprint.
     """
     prints = cut(fingerprints(docs.select("doc_id", "text"), drop_text=True))
-    kept = grouped(prints).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    ids = cut(grouped(prints).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__kept")))
+    # most documents stay, and once: only the others' ids meet the texts
+    odd = cut(ids.where("not __kept or __n > 1"))
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    once = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti")
+    again = docs.join(odd.where("__kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    with_id = once.select(*docs.columns).unionByName(again.select(*docs.columns))
     own = unused(docs, "__fingerprint")
     loose = fingerprints(docs.where("doc_id is null"), column=own).dropDuplicates([own])
     loose = loose.join(prints.where("doc_id is not null").select(F.col("fingerprint").alias(own)).distinct(), own, "left_anti")

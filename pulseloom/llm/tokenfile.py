@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, pieces
-from .common import parallelism, scratch
+from .common import keep_only, parallelism, scratch
 
 MAGIC = b"PFR1"
 BLOCK, LANES = 256, 64
@@ -211,6 +211,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int, segment_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(path), TaskContext.get().partitionId()
+        keep_only("tokenfile", lambda: encoder.known.clear())
         doc_ids: list[int | None] = []
         rows: list[bytes] = []
         number = held = before = 0

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces
-from .common import unused
+from .common import keep_only, unused
 
 FEATURES = 1 << 18
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
@@ -39,7 +39,7 @@ LEAST_DOCS, LEAST_LIFT = 4, 3.0
 LEAST_WEIGHT = 1.0
 BIAS = -6.0
 #: Words that a worker keeps with their summed weights.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 _trim = ".,;:!?\"'()[]{}<>*_-"
 
@@ -181,6 +181,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
+        keep_only("toxicity")
         for whole in batches:
             for batch in pieces(whole):
                 *rest, texts = batch.columns
