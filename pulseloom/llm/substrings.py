@@ -82,7 +82,11 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
         other = at[1:] != at[:-1]
         begins = np.flatnonzero(ok & np.append(True, other | ~ok[:-1]))
         ends = np.flatnonzero(ok & np.append(other | ~ok[1:], True))
-        out.append((h[at[begins]], begins + base, ends + base))
+        own = h[at[begins]]
+        with np.errstate(over="ignore"):  # least hashes are small ones: mixed again, so that shards are even
+            own = (own ^ own >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            own = (own ^ own >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+        out.append((own ^ own >> np.uint64(29), begins + base, ends + base))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
