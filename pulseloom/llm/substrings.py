@@ -37,8 +37,8 @@ LENGTH, ANCHOR = 50, 20
 STEP_BITS = 20
 #: Bytes of fragments whose suffixes are sorted together, about; fragments of one hash are never parted.
 SHARD_BYTES = 1 << 19
-#: Chunks and shards for each shuffle partition.
-CHUNKS, SHARDS = 3, 2
+#: Chunks and shards for each shuffle partition; a chunk sends a row to each shard.
+CHUNKS, SHARDS = 2, 1
 #: Low bits of an anchor's hash that do not travel; what they would tell apart is told apart by the text.
 LOOSE_BITS = 12
 POWER = np.uint64(0x9E3779B97F4A7C15)
