@@ -28,7 +28,7 @@ from .common import keep_only, list_of, unused
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that a worker keeps before it starts anew (some 300 bytes each).
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
