@@ -11,7 +11,8 @@ Scores are exact integers. The pivots' sample only shapes the cells: every row i
 give the same result. Defined results: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows with a null vec_id; vectors of another length than the query's are no
 candidates; a query is never its own candidate, whichever rows repeat its vec_id; an empty table gives no
-rows; other columns are left out.
+rows; other columns are left out. A vec_id that stands in several rows is one query and one candidate: equal
+rows count once, and the score of two ids is the best of any of their vectors of equal length.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, vec_id) of each of some queries; scores below floor cannot count."""
+    """The k best (score, vec_id) of each of some queries, an id once; scores below floor cannot count."""
 
     def __init__(self, n: int, k: int = K, floor: int | None = None):
         self.k, self.floor = k, NO_SCORE if floor is None else floor
@@ -134,6 +135,11 @@ class Best:
         s[r, c], i[r, c] = scores, ids
         at = first + own
         s, i = np.concatenate([self.score[at], s], axis=1), np.concatenate([self.id[at], i], axis=1)
+        order = np.lexsort((-s, i), axis=1)  # an id's best score first, the others are no candidates
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        again = np.zeros(s.shape, bool)
+        again[:, 1:] = i[:, 1:] == i[:, :-1]
+        s[again], i[again] = NO_SCORE, np.iinfo(np.int64).max
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[at], self.id[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
@@ -189,12 +195,16 @@ def search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, rt: CoverTree, r: np
             if not some:
                 break
             at = np.concatenate([np.arange(rt.start[b], rt.end[b]) for b in some])
-            s = products(q[first:last], r[at], most)
+            s, ids = products(q[first:last], r[at], most), r_ids[at]
+            if len(np.unique(ids)) < len(ids):  # one column an id, so that k of them are k candidates
+                turned = np.argsort(ids, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(ids[turned]) != 0])
+                s, ids = np.maximum.reduceat(s[:, turned], starts, axis=1), ids[turned][starts]
             k = best.k + 1  # one may be the query itself
             if s.shape[1] > k and least.min() == NO_SCORE:
                 least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
             row, col = np.nonzero(s >= least[:, None])
-            ids = r_ids[at[col]]
+            ids = ids[col]
             other = ids != q_ids[first + row]
             row, col, ids = row[other], col[other], ids[other]
             best.add(first, row, s[row, col].astype(np.int64), ids)
@@ -208,6 +218,18 @@ def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray]:
     return tree, v[tree.order], pdf.vec_id.to_numpy()[tree.order]
 
 
+def folded(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best of each query, an id once at its best score: queries may stand in several rows."""
+    order = np.lexsort((-scores, ids, query))
+    q, i = query[order], ids[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])][: len(q)]]
+    order = order[np.lexsort((ids[order], -scores[order], query[order]))]
+    q = query[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return order[rank < k]
+
+
 def smallest(v: np.ndarray) -> np.ndarray:
     """v in the smallest integers that hold it."""
     return v.astype(np.min_scalar_type(-1 - int(np.abs(v).max())))
@@ -217,7 +239,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     """query_id, rank, vec_id and score of the k best candidates of each row whose vec_id is divisible by every."""
     spark = rows.sparkSession
     n_parts = parallelism(spark)
-    vecs = cut(quantized(rows, factor=factor))
+    vecs = cut(quantized(rows, factor=factor).distinct())
     total = vecs.count()
     schema = "query_id long, rank int, vec_id long, score long"
     if not total:
@@ -251,9 +273,9 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, v, ids = packed(pdf)
-        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "cell": [int(pdf.cell.iloc[0])], "part": [int(pdf.part.iloc[0])], "center": [tree.centers[0].tolist()], "radius": [tree.radii[0]], "image": [pickle.dumps((tree, smallest(v), ids))]})
+        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "cell": [int(pdf.cell.iloc[0])], "part": [int(pdf.part.iloc[0])], "center": [tree.centers[0].tolist()], "radius": [tree.radii[0]], "ids": [np.unique(ids).tolist()], "image": [pickle.dumps((tree, smallest(v), ids))]})
 
-    kind = "dim int, cell int, part int, center array<double>, radius double, image binary"
+    kind = "dim int, cell int, part int, center array<double>, radius double, ids array<long>, image binary"
     blocks = cut(data.groupBy("dim", "cell", "part").applyInPandas(build, kind))
     groups = cut(asked.groupBy("dim", "cell", "part").applyInPandas(build, kind))
 
@@ -263,8 +285,10 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
 
         def done() -> pa.RecordBatch:
             (tree, _, ids), best = now[1], now[2]
-            row, rank = np.nonzero(best.id != np.iinfo(np.int64).max)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), now[0][1], np.int32)), pa.array(np.full(len(row), now[0][2], np.int32)), pa.array(ids[row]), pa.array(best.id[row, rank]), pa.array(best.score[row, rank])], names=["gcell", "gpart", "query_id", "vec_id", "score"])
+            row, rank = np.nonzero(best.score != NO_SCORE)
+            query, found, score = ids[row], best.id[row, rank], best.score[row, rank]
+            some = folded(query, found, score, k)
+            return pa.RecordBatch.from_arrays([pa.array(query[some]), pa.array(found[some]), pa.array(score[some])], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -284,7 +308,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     def searched(pairs: DataFrame, shares: int) -> DataFrame:
         """The best of each query over the pairs of group and block."""
         met = pairs.repartition(n_parts, "dim", "gcell", "gpart", F.col("part") % shares).sortWithinPartitions("dim", "gcell", "gpart", F.desc("most"))
-        return met.select("dim", "gcell", "gpart", "gimage", "image", F.col("floor").cast("long").alias("floor")).mapInArrow(solve, "gcell int, gpart int, query_id long, vec_id long, score long")
+        return met.select("dim", "gcell", "gpart", "gimage", "image", F.col("floor").cast("long").alias("floor")).mapInArrow(solve, "query_id long, vec_id long, score long")
 
     g = groups.select("dim", F.col("cell").alias("gcell"), F.col("part").alias("gpart"), F.col("center").alias("gcenter"), F.col("radius").alias("gradius"), F.col("image").alias("gimage"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
@@ -292,17 +316,19 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     most = dot + norm("center") * F.col("gradius") + norm("gcenter") * F.col("radius") + F.col("radius") * F.col("gradius")
     own = g.join(blocks, (g.dim == blocks.dim) & (g.gcell == blocks.cell)).drop(blocks.dim).withColumns({"most": most, "floor": F.lit(None).cast("long")})
     first = cut(searched(own, SHARES))
-    # each query's k-th score so far, then the worst of its group: what a block must be able to reach
+    # each query's k-th score so far, whichever groups its rows are in, then the worst of a group: what a block must be able to reach
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    so_far = first.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)
-    kth = so_far.groupBy("gcell", "gpart", "query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    floor = kth.groupBy("gcell", "gpart").agg(F.when(F.count("kth") == F.count("*"), F.min("kth")).alias("floor"))
-    other = g.join(floor, ["gcell", "gpart"], "left")
+    once = lambda d: d.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    so_far = cut(once(first).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).drop("r"))
+    kth = so_far.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    members = groups.select("dim", F.col("cell").alias("gcell"), F.col("part").alias("gpart"), F.explode("ids").alias("query_id")).join(kth, "query_id", "left")
+    floor = members.groupBy("dim", "gcell", "gpart").agg(F.when(F.count("kth") == F.count("*"), F.min("kth")).alias("floor"))
+    other = g.join(floor, ["dim", "gcell", "gpart"], "left")
     heads = blocks.select("dim", "cell", "part", "center", "radius")
     ghead = other.select("dim", "gcell", "gpart", "gcenter", "gradius", "floor")
     left = ghead.join(heads, (ghead.dim == heads.dim) & (ghead.gcell != heads.cell)).drop(heads.dim).withColumn("most", most)
     left = left.where(F.col("floor").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))).select("dim", "gcell", "gpart", "cell", "part", "most", "floor")
     pairs = left.join(g.select("dim", "gcell", "gpart", "gimage"), ["dim", "gcell", "gpart"]).join(blocks.select("dim", "cell", "part", "image"), ["dim", "cell", "part"])
     pairs = pairs.withColumn("part", F.col("cell") + F.col("part"))
-    every_one = so_far.select("query_id", "vec_id", "score").unionByName(searched(pairs, SHARES).select("query_id", "vec_id", "score"))
-    return every_one.distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    every_one = once(so_far.unionByName(searched(pairs, SHARES)))
+    return every_one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

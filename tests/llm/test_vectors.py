@@ -91,6 +91,43 @@ def test_many_blocks(spark, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == brute_top(rows, every=5)
 
 
+def folded_top(rows, k=20, every=20):
+    """Brute force where ids repeat: an id is one query and one candidate, with its best score."""
+    v = {}
+    for i, x, _ in rows:
+        v.setdefault(i, []).append(np.floor(64 * np.array(x)).astype(np.int64))
+    m = {i: np.array(x) for i, x in v.items()}
+    out = set()
+    for i in m:
+        if i % every == 0:
+            s = sorted((-int((m[i] @ m[j].T).max()), j) for j in m if j != i)[:k]
+            out |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(s)}
+    return out
+
+
+def test_repeated_ids_against_brute_force(spark, monkeypatch):
+    from pulseloom.llm import topk
+
+    for name, v in (("BLOCK", 40), ("GROUP", 6), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, v)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(200, 12))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += 3 * [(i, x[i].tolist(), 0) for i in range(0, 200, 3)]  # equal rows, queries and candidates
+    rows += [(i, (x[i] + 0.1 * r.normal(size=12)).tolist(), 0) for i in range(0, 200, 4) for _ in range(3)]  # other vectors of an id
+    rows += [(n, v.tolist(), 0) for n in (40, 41) for v in 2 * r.normal(size=(150, 12))]  # a hot query and a hot candidate
+    got = topk.search_top(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = folded_top(rows)
+    assert len(got) == len(want) == 200 and {(q.query_id, q["rank"], q.vec_id, q.score) for q in got} == want
+
+
+def test_best_holds_an_id_once():
+    best = Best(1, 3)
+    for ids in ([5, 6, 5], [5, 7, 8]):
+        best.add(0, np.zeros(3, int), np.array([9, 3, 8]), np.array(ids))
+    assert (best.id[0].tolist(), best.score[0].tolist()) == ([5, 8, 6], [9, 8, 3])
+
+
 def test_tree_covers_and_prunes():
     r = np.random.default_rng(3)
     x = (r.normal(size=(8, 16))[r.integers(0, 8, 2000)] * 30 + r.normal(size=(2000, 16))).round()
