@@ -5,7 +5,9 @@ decoded to the nearest point of the E8 lattice. A vector is stored in its own ce
 the PROBES neighbouring cells that its projection leans to. Vectors that meet are compared exactly, by
 cosine in double precision. Equal vectors are one class. A pair may meet in several tables and cells;
 each pair is counted in the first of them only, which both vectors' codes tell without a shuffle, so that
-link counts are sums and no pair leaves its task: a cell gives counts and a spanning forest.
+link counts are sums and no pair leaves its task: a cell gives counts and a spanning forest. A cell of more
+than HOT vectors is dealt to tasks by pairs of blocks, and pairs are counted tile by tile, so that a task holds
+no more than two blocks and some PAIRS pairs, however many vectors meet.
 
 At SCALE 6, PROBES 8 and TABLES 4 a pair at cosine 0.9 meets with a chance of 0.97, one at 0.95 nearly
 always; the tests measure recall against brute force.
@@ -33,6 +35,8 @@ from .simhash import forest
 
 TABLES, PROBES, SCALE = 4, 8, 6.0
 BLOCK = 1024
+#: Vectors of a cell that one task compares, and pairs whose codes stand in memory at once.
+HOT, PAIRS = 8192, 1 << 17
 SEED = 20
 
 
@@ -130,10 +134,79 @@ def vectors(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding")
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), column).mapInArrow(run, "vec_id long, code binary, vector binary")
 
 
-def links(classes: DataFrame, least: float = 0.9) -> DataFrame:
+def first_meeting(a: np.ndarray, b: np.ndarray, codes: np.ndarray, t: int) -> np.ndarray:
+    """Whether pairs met in no table before t: a's cells hold b's own one, or the other way."""
+    new = np.ones(len(a), bool)
+    for s in range(t):
+        new &= ~((codes[a, s] == codes[b, s, :1]).any(axis=1) | (codes[b, s] == codes[a, s, :1]).any(axis=1))
+    return new
+
+
+def linked_in_cell(vector: np.ndarray, role: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(node, linked, root) of the vectors with a link that this cell counts; rows by role, stored ones first.
+
+    Rows of side 2 pair with all, the others only across sides.
+    """
+    unit, h, t = unit_rows(vector), int(np.searchsorted(role & 1, 1)), int(role[0]) // 2
+
+    def close(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        p, q = np.nonzero(unit[i : min(i + BLOCK, h)] @ unit[j : j + BLOCK].T >= least)
+        p, q = p + i, q + j
+        keep = (q > p) & (node[p] != node[q]) & ((side[p] == 2) | (side[p] != side[q]))
+        return p[keep], q[keep]
+
+    # which tiles have pairs, and of which rows: only these rows' codes are needed
+    tiles, met, one = [], np.zeros(len(unit), bool), None
+    for i in range(0, h, BLOCK):
+        for j in range(i, len(unit), BLOCK):
+            p, q = close(i, j)
+            if len(p):
+                met[p] = met[q] = True
+                one = None if tiles else (p, q)
+                tiles.append((i, j))
+    if not tiles:
+        return None
+    used = np.flatnonzero(met)
+    place = np.cumsum(met) - 1
+    codes, own, weight = lattice(unit.shape[1]).codes(unit[used]), node[used], n[used]
+    order = np.argsort(own)  # so that the forest's roots are the least nodes
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    linked = np.zeros(len(own))
+
+    def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in tiles:
+            all_p, all_q = one or close(i, j)
+            for at in range(0, len(all_p), PAIRS):
+                p, q = place[all_p[at : at + PAIRS]], place[all_q[at : at + PAIRS]]
+                new = first_meeting(p, q, codes, t)
+                # a probing vector met a stored one: if the stored one probes too, the smaller node's cell counts
+                both = (used[q] >= h) & (codes[p, t, 1:] == codes[q, t, :1]).any(axis=1)
+                new &= ~(both & (own[p] > own[q]))
+                p, q = p[new], q[new]
+                if len(p):
+                    linked[:] += np.bincount(p, weight[q], minlength=len(own)) + np.bincount(q, weight[p], minlength=len(own))
+                    yield rank[p], rank[q]
+
+    at, up = forest(len(own), counted())
+    root = np.arange(len(own))
+    root[at] = up
+    some = np.flatnonzero(linked)
+    return own[some], linked[some].astype(np.int64), own[order][root[rank[some]]]
+
+
+def tile_keys(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Keys of their own for the pairs of blocks of hot cells."""
+    with np.errstate(over="ignore"):
+        x = (key ^ (low + 1) * np.int64(-7046029254386353131)) * np.int64(-4658895280553007687)
+        x = ((x ^ (x >> 31)) + (high + 1) * np.int64(-7723592293110705685)) * np.int64(-4658895280553007687)
+    return x ^ (x >> 32)
+
+
+def links(classes: DataFrame, least: float = 0.9, hot: int = HOT) -> DataFrame:
     """From classes (node, n, vector): rows (node, linked, root): vectors linked in a cell, and the node's tie there."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
@@ -143,67 +216,59 @@ def links(classes: DataFrame, least: float = 0.9) -> DataFrame:
                     by_len.setdefault(len(b), []).append(i)
                 for at in by_len.values():
                     unit = unit_rows(np.stack([np.frombuffer(raw[i], "<f8") for i in at]))
-                    codes = lattice(unit.shape[1]).codes(unit)
-                    sub = batch.take(pa.array(at))
-                    for t in range(codes.shape[1]):
-                        for k in range(codes.shape[2]):
-                            yield pa.RecordBatch.from_arrays([pa.array(codes[:, t, k]), pa.array(np.full(len(at), t * 2 + (k > 0), np.int8)), *sub.columns], names=["key", "role", "node", "n", "vector"])
+                    codes = [c.tobytes() for c in lattice(unit.shape[1]).codes(unit)]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(codes, pa.binary())], names=["node", "n", "vector", "codes"])
+
+    def cells_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.frombuffer(b, np.int64) for b in batch.column(batch.num_columns - 1).to_pylist()]).reshape(batch.num_rows, TABLES, 1 + PROBES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, rows = np.unique(cells_of(batch), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows)], names=["key", "rows"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys, hot_blocks = sent.value
+
+        def rows(sub: pa.RecordBatch, key: np.ndarray, side: np.ndarray, role: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(side, pa.int8()), pa.array(np.full(len(key), role, np.int8)), *sub.columns[:3]], names=["key", "side", "role", "node", "n", "vector"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                codes, node = cells_of(batch), batch.column(0).to_numpy()
+                with np.errstate(over="ignore"):
+                    dealt = ((node ^ (node >> 32)) * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)
+                for t in range(codes.shape[1]):
+                    for k in range(codes.shape[2]):
+                        key, role = codes[:, t, k], t * 2 + (k > 0)
+                        at = np.minimum(np.searchsorted(hot_keys, key), max(len(hot_keys) - 1, 0))
+                        is_hot = hot_keys[at] == key if len(hot_keys) else np.zeros(len(key), bool)
+                        cool = np.flatnonzero(~is_hot)
+                        if len(cool):
+                            yield rows(batch.take(pa.array(cool)), key[cool], np.full(len(cool), 2), role)
+                        some = np.flatnonzero(is_hot)
+                        blocks = hot_blocks[at[some]] if len(some) else np.zeros(0, np.int64)
+                        for other in range(int(blocks.max(initial=0))):  # a row goes to each pair of blocks that has its own
+                            mine = some[blocks > other]
+                            block = (dealt[mine] % blocks[blocks > other].astype(np.uint64)).astype(np.int64)
+                            side = np.where(block == other, 2, block > other)
+                            yield rows(batch.take(pa.array(mine)), tile_keys(key[mine], np.minimum(block, other), np.maximum(block, other)), side, role)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def first_meeting(a: np.ndarray, b: np.ndarray, codes: np.ndarray, t: int) -> np.ndarray:
-            """Whether pairs met in no table before t: a's cells hold b's own one, or the other way."""
-            new = np.ones(len(a), bool)
-            for s in range(t):
-                new &= ~((codes[a, s] == codes[b, s, :1]).any(axis=1) | (codes[b, s] == codes[a, s, :1]).any(axis=1))
-            return new
-
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, role = table.column(0).to_numpy(), table.column(1).to_numpy()
-            node, n = table.column(2).to_numpy(), table.column(3).to_numpy()
-            raw = table.column(4).to_pylist()
+            key, side, role, node, n = (table.column(c).to_numpy() for c in range(5))
+            raw = table.column(5)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
                 if z - a < 2 or role[a] & 1:  # no stored vector: roles are sorted
                     continue
-                homes = a + int(np.searchsorted(role[a:z] & 1, 1))
-                unit = unit_rows(np.stack([np.frombuffer(raw[i], "<f8") for i in range(a, z)]))
-                h, t = homes - a, int(role[a]) // 2
-                found_i, found_j = [], []
-                for i in range(0, h, BLOCK):
-                    for j in range(i, z - a, BLOCK):
-                        close = unit[i : min(i + BLOCK, h)] @ unit[j : j + BLOCK].T >= least
-                        p, q = np.nonzero(close)
-                        p, q = p + i, q + j
-                        keep = (q > p) & (node[a + p] != node[a + q])
-                        found_i.append(p[keep])
-                        found_j.append(q[keep])
-                p, q = np.concatenate(found_i), np.concatenate(found_j)
-                if not len(p):
-                    continue
-                used, inverse = np.unique(np.r_[p, q], return_inverse=True)
-                p, q = inverse[: len(p)], inverse[len(p) :]
-                codes, own = lattice(unit.shape[1]).codes(unit[used]), node[a + used]
-                new = first_meeting(p, q, codes, t)
-                # a probing vector met a stored one: if the stored one probes too, the smaller node's cell counts
-                probing = used[q] >= h
-                both = probing & (codes[p, t, 1:] == codes[q, t, :1]).any(axis=1)
-                new &= ~(both & (own[p] > own[q]))
-                p, q = p[new], q[new]
-                if not len(p):
-                    continue
-                weight = n[a + used]
-                linked = np.bincount(p, weight[q], minlength=len(used)) + np.bincount(q, weight[p], minlength=len(used))
-                order = np.argsort(own)  # so that the forest's roots are the least nodes
-                rank = np.empty(len(own), np.int64)
-                rank[order] = np.arange(len(own))
-                x, y = rank[p], rank[q]
-                at, up = forest(len(own), iter([(x, y)]))
-                root = np.arange(len(own))
-                root[at] = up
-                some = np.flatnonzero(linked)
-                yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(linked[some].astype(np.int64)), pa.array(own[order][root[rank[some]]])], names=["node", "linked", "root"])
+                vector = np.stack([np.frombuffer(b, "<f8") for b in raw.slice(a, z - a).to_pylist()])
+                if found := linked_in_cell(vector, role[a:z], side[a:z], node[a:z], n[a:z], least):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "linked", "root"])
 
         for batch in batches:
             held.append(batch)
@@ -217,17 +282,21 @@ def links(classes: DataFrame, least: float = 0.9) -> DataFrame:
         if held and (rest := pa.Table.from_batches(held)).num_rows:
             yield from solve(rest.combine_chunks())
 
-    n = parallelism(classes.sparkSession)
-    met = classes.select("node", "n", "vector").mapInArrow(emit, "key long, role byte, node long, n long, vector binary")
-    return met.repartition(n, "key").sortWithinPartitions("key", "role").mapInArrow(meet, "node long, linked long, root long")
+    spark = classes.sparkSession
+    coded = cut(classes.select("node", "n", "vector").mapInArrow(code, "node long, n long, vector binary, codes binary"))
+    rows = coded.select("codes").mapInArrow(count, "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows"))
+    crowded = rows.where(F.col("rows") > hot).orderBy("key").toArrow()  # a row for each hot cell, one for HOT emitted rows at most
+    sent = spark.sparkContext.broadcast((crowded.column("key").to_numpy(), -(-crowded.column("rows").to_numpy() // hot)))
+    met = coded.mapInArrow(emit, "key long, side byte, role byte, node long, n long, vector binary")
+    return met.repartition(parallelism(spark), "key").sortWithinPartitions("key", "role").mapInArrow(meet, "node long, linked long, root long")
 
 
-def embedding_links(rows: DataFrame, least: float = 0.9) -> DataFrame:
+def embedding_links(rows: DataFrame, least: float = 0.9, hot: int = HOT) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of rows (vec_id, embedding)."""
     parsed = vectors(rows)
     with_id = parsed.where("vec_id is not null and code is not null")
     classes = cut(with_id.groupBy("code").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.min("vector").alias("vector")))
-    found = cut(links(classes, least))
+    found = cut(links(classes, least, hot))
     counts = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("code", "node", "n").join(counts, "node", "left").join(tied, "node", "left")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulseloom.llm.embeddings import decode_e8, embedding_links, shortest_vectors
+from pulseloom.llm.embeddings import decode_e8, embedding_links, linked_in_cell, shortest_vectors
 from pulseloom.llm.topk import Best, CoverTree, search, search_top
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
@@ -47,6 +47,32 @@ def test_links_against_brute_force(spark):
     assert got[7007].component_id == 7006
 
 
+def near_copies(n, dim=16, seed=11):
+    r = np.random.default_rng(seed)
+    return r.normal(size=dim) + 0.05 * r.normal(size=(n, dim))
+
+
+def test_hot_cells_are_dealt_to_tasks(spark):
+    rows = odd_vectors(3) + [(10000 + i, v.tolist(), 1) for i, v in enumerate(near_copies(300))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got, whole = ({(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_links(df, hot=h).collect()} for h in (40, 10**6))
+    assert got == whole
+    assert {r[1:] for r in got if r[0] is not None and r[0] >= 10000} == {(299, 10000, True), (299, 10000, False)}
+
+
+def test_pairs_of_a_cell_are_never_held_at_once():
+    import tracemalloc
+
+    n, x = 3000, near_copies(3000)
+    node, role, side = np.arange(n), np.zeros(n, np.int8), np.full(n, 2, np.int8)
+    tracemalloc.start()
+    found = linked_in_cell(x, role, side, node, np.ones(n, np.int64), 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[1] == n - 1).all() and (found[2] == 0).all() and len(found[0]) == n
+    assert peak < 200e6  # 4.5 million pairs: 16 bytes for the places of each and 64 for a code would be 360 MB
+
+
 def test_decoding_is_nearest():
     x = np.random.default_rng(1).normal(size=(500, 8)) * 3
     p = decode_e8(x)
