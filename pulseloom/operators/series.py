@@ -1,10 +1,14 @@
 """Order-dependent operators over keyed time series: differences, gaps, sessions, rolling frames, masks.
 
-All work on a partition of keys in time order; none needs Python. `tie` orders rows of equal time.
+All work on a partition of keys in time order; only the recursive ones need Python, which carries their state
+from row to row. `tie` orders rows of equal time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -80,34 +84,95 @@ def interpolated(df: DataFrame, keys: list[str], time: str, tie: str, value: Col
     return d.withColumn(name, F.when(F.col("__t0") == F.col("__t1"), F.col("__v0")).when(F.col("__t1") > F.col("__t0"), line)).drop("__v0", "__v1", "__t0", "__t1")
 
 
+def scanned(df: DataFrame, keys: list[str], time: str, tie: str, value: str, made: str, start: Callable[[], Callable]) -> DataFrame:
+    """keys, time, tie and the column made ("name type"): for each key, in order, what start()(time, value) returns.
+
+    Rows stream through in sorted order and only one key's state is held, whatever a key's length; a null value
+    is passed on as None.
+    """
+    rows = df.select(*keys, time, tie, F.col(value).cast("double").alias("__value"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), made])
+    k, names = len(keys), [*keys, time, tie, made.split()[0]]
+    kind = pa.float64() if made.endswith(" double") else pa.int32()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            cols = [c.to_pylist() for c in (*batch.columns[:k], batch.column("__value"), batch.column(k).cast(pa.int64()))]
+            out = []
+            for *key, x, at in zip(*cols, strict=True):
+                if step is None or key != now:
+                    now, step = key, start()
+                out.append(step(at, x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 2], pa.array(out, kind)], names=names)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, time, tie).mapInArrow(run, schema)
+
+
 def exponential(df: DataFrame, keys: list[str], time: str, tie: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
     """Each key's values in order with the recursive mean g += alpha * (x - g), begun at the first value.
 
-    A key's series is folded as one array: meant for sessions of bounded length, which keys should name.
+    A row without a value shows the mean so far.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(time, tie, value))).alias("__rows"))
-    zero = F.array().cast("array<double>")
-    fold = F.aggregate(
-        "__rows",
-        zero,
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value].cast("double")).otherwise(F.element_at(acc, -1) + F.lit(alpha) * (x[value] - F.element_at(acc, -1))))),
-    )
-    return rows.withColumn("__ema", fold).select(*keys, F.posexplode(F.arrays_zip("__rows", "__ema")).alias("__i", "__x")).select(*keys, F.col(f"__x.__rows.{time}").alias(time), F.col(f"__x.__rows.{tie}").alias(tie), F.col("__x.__ema").alias(name))
+
+    def start() -> Callable:
+        g = None
+
+        def step(at: int, x: float | None) -> float | None:
+            nonlocal g
+            if x is not None:
+                g = x if g is None else g + alpha * (x - g)
+            return g
+
+        return step
+
+    return scanned(df, keys, time, tie, value, f"{name} double", start)
 
 
 def hysteresis(df: DataFrame, keys: list[str], time: str, tie: str, value: str, enter: float, leave: float, enter_rows: int, leave_rows: int) -> DataFrame:
     """Each row's state: 1 once value has been over enter for enter_rows rows in a row, 0 once under leave for leave_rows."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(time, tie, value))).alias("__rows"))
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("up"), F.lit(0).alias("down"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        up = F.when(x[value] > enter, acc["up"] + 1).otherwise(0)
-        down = F.when(x[value] < leave, acc["down"] + 1).otherwise(0)
-        state = F.when((acc["state"] == 0) & (up >= enter_rows), 1).when((acc["state"] == 1) & (down >= leave_rows), 0).otherwise(acc["state"])
-        return F.struct(state.alias("state"), up.alias("up"), down.alias("down"), F.concat(acc["out"], F.array(state)).alias("out"))
-
-    return (
-        rows.withColumn("__s", F.aggregate("__rows", start, step)["out"])
-        .select(*keys, F.explode(F.arrays_zip("__rows", "__s")).alias("__x"))
-        .select(*keys, F.col(f"__x.__rows.{time}").alias(time), F.col(f"__x.__rows.{tie}").alias(tie), F.col("__x.__s").alias("state"))
-    )
+
+    def start() -> Callable:
+        state = up = down = 0
+
+        def step(at: int, x: float | None) -> int:
+            nonlocal state, up, down
+            up = up + 1 if x is not None and x > enter else 0
+            down = down + 1 if x is not None and x < leave else 0
+            if state == 0 and up >= enter_rows:
+                state = 1
+            elif state == 1 and down >= leave_rows:
+                state = 0
+            return state
+
+        return step
+
+    return scanned(df, keys, time, tie, value, "state int", start)
+
+
+def dwelling(df: DataFrame, keys: list[str], time: str, tie: str, value: str, enter: float, leave: float, enter_for: int, leave_for: int, warm_up: int) -> DataFrame:
+    """Each row's state: 1 once value has been over enter for the time enter_for, 0 once under leave for leave_for.
+
+    It is null (calibrating) until the first of these; rows within warm_up of the key's first one are not looked at.
+    """
+
+    def start() -> Callable:
+        first = state = above = below = None
+
+        def step(at: int, x: float | None) -> int | None:
+            nonlocal first, state, above, below
+            first = at if first is None else first
+            if at - first < warm_up:
+                return state
+            above = (at if above is None else above) if x is not None and x > enter else None
+            below = (at if below is None else below) if x is not None and x < leave and above is None else None
+            if above is not None and at - above >= enter_for:
+                state = 1
+            elif below is not None and at - below >= leave_for:
+                state = 0
+            return state
+
+        return step
+
+    return scanned(df, keys, time, tie, value, "state int", start)

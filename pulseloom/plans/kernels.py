@@ -16,7 +16,7 @@ from ..sources import telemetry
 from .catalogue import GAP, KEY, predictions, read, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SESSION = [*KEY, "month"]
+SESSION = [*KEY, "session"]
 
 
 def query(f):
@@ -24,19 +24,20 @@ def query(f):
     return f
 
 
-def months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the bounded stretch of time that recursive operators restart in."""
-    return stream(spark, sf_dir).withColumn("month", F.expr(f"us div {720 * 3600 * 1_000_000}"))
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the session that recursive operators restart in: it ends at a long gap alone."""
+    return se.with_sessions(stream(spark, sf_dir), KEY, "us", "event_id", GAP)
 
 
 @query
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.exponential(months(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", "ema")
+    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", "ema")
 
 
 @query
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.hysteresis(months(spark, sf_dir), SESSION, "us", "event_id", "value", 50.0, 35.0, 2, 3).select("event_id", "state")
+    """1 moving, 0 still, null calibrating; dwell times and warm-up in microseconds."""
+    return se.dwelling(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 50.0, 35.0, 200_000, 1_000_000, 2_000_000).select("event_id", "state")
 
 
 @query
@@ -58,14 +59,14 @@ def bandpass_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def beat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A device's month of values as one evenly sampled window."""
+    """A device's session of values as one evenly sampled window."""
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         x = d.sort_values(["us", "event_id"]).value.to_numpy(float)
         f = dsp.beat_features(dsp.bandpass(x, 16.0, 0.7, 3.0), 16.0) if len(x) > 8 else dsp.beat_features(np.zeros(4), 16.0)
-        return pd.DataFrame([{"user_id": key[0], "month": key[1], **f}])
+        return pd.DataFrame([{"user_id": key[0], "session": key[1], **f}])
 
-    return months(spark, sf_dir).groupBy(*SESSION).applyInPandas(run, "user_id long, month long, n_beats double, crest_phase double, width_50 double, width_25 double, area double, template_correlation double")
+    return sessions(spark, sf_dir).groupBy(*SESSION).applyInPandas(run, "user_id long, session long, n_beats double, crest_phase double, width_50 double, width_25 double, area double, template_correlation double")
 
 
 @query
