@@ -1,7 +1,7 @@
 """Operator 8: byte-pair encoding and decoding through a pair occurrence index.
 
-The words of a batch that were not met before are laid out in one symbol array. An index maps every
-adjacent pair that has a merge rank to all its positions. Ranks are taken in ascending order; each is
+The words of an Arrow batch (a part of its partition) that were not met before are laid out in one symbol
+array. An index over that array maps every adjacent pair that has a merge rank to all its positions. Ranks are taken in ascending order; each is
 applied to all its positions at once, and the pairs that come to stand beside a merged symbol are added
 to the lists of their own ranks. Words repeat, so each worker keeps what it has encoded, up to a bound.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_only, list_of, unused
+from .common import keep_only, list_of, pieces, unused
 
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -77,7 +77,12 @@ class PairIndexBpe:
 
     def normal_pieces(self, word: str) -> list[bytes]:
         """A word's pre-tokens as UTF-8: composed, lower-cased letter by letter, split by the pattern."""
-        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        if word.isascii():
+            word = word.lower()
+            if word.isalpha() or not word:
+                return [word.encode()]
+        else:
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         return [p.encode() for p in self.pieces.findall(word)]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +189,7 @@ class PairIndexBpe:
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes without a decoder: the tokens' own strings, joined by spaces."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids.tolist()])
+        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _loaded: dict[str, PairIndexBpe] = {}
@@ -211,7 +215,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        keep_only("bpe", lambda: bpe.known.clear())
+        keep_only("bpe", _loaded.clear)
         for whole in batches:
             for batch in pieces(whole):
                 *rest, texts = batch.columns
@@ -224,16 +228,6 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     return given.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """batch, in halves where it holds more than so many bytes."""
-    if batch.nbytes <= most or batch.num_rows <= 1:
-        yield batch
-        return
-    half = batch.num_rows // 2
-    yield from pieces(batch.slice(0, half), most)
-    yield from pieces(batch.slice(half), most)
-
-
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """One row a document: the digests of its ids and of the text decoded from them."""
     return bpe_encode(docs.select("doc_id", "text"), path, decoded="decoded", drop_text=True).select(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset on one machine (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pulseloom-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="pulseloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -52,7 +57,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
-    """Rows are texts here: fewer of them in an Arrow batch keep both sides of a Python worker's pipe small."""
+    """Rows are texts here: fewer of them in an Arrow batch keep both sides of a Python worker's pipe small.
+
+    The setting holds for the whole session, as Spark reads it when a plan runs; results do not depend on it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
@@ -64,15 +72,35 @@ _kept: list = [None, None]
 
 def keep_only(owner: str, forget: Callable[[], object] | None = None) -> None:
     """A Python worker serves one operator after another; only the one at work keeps what it has cached."""
-    if _kept[0] not in (None, owner) and _kept[1]:
-        _kept[1]()
+    if _kept[0] not in (None, owner):
+        if _kept[1]:
+            _kept[1]()
+        give_back()
     _kept[:] = owner, forget
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: workers live on and would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def pieces(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """batch, in halves where it holds more than so many bytes: Python's own objects take ten times that."""
+    if batch.nbytes <= most or batch.num_rows <= 1:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), most)
+    yield from pieces(batch.slice(half), most)
+
+
 def list_of(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column with one entry for each array of parts."""
     offsets = np.zeros(len(parts) + 1, np.int32)

@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import pieces
-from .common import cut, keep_only, parallelism, scratch
+from .common import cut, keep_only, parallelism, pieces, scratch
 
 MIN_WORDS = 8
 #: Tables joined to texts are broadcast up to so many rows (some 50 bytes each), beyond that by a shuffle.

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import pieces
-from .common import cut, keep_only, parallelism, unused
+from .common import cut, keep_only, parallelism, pieces, unused
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4

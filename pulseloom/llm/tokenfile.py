@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols, pieces
-from .common import keep_only, parallelism, scratch
+from .bpe import byte_symbols
+from .common import keep_only, parallelism, pieces, scratch
 
 MAGIC = b"PFR1"
 BLOCK, LANES = 256, 64
@@ -141,9 +141,15 @@ class Segment:
 class PieceEncoder:
     """The tokenizers library over the distinct pieces of texts, cut where a space follows anything but white space.
 
-    The vocabulary's pattern never lets a token cross such a place, so the pieces' ids are the text's own.
+    The vocabulary's pattern never lets a token cross such a place, so the pieces' ids are the text's own. New
+    pieces are encoded together: pre-tokens of plain letters, digits and signs by the library's model, pieces
+    with signs beyond LATEST, or odd white space, by its whole pipeline.
     """
 
+    LATEST = "\u052f"
+    #: Pre-tokens that the model takes at once, parted by a byte that no merge has.
+    AT_ONCE = 64
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -151,49 +157,74 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.spelling = dict(enumerate(byte_symbols()))
-        self.tails = {c: self.library([c])[0] for c in ",."}
-        self.runs = regex.compile(r"[\s\x1c-\x1f] ")
+        spelling, long = byte_symbols(), "".join(t for t in self.tokenizer.get_vocab() if len(t) > 1)
+        # bytes that UTF-8 never has
+        self.stop = next((b for b in (0xC0, 0xC1, *range(0xF5, 0x100)) if spelling[b] not in long), None)
+        self.stop_id = None if self.stop is None else self.tokenizer.token_to_id(spelling[self.stop])
+        self.spelling = dict(enumerate(spelling))
+        self.blanks = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+        self.ascii_blanks = [b for b in self.blanks if b.isascii()]
         self.cuts = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
+        # the vocabulary's own pattern, and the pieces on which all engines read it alike
+        self.pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.plain = regex.compile(r"[^\x0b\x0c\x1c-\x1f\x85\xa0\0]+")
         self.known: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces: letters alone, with a comma or stop after them, by the library's model, the rest by its pipeline."""
-        known, model, rest = self.known, self.tokenizer.model, []
+    def learn_pre_tokens(self, new: list[str]) -> None:
+        """Encode pre-tokens by the library's model."""
+        known, many = self.known, 1 if self.stop_id is None else self.AT_ONCE
+        stop = b"" if self.stop is None else bytes([self.stop])
+        for i in range(0, len(new), many):
+            some = new[i : i + many]
+            text = stop.join([p.encode() for p in some]).decode("latin-1").translate(self.spelling)
+            ids = array("I", [t.id for t in self.model.tokenize(text)])
+            raw, ends = ids.tobytes(), [len(ids)]
+            if len(some) > 1:
+                ends = [*np.flatnonzero(np.frombuffer(raw, "<u4") == self.stop_id).tolist(), len(ids)]
+            at = 0
+            for p, z in zip(some, ends, strict=True):
+                known[p] = raw[4 * at : 4 * z]
+                at = z + 1
+
+    def learn(self, new: set[str]) -> None:
+        """Encode pieces that are not known yet."""
+        alone, made, rest = [], {}, []
         for p in new:
-            core, tail = (p[:-1], p[-1]) if p[-1:] in self.tails else (p, "")
-            letters = core[1:] if core[:1] == " " else core
-            if not letters.isalpha() or max(letters) > "\u052f":
+            core = p[1:] if p[:1] == " " else p
+            if not (core.isascii() or max(core) <= self.LATEST):
+                rest.append(p)
+            elif core.isalpha():
+                alone.append(p)
+            elif core[-1:] in (",", ".") and core[:-1].isalpha():
+                made[p] = (p[:-1], p[-1])
+            elif self.plain.fullmatch(p) and not self.special.search(p):
+                made[p] = self.pre_tokens.findall(p)
+            else:
                 rest.append(p)
-                continue
-            if core not in known:
-                known[core] = array("I", [t.id for t in model.tokenize(core.encode().decode("latin-1").translate(self.spelling))]).tobytes()
-            if tail:
-                known[p] = known[core] + self.tails[tail]
+        known = self.known
+        self.learn_pre_tokens(list({x for parts in made.values() for x in parts if x not in known}.union(alone)))
+        for p, parts in made.items():
+            known[p] = b"".join([known[x] for x in parts])
         known.update(zip(rest, self.library(rest), strict=True))
 
     def pieces_of(self, text: str) -> list[str]:
         if self.special.search(text):
             return [text]
-        if text.startswith(" ") or self.runs.search(text):
+        if text.startswith(" ") or "\0" in text or any(b in text for b in (self.ascii_blanks if text.isascii() else self.blanks)):
             return self.cuts.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cuts.split(text)
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        get = self.known.get
         split = [self.pieces_of(t) for t in texts]
-        found = [list(map(get, row)) for row in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        self.learn(list({p: None for i in lacking for p, ids in zip(split[i], found[i], strict=True) if ids is None}))
-        for i in lacking:
-            found[i] = list(map(get, split[i]))
-        return [b"".join(ids) for ids in found]
+        self.learn(set().union(*split).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, row)) for row in split]
 
 
 _loaded: dict[str, PieceEncoder] = {}
@@ -211,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int, segment_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(path), TaskContext.get().partitionId()
-        keep_only("tokenfile", lambda: encoder.known.clear())
+        keep_only("tokenfile", _loaded.clear)
         doc_ids: list[int | None] = []
         rows: list[bytes] = []
         number = held = before = 0
@@ -222,7 +253,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int, segment_ids:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([before], pa.int64()), pa.array([image], pa.binary())], names=["part", "segment", "n_ids", "before", "image"])
 
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole):
                 for d, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     doc_ids.append(d)
                     rows.append(ids + end)
@@ -235,7 +266,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int, segment_ids:
         if rows:
             yield segment()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # by the texts' first letters as well, so that rows without an id, or of one id, are not one task
+    ordered = docs.select("doc_id", "text").repartitionByRange(parallelism(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SEGMENTS).write.parquet(out)
 
 

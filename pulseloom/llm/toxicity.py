@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import pieces
-from .common import keep_only, unused
+from .common import keep_only, pieces, unused
 
 FEATURES = 1 << 18
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
