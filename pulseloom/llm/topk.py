@@ -2,21 +2,24 @@
 
 Queries and data are indexed together: pivots, a net over a bounded sample, split both into cells, and
 each cell's rows into blocks with a cover tree of their own (nested nets whose covering radius halves
-from level to level). The search first takes each group of queries to the blocks of its own cell. That
-gives every query a k-th score; the worst of a group, with the covering radii of group and block, prunes
-pairs of root nodes before any vector is sent, and pairs of inner nodes within a task:
-<q, r> <= <q0, r0> + |q0| R + |r0| Q + Q R for any q within Q of q0 and r within R of r0.
+from level to level). The search first takes each group of queries to the likeliest blocks of its own
+cell. That gives every query a k-th score; the worst of a group, with the covering radii, prunes pairs of
+cells, then pairs of group and block in the cells that are left, before any vector is sent, and pairs of
+inner nodes within a task: <q, r> <= <q0, r0> + |q0| R + |r0| Q + Q R for any q within Q of q0 and r within
+R of r0. A block is sent once to each of its tasks, and the groups to be held against it come to it.
 
 Scores are exact integers. The pivots' sample only shapes the cells: every row is indexed and any pivots
 give the same result. Defined results: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows with a null vec_id; vectors of another length than the query's are no
-candidates; a query is never its own candidate, whichever rows repeat its vec_id; an empty table gives no
-rows; other columns are left out. A vec_id that stands in several rows is one query and one candidate: equal
-rows count once, and the score of two ids is the best of any of their vectors of equal length.
+candidates; an empty table gives no rows; other columns are left out. Rows are told apart even where they
+are equal: each row with a query's vec_id is a query of its own, and every row but that very one is a
+candidate, so that repeated rows are returned as often as they stand in the table. No value is clipped: a
+score beyond 2^63 - 2 either way has its exact rank, and is returned as null, as no long holds it.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -36,13 +39,15 @@ LEAF = 256
 FANOUT = 16
 #: Rows of a block's leaves that are multiplied at once.
 TOGETHER = 1024
-#: Tasks that one group's blocks are dealt to.
+#: Tasks that the groups which meet one block are dealt to.
 SHARES = 8
+#: Blocks of its own cell that a group is taken to first.
+FIRST = 2
 NO_SCORE = -np.iinfo(np.int64).max
 
 
 def quantized(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding", factor: int = FACTOR) -> DataFrame:
-    """vec_id, dim and v: floor(factor * x) of each component, as little-endian 64-bit integers."""
+    """vec_id, dim and v: floor(factor * x) of each component, as little-endian doubles, which hold it exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,23 +56,31 @@ def quantized(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding"
                 if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
                     continue
                 x = v.values.to_numpy().astype(np.float64)
+                with np.errstate(over="ignore"):
+                    x = np.floor(factor * x)
                 if not np.isfinite(x).all():
                     continue
                 ids.append(i)
                 dims.append(len(x))
-                out.append(np.clip(np.floor(factor * x), -(2.0**62), 2.0**62).astype("<i8").tobytes())
+                out.append(x.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
 
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), column).mapInArrow(run, "vec_id long, dim int, v binary")
 
 
+def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distances of rows; beyond what a double holds infinite or NaN, which prune nothing."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(((x - to) ** 2).sum(axis=1))
+
+
 def farthest_first(x: np.ndarray, most: int, within: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(net, nearest net point of each row, distance to it): rows are taken far from all others, until all are covered."""
     net, near = [0], np.zeros(len(x), np.int64)
-    dist = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    dist = distances(x, x[0])
     while len(net) < most and dist.max() > within:
         at = int(dist.argmax())
-        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        d = distances(x, x[at])
         near[d < dist] = len(net)
         dist = np.minimum(dist, d)
         net.append(at)
@@ -89,19 +102,18 @@ class CoverTree:
         self.children: list[list[int]] = []
         self._grow(x, np.arange(len(x)), 0, leaf)
         self.centers, self.radii = np.array(self.center), np.array(self.radius)
-        self.norms = np.sqrt((self.centers**2).sum(axis=1))
 
     def _grow(self, x: np.ndarray, rows: np.ndarray, first: int, leaf: int) -> int:
         me = len(self.center)
         own = x[rows]
-        dist = np.sqrt(((own - own[0]) ** 2).sum(axis=1))
+        dist = distances(own, own[0])
         self.center.append(own[0])
         self.radius.append(float(dist.max()))
         self.start.append(first)
         self.end.append(first + len(rows))
         self.children.append([])
         self.order[first : first + len(rows)] = rows
-        if len(rows) <= leaf or dist.max() == 0:
+        if len(rows) <= leaf or dist.max() == 0 or not math.isfinite(dist.max()):
             return me
         net, near, _ = farthest_first(own, min(FANOUT, len(rows) // 4), dist.max() / 2)
         for c in range(len(net)):
@@ -113,16 +125,26 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, vec_id) of each of some queries, an id once; scores below floor cannot count."""
+    """The k best (score, vec_id) of each of some queries; scores below a query's floor cannot count."""
 
-    def __init__(self, n: int, k: int = K, floor: int | None = None):
-        self.k, self.floor = k, NO_SCORE if floor is None else floor
+    def __init__(self, n: int, k: int = K, floor: np.ndarray | None = None):
+        self.k, self.floor = k, np.full(n, NO_SCORE) if floor is None else floor
         self.score = np.full((n, k), NO_SCORE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.over: dict[int, list[tuple[int, int]]] = {}  # scores that no long holds, and their ids
+
+    def least(self, rows: slice) -> np.ndarray:
+        """What a score must reach to count, row by row; NO_SCORE where anything counts."""
+        return np.maximum(self.score[rows, -1], self.floor[rows])
 
-    def least(self, rows: np.ndarray | slice) -> np.ndarray:
-        """What a score must reach to count, row by row."""
-        return np.maximum(self.score[rows, -1], self.floor)
+    def exceed(self, row: int, score: int, vec_id: int) -> None:
+        """A candidate whose score no long holds; the k best of either sign stay."""
+        held = self.over.setdefault(row, [])
+        held.append((score, vec_id))
+        if len(held) > 8 * self.k:
+            held.sort(key=lambda x: (-x[0], x[1]))
+            high = sum(x[0] > 0 for x in held)
+            held[:] = held[: min(high, self.k)] + held[high : high + self.k]
 
     def add(self, first: int, row: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Candidates (rows ascending, counted from first on); ties go to the smaller id."""
@@ -135,41 +157,49 @@ class Best:
         s[r, c], i[r, c] = scores, ids
         at = first + own
         s, i = np.concatenate([self.score[at], s], axis=1), np.concatenate([self.id[at], i], axis=1)
-        order = np.lexsort((-s, i), axis=1)  # an id's best score first, the others are no candidates
-        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        again = np.zeros(s.shape, bool)
-        again[:, 1:] = i[:, 1:] == i[:, :-1]
-        s[again], i[again] = NO_SCORE, np.iinfo(np.int64).max
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[at], self.id[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def products(q: np.ndarray, r: np.ndarray, most: int) -> np.ndarray:
-    """Integer inner products, most at most in size: by floating-point multiplication where that is exact."""
+def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Integer inner products: by floating-point multiplication where that is exact, Python's integers where no long holds them."""
+    most = int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
     if most < 2**52:
-        return q @ r.T  # doubles
-    if most < 2**63:
+        return q.astype(np.float64) @ r.astype(np.float64).T
+    if most < 2**63 - 1:
         return q.astype(np.int64) @ r.astype(np.int64).T
-    exact = q.astype(np.int64).astype(object) @ r.astype(np.int64).astype(object).T
-    return np.clip(exact, NO_SCORE + 1, 2**63 - 1).astype(np.int64)
+    whole = lambda x: np.array([[int(c) for c in row] for row in x.tolist()], object)
+    return whole(q) @ whole(r).T
+
+
+def reach_of(floor: np.ndarray | int) -> np.ndarray:
+    """What a bound must reach, as doubles."""
+    return np.where(np.asarray(floor) == NO_SCORE, -np.inf, floor)
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that rise with scores of one sign."""
+    n = (abs(score).bit_length() + 7) // 8
+    raw = n.to_bytes(4, "big") + abs(score).to_bytes(n, "big")
+    return raw if score > 0 else bytes(255 - b for b in raw)
 
 
 def bound(qc: np.ndarray, qr: np.ndarray, rc: np.ndarray, rr: np.ndarray) -> np.ndarray:
     """What no inner product exceeds, of pairs of balls (row by row), with room for rounding."""
-    qn, rn = np.sqrt((qc**2).sum(axis=1)), np.sqrt((rc**2).sum(axis=1))
-    b = (qc * rc).sum(axis=1) + qn * rr + rn * qr + qr * rr
-    return b + 1e-9 * (qn + qr) * (rn + rr) + 1e-6
+    with np.errstate(over="ignore", invalid="ignore"):
+        qn, rn = np.sqrt((qc**2).sum(axis=1)), np.sqrt((rc**2).sum(axis=1))
+        b = (qc * rc).sum(axis=1) + qn * rr + rn * qr + qr * rr
+        b = b + 1e-9 * (qn + qr) * (rn + rr) + 1e-6
+    return np.where(np.isnan(b), np.inf, b)
 
 
-def search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, rt: CoverTree, r: np.ndarray, r_ids: np.ndarray, best: Best) -> None:
-    """Dual-tree traversal; q and r are in their trees' orders, best is by the rows of q."""
-    most = int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
-    q, r = (x.astype(np.float64 if most < 2**52 else np.int64) for x in (q, r))
+def search(qt: CoverTree, q: np.ndarray, q_rows: np.ndarray, rt: CoverTree, r: np.ndarray, r_rows: np.ndarray, r_ids: np.ndarray, best: Best) -> None:
+    """Dual-tree traversal; q and r are in their trees' orders, best is by the rows of q. Equal numbers of rows mean the same row."""
     stack = [(0, 0)]
     jobs: dict[int, list[int]] = {}
     while stack:  # pairs of nodes down to leaves, without scores: jobs gathers what is left
         a, b = stack.pop()
-        worst = best.least(slice(qt.start[a], qt.end[a])).min()
+        worst = reach_of(best.least(slice(qt.start[a], qt.end[a])).min())
         qa, rb = qt.children[a], rt.children[b]
         if not qa and not rb:
             jobs.setdefault(a, []).append(b)
@@ -190,56 +220,45 @@ def search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, rt: CoverTree, r: np
         while done < len(turn):  # the most promising leaves first, so that the rest are pruned
             least = best.least(slice(first, last))
             z = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + TOGETHER)) + 1
-            some = [leaves[x] for x in turn[done:z][near[turn[done:z]] >= least.min()]]
+            some = [leaves[x] for x in turn[done:z][near[turn[done:z]] >= reach_of(least.min())]]
             done = z
             if not some:
                 break
             at = np.concatenate([np.arange(rt.start[b], rt.end[b]) for b in some])
-            s, ids = products(q[first:last], r[at], most), r_ids[at]
-            if len(np.unique(ids)) < len(ids):  # one column an id, so that k of them are k candidates
-                turned = np.argsort(ids, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(ids[turned]) != 0])
-                s, ids = np.maximum.reduceat(s[:, turned], starts, axis=1), ids[turned][starts]
+            own = q_rows[first:last, None] == r_rows[at]
+            s = products(q[first:last], r[at])
+            if s.dtype == object:
+                far = (np.abs(s) > -NO_SCORE - 1).astype(bool)
+                for i, j in zip(*np.nonzero(far & ~own), strict=True):
+                    best.exceed(first + int(i), s[i, j], int(r_ids[at[j]]))
+                own = own | far
+                s = np.where(own, NO_SCORE, s).astype(np.int64)
             k = best.k + 1  # one may be the query itself
             if s.shape[1] > k and least.min() == NO_SCORE:
                 least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-            row, col = np.nonzero(s >= least[:, None])
-            ids = ids[col]
-            other = ids != q_ids[first + row]
-            row, col, ids = row[other], col[other], ids[other]
-            best.add(first, row, s[row, col].astype(np.int64), ids)
+            row, col = np.nonzero((s >= least[:, None]) & ~own)
+            best.add(first, row, s[row, col].astype(np.int64), r_ids[at][col])
 
 
-def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray]:
-    """The tree over some rows, and their vectors and ids in the tree's order."""
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    v = np.stack([np.frombuffer(b, "<i8") for b in pdf.v])
-    tree = CoverTree(v.astype(np.float64))
-    return tree, v[tree.order], pdf.vec_id.to_numpy()[tree.order]
-
-
-def folded(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k best of each query, an id once at its best score: queries may stand in several rows."""
-    order = np.lexsort((-scores, ids, query))
-    q, i = query[order], ids[order]
-    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])][: len(q)]]
-    order = order[np.lexsort((ids[order], -scores[order], query[order]))]
-    q = query[order]
-    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    return order[rank < k]
+def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree over some rows, and their vectors, numbers and ids in the tree's order."""
+    pdf = pdf.sort_values("row", kind="stable")
+    v = np.stack([np.frombuffer(b, "<f8") for b in pdf.v])
+    tree = CoverTree(v)
+    return tree, v[tree.order], pdf.row.to_numpy()[tree.order], pdf.vec_id.to_numpy()[tree.order]
 
 
 def smallest(v: np.ndarray) -> np.ndarray:
-    """v in the smallest integers that hold it."""
-    return v.astype(np.min_scalar_type(-1 - int(np.abs(v).max())))
+    """v in the smallest integers that hold it, or as it is where none do."""
+    most = np.abs(v).max()
+    return v.astype(np.min_scalar_type(-1 - int(most))) if most < 2**53 else v
 
 
 def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FACTOR) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row whose vec_id is divisible by every."""
     spark = rows.sparkSession
     n_parts = parallelism(spark)
-    vecs = cut(quantized(rows, factor=factor).distinct())
+    vecs = cut(quantized(rows, factor=factor).withColumn("row", F.monotonically_increasing_id()))
     total = vecs.count()
     schema = "query_id long, rank int, vec_id long, score long"
     if not total:
@@ -248,7 +267,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     sample = vecs.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).collect()
     pivots: dict[int, np.ndarray] = {}
     for dim in {r.dim for r in sample}:
-        x = np.stack([np.frombuffer(r.v, "<i8") for r in sample if r.dim == dim]).astype(np.float64)
+        x = np.stack([np.frombuffer(r.v, "<f8") for r in sample if r.dim == dim])
         pivots[dim] = x[farthest_first(x, min(PIVOTS, max(1, total // BLOCK)))[0]]
     sent = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
 
@@ -259,76 +278,96 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
             for dim, p in sent.value.items():
                 at = np.flatnonzero(dims == dim)
                 for i in range(0, len(at), 1000):
-                    x = np.stack([np.frombuffer(raw[j], "<i8") for j in at[i : i + 1000]]).astype(np.float64) if len(at[i : i + 1000]) else np.zeros((0, dim))
-                    cell[at[i : i + 1000]] = ((p**2).sum(axis=1) - 2 * x @ p.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "dim", "v", "cell"])
+                    x = np.stack([np.frombuffer(raw[j], "<f8") for j in at[i : i + 1000]])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        cell[at[i : i + 1000]] = ((p**2).sum(axis=1) - 2 * x @ p.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "dim", "v", "row", "cell"])
 
-    placed = vecs.mapInArrow(assign, "vec_id long, dim int, v binary, cell int").withColumn("query", F.col("vec_id") % every == 0)
+    placed = vecs.mapInArrow(assign, "vec_id long, dim int, v binary, row long, cell int").withColumn("query", F.col("vec_id") % every == 0)
     # a cell's rows in blocks of bounded size, dealt by a hash, so that no cell is one task
     counts = placed.groupBy("dim", "cell").agg(F.count("*").alias("rows"), F.count_if("query").alias("queries"))
-    sized = placed.join(F.broadcast(counts), ["dim", "cell"])  # a row a cell, PIVOTS for each length at most
-    h = F.xxhash64("vec_id", "v")
+    sized = placed.join(counts, ["dim", "cell"])
+    h = F.xxhash64("row")
     data = sized.withColumn("part", F.pmod(h, F.ceil(F.col("rows") / BLOCK)).cast("int"))
     asked = sized.where("query").withColumn("part", F.pmod(h, F.ceil(F.col("queries") / GROUP)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, v, ids = packed(pdf)
-        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "cell": [int(pdf.cell.iloc[0])], "part": [int(pdf.part.iloc[0])], "center": [tree.centers[0].tolist()], "radius": [tree.radii[0]], "ids": [np.unique(ids).tolist()], "image": [pickle.dumps((tree, smallest(v), ids))]})
+        dim, cell, part = (int(pdf[c].iloc[0]) for c in ("dim", "cell", "part"))
+        tree, v, row, ids = packed(pdf)
+        reach = distances(v, sent.value[dim][cell]).max() if dim in sent.value else math.inf
+        return pd.DataFrame({"dim": [dim], "cell": [cell], "part": [part], "center": [tree.centers[0].tolist()], "radius": [tree.radii[0]], "reach": [float(reach)], "rows": [row.tolist()], "image": [pickle.dumps((tree, smallest(v), row, ids))]})
+
+    kind = "dim int, cell int, part int, center array<double>, radius double, reach double, rows array<long>, image binary"
+    key, gkey = ["dim", "cell", "part"], ["dim", "gcell", "gpart"]
+    blocks = cut(data.groupBy(*key).applyInPandas(build, kind).drop("rows"))
+    groups = cut(asked.groupBy(*key).applyInPandas(build, kind).withColumnsRenamed({c: f"g{c}" for c in ("cell", "part", "center", "radius", "reach", "image")}))
+    heads, gheads = blocks.drop("image"), groups.drop("gimage", "rows")
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    dot = F.aggregate(F.zip_with("center", "gcenter", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    most = dot + norm("center") * F.col("gradius") + norm("gcenter") * F.col("radius") + F.col("radius") * F.col("gradius")
+    most = most + F.lit(1e-9) * (norm("center") + F.col("radius")) * (norm("gcenter") + F.col("gradius")) + F.lit(1e-6)  # NaN is above all
 
-    kind = "dim int, cell int, part int, center array<double>, radius double, ids array<long>, image binary"
-    blocks = cut(data.groupBy("dim", "cell", "part").applyInPandas(build, kind))
-    groups = cut(asked.groupBy("dim", "cell", "part").applyInPandas(build, kind))
+    # beyond: 1 and -1 for scores above and below any long, whose order is that of key
+    found = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int32()), ("key", pa.binary())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (group image, block image, floor), those of a group one after another."""
-        now: tuple | None = None
-
-        def done() -> pa.RecordBatch:
-            (tree, _, ids), best = now[1], now[2]
-            row, rank = np.nonzero(best.score != NO_SCORE)
-            query, found, score = ids[row], best.id[row, rank], best.score[row, rank]
-            some = folded(query, found, score, k)
-            return pa.RecordBatch.from_arrays([pa.array(query[some]), pa.array(found[some]), pa.array(score[some])], names=["query_id", "vec_id", "score"])
-
+        """Rows (image, floors): a block, without floors, and the groups that meet it behind it."""
+        block = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                floor = batch.column(5)[i].as_py()
-                if now is None or now[0] != name:
-                    if now:
-                        yield done()
-                    group = pickle.loads(batch.column(3)[i].as_py())
-                    now = (name, group, Best(len(group[2]), k, floor))
-                tree, q, q_ids = now[1]
-                rt, r, r_ids = pickle.loads(batch.column(4)[i].as_py())
-                search(tree, q, q_ids, rt, r, r_ids, now[2])
-        if now:
-            yield done()
-
-    def searched(pairs: DataFrame, shares: int) -> DataFrame:
+            for image, floors in zip(batch.column(0), batch.column(1), strict=True):
+                if not floors.is_valid:
+                    block = pickle.loads(image.as_py())
+                    continue
+                tree, q, q_rows, q_ids = pickle.loads(image.as_py())
+                best = Best(len(q), k, np.fromiter(floors.as_py(), np.int64, len(q)))
+                search(tree, q, q_rows, *block, best)
+                at, nth = np.nonzero(best.score != NO_SCORE)
+                made = [q_rows[at], q_ids[at], best.id[at, nth], best.score[at, nth], np.zeros(len(at), np.int32), np.full(len(at), None)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, found.types, strict=True)], names=found.names)
+                if odd := [(q_rows[i], q_ids[i], j, None, 1 if s > 0 else -1, order_key(s)) for i, held in best.over.items() for s, j in held]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*odd, strict=True), found.types, strict=True)], names=found.names)
+
+    def searched(pairs: DataFrame, floors: DataFrame) -> DataFrame:
         """The best of each query over the pairs of group and block."""
-        met = pairs.repartition(n_parts, "dim", "gcell", "gpart", F.col("part") % shares).sortWithinPartitions("dim", "gcell", "gpart", F.desc("most"))
-        return met.select("dim", "gcell", "gpart", "gimage", "image", F.col("floor").cast("long").alias("floor")).mapInArrow(solve, "query_id long, vec_id long, score long")
-
-    g = groups.select("dim", F.col("cell").alias("gcell"), F.col("part").alias("gpart"), F.col("center").alias("gcenter"), F.col("radius").alias("gradius"), F.col("image").alias("gimage"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("center", "gcenter", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    most = dot + norm("center") * F.col("gradius") + norm("gcenter") * F.col("radius") + F.col("radius") * F.col("gradius")
-    own = g.join(blocks, (g.dim == blocks.dim) & (g.gcell == blocks.cell)).drop(blocks.dim).withColumns({"most": most, "floor": F.lit(None).cast("long")})
-    first = cut(searched(own, SHARES))
-    # each query's k-th score so far, whichever groups its rows are in, then the worst of a group: what a block must be able to reach
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = lambda d: d.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    so_far = cut(once(first).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).drop("r"))
-    kth = so_far.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    members = groups.select("dim", F.col("cell").alias("gcell"), F.col("part").alias("gpart"), F.explode("ids").alias("query_id")).join(kth, "query_id", "left")
-    floor = members.groupBy("dim", "gcell", "gpart").agg(F.when(F.count("kth") == F.count("*"), F.min("kth")).alias("floor"))
-    other = g.join(floor, ["dim", "gcell", "gpart"], "left")
-    heads = blocks.select("dim", "cell", "part", "center", "radius")
-    ghead = other.select("dim", "gcell", "gpart", "gcenter", "gradius", "floor")
-    left = ghead.join(heads, (ghead.dim == heads.dim) & (ghead.gcell != heads.cell)).drop(heads.dim).withColumn("most", most)
-    left = left.where(F.col("floor").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))).select("dim", "gcell", "gpart", "cell", "part", "most", "floor")
-    pairs = left.join(g.select("dim", "gcell", "gpart", "gimage"), ["dim", "gcell", "gpart"]).join(blocks.select("dim", "cell", "part", "image"), ["dim", "cell", "part"])
-    pairs = pairs.withColumn("part", F.col("cell") + F.col("part"))
-    every_one = once(so_far.unionByName(searched(pairs, SHARES)))
+        pairs = pairs.select(*gkey, "cell", "part").withColumn("share", F.pmod(F.xxhash64("gcell", "gpart"), F.lit(SHARES)).cast("int"))
+        at = [*key, "share"]
+        held = blocks.join(pairs.select(*at).distinct(), key).select(*at, F.lit(0).alias("turn"), "image", F.lit(None).cast("array<long>").alias("floors"))
+        asks = pairs.join(floors, gkey).join(groups.select(*gkey, "gimage"), gkey).select(*at, F.lit(1).alias("turn"), F.col("gimage").alias("image"), "floors")
+        met = held.unionByName(asks).repartition(n_parts, *at).sortWithinPartitions(*at, "turn")
+        return met.select("image", "floors").mapInArrow(solve, "query long, query_id long, vec_id long, score long, beyond int, key binary")
+
+    nearest = Window.partitionBy(*gkey).orderBy(F.desc("most"), "part")
+    own = gheads.join(heads, (gheads.dim == heads.dim) & (gheads.gcell == heads.cell)).drop(heads.dim).withColumn("most", most)
+    own = cut(own.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= FIRST).select(*gkey, "cell", "part"))
+    none = groups.select(*gkey, F.transform("rows", lambda _: F.lit(NO_SCORE)).alias("floors"))
+    first = cut(searched(own, none))
+    # each query's k-th score so far, and the worst of a group: what a block must be able to reach
+    ranked = Window.partitionBy("query").orderBy(F.desc("beyond"), F.desc("key"), F.desc("score"), "vec_id")
+    so_far = cut(first.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).drop("r"))
+    kth = so_far.groupBy("query").agg(F.coalesce(F.when((F.count("*") >= k) & (F.min("beyond") >= 0), F.min("score")), F.lit(NO_SCORE)).alias("kth"))
+    members = groups.select(*gkey, F.posexplode("rows").alias("pos", "query")).join(kth, "query", "left").withColumn("kth", F.coalesce("kth", F.lit(NO_SCORE)))
+    floors = members.groupBy(*gkey).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kth"))), lambda x: x["kth"]).alias("floors"), F.min("kth").alias("floor"))
+    floors = cut(floors)  # GROUP numbers a row
+    # pairs of cells first: PIVOTS a length, and lengths that the sample lacks have one cell each
+    reach = {(r.dim, r.cell): r.reach for r in heads.where(F.col("dim").isin(list(pivots))).groupBy("dim", "cell").agg(F.max("reach").alias("reach")).collect()}
+    held = spark.sparkContext.broadcast({dim: (cells := sorted(c for d, c in reach if d == dim), np.array([reach[dim, c] for c in cells])) for dim in pivots})
+
+    def near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for dim, g, r, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if dim not in held.value:
+                    out.append((dim, g, g))
+                    continue
+                cells, reaches = held.value[dim]
+                p = sent.value[dim]
+                ok = bound(p[g : g + 1], np.array([r]), p[cells], reaches) >= reach_of(floor)
+                out += [(dim, g, c) for c, near in zip(cells, ok.tolist(), strict=True) if near]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in range(3)], names=["dim", "gcell", "cell"])
+
+    cells = gheads.join(floors, gkey).groupBy("dim", "gcell").agg(F.max("greach").alias("reach"), F.min("floor").alias("floor"))
+    cells = cells.mapInArrow(near_cells, "dim int, gcell int, cell int")
+    left = gheads.join(floors.select(*gkey, "floor"), gkey).join(cells, ["dim", "gcell"]).join(heads, ["dim", "cell"]).where((F.col("floor") == NO_SCORE) | (most >= F.col("floor")))
+    left = cut(left.select(*gkey, "cell", "part").join(own, [*gkey, "cell", "part"], "left_anti"))
+    every_one = so_far.unionByName(searched(left, floors))
     return every_one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

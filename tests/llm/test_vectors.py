@@ -83,22 +83,44 @@ def test_decoding_is_nearest():
 
 
 def brute_top(rows, k=20, every=20):
-    good = [(i, np.floor(64 * np.array(v))) for i, v, _ in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v)]
-    good = [(i, [int(max(min(c, 2.0**62), -(2.0**62))) for c in v]) for i, v in good]
-    out = set()
-    for i, q in good:
+    """Every row for itself, in Python's integers; scores that no long holds are null."""
+    good = [(i, [int(np.floor(np.float64(64) * c)) for c in v]) for i, v, _ in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(64 * c) for c in v)]
+    out = []
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in good if j != i and len(v) == len(q))[:k]
-            out |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(s)}
-    return out
+            s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q))[:k]
+            out += [(i, n + 1, j, -x if abs(x) < 2**63 - 1 else None) for n, (x, j) in enumerate(s)]
+    return sorted(out, key=str)
+
+
+def found_top(df, **more):
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in search_top(df, **more).collect()), key=str)
+
+
+def small_blocks(monkeypatch):
+    from pulseloom.llm import topk
+
+    for name, v in (("BLOCK", 40), ("GROUP", 6), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, v)
 
 
 def test_top_against_brute_force(spark):
-    rows = [r for r in odd_vectors(2) if r[0] not in (7008,)]
-    rows += [(9000 + i, [0.25] * 24, 1) for i in range(30)]  # ties
-    got = search_top(spark.createDataFrame(rows, SCHEMA).withColumn("cell", F.lit(1)).repartition(3)).collect()
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top(rows)
-    assert len(got) == len(brute_top(rows))
+    rows = odd_vectors(2) + [(9000 + i, [0.25] * 24, 1) for i in range(30)]  # ties
+    assert found_top(spark.createDataFrame(rows, SCHEMA).withColumn("cell", F.lit(1)).repartition(3)) == brute_top(rows)
+
+
+def test_huge_components_keep_their_order(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, (r.normal(size=3) * 10.0 ** r.integers(0, 22)).tolist(), 0) for i in range(60)]
+    rows += [(100 + i, [c, 0.0, 0.0], 0) for i, c in enumerate((1e18, 5e17, 1e17, -1e18, -5e17, 1e300, -1e300))]
+    want = brute_top(rows)
+    assert sum(x[3] is None for x in want) > 20 and found_top(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
+
+
+def test_negative_ties_go_to_the_smaller_id(spark):
+    rows = [(20 * i + 1, [10.0, 500.0, 0.0], 0) for i in range(8300)] + [(10_000_001 + 20 * i, [10.0, 0.0, 0.0], 0) for i in range(25)] + [(10_000_000, [-40.0, 0.0, 0.0], 0)]
+    got = search_top(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()
+    assert [(g.vec_id, g.score) for g in got] == [(20 * i + 1, -1638400) for i in range(20)]
 
 
 def test_few_rows_and_none(spark):
@@ -108,50 +130,25 @@ def test_few_rows_and_none(spark):
 
 
 def test_many_blocks(spark, monkeypatch):
-    from pulseloom.llm import topk
-
-    for name, v in (("BLOCK", 40), ("GROUP", 6), ("LEAF", 8)):
-        monkeypatch.setattr(topk, name, v)
-    rows = [r for r in odd_vectors(5) if r[0] != 7008]
-    got = topk.search_top(spark.createDataFrame(rows, SCHEMA), every=5)
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == brute_top(rows, every=5)
-
-
-def folded_top(rows, k=20, every=20):
-    """Brute force where ids repeat: an id is one query and one candidate, with its best score."""
-    v = {}
-    for i, x, _ in rows:
-        v.setdefault(i, []).append(np.floor(64 * np.array(x)).astype(np.int64))
-    m = {i: np.array(x) for i, x in v.items()}
-    out = set()
-    for i in m:
-        if i % every == 0:
-            s = sorted((-int((m[i] @ m[j].T).max()), j) for j in m if j != i)[:k]
-            out |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(s)}
-    return out
-
+    small_blocks(monkeypatch)
+    rows = odd_vectors(5)
+    assert found_top(spark.createDataFrame(rows, SCHEMA), every=5) == brute_top(rows, every=5)
 
-def test_repeated_ids_against_brute_force(spark, monkeypatch):
-    from pulseloom.llm import topk
 
-    for name, v in (("BLOCK", 40), ("GROUP", 6), ("LEAF", 8)):
-        monkeypatch.setattr(topk, name, v)
+def test_repeated_rows_against_brute_force(spark, monkeypatch):
+    small_blocks(monkeypatch)
     r = np.random.default_rng(7)
     x = r.normal(size=(200, 12))
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     rows += 3 * [(i, x[i].tolist(), 0) for i in range(0, 200, 3)]  # equal rows, queries and candidates
     rows += [(i, (x[i] + 0.1 * r.normal(size=12)).tolist(), 0) for i in range(0, 200, 4) for _ in range(3)]  # other vectors of an id
     rows += [(n, v.tolist(), 0) for n in (40, 41) for v in 2 * r.normal(size=(150, 12))]  # a hot query and a hot candidate
-    got = topk.search_top(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    want = folded_top(rows)
-    assert len(got) == len(want) == 200 and {(q.query_id, q["rank"], q.vec_id, q.score) for q in got} == want
+    assert found_top(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute_top(rows)
 
 
-def test_best_holds_an_id_once():
-    best = Best(1, 3)
-    for ids in ([5, 6, 5], [5, 7, 8]):
-        best.add(0, np.zeros(3, int), np.array([9, 3, 8]), np.array(ids))
-    assert (best.id[0].tolist(), best.score[0].tolist()) == ([5, 8, 6], [9, 8, 3])
+def test_repeated_candidates_are_all_returned(spark):
+    df = spark.createDataFrame([(20, [1.0], 0), (1, [2.0], 0), (1, [2.0], 0), (2, [1.0], 0)], SCHEMA)
+    assert found_top(df) == [(20, 1, 1, 8192), (20, 2, 1, 8192), (20, 3, 2, 4096)]
 
 
 def test_tree_covers_and_prunes():
@@ -162,7 +159,7 @@ def test_tree_covers_and_prunes():
     for c, rad, a, z in zip(t.centers, t.radii, t.start, t.end, strict=True):
         assert np.linalg.norm(x[t.order[a:z]] - c, axis=1).max() <= rad + 1e-9
     q, best = CoverTree(x[:50]), Best(50)
-    search(q, x[:50][q.order], q.order, t, x[t.order], t.order, best)
+    search(q, x[:50][q.order], q.order, t, x[t.order], t.order, t.order, best)
     s = x[:50][q.order] @ x.T
     for i in range(50):
         want = sorted((-int(v), j) for j, v in enumerate(s[i]) if j != q.order[i])[:20]
