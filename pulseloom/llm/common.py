@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A side of a join with texts is broadcast up to so many bytes, as measured; beyond that the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Word separators of the corpus operators: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -1,18 +1,20 @@
 """Operator 5: line dedup by a deletion-neighbourhood join.
 
-Lines are compared as word sequences. A line repeats another if they are equal or, from MIN_WORDS words
-on, if one word inserted, deleted or replaced turns one into the other (edit bound 1, over words). Of
-lines that repeat one another the earliest stays: a line goes if an earlier one, by doc_id and place, is
-within the bound, whether or not that one stays itself.
-
-Equal lines meet by a hash of their words. For the rest each line emits all its one-word-deletion
-variants, and itself, as hashed keys; lines whose keys are equal are candidates, whose edit distance is
-verified on the words. Two lines within the bound share a half, at the same place from the left or the
-right, so lines that share no half with another line emit no variants; none is lost by that.
+Lines are compared as word sequences. A line repeats another if they are equal or if one word inserted,
+deleted or replaced turns one into the other, as long as that leaves SIMILARITY of the shorter one's words
+or more (0.8: lines of five words and up; in a shorter line one word is too much of it, and it must be
+equal). Edits are counted in words and not in letters, as lines are templates that differ in a name, a
+number or a date, of whatever length. Of lines that repeat one another the earliest stays: a line goes if
+an earlier one, by doc_id and place, is within the bound, whether or not that one stays itself.
+
+Equal lines meet by a hash of their words and are one class from there on. Each class emits all its
+one-word-deletion variants, and itself, as hashed keys; classes whose keys are equal are candidates, whose
+edit distance is verified on the words. Two lines within the bound share a half, at the same place from
+the left or the right, so classes that share no half with another emit no variants; none is lost by that.
 
 Defined results: blank lines are kept and match nothing; null texts stay null; a text whose lines all go
 becomes empty; null doc_ids come after all others; rows that repeat doc_id and text count as one document
-and fare alike; other columns pass through.
+and fare alike; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_only, parallelism, pieces, scratch
+from .common import BROADCAST_BYTES, cut, keep_only, parallelism, pieces, scratch, unused
 
-MIN_WORDS = 8
-#: Tables joined to texts are broadcast up to so many rows (some 50 bytes each), beyond that by a shuffle.
-BROADCAST_ROWS = 300_000
+#: What one edit must leave of a line, and the words that a line has at least where it does.
+SIMILARITY = 0.8
+MIN_WORDS = round(1 / (1 - SIMILARITY))
+#: Bytes of a broadcast row beside its list, and of a list's entry.
+ROW_BYTES, ENTRY_BYTES = 96, 40
 CACHED_WORDS = 300_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -116,14 +120,23 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of (doc_id, text), and that column's name."""
+    key = unused(docs, "__key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
 
+def small(df: DataFrame, lists: str) -> DataFrame:
+    """df, to be broadcast if it is few bytes by its rows and the entries of a list column."""
+    n, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if n * ROW_BYTES + entries * ENTRY_BYTES <= BROADCAST_BYTES else df
 
+
+HALVES = ["k1", "k2", "k3", "k4"]
 LINES = "doc_id long, doc_key long, line int, words int, h long, k1 long, k2 long, k3 long, k4 long"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, key: str) -> DataFrame:
     """A row for each line with words: its document and place, number of words, hash and half keys (0: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +161,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                 cols += [pa.array(k.astype(np.uint64).view(np.int64)) for k in half_keys(_hasher, start, end)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_key", "line", "words", "h", "k1", "k2", "k3", "k4"])
 
-    return docs.select("doc_id", F.col("__key").alias("doc_key"), "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", F.col(key).alias("doc_key"), "text").mapInArrow(run, LINES)
 
 
-def sharing_a_half(lines: DataFrame, n: int) -> DataFrame:
-    """The hashes of lines that share a half key with a different line."""
+def sharing_a_half(classes: DataFrame, n: int) -> DataFrame:
+    """The hashes of the lines, once each in classes, that share a half key with a different line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, 0  # of the group that may go on
@@ -168,13 +181,13 @@ def sharing_a_half(lines: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.r_[h[other], lead[other]]))], names=["h"])
             key, first = k[-1], lead[-1]
 
-    keys = lines.select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k")).where("k != 0").select("k", "h")
+    keys = classes.select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k")).where("k != 0").select("k", "h")
     return keys.repartition(n, "k").sortWithinPartitions("k", "h").mapInArrow(run, "h long").distinct()
 
 
-def candidate_texts(docs: DataFrame, cand: DataFrame, few: bool) -> DataFrame:
+def candidate_texts(docs: DataFrame, key: str, cand: DataFrame) -> DataFrame:
     """id, and the line itself, of the candidates (id, doc_key, line), read again from docs."""
-    per_doc = cand.groupBy("doc_key").agg(F.collect_list(F.struct("line", "id")).alias("__at"))
+    per_doc = cut(cand.groupBy("doc_key").agg(F.collect_list(F.struct("line", "id")).alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +198,8 @@ def candidate_texts(docs: DataFrame, cand: DataFrame, few: bool) -> DataFrame:
                 found += [lines[x["line"]] for x in at]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "content"])
 
-    met = docs.select(F.col("__key").alias("doc_key"), "text").join(F.broadcast(per_doc) if few else per_doc, "doc_key")
-    return met.select("text", "__at").mapInArrow(run, "id long, content string").dropDuplicates(["id"])
+    met = docs.select(F.col(key).alias("doc_key"), "text").join(small(per_doc, "at"), "doc_key")
+    return met.select("text", "at").mapInArrow(run, "id long, content string").dropDuplicates(["id"])
 
 
 def witnesses(texts: DataFrame, n: int) -> DataFrame:
@@ -194,7 +207,7 @@ def witnesses(texts: DataFrame, n: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole):
                 lines = [c.split() for c in batch.column(1).to_pylist()]
                 _hasher.load(lines)
                 n = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -253,29 +266,30 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     """docs with the text of each document's lines that repeat no earlier line; dropped names a count column."""
     spark = docs.sparkSession
     n = parallelism(spark)
-    keyed = _keyed(docs)
+    keyed, key = _keyed(docs)
     at = scratch(spark, "lines")
-    line_table(keyed).write.parquet(at)
+    line_table(keyed, key).write.parquet(at)
     lines = spark.read.schema(LINES).parquet(at)
     place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "doc_key", "line")
     at = scratch(spark, "classes")
-    lines.groupBy("h").agg(F.min(place).alias("first")).write.parquet(at)
-    classes = spark.read.schema("h long, first struct<last: boolean, doc_id: long, doc_key: long, line: int>").parquet(at)
+    lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in HALVES)).write.parquet(at)
+    classes = spark.read.schema("h long, first struct<last: boolean, doc_id: long, doc_key: long, line: int>, n long, k1 long, k2 long, k3 long, k4 long").parquet(at)
     # ids of the candidates rise with their first places
-    cand = classes.join(sharing_a_half(lines, n), "h", "left_semi").orderBy("first").select("h", F.col("first.doc_key").alias("doc_key"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("id"))
+    cand = classes.join(sharing_a_half(classes, n), "h", "left_semi").orderBy("first").select("h", F.col("first.doc_key").alias("doc_key"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("id"))
     cand = cut(cand)
-    texts = cut(candidate_texts(keyed, cand, cand.count() <= BROADCAST_ROWS))
+    texts = cut(candidate_texts(keyed, key, cand))
     near = cut(cand.join(verified(witnesses(texts, n), texts), "id", "left_semi").select("h", F.lit(True).alias("near")))
-    fate = classes.join(near, "h", "left")
-    gone = lines.join(fate, "h").where(F.col("near").isNotNull() | (F.col("doc_key") != F.col("first.doc_key")) | (F.col("line") != F.col("first.line")))
+    # only lines of these classes can go; a table of its own, so that the join deals out a common line's rows
+    fate = cut(classes.join(near, "h", "left").where("near or n > 1").select("h", "near", F.col("first.doc_key").alias("first_key"), F.col("first.line").alias("first_line")))
+    gone = lines.select("h", "doc_key", "line").join(fate, "h").where(F.col("near").isNotNull() | (F.col("doc_key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
     # of repeated rows each has its lines listed
-    gone = cut(gone.groupBy("doc_key").agg(F.collect_set("line").alias("__gone")))
-    few = gone.count() <= BROADCAST_ROWS
-    return _without(keyed.join(F.broadcast(gone) if few else gone, keyed["__key"] == gone["doc_key"], "left").drop("doc_key", "__key"), docs, dropped)
+    gone_key, gone_lines = unused(keyed, "__gone_key"), unused(keyed, "__gone")
+    gone = cut(gone.groupBy(F.col("doc_key").alias(gone_key)).agg(F.collect_set("line").alias(gone_lines)))
+    return _without(keyed.join(small(gone, gone_lines), keyed[key] == gone[gone_key], "left"), docs, gone_lines, dropped)
 
 
-def _without(joined: DataFrame, docs: DataFrame, dropped: str | None) -> DataFrame:
-    """The texts of joined without the lines in __gone."""
+def _without(joined: DataFrame, docs: DataFrame, gone_lines: str, dropped: str | None) -> DataFrame:
+    """The texts of joined without the lines in its column gone_lines."""
     through = [c for c in docs.columns if c not in ("text", dropped)]
     schema = T.StructType([*(docs.schema[c] for c in through), T.StructField("text", T.StringType())] + ([T.StructField(dropped, T.LongType())] if dropped else []))
 
@@ -292,7 +306,7 @@ def _without(joined: DataFrame, docs: DataFrame, dropped: str | None) -> DataFra
                 counts.append(len(g or ()))
             yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())] + [pa.array(counts, pa.int64())] * bool(dropped), names=[*through, "text"] + [dropped] * bool(dropped))
 
-    return joined.select(*through, "text", "__gone").mapInArrow(run, schema).select(*docs.columns, *[dropped] * (bool(dropped) and dropped not in docs.columns))
+    return joined.select(*through, "text", gone_lines).mapInArrow(run, schema).select(*docs.columns, *[dropped] * (bool(dropped) and dropped not in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

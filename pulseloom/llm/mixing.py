@@ -3,13 +3,14 @@
 Each document gets a rate, 1 at first. The rates that stay closest to 1 in relative entropy while every
 source's words add up to its target are exponentially tilted: rate = min(CAP, exp(l_s * size / mean_s)),
 with one dual variable l_s a source. Newton's method finds them: each step is one distributed sum over
-the (source, size) histogram, safeguarded by a bracket. Rates become whole copies by adding a hash of
-doc_id and one offset a source, whose value makes the copies' words meet the target; the offset comes
-from two distributed histograms of the places where a document's copies change.
+the (source, size) histogram, safeguarded by a bracket. Rates become whole copies by adding a hash of the
+row and one offset a source, whose value makes the copies' words meet the target; the offset comes from
+two distributed histograms of the places where a document's copies change.
 
 Only one row a source comes to the driver. Defined results: a null text has size 0; a null source is a
-source of its own, after all others; a source without words has target 0; repeated rows are mixed alike;
-other columns pass through mix() untouched.
+source of its own, after all others; a source without words has target 0; a row's hash is of doc_id, text
+and its number among rows equal in doc_id, text and source, so that null and repeated ids are rounded
+each for itself; other columns, whatever their names, pass through mix() untouched.
 """
 
 from __future__ import annotations
@@ -125,47 +126,76 @@ def offsets(places: DataFrame, want: dict, low: dict, limit: dict, cap: float =
     return low, words
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs with size, source_size, target and copies (0 to cap); needs doc_id, text and source."""
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*keep, size_of().alias("size"))
-    by_size = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+SAME = ["doc_id", "source", "text_hash"]
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"], docs["source"], size_of().alias("size"), F.xxhash64("text").alias("text_hash")]
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows with their number (nth) among equal ones; only repeated rows are dealt out for that."""
+    if repeated is None:
+        return rows.withColumn("nth", F.lit(1))
+    same = repeated.select(*(F.col(c).alias(f"same_{c}") for c in SAME))
+    on = [F.col(c).eqNullSafe(F.col(f"same_{c}")) for c in SAME]
+    once = rows.join(same, on, "left_anti").withColumn("nth", F.lit(1))
+    return once.unionByName(rows.join(same, on, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*SAME).orderBy("size"))))
+
+
+def _taken(docs: DataFrame, row: Column | None, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """row (if given) beside doc_id, size, source_size, target and copies (0 to cap) of each row of docs."""
+    light = cut(docs.select(*_keys(docs)))
+    rows = light if row is None else docs.select(row.alias("row"), *_keys(docs))
+    repeated = cut(light.groupBy(*SAME).agg(F.count("*").alias("n")).where("n > 1"))
+    repeated = None if repeated.isEmpty() else repeated
+    by_size = cut(light.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = targets(by_size, weights, share, cap).collect()  # a row a source
     dual = tilt(by_size, sources, cap)
     mean = {r.source: r.source_size / r.docs for r in sources}
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-    rate = F.least(F.lit(cap), F.exp(F.col("__l") * F.col("size") / F.greatest("__mean", F.lit(1e-300))))
-    rows = [(r.source, dual[r.source], mean[r.source], int(r.source_size), float(r.target)) for r in sources]
-    rated = lambda df: _joined(df, rows, "__l double, __mean double, source_size long, target double").withColumns({"__u": u, "__rate": rate})
-    light = cut(rated(sized.select("doc_id", "source", "size")).select("source", "size", F.col("__rate").alias("rate"), F.col("__u").alias("u")))
-    places = light.where("size > 0").select("source", "size", F.explode(F.array(*[F.lit(k) - F.col("rate") - F.col("u") for k in range(1, int(cap) + 1)])).alias("at"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text_hash", "nth"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    rate = F.least(F.lit(cap), F.exp(F.col("l") * F.col("size") / F.greatest("mean", F.lit(1e-300))))
+    table = [(r.source, dual[r.source], mean[r.source], int(r.source_size), float(r.target)) for r in sources]
+    rated = lambda df: _joined(_numbered(df, repeated), table, "l double, mean double, source_size long, target double").withColumns({"u": u, "rate": rate})
+    places = cut(rated(light).where("size > 0").select("source", "size", "rate", "u"))
+    places = places.select("source", "size", F.explode(F.array(*[F.lit(k) - F.col("rate") - F.col("u") for k in range(1, int(cap) + 1)])).alias("at"))
     left, low, limit = {r.source: float(r.target) for r in sources}, {r.source: -cap for r in sources}, {r.source: math.inf for r in sources}
-    full = rated(sized)
+    full = rated(rows)
     for turn in range(TURNS):
         shift, words = offsets(places, left, low, limit, cap)
-        full = _joined(full, [(s, low[s], float(limit[s]), v) for s, v in shift.items()], f"__low{turn} double, __most{turn} double, __shift{turn} double")
+        full = _joined(full, [(s, low[s], float(limit[s]), v) for s, v in shift.items()], f"low{turn} double, most{turn} double, shift{turn} double")
         left = {s: left[s] - words[s] for s in left}
         low, limit = shift, left
+
     # the same places as in offsets(): one copy more for each that a turn takes
     def took(k: int) -> Column:
-        at = F.lit(k) - F.col("__rate") - F.col("__u")
+        at = F.lit(k) - F.col("rate") - F.col("u")
         hit = F.lit(False)
         for t in range(TURNS):
-            hit = hit | ((F.col("size") <= F.col(f"__most{t}")) & (at >= F.col(f"__low{t}")) & (at < F.col(f"__shift{t}")))
+            hit = hit | ((F.col("size") <= F.col(f"most{t}")) & (at >= F.col(f"low{t}")) & (at < F.col(f"shift{t}")))
         return F.when(hit, 1).otherwise(0)
 
     made = sum((took(k) for k in range(1, int(cap) + 1)), F.lit(0))
-    return full.select(*keep, "size", "source_size", "target", made.cast("int").alias("copies"))
+    return full.select(*["row"] * (row is not None), "doc_id", "size", "source_size", "target", made.cast("int").alias("copies"))
+
+
+def _row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that no name of theirs meets one of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """docs with size, source_size, target and copies (0 to cap); needs doc_id, text and source. Columns of those names are replaced."""
+    made = ["size", "source_size", "target", "copies"]
+    return _taken(docs, _row(docs), weights, share, cap).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in made), *made)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    picked = copies(docs.withColumns({f"__own_{c}": docs[c] for c in docs.columns if c in ("size", "source_size", "target", "copies")}), weights, share, cap)
-    own = [F.col(f"__own_{c}").alias(c) if c in ("size", "source_size", "target", "copies") else F.col(f"`{c}`") for c in docs.columns]
-    return picked.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*own)
+    picked = _taken(docs, _row(docs), weights, share, cap).where("copies > 0")
+    return picked.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document."""
-    return copies(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return _taken(docs, None, WEIGHTS, SHARE, CAP).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -1,18 +1,21 @@
 """Operator 7: shards from a consistent-hash ring with virtual nodes and bounded loads.
 
-Rows fall into cells: an arc of the ring by the hash of the text, so that equal texts lie together, cut
-into SUBS pieces by the hash of doc_id, so that no group of copies is one lump. The number of cells is
-fixed, and only their sizes leave the executors. Cells are placed on the ring, heaviest first; one whose
-shard is full goes on clockwise to the next shard with room. Law: bytes.
+Rows fall into cells, arcs of the ring by the hash of the text, so that equal texts lie together. Cells are
+placed on the ring, heaviest first; one whose shard is full goes on clockwise to the next shard with room.
+A group of equal texts stays on one shard unless no shard has room for it: a text that holds more than HEAVY
+of a shard's mean is a cell of its own, and is cut into HOT_PARTS by the hash of doc_id if it fits nowhere.
+The number of cells is fixed, and only their sizes leave the executors. Law: bytes.
 
 Defined results: a null text has size 1 and the checksum of an empty text; null and repeated doc_ids are
-ordinary rows; an empty table gives no rows; other columns are left out.
+ordinary rows (of a text that must be cut, rows of one doc_id stay together); an empty table gives no rows;
+other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-ARC_BITS, SUBS = 12, 32
-#: At most so many cells, whatever the input: the bound of what is collected and broadcast.
-CELLS = (1 << ARC_BITS) * SUBS
+#: Cells, and parts of a cell's rows that are numbered apart: the bound of what is collected and broadcast.
+ARC_BITS, PARTS = 14, 8
+CELLS = 1 << ARC_BITS
+#: A text of more than this share of a shard's mean is a cell of its own, in so many parts; fewer than shards / HEAVY texts are.
+HEAVY, HOT_PARTS = 0.25, 1024
 VIRTUAL_NODES = 128
 #: A shard takes at most this much over the mean.
 SLACK = 0.002
@@ -34,57 +39,87 @@ def ring(shards: int, nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
     return sorted((at(s, v), s) for s in range(shards) for v in range(nodes))
 
 
-def place(weights: dict[int, int], shards: int, slack: float = SLACK, cells: int = CELLS) -> dict[int, int]:
-    """The shard of each cell, none of which exceeds (1 + slack) times the mean unless a single cell must."""
+def place(weights: dict[int, int], shards: int, slack: float = SLACK, cells: int = CELLS, parts: dict[int, dict[int, int]] | None = None) -> dict[int, int]:
+    """The shard of each cell, none of which exceeds (1 + slack) times the mean unless a single cell must.
+
+    Cells in parts that fit nowhere are placed part by part: the result then has their parts' names instead.
+    """
     nodes = ring(shards)
     where = [p for p, _ in nodes]
     most = (1 + slack) * sum(weights.values()) / shards
     loads, out = [0] * shards, {}
-    for cell, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-        start = bisect_left(where, ((2 * cell + 1) << 63) // cells)
-        tried: set[int] = set()
+
+    def clockwise(at: int, weight: int, must: bool) -> int | None:
+        start, tried = bisect_left(where, at), set()
         for i in range(len(nodes)):
             shard = nodes[(start + i) % len(nodes)][1]
             if shard in tried:
                 continue
             if loads[shard] + weight <= most:
-                break
+                return shard
             tried.add(shard)
             if len(tried) == shards:
-                shard = min(range(shards), key=lambda s: (loads[s], s))
                 break
+        return min(range(shards), key=lambda s: (loads[s], s)) if must else None
+
+    left: list[tuple[int, int, int]] = []
+    for cell, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        pieces = (parts or {}).get(cell)
+        shard = clockwise(((2 * (cell % cells) + 1) << 63) // cells, weight, not pieces)
+        if shard is None:
+            left += [(w, name, _position(name)) for name, w in pieces.items()]
+            continue
+        loads[shard] += weight
+        out |= dict.fromkeys(pieces or (cell,), shard)
+    for weight, name, at in sorted(left, key=lambda x: (-x[0], x[1])):
+        shard = clockwise(at, weight, True)
         loads[shard] += weight
-        out[cell] = shard
+        out[name] = shard
     return out
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    arc = F.shiftrightunsigned(F.xxhash64(text), 64 - ARC_BITS)
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        (arc * SUBS + F.pmod(F.xxhash64("doc_id"), F.lit(SUBS))).cast("int").alias("cell"),
-    )
+def _position(name: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"part {name}".encode(), digest_size=8).digest(), "big")
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of docs (doc_id, text)."""
-    rows = with_cells(docs)
-    held = rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # CELLS rows at most
-    shard_of = place({r.cell: r.bytes for r in held}, shards, slack)
+    text = text_or_empty()
+    own = F.xxhash64(text)
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), own.alias("own"), F.shiftrightunsigned(own, 64 - ARC_BITS).cast("int").alias("cell"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    rows = rows.withColumn("part", (F.col("cell") * PARTS + part).cast("int"))
+    held = rows.groupBy("part").agg(F.first("cell").alias("cell"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # CELLS * PARTS rows at most
+    weights, heavy = Counter(), HEAVY * sum(r.bytes for r in held) / shards
+    for r in held:
+        weights[r.cell] += r.bytes
+    full = [c for c, w in weights.items() if w > heavy]  # fewer than shards / HEAVY
+    hot = rows.where(F.col("cell").isin(full)).groupBy("own", "cell").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > heavy).orderBy("own").collect() if full else []
+    parts: dict[int, dict[int, int]] = {}
+    if hot:
+        nth = F.coalesce(*[F.when(F.col("own") == r.own, i) for i, r in enumerate(hot)])
+        # names behind those of all other parts
+        name = CELLS * PARTS + nth * HOT_PARTS + F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))
+        rows = rows.withColumn("part", F.coalesce(name, "part").cast("int"))
+        held = rows.groupBy("part").agg(F.first("cell").alias("cell"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+        weights = Counter()
+        for r in held:
+            i = (r.part - CELLS * PARTS) // HOT_PARTS
+            weights[r.cell + (CELLS * (i + 1) if i >= 0 else 0)] += r.bytes  # the same place on the ring
+            if i >= 0:
+                parts.setdefault(r.cell + CELLS * (i + 1), {})[r.part] = r.bytes
+    shard_of = place(weights, shards, slack, parts=parts)
     first, plan = [0] * shards, []
-    for r in sorted(held, key=lambda r: r.cell):
-        s = shard_of[r.cell]
-        plan.append((r.cell, s, first[s]))
+    for r in sorted(held, key=lambda r: r.part):
+        s = shard_of[r.cell if r.part < CELLS * PARTS else r.part]
+        plan.append((r.part, s, first[s]))
         first[s] += r.n
-    cells = docs.sparkSession.createDataFrame(pd.DataFrame(plan, columns=["cell", "shard", "first"]).astype({"cell": "int32", "shard": "int32", "first": "int64"}), "cell int, shard int, first long")
-    in_cell = Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")
+    table = docs.sparkSession.createDataFrame(pd.DataFrame(plan, columns=["part", "shard", "first"]).astype({"part": "int32", "shard": "int32", "first": "int64"}), "part int, shard int, first long")
+    within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.withColumn("__nth", F.row_number().over(in_cell))
-        .join(F.broadcast(cells), "cell")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("__nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        rows.withColumn("nth", F.row_number().over(within))
+        .join(F.broadcast(table), "part")
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
 

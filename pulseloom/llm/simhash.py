@@ -3,8 +3,10 @@
 A fingerprint's 2-bit segments map to their bit counts, a vector whose Manhattan distance never exceeds
 the Hamming distance of the fingerprints. The segments form BANDS bands. Two vectors within BITS of one
 another differ in at most BITS bands, so they lie in the same grid cell of some BANDS - BITS bands; rows
-meet by an equi-join on those cells. Within a cell the total bit count, a Manhattan bound as well, gives
-the range to look at, and the Hamming distance itself decides. A cell gives a spanning forest of its
+meet by an equi-join on those cells. Within a cell the range of total bit counts comes first (it is a
+Manhattan bound too), then the vectors' own Manhattan distance, and for those within BITS the Hamming
+distance itself decides. Counts are kept in unary (0, 1 and 2 as 00, 01 and 11), where the Manhattan
+distance of two vectors is the number of bits in which they differ. A cell gives a spanning forest of its
 links, not all pairs; equal fingerprints meet as one class beforehand.
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; rows with
@@ -23,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_only, parallelism, pieces, unused
+from .common import BROADCAST_BYTES, cut, keep_only, parallelism, pieces, unused
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
-#: More bands make more cells a row and far fewer candidates.
-BANDS = 6
+#: More bands make more cells a row and far fewer candidates: of 7 bands the fullest cell of random fingerprints holds
+#: one in 13,000.
+BANDS = 7
 SEGMENTS = 32
-#: Ids of documents that go are broadcast up to so many (some 20 bytes each), beyond that joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Bytes of a broadcast id with its flags.
+ID_BYTES = 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -73,6 +76,12 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
     return np.array([0, 1, 1, 2], np.uint8)[two]
 
 
+def unary_counts(fp: np.ndarray) -> np.ndarray:
+    """The segments' bit counts in unary, two bits each: differing bits of two such words are their Manhattan distance."""
+    low, high = fp & np.uint64(0x5555555555555555), (fp >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return (low | high) | (low & high) << np.uint64(1)
+
+
 def cells(fp: np.ndarray, bits: int = BITS, bands: int = BANDS) -> Iterator[np.ndarray]:
     """For each choice of bands, the grid cell of each fingerprint as one number."""
     counts = segment_counts(fp).astype(np.int64)
@@ -87,15 +96,17 @@ def cells(fp: np.ndarray, bits: int = BITS, bands: int = BANDS) -> Iterator[np.n
 
 def close_pairs(key: np.ndarray, fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of rows with the same key and at most bits differing bits; rows sorted by key and bit count."""
-    ones = np.bitwise_count(fp).astype(np.int64)
+    ones, counts = np.bitwise_count(fp).astype(np.int64), unary_counts(fp)
     i, step = np.arange(len(fp) - 1), 1
     while len(i):
         j = i + step
         near = (j < len(fp)) & (key[i] == key[np.minimum(j, len(fp) - 1)]) & (ones[np.minimum(j, len(fp) - 1)] - ones[i] <= bits)
         i, j = i[near], j[near]
-        hit = np.bitwise_count(fp[i] ^ fp[j]) <= bits
+        within = np.bitwise_count(counts[i] ^ counts[j]) <= bits  # the lower bound
+        a, b = i[within], j[within]
+        hit = np.bitwise_count(fp[a] ^ fp[b]) <= bits
         if hit.any():
-            yield i[hit], j[hit]
+            yield a[hit], b[hit]
         step += 1
 
 
@@ -180,7 +191,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = cut(grouped(prints).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__kept")))
     # most documents stay, and once: only the others' ids meet the texts
     odd = cut(ids.where("not __kept or __n > 1"))
-    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    odd = F.broadcast(odd) if odd.count() * ID_BYTES <= BROADCAST_BYTES else odd
     once = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti")
     again = docs.join(odd.where("__kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     with_id = once.select(*docs.columns).unionByName(again.select(*docs.columns))

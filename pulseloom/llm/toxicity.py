@@ -166,7 +166,7 @@ class Scorer:
         z = self.sentence_logits(sentences(text)) + self.bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         p[np.isneginf(z)] = 0
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p
+        return float(0.0 - np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p
 
 
 def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score", spans: str | None = None, drop_text: bool = False) -> DataFrame:

@@ -59,3 +59,23 @@ def test_within_one():
     words = "a b c d".split()
     assert within_one(words, words) and within_one(words, words[:-1]) and within_one(words[1:], words) and within_one(words, "a x c d".split())
     assert not within_one(words, "a x c y".split()) and not within_one(words, words[:2]) and not within_one("a b".split(), "b a".split())
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["doc_key", "__key", "__gone", "__gone_key", "key", "h", "first", "n", "near", "line", "words", "k1", "id", "at", "content", "first_key", "first_line"]
+    rows = [r for r in odd_documents() if r[0] != 3004]
+    out = dedup_lines(frame(spark, rows, extra=names), "n_gone")
+    assert out.columns == [*frame(spark, rows, extra=names).columns, "n_gone"]
+    got = out.collect()
+    assert all(r[c] == f"own {c}" for r in got for c in names)
+    assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted(brute(rows), key=key)
+
+
+def test_five_words_are_enough():
+    assert MIN_WORDS == 5
+
+
+def test_short_lines_with_one_edit(spark):
+    rows = [(1, "one two three four five", "", "", 1), (2, "one two three four six", "", "", 1), (3, "one two three four", "", "", 1), (4, "one two three", "", "", 1), (5, "one two  three four five", "", "", 1), (6, "zero one two three four five", "", "", 1)]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: rows[3][1], 5: "", 6: ""}

@@ -1,6 +1,6 @@
 import zlib
 
-from pulseloom.llm.sharding import assign_shards, place, write_shards
+from pulseloom.llm.sharding import ARC_BITS, CELLS, HEAVY, SLACK, assign_shards, place, ring, write_shards
 
 from .fixtures import frame, odd_documents
 
@@ -44,3 +44,48 @@ def test_shards_on_disk(spark, tmp_path):
     write_shards(frame(spark, rows), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and {r.shard for r in back.select("shard").collect()} == {0, 1, 2}
+
+
+def brute_shards(rows, shards=8):
+    """The shard of each text that is not cut, by a walk along the whole ring for each cell."""
+    import xxhash
+
+    size = lambda t: len((t or "").encode()) + 1
+    hashed = lambda t: xxhash.xxh64((t or "").encode(), seed=42).intdigest()
+    total = sum(size(r[1]) for r in rows)
+    by_text, by_cell = {}, {}
+    for r in rows:
+        by_text[r[1] or ""] = by_text.get(r[1] or "", 0) + size(r[1])
+    for t, w in by_text.items():
+        assert w <= HEAVY * total / shards
+        c = hashed(t) >> (64 - ARC_BITS)
+        by_cell[c] = by_cell.get(c, 0) + w
+    loads, where = [0] * shards, {}
+    nodes = ring(shards)
+    for c in sorted(by_cell, key=lambda c: (-by_cell[c], c)):
+        at = ((2 * c + 1) << 63) // CELLS
+        walk = [s for p, s in nodes if p >= at] + [s for p, s in nodes if p < at]
+        fits = [s for s in walk if loads[s] + by_cell[c] <= (1 + SLACK) * total / shards]
+        where[c] = fits[0] if fits else min(range(shards), key=lambda s: (loads[s], s))
+        loads[where[c]] += by_cell[c]
+    return {t: where[hashed(t) >> (64 - ARC_BITS)] for t in by_text}
+
+
+def test_shards_against_brute_force(spark):
+    rows = [(i, f"text {i // 3} " * (1 + i // 3 % 9), "en", "s", 1) for i in range(3000)] + [(None, None, None, None, None), (None, "", None, None, None)]
+    want = brute_shards(rows)
+    text = {(r[0], zlib.crc32((r[1] or "").encode())): r[1] or "" for r in rows}
+    got = assign_shards(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.shard == want[text[r.doc_id, r.text_crc32]] for r in got)
+
+
+def test_equal_texts_stay_together_where_they_fit(spark):
+    rows = [(i, f"text {i} " * 5, "en", "s", 1) for i in range(4000)]
+    for k, n in enumerate((900, 500, 300, 40)):  # the first group holds more than a shard
+        rows += [(10_000 * (k + 1) + i, f"copies {k} " * 6, "en", "s", 1) for i in range(n)]
+    got = assign_shards(frame(spark, rows)).toPandas()
+    of = got.groupby("text_crc32").shard.nunique()
+    assert [of[zlib.crc32((f"copies {k} " * 6).encode())] > 1 for k in range(4)] == [True, False, False, False]
+    assert of[[zlib.crc32((f"text {i} " * 5).encode()) for i in range(4000)]].max() == 1
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() / load.mean() < 1.01 and load.min() / load.mean() > 0.97

@@ -71,3 +71,14 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_empty_table(spark):
     assert near_duplicate_report(frame(spark, [])).count() == 0 and fingerprint(None) == fingerprint(" \n") == 0
+
+
+def test_unary_counts_have_the_manhattan_distance():
+    from pulseloom.llm.simhash import segment_counts, unary_counts
+
+    r = np.random.default_rng(4)
+    a = r.integers(0, 2**63, 500, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << r.integers(0, 64, 500, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 500, dtype=np.uint64))
+    manhattan = np.abs(segment_counts(a).astype(int) - segment_counts(b).astype(int)).sum(axis=1)
+    assert (np.bitwise_count(unary_counts(a) ^ unary_counts(b)) == manhattan).all()
+    assert (manhattan <= np.bitwise_count(a ^ b)).all() and (manhattan < np.bitwise_count(a ^ b)).any()
