@@ -2,18 +2,22 @@
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller doc_id.
 Every LENGTH-byte window has an anchor, the least-hashed ANCHOR-byte string in it, so equal windows have
-equal anchors at equal places and meet in the shard of the anchor's hash:
-
-1. documents are dealt to chunks; a chunk sends the hashes of its anchors to their shards, packed;
-2. a shard tells each chunk which of them other documents have too;
-3. the chunk sends the text around those, the windows of each anchor as one fragment, equal fragments once
-   with their least doc_id;
-4. a shard sorts the suffixes of its fragments by induction, and its common prefixes of LENGTH or more give
+equal anchors and meet in the shard of the anchor's hash:
+
+1. documents are dealt to chunks; a chunk sends the hashes of its anchors to their shards, packed, with
+   the number of different texts around each;
+2. a shard tells each chunk which of them other documents have too, and which stand amid so many different
+   texts (HOT_FRAGMENTS) that one shard should not have them all;
+3. the chunk sends the text around those, the neighbouring windows of an anchor as one fragment, equal
+   fragments once with their least doc_id; windows of the hot anchors go one by one, each to the shard of
+   its own hash;
+4. a shard sorts the suffixes of all its fragments by induction, and common prefixes of LENGTH or more give
    the groups of equal windows and the least doc_id of each; runs of windows are sent back;
 5. the chunk removes the bytes that they cover.
 
 All steps are one plan, in which the texts are dealt once and that exchange is used again. A passage in a
-third of all documents reaches its shard once a chunk, not once a document.
+third of all documents reaches its shard once a chunk, not once a document. Fragments are folded by 128
+bits of hash, and the bytes of those folded are compared: should two differ, the job stops with an error.
 
 Defined results: a null text is empty; a document without a doc_id loses nothing and takes nothing from
 others; rows that repeat a doc_id take nothing from each other; matches never cross documents; extra
@@ -37,8 +41,14 @@ LENGTH, ANCHOR = 50, 20
 STEP_BITS = 20
 #: Bytes of fragments whose suffixes are sorted together, about; fragments of one hash are never parted.
 SHARD_BYTES = 1 << 19
-#: Chunks and shards for each shuffle partition; a chunk sends a row to each shard.
+#: Chunks and shards for each partition; a chunk sends a row to each shard. A partition has about so many bytes at most.
 CHUNKS, SHARDS = 2, 1
+PARTITION_BYTES = 64 << 20
+#: Windows of a fragment at most: periodic text would make endless ones.
+FRAGMENT_WINDOWS = 2048
+#: Different texts around one anchor, beyond which its windows are dealt to all shards. Fewer than FEW of them in a chunk
+#: are counted with repeats.
+HOT_FRAGMENTS, FEW = 1 << 14, 16
 #: Low bits of an anchor's hash that do not travel; what they would tell apart is told apart by the text.
 LOOSE_BITS = 12
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,9 +89,11 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
             low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
         at = (low & mask).astype(np.int32)  # the anchor of each window
         ok = inside[base : base + len(at)]
-        other = at[1:] != at[:-1]
+        # neighbouring windows whose anchors are equal, as in periodic text, are one fragment
+        other = h[at[1:]] != h[at[:-1]]
         begins = np.flatnonzero(ok & np.append(True, other | ~ok[:-1]))
         ends = np.flatnonzero(ok & np.append(other | ~ok[1:], True))
+        begins, ends = split_runs(begins, ends)
         own = h[at[begins]]
         with np.errstate(over="ignore"):  # least hashes are small ones: mixed again, so that shards are even
             own = (own ^ own >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -92,6 +104,17 @@ def anchors(x: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k: int = A
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def split_runs(begins: np.ndarray, ends: np.ndarray, most: int = FRAGMENT_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of places, in pieces of so many at most."""
+    pieces = (ends - begins) // most + 1
+    if not len(begins) or pieces.max() == 1:
+        return begins, ends
+    of = np.repeat(np.arange(len(begins)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = begins[of] + nth * most
+    return first, np.minimum(first + most - 1, ends[of])
+
+
 class Chunk:
     """The texts of a chunk, one behind another, with their anchors."""
 
@@ -112,6 +135,21 @@ class Chunk:
     def take(self, at: np.ndarray) -> None:
         self.hash, self.first, self.last, self.doc = self.hash[at], self.first[at], self.last[at], self.doc[at]
 
+    def part_hot(self, hot: np.ndarray) -> None:
+        """From now on the windows of the anchors in hot (sorted, without LOOSE_BITS) stand one by one."""
+        if not len(hot) or not len(self.hash):
+            return
+        h = self.hash >> np.uint64(LOOSE_BITS)
+        is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        n = np.where(is_hot, self.last - self.first + 1, 1)
+        of = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        one = is_hot[of]
+        first = self.first[of] + nth
+        last = np.where(one, first, self.last[of])
+        self.hash, self.first, self.last, self.doc = self.hash[of], first, last, self.doc[of]
+        self.hash[one] = content_hashes(self.text, first[one], last[one] + LENGTH, np.zeros(int(one.sum()), np.uint64))
+
     def contents(self) -> np.ndarray:
         return content_hashes(self.text, self.first, self.last + LENGTH, self.hash | np.uint64(1))
 
@@ -174,42 +212,62 @@ def by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 def sent_hashes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchor hashes of a chunk, sorted, without their LOOSE_BITS, and whether several of its documents have it."""
+    """The distinct anchor hashes of a chunk, sorted, without their LOOSE_BITS, and for each the number of different texts
+    around it, doubled, plus 1 if several of its documents have it."""
     h = c.hash >> np.uint64(LOOSE_BITS)
     order = np.argsort(h, kind="stable")
     h, doc = h[order], c.doc[order]
     if not len(h):
-        return h, np.zeros(0, np.uint8)
+        return h, np.zeros(0, "<u4")
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-    return h[starts], several.astype(np.uint8)
+    number = np.diff(np.r_[starts, len(h)])
+    if (number >= FEW).any():
+        many = np.repeat(number >= FEW, number)
+        at = np.sort(order[many])  # starts rise with the text
+        content = content_hashes(c.text, c.first[at], c.last[at] + LENGTH, c.hash[at])
+        own = c.hash[at] >> np.uint64(LOOSE_BITS)
+        turn = np.lexsort((content, own))
+        own, content = own[turn], content[turn]
+        new = np.r_[True, (own[1:] != own[:-1]) | (content[1:] != content[:-1])]
+        number[number >= FEW] = np.add.reduceat(new.astype(np.int64), np.flatnonzero(np.r_[True, own[1:] != own[:-1]]))
+    return h[starts], (2 * number + several).astype("<u4")
 
 
 def shared_hashes(blobs: list[bytes]) -> list[bytes]:
-    """Of each chunk's hashes those that several documents have."""
+    """Of each chunk's hashes those that several documents have, and which of them are hot."""
     parts, flags = [], []
     for b in blobs:
-        gaps, several = opened(b, "<u8", "u1")
+        gaps, weight = opened(b, "<u8", "<u4")
         parts.append(np.cumsum(gaps, dtype=np.uint64))
-        flags.append(several)
+        flags.append(weight)
     h = np.concatenate(parts)
     order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
+    sorted_h, weight = h[order], np.concatenate(flags)[order].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])
     number = np.diff(np.r_[starts, len(sorted_h)])
-    several = (number > 1) | (np.maximum.reduceat(np.concatenate(flags)[order], starts) > 0)
-    flag = np.empty(len(h), bool)
-    flag[order] = np.repeat(several, number)
+    several = (number > 1) | (np.add.reduceat(weight & 1, starts) > 0)
+    hot = np.add.reduceat(weight >> 1, starts) > HOT_FRAGMENTS
+    flag = np.empty(len(h), np.uint8)
+    flag[order] = np.repeat(several * (1 + hot), number)
     out, at = [], 0
     for p in parts:
-        got = p[flag[at : at + len(p)]]
-        out.append(squeezed(np.diff(got, prepend=np.uint64(0))) if len(got) else b"")
+        own = flag[at : at + len(p)]
+        got = p[own > 0]
+        out.append(squeezed(np.diff(got, prepend=np.uint64(0)), own[own > 0] - np.uint8(1)) if len(got) else b"")
         at += len(p)
     return out
 
 
+def read_shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shared hashes, those of them that are hot), each sorted."""
+    got = [opened(b, "<u8", "u1") for b in blobs]
+    h, hot = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in got]), np.concatenate([x for _, x in got]) > 0
+    return np.sort(h), np.sort(h[hot])
+
+
 FRAGMENT = np.dtype([("hash", "<u8"), ("content", "<u8"), ("least", "<i8"), ("most", "<i8"), ("size", "<u2")])
-ANSWER = np.dtype([("content", "<u8"), ("least", "<i8"), ("at", "<u2"), ("count", "<u2")])
+ANSWER = np.dtype([("hash", "<u8"), ("content", "<u8"), ("least", "<i8"), ("at", "<u2"), ("count", "<u2")])
 
 
 def sent_fragments(r: np.ndarray, body: np.ndarray) -> bytes:
@@ -230,19 +288,29 @@ def read_fragments(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def read_answers(blobs: list[bytes]) -> np.ndarray:
     parts = []
     for b in blobs:
-        content, least, at, count = opened(b, "<u8", "<i8", "<u2", "<u2")
+        gaps, content, least, at, count = opened(b, "<u8", "<u8", "<i8", "<u2", "<u2")
         x = np.zeros(len(content), ANSWER)
+        x["hash"] = np.cumsum(gaps, dtype=np.uint64)
         x["content"], x["least"], x["at"], x["count"] = content, least, at, count
         parts.append(x)
-    return np.concatenate(parts)
+    return np.concatenate(parts) if parts else np.zeros(0, ANSWER)
+
 
+def check_equal(text: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
+    """Stop if a range of text differs from the one that it was folded into."""
+    for i in range(0, len(start), 50_000):
+        some = slice(i, i + 50_000)
+        other = lead[some]
+        if not np.array_equal(end[some] - start[some], end[other] - start[other]) or not np.array_equal(gathered(text, start[some], end[some]), gathered(text, start[other], end[other])):
+            raise RuntimeError("two different fragments have one hash of 128 bits")
 
-def fragments(c: Chunk, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def fragments(c: Chunk, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(records sorted by hash, text starts, text ends) of the distinct fragments whose anchors are shared."""
     h = c.hash >> np.uint64(LOOSE_BITS)
-    shared = np.sort(shared)
     at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
     c.take(np.flatnonzero(shared[at] == h) if len(shared) else np.zeros(0, np.int64))
+    c.part_hot(hot)
     content = c.contents()
     order = np.lexsort((content, c.hash | np.uint64(1)))
     if not len(order):
@@ -253,6 +321,9 @@ def fragments(c: Chunk, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     out["hash"], out["content"] = h[starts], content[starts]
     out["least"], out["most"] = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
     lead = order[starts]
+    again = np.ones(len(order), bool)
+    again[starts] = False
+    check_equal(c.text, np.r_[c.first[order[again]], c.first[lead]], np.r_[c.last[order[again]], c.last[lead]] + LENGTH, np.r_[(np.cumsum(~again) - 1)[again], np.arange(len(lead))] + int(again.sum()))
     out["size"] = c.last[lead] + LENGTH - c.first[lead]
     return out, c.first[lead], c.last[lead] + LENGTH
 
@@ -296,8 +367,21 @@ def least_owners(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: np
     return np.stack([f[cuts], p[cuts], count], axis=1).astype(np.int64) if len(cuts) else np.zeros((0, 3), np.int64), v[cuts]
 
 
+#: What a blob holds: fragments and the answers to them, or the chunk's hot hashes, which come back as they are.
+ANSWERED, HOT = b"A", b"H"
+
+
 def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
-    """The answer to each chunk of a shard: runs of windows with an owner smaller than the chunk's largest."""
+    """The answer to each blob of a shard: runs of windows with an owner smaller than the chunk's largest, or itself."""
+    out = list(blobs)
+    asked = [i for i, b in enumerate(blobs) if b[:1] != HOT]
+    if asked:
+        for i, answer in zip(asked, answers_to([blobs[i][1:] for i in asked]), strict=True):
+            out[i] = answer
+    return out
+
+
+def answers_to(blobs: list[bytes]) -> list[bytes]:
     records, texts = [], []
     for b in blobs:
         r, body = read_fragments(b)
@@ -315,21 +399,14 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
     lead = order[starts]
     kind = np.empty(len(every), np.int64)  # of each fragment, its place among the distinct ones
     kind[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-    # a hash with one distinct fragment has nothing to sort it against: its windows are one run
-    hashes = r["hash"][starts]
-    alone = np.append(True, hashes[1:] != hashes[:-1]) & np.append(hashes[1:] != hashes[:-1], True)
-    one = np.flatnonzero(alone)
-    runs = [np.stack([one, np.zeros(len(one), np.int64), size[lead[one]] - LENGTH + 1], axis=1)]
-    owners = [least[one]]
-    many = np.flatnonzero(~alone)
-    filled, at = np.cumsum(size[lead[many]]), 0
-    while at < len(many):  # batches of whole hashes
+    check_equal(text, end - size, end, lead[kind])
+    runs, owners, hashes = [], [], r["hash"][starts]
+    filled, at = np.cumsum(size[lead]), 0
+    while at < len(lead):  # batches of whole hashes
         z = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + SHARD_BYTES)) + 1
-        own = hashes[many]
-        z = int(np.searchsorted(own, own[min(z, len(many)) - 1], side="right"))
-        mine = many[at:z]
-        got, who = least_owners(text, (end - size)[lead[mine]], end[lead[mine]], least[mine])
-        got[:, 0] = mine[got[:, 0]]
+        z = int(np.searchsorted(hashes, hashes[min(z, len(lead)) - 1], side="right"))
+        got, who = least_owners(text, (end - size)[lead[at:z]], end[lead[at:z]], least[at:z])
+        got[:, 0] += at
         runs.append(got)
         owners.append(who)
         at = z
@@ -344,22 +421,23 @@ def solve_shard(chunks: list[int], blobs: list[bytes]) -> list[bytes]:
         n = first[k + 1] - first[k]
         at = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         answer = np.zeros(len(at), ANSWER)
-        answer["content"] = np.repeat(every["content"][mine], n)
+        answer["hash"], answer["content"] = np.repeat(every["hash"][mine], n), np.repeat(every["content"][mine], n)
         answer["least"], answer["at"], answer["count"] = who[at], run[at, 1], run[at, 2]
         answer = answer[who[at] < np.repeat(every["most"][mine], n)]
-        out.append(squeezed(answer["content"], answer["least"], answer["at"], answer["count"]) if len(answer) else b"")
+        out.append(ANSWERED + squeezed(np.diff(answer["hash"], prepend=np.uint64(0)), answer["content"], answer["least"], answer["at"], answer["count"]) if len(answer) else b"")
     return out
 
 
-def removed(c: Chunk, answers: np.ndarray) -> np.ndarray:
+def removed(c: Chunk, answers: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which bytes of the chunk go."""
+    c.part_hot(hot)
     content = c.contents()
     answers = answers[np.argsort(answers["content"], kind="stable")]
     a = np.searchsorted(answers["content"], content, side="left")
     n = np.searchsorted(answers["content"], content, side="right") - a
     which = np.repeat(np.arange(len(content)), n)
     at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    hit = answers["least"][at] < c.doc[which]
+    hit = (answers["least"][at] < c.doc[which]) & (answers["hash"][at] == (c.hash | np.uint64(1))[which])
     which, at = which[hit], at[hit]
     start = c.first[which] + answers["at"][at]
     edge = np.zeros(len(c.text) + 1, np.int32)
@@ -400,7 +478,8 @@ def _blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of each row of docs (doc_id, text)."""
-    n = parallelism(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    n = max(parallelism(docs.sparkSession), -(-size // PARTITION_BYTES))
     shards = SHARDS * n
     dealt = docs.select("doc_id", text_or_empty().alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHUNKS * n)).cast("int")).repartition(n, "chunk")
 
@@ -416,10 +495,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if not group.num_rows or not shared.num_rows:
             return _blob_rows([])
         chunk, c = group.column("chunk")[0].as_py(), _table_chunk(group)
-        records, start, end = fragments(c, np.concatenate([np.cumsum(opened(b, "<u8")[0], dtype=np.uint64) for b in shared.column("blob").to_pylist()]))
-        rows = []
+        known, hot = read_shared(shared.column("blob").to_pylist())
+        records, start, end = fragments(c, known, hot)
+        rows = [(chunk % shards, chunk, HOT + squeezed(hot))] if len(hot) else []
         for s, at in by_shard(records["hash"], shards):
-            rows.append((s, chunk, sent_fragments(records[at], gathered(c.text, start[at], end[at]))))
+            rows.append((s, chunk, ANSWERED + sent_fragments(records[at], gathered(c.text, start[at], end[at]))))
         return _blob_rows(rows)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +513,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ids = group.column("doc_id").to_pylist()
         if answered.num_rows:
             c = _table_chunk(group)
-            gone = removed(c, read_answers(answered.column("blob").to_pylist()))
+            blobs = answered.column("blob").to_pylist()
+            hot = [opened(b[1:], "<u8")[0] for b in blobs if b[:1] == HOT]
+            gone = removed(c, read_answers([b[1:] for b in blobs if b[:1] == ANSWERED]), hot[0] if hot else np.zeros(0, np.uint64))
             text, ends, sizes = c.text, c.ends, c.sizes
         else:
             data = [(t or "").encode() for t in group.column("text").to_pylist()]

@@ -1,18 +1,19 @@
-"""Suffix arrays by induced sorting, and their permuted common prefixes, in numpy.
+"""Suffix arrays by induced sorting, and their permuted common prefixes.
 
 Suffixes are smaller (S) or larger (L) than the one after them. The leftmost-smaller ones (LMS) are
-sorted first: their substrings are put in order by one induction and named; where names repeat, the
-string of names is sorted in its turn, by the same method if it has few names and by doubling if it has
-many. A second induction then places all suffixes: a bucket (first symbol) at a time, each as a few
-waves over whole arrays, since every suffix sorts the one before it.
+sorted first: their substrings, each up to the next LMS place, are sorted and named, and where names
+repeat, the string of names is sorted in its turn by the same method. Induction then places all suffixes
+in linear time, since every suffix sorts the one before it. It goes from bucket to bucket (first symbols):
+with few symbols, as bytes have, a bucket is a few waves over whole numpy arrays; names are many and their
+buckets hold a handful, so there it goes from suffix to suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Up to so many different names a string is sorted by induction; a bucket costs some 50 microseconds.
-FEW_NAMES = 128
+#: Symbols per suffix up to which induction takes whole buckets: a bucket costs some 50 microseconds, a suffix half of one.
+WAVES = 1 / 100
 
 
 def smaller(s: np.ndarray) -> np.ndarray:
@@ -41,6 +42,37 @@ def _spread(found: np.ndarray, symbols: np.ndarray, buckets: list[list[np.ndarra
 
 def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
     """The order of all suffixes of s, from LMS suffixes in an order that holds within each bucket."""
+    return by_bucket(s, small, lms, names) if names <= WAVES * len(s) else by_suffix(s, small, lms, names)
+
+
+def by_suffix(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
+    """Induction from suffix to suffix."""
+    counts = np.bincount(s, minlength=names)
+    behind = np.cumsum(counts)
+    symbols, is_small, order = s.tolist(), small.tolist(), [-1] * len(s)
+    tail = behind.tolist()
+    for i in reversed(lms.tolist()):
+        c = symbols[i]
+        tail[c] -= 1
+        order[tail[c]] = i
+    head = (behind - counts).tolist()
+    for i in order:  # grows ahead of the loop: larger suffixes go behind the place at hand
+        if i > 0 and not is_small[i - 1]:
+            c = symbols[i - 1]
+            order[head[c]] = i - 1
+            head[c] += 1
+    tail = behind.tolist()
+    for k in range(len(s) - 1, -1, -1):
+        i = order[k]
+        if i > 0 and is_small[i - 1]:
+            c = symbols[i - 1]
+            tail[c] -= 1
+            order[tail[c]] = i - 1
+    return np.array(order, lms.dtype)
+
+
+def by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
+    """Induction by whole buckets."""
     large: list[list[np.ndarray]] = [[] for _ in range(names)]
     seeds: list[list[np.ndarray]] = [[] for _ in range(names)]
     _spread(lms, s[lms], seeds)
@@ -95,82 +127,57 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.
     return np.concatenate(out[::-1])
 
 
-def doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string, by ranks over prefixes of doubling length; only tied suffixes are sorted again."""
-    n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    length = 1
-    sorted_rank = rank[order]
+def named_substrings(s: np.ndarray, lms: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
+    """The rank of each LMS substring, equal ones alike, and the number of ranks.
+
+    Several symbols are packed in a number, and only what is still tied goes on to the next ones. A substring
+    that is the beginning of another is the larger of the two, as its last suffix is of type S and the other's of L.
+    """
+    n, bits = len(s), int(symbols).bit_length()
+    per = 63 // bits
+    start, end = lms.astype(np.int64), np.append(lms[1:], n - 1).astype(np.int64) + 1
+
+    def packed(at: np.ndarray, done: int) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        place, stop = start[at] + done, end[at]
+        for o in range(per):
+            out = out << bits | np.where(place + o < stop, s[np.minimum(place + o, n - 1)], symbols)
+        return out
+
+    key = packed(np.arange(len(lms)), 0)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    done = per
     while True:
-        tied = np.zeros(n, bool)
-        same = sorted_rank[1:] == sorted_rank[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order
-        # ranks are places of group heads, so that ties can be split without touching other groups
-        heads = np.flatnonzero(np.r_[True, ~same])
-        rank[order] = np.repeat(heads, np.diff(np.r_[heads, n]))
-        mine = order[at]
-        far = mine + length
-        second = np.where(far < n, rank[np.minimum(far, n - 1)], -1)
-        again = np.lexsort((second, rank[mine]))
-        order[at] = mine[again]
-        first, second = rank[mine][again], second[again]
-        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        place = np.maximum.accumulate(np.where(new, at, 0))
-        rank[order[at]] = place
-        sorted_rank = rank[order]
-        length *= 2
-
-
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BASE = 0x9E3779B97F4A7C15
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, up to n at least."""
-    if len(_powers[0]) <= n:
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                _powers[i] = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
-    return _powers
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(order)))
+        tied = (sizes > 1) & np.logical_or.reduceat((end - start)[order] > done, starts)
+        if not tied.any():
+            break
+        at = np.flatnonzero(np.repeat(tied, sizes))
+        mine, group = order[at], (np.cumsum(new) - 1)[at]
+        key = packed(mine, done)
+        turn = np.lexsort((key, group))
+        order[at], key = mine[turn], key[turn]
+        new[at] = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
+        done += per
+    rank = np.cumsum(new) - 1
+    names = np.empty(len(lms), np.int32)
+    names[order] = rank
+    return names, int(rank[-1]) + 1
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffixes of s in order. s: integers from 0, the last of which is the only 0."""
-    n, names = len(s), int(s.max()) + 1
+    n, symbols = len(s), int(s.max()) + 1
     if n == 1:
         return np.zeros(1, np.int32)
     small = smaller(s)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    rough = induce(s, small, lms, names)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    # names: equal substrings, up to and with the next LMS place, have equal sums of symbols times powers
-    with np.errstate(over="ignore"):
-        power, back = powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((s.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0xA5A5A5A5)) * power[:n], out=sums[1:])
-        end = np.minimum(np.append(lms[1:], n - 1) + 1, n)
-        of = (sums[end] - sums[lms]) * back[lms]
-    del sums
-    nth = np.zeros(n, np.int32)
-    nth[lms] = np.arange(len(lms), dtype=np.int32)
-    k = nth[ordered]
-    of, long = of[k], (end - lms)[k]
-    changed = np.append(True, (of[1:] != of[:-1]) | (long[1:] != long[:-1]))
-    name = np.zeros(n, np.int32)
-    name[ordered] = np.cumsum(changed) - 1
-    reduced = name[lms]
-    kinds = int(changed.sum())
-    if kinds < len(lms):
-        order = suffix_array(reduced) if kinds <= FEW_NAMES else doubled(reduced)
-        ordered = lms[order]
-    return induce(s, small, ordered, names)
+    names, kinds = named_substrings(s, lms, symbols)
+    order = suffix_array(names) if kinds < len(lms) else np.argsort(names)
+    return induce(s, small, lms[order], symbols)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
