@@ -110,6 +110,24 @@ def scanned(df: DataFrame, keys: list[str], time: str, tie: str, value: str, mad
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, time, tie).mapInArrow(run, schema)
 
 
+def thinned(df: DataFrame, keys: list[str], at: str, apart: int) -> DataFrame:
+    """keys and at of the rows that lie more than apart behind the last row of their key that was kept."""
+
+    def start() -> Callable:
+        last = None
+
+        def step(now: int, x: float | None) -> int:
+            nonlocal last
+            keep = last is None or now - last > apart
+            last = now if keep else last
+            return int(keep)
+
+        return step
+
+    d = scanned(df.select(*keys, at).withColumn("__tie", F.lit(0)).withColumn("__none", F.lit(None).cast("double")), keys, at, "__tie", "__none", "__kept int", start)
+    return d.where("__kept = 1").select(*keys, at)
+
+
 def exponential(df: DataFrame, keys: list[str], time: str, tie: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
     """Each key's values in order with the recursive mean g += alpha * (x - g), begun at the first value.
 

@@ -77,3 +77,40 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     both = old.join(new, keys, "full")
     action = F.when(F.col("__new").isNull(), "kept").when(F.col("__old").isNull(), "appended").when(F.col("__old") == F.col("__new"), "duplicate_skipped").otherwise("updated")
     return both.select(*keys, *[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}")).alias(c) for c in same], action.alias("action"))
+
+
+def ranked(df: DataFrame, *order: Column, partitions: int = 16) -> DataFrame:
+    """df with rank, its place from 0 in the whole order: rows are dealt by ranges and numbered within them, so that
+    no task sees all of them; one count a range is summed up in the driver's plan."""
+    part = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    part = part.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    return part.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__nth")).drop("__at", "__part", "__nth", "__before")
+
+
+def winning_cluster(df: DataFrame, keys: list[str], value: str, within: int) -> tuple[DataFrame, DataFrame]:
+    """(df with inside, a row a key: centre, members, runner_up, n).
+
+    The centre is the value with most others within reach, of equals the one with the least spread, then the
+    smallest; the runner-up is the best count among what the winner leaves. Range frames, not self-joins.
+    """
+    near = Window.partitionBy(*keys).orderBy(value).rangeBetween(-within, within)
+    c = df.select(*keys, F.col(value).alias("centre"), F.count("*").over(near).alias("members"), F.coalesce(F.stddev_pop(value).over(near), F.lit(0.0)).alias("spread"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("members"), F.round("spread", 6), "centre")
+    win = c.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(*keys, "centre", "members")
+    inside = df.join(win, keys).withColumn("inside", F.abs(F.col(value) - F.col("centre")) <= within).drop("centre", "members")
+    rest = inside.where("not inside").select(*keys, F.count("*").over(near).alias("m")).groupBy(*keys).agg(F.max("m").alias("runner_up"))
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return inside, win.join(n, keys).join(rest, keys, "left").withColumn("runner_up", F.coalesce("runner_up", F.lit(0)))
+
+
+def reset_reason(status: Column, before: Column, health: Column) -> Column:
+    """Why a device's buffer is cleared at a status that follows another, or null."""
+    was = F.coalesce(before, F.lit(""))
+    return (
+        F.when((status == "moving") & (was != "moving"), "motion_detected")
+        .when((status == "still") & ~was.isin("", "still"), "warming_up")
+        .when((status == "calibrating") & (was != "calibrating"), "calibrating")
+        .when(health, "invalid_timing")
+    )

@@ -16,6 +16,8 @@ from ..sources import telemetry
 from .catalogue import GAP, KEY, predictions, read, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: What SQL can say of them after all: round trips, recursions, closed forms.
+SQL: dict[str, str] = {}
 SESSION = [*KEY, "session"]
 
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from pulseloom.plans import catalogue, kernels
+from pulseloom.plans import admission, assembly, catalogue, kernels
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,11 +24,15 @@ def plain(v):
     return float(f"{v:.9g}") + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+QUERIES = {**catalogue.QUERIES, **admission.QUERIES, **assembly.QUERIES, **kernels.QUERIES}
+SQL = {**catalogue.SQL, **admission.SQL, **assembly.SQL, **kernels.SQL}
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_against_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    want = duck.sql(catalogue.SQL[name])
+    want = duck.sql(SQL[name])
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
     got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
