@@ -148,10 +148,10 @@ def winning_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {E_SQL}, {CLUSTER_SQL},
-f AS (SELECT user_id, count(*) AS n, count(*) FILTER (inside) AS w, median(CASE WHEN inside THEN value END) AS mid, regr_slope(CASE WHEN inside THEN value END, CASE WHEN inside THEN us / {float(DAY)} END) AS slope FROM m GROUP BY user_id),
+f AS (SELECT user_id, count(*) AS n, count(*) FILTER (inside) AS w, median(CASE WHEN inside THEN value END) AS mid, nullif(regr_slope(CASE WHEN inside THEN value END, CASE WHEN inside THEN us / {float(DAY)} END), 'NaN'::DOUBLE) AS slope FROM m GROUP BY user_id),
 s AS (SELECT f.*, coalesce(runner_up, 0) AS r FROM f LEFT JOIN ru USING (user_id))
-SELECT user_id, CASE WHEN n < 3 THEN 'insufficient_clean_data' WHEN w < ceil(0.05 * n) OR w < 1.0 * r THEN 'ambiguous_hr' WHEN abs(coalesce(slope, 0)) > 0.15 THEN 'ambiguous_trend' ELSE 'usable' END AS status,
- round(CASE WHEN n >= 3 AND w >= ceil(0.05 * n) AND w >= 1.0 * r AND abs(coalesce(slope, 0)) <= 0.15 THEN mid END, 6) AS bpm FROM s"""
+SELECT user_id, CASE WHEN n < 3 THEN 'insufficient_clean_data' WHEN w * 20 < n OR w < 1.0 * r THEN 'ambiguous_hr' WHEN abs(coalesce(slope, 0)) > 0.15 THEN 'ambiguous_trend' ELSE 'usable' END AS status,
+ round(CASE WHEN n >= 3 AND w * 20 >= n AND w >= 1.0 * r AND abs(coalesce(slope, 0)) <= 0.15 THEN mid END, 6) AS bpm FROM s"""
 )
 def trial_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trial's rate from its windows': enough of them, a winning cluster well ahead of the next, no trend."""
@@ -160,7 +160,7 @@ def trial_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inside.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("inside").alias("w"), median(of(F.col("value"))).alias("mid"), F.regr_slope(of(F.col("value")), of(F.col("us") / float(DAY))).alias("slope"))
     d = f.join(wins.select("user_id", "runner_up"), "user_id")
     flat = F.abs(F.coalesce("slope", F.lit(0.0))) <= 0.15
-    status = F.when(F.col("n") < 3, "insufficient_clean_data").when((F.col("w") < F.ceil(F.col("n") * F.lit(0.05))) | (F.col("w") < F.col("runner_up")), "ambiguous_hr").when(~flat, "ambiguous_trend").otherwise("usable")
+    status = F.when(F.col("n") < 3, "insufficient_clean_data").when((F.col("w") * 20 < F.col("n")) | (F.col("w") < F.col("runner_up")), "ambiguous_hr").when(~flat, "ambiguous_trend").otherwise("usable")
     return d.withColumn("status", status).select("user_id", "status", F.round(F.when(F.col("status") == "usable", F.col("mid")), 6).alias("bpm"))
 
 
