@@ -32,8 +32,8 @@ from .common import BROADCAST_BYTES, cut, keep_only, parallelism, pieces, scratc
 #: What one edit must leave of a line, and the words that a line has at least where it does.
 SIMILARITY = 0.8
 MIN_WORDS = round(1 / (1 - SIMILARITY))
-#: Bytes of a broadcast row beside its list, and of a list's entry.
-ROW_BYTES, ENTRY_BYTES = 96, 40
+#: Bytes of a broadcast row beside its list, of a line's number in a list, and of a pair of line and id.
+ROW_BYTES, NUMBER_BYTES, PAIR_BYTES = 96, 4, 32
 CACHED_WORDS = 300_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -126,10 +126,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
-def small(df: DataFrame, lists: str) -> DataFrame:
+def small(df: DataFrame, lists: str, entry_bytes: int) -> DataFrame:
     """df, to be broadcast if it is few bytes by its rows and the entries of a list column."""
     n, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
-    return F.broadcast(df) if n * ROW_BYTES + entries * ENTRY_BYTES <= BROADCAST_BYTES else df
+    return F.broadcast(df) if n * ROW_BYTES + entries * entry_bytes <= BROADCAST_BYTES else df
 
 
 HALVES = ["k1", "k2", "k3", "k4"]
@@ -198,7 +198,7 @@ def candidate_texts(docs: DataFrame, key: str, cand: DataFrame) -> DataFrame:
                 found += [lines[x["line"]] for x in at]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "content"])
 
-    met = docs.select(F.col(key).alias("doc_key"), "text").join(small(per_doc, "at"), "doc_key")
+    met = docs.select(F.col(key).alias("doc_key"), "text").join(small(per_doc, "at", PAIR_BYTES), "doc_key")
     return met.select("text", "at").mapInArrow(run, "id long, content string").dropDuplicates(["id"])
 
 
@@ -285,7 +285,7 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     # of repeated rows each has its lines listed
     gone_key, gone_lines = unused(keyed, "__gone_key"), unused(keyed, "__gone")
     gone = cut(gone.groupBy(F.col("doc_key").alias(gone_key)).agg(F.collect_set("line").alias(gone_lines)))
-    return _without(keyed.join(small(gone, gone_lines), keyed[key] == gone[gone_key], "left"), docs, gone_lines, dropped)
+    return _without(keyed.join(small(gone, gone_lines, NUMBER_BYTES), keyed[key] == gone[gone_key], "left"), docs, gone_lines, dropped)
 
 
 def _without(joined: DataFrame, docs: DataFrame, gone_lines: str, dropped: str | None) -> DataFrame:
