@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dsp
+from ..functions import dsp, waves
+from ..functions.expr import r6
 from ..operators import models
 from ..operators import series as se
 from ..sources import telemetry
-from .catalogue import GAP, KEY, predictions, read, stream
+from .catalogue import E_SQL, GAP, KEY, predictions, read, stream
+from .signals import RATE, over_matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: What SQL can say of them after all: round trips, recursions, closed forms.
@@ -26,17 +28,42 @@ def query(f):
     return f
 
 
+def with_sql(sql: str):
+    def add(f):
+        SQL[f.__name__] = sql
+        return query(f)
+
+    return add
+
+
+#: Events with their session and place in it.
+SESSION_SQL = f"""{E_SQL}, d AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS dt FROM e), s AS (SELECT *, CAST(sum(CASE WHEN dt > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS BIGINT) AS session FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY us, event_id) AS nth FROM s)"""
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the session that recursive operators restart in: it ends at a long gap alone."""
     return se.with_sessions(stream(spark, sf_dir), KEY, "us", "event_id", GAP)
 
 
-@query
+@with_sql(
+    f"""WITH RECURSIVE {SESSION_SQL}, r AS (SELECT user_id, session, nth, event_id, value AS ema FROM n WHERE nth = 1 UNION ALL SELECT n.user_id, n.session, n.nth, n.event_id, r.ema + 0.01::DOUBLE * (n.value - r.ema) FROM r JOIN n ON n.user_id = r.user_id AND n.session = r.session AND n.nth = r.nth + 1)
+SELECT event_id, round(ema, 6) AS ema FROM r"""
+)
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", "ema")
+    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", r6("ema").alias("ema"))
 
 
-@query
+#: The same rules a row at a time: state, and since when value has been over or under.
+STEP_SQL = """SELECT *, CASE WHEN us - first >= 2000000 AND above IS NOT NULL AND us - above >= 200000 THEN 1 WHEN us - first >= 2000000 AND below IS NOT NULL AND us - below >= 1000000 THEN 0 ELSE prior END AS state FROM
+(SELECT *, CASE WHEN us - first < 2000000 THEN p_above WHEN value > 50 THEN coalesce(p_above, us) END AS above, CASE WHEN us - first < 2000000 THEN p_below WHEN value < 35 THEN coalesce(p_below, us) END AS below FROM ({of}))"""
+
+
+@with_sql(
+    f"""WITH RECURSIVE {SESSION_SQL}, r AS ({STEP_SQL.format(of="SELECT user_id, session, nth, event_id, us, us AS first, value, CAST(NULL AS BIGINT) AS p_above, CAST(NULL AS BIGINT) AS p_below, CAST(NULL AS INTEGER) AS prior FROM n WHERE nth = 1")}
+UNION ALL {STEP_SQL.format(of="SELECT n.user_id, n.session, n.nth, n.event_id, n.us, r.first, n.value, r.above AS p_above, r.below AS p_below, r.state AS prior FROM r JOIN n ON n.user_id = r.user_id AND n.session = r.session AND n.nth = r.nth + 1")})
+SELECT event_id, state FROM r"""
+)
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 moving, 0 still, null calibrating; dwell times and warm-up in microseconds."""
     return se.dwelling(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 50.0, 35.0, 200_000, 1_000_000, 2_000_000).select("event_id", "state")
@@ -46,29 +73,40 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bandpass_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings read as beat windows of 64 samples at 16 Hz."""
 
-    def run(batches):
-        for d in batches:
-            rows = []
-            for i, v in zip(d.vec_id, d.embedding, strict=True):
-                x = np.asarray(v, float)
-                f = dsp.spectral_features(x, 16.0, 0.7, 3.0)
-                bpm, why = dsp.heart_rate(x, 16.0)
-                rows.append((i, f["dominant_hz"], f["entropy"], None if np.isnan(bpm) else bpm, why))
-            yield pd.DataFrame(rows, columns=["vec_id", "dominant_hz", "entropy", "bpm", "rejection"])
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        y = waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))
+        s = waves.spectral(y, RATE, 0.7, 3.0)
+        got = [waves.window_rate(w, RATE) for w in y]
+        return {"dominant_hz": s["dominant_hz"], "entropy": s["entropy"], "bpm": np.array([np.nan if b is None else b for b, _ in got]), "rejection": [w for _, w in got]}
+
+    e = read(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
+    return over_matrix(e, "embedding", {"dominant_hz": "double", "entropy": "double", "bpm": "double", "rejection": "string"}, f)
+
 
-    return read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, dominant_hz double, entropy double, bpm double, rejection string")
+#: Samples that a window of a session holds at most.
+WINDOW = 256
 
 
 @query
 def beat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A device's session of values as one evenly sampled window."""
+    """A device's session of values, in windows of WINDOW evenly sampled rows; those of under nine have no beats."""
+    names = ["n_beats", "crest_phase", "width_50", "width_25", "area", "template_correlation"]
 
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        x = d.sort_values(["us", "event_id"]).value.to_numpy(float)
-        f = dsp.beat_features(dsp.bandpass(x, 16.0, 0.7, 3.0), 16.0) if len(x) > 8 else dsp.beat_features(np.zeros(4), 16.0)
-        return pd.DataFrame([{"user_id": key[0], "session": key[1], **f}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for v in batch.column(3):
+                x = v.values.field("value").to_numpy(zero_copy_only=False).astype(float)
+                x = x - x.mean()
+                rows.append(dsp.beat_features(waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))[0] if x.std() > 0 else x, RATE))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([r[k] for r in rows], pa.float64()) for k in names)], names=[*SESSION, "part", *names])
 
-    return sessions(spark, sf_dir).groupBy(*SESSION).applyInPandas(run, "user_id long, session long, n_beats double, crest_phase double, width_50 double, width_25 double, area double, template_correlation double")
+    nth = F.row_number().over(se.in_order(SESSION, "us", "event_id"))
+    cut = sessions(spark, sf_dir).withColumn("part", F.floor((nth - 1) / WINDOW))
+    w = cut.groupBy(*SESSION, "part").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))).alias("rows"))  # WINDOW rows at most
+    long = w.where(F.size("rows") > 8).mapInArrow(run, "user_id long, session long, part long, " + ", ".join(f"{n} double" for n in names))
+    short = w.where(F.size("rows") <= 8).select(*SESSION, "part", F.lit(0.0).alias("n_beats"), *[F.lit(None).cast("double").alias(n) for n in names[1:]])
+    return long.unionByName(short)
 
 
 @query
@@ -83,7 +121,10 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.bootstrap_mean(p, "o_custkey", "err")
 
 
-@query
+@with_sql(
+    f"""WITH {E_SQL}, t AS (SELECT event_id, event_type, us, value, k, CASE event_type WHEN 'error' THEN 'status' WHEN 'click' THEN 'imu' WHEN 'signup' THEN 'noise' ELSE 'ppg' END AS kind FROM e)
+SELECT event_id, kind, CASE WHEN kind = 'ppg' THEN us // 1000 END AS timestamp_ms, CASE WHEN kind = 'ppg' THEN CAST(trunc(value * 100) AS BIGINT) END AS red, CASE WHEN kind = 'imu' THEN CAST(trunc(-value) AS BIGINT) END AS y_raw, CASE WHEN kind = 'status' THEN 'warning' END AS status_type, CASE WHEN kind = 'status' THEN CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) END AS level FROM t"""
+)
 def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as telemetry lines and parsed back."""
     e = stream(spark, sf_dir)
@@ -98,7 +139,7 @@ def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "kind", "ppg.timestamp_ms", F.col("ppg.red").alias("red"), F.col("imu.y_raw").alias("y_raw"), F.col("status.type").alias("status_type"), F.element_at("status.fields", "level").alias("level"))
 
 
-@query
+@with_sql(f"WITH {E_SQL} SELECT event_id, 'ppg' AS kind, event_id AS seq, us // 1000 % 1000000000 AS timestamp_ms, CAST(trunc(value * 100) AS BIGINT) AS a, k AS b FROM e")
 def packet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events packed as absolute sample packets and decoded again."""
     little = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c.cast("long")), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
@@ -107,7 +148,11 @@ def packet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.decode_packets(e.select("event_id", packet.alias("packet"))).select("event_id", "kind", "seq", "timestamp_ms", "a", "b")
 
 
-@query
+@with_sql(
+    f"""WITH {SESSION_SQL}, h AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN event_type <> 'error' THEN us END IGNORE NULLS) OVER w AS v_us FROM n WINDOW w AS (PARTITION BY user_id, session ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, CASE WHEN us - v_us = 0 THEN 'current' WHEN us - v_us <= {GAP} THEN 'held' ELSE 'unavailable' END AS mode FROM h)
+SELECT event_id, session, mode, CASE WHEN mode <> 'unavailable' THEN v END AS shown FROM m"""
+)
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of streaming.live.live_sessions: sessions and the value held within them."""
     s = se.with_sessions(stream(spark, sf_dir), KEY, "us", "event_id", GAP)
