@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import MAD_SCALE, band, median, micros, r6, ratio, reasons, timing_quality
+from ..functions.expr import MAD_SCALE, band, median, micros, middle, r6, ratio, reasons, timing_quality
 from ..operators import intervals as iv
 from ..operators import series as se
 from ..operators import studies as st
@@ -65,8 +65,10 @@ def flagship_occasions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = se.with_sessions(stream(spark, sf_dir), KEY, "us", "event_id", GAP)
     w = iv.in_windows(s, "us", WIDTH, STEP)
     keys = ["user_id", "session", "start_us"]
-    m = w.groupBy(*keys).agg(F.count("*").alias("n"), median("value").alias("mid"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    d = w.join(m, keys).groupBy(*keys).agg((F.lit(MAD_SCALE) * median(F.abs(F.col("value") - F.col("mid")))).alias("mad"), F.first("mid").alias("mid"), F.first("n").alias("n"), F.first("errors").alias("errors"))
+    # a window's values are few: one grouping has them sorted, and both medians are read off
+    m = w.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("v"), F.count_if(F.col("event_type") == "error").alias("errors")).withColumn("mid", middle(F.col("v")))
+    off = F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("mid"))))
+    d = m.select(*keys, "n", "errors", "mid", (F.lit(MAD_SCALE) * middle(off)).alias("mad"))
     a = d.withColumns({"ok": (F.col("n") >= 2) & (F.col("errors") == 0), "end_us": F.col("start_us") + WIDTH})
     c = iv.covered(a.where("ok"), KEY)
     ok = lambda x: F.when(F.col("ok"), F.col(x))

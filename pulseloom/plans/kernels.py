@@ -148,6 +148,29 @@ def packet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.decode_packets(e.select("event_id", packet.alias("packet"))).select("event_id", "kind", "seq", "timestamp_ms", "a", "b")
 
 
+@with_sql(
+    f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS nth FROM e)
+SELECT user_id, 'ppg' AS kind, nth AS seq, nth * 10 AS timestamp_ms, CAST(trunc(value * 100) AS BIGINT) % 262144 AS a, k % 262144 AS b FROM n"""
+)
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each device's events as batches of five, two of three of them relative to the one before, and decoded again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packets = []
+            for part, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                samples = [(10 * r["nth"], r["a"], r["b"]) for r in rows]
+                first = rows[0]["nth"]
+                packets.append(telemetry.delta_packet(telemetry.PPG_DELTA, 10 * first - 10, samples) if part % 3 else telemetry.batch_packet(telemetry.PPG_BATCH, first, 10 * first, samples))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packets, pa.binary())], names=["user_id", "part", "packet"])
+
+    nth = F.row_number().over(se.in_order(KEY, "us", "event_id")).cast("long") - 1
+    e = stream(spark, sf_dir).select("user_id", nth.alias("nth"), ((F.col("value") * 100).cast("long") % 262144).alias("a"), (F.col("k") % 262144).alias("b"))
+    packed = e.groupBy("user_id", F.floor(F.col("nth") / 5).alias("part")).agg(F.sort_array(F.collect_list(F.struct("nth", "a", "b"))).alias("rows"))  # five rows
+    sent = packed.select("user_id", "part", "rows").mapInArrow(run, "user_id long, part long, packet binary")
+    return telemetry.placed_samples(sent, KEY, "part").select("user_id", "kind", "seq", "timestamp_ms", "a", "b")
+
+
 @with_sql(
     f"""WITH {SESSION_SQL}, h AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN event_type <> 'error' THEN us END IGNORE NULLS) OVER w AS v_us FROM n WINDOW w AS (PARTITION BY user_id, session ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT *, CASE WHEN us - v_us = 0 THEN 'current' WHEN us - v_us <= {GAP} THEN 'held' ELSE 'unavailable' END AS mode FROM h)

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseloom.operators import series as se
-from pulseloom.streaming.live import live_sessions, live_windows
+from pulseloom.operators import studies as st
+from pulseloom.streaming.live import live_monitor, live_sessions, live_windows
 
 SCHEMA = "user_id long, event_id long, us long, event_type string, value double"
 
@@ -38,3 +40,38 @@ def test_live_windows_equal_the_batch(spark, tmp_path):
     q.stop()
     batch = df.groupBy(F.window("ts", "8 hours", "4 hours"), "user_id").agg(F.count("*").alias("n")).collect()
     assert {(r.user_id, r.start): r.n for r in spark.table("wins").collect()} == {(r.user_id, r.window.start): r.n for r in batch}
+
+
+def streamed(spark, df, schema, make, name, tmp_path):
+    """The result of make over df, read as four files in order of event_id."""
+    for k in range(4):
+        df.where(f"event_id div 100 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = make(files).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_a_step_of_sequence_or_an_equal_time_resets(spark, tmp_path):
+    rows = [(1, i, 10 * i, "view", 1.0) for i in (0, 1, 2, 4, 5)] + [(1, 6, 50, "error", 1.0), (1, 7, 70, "error", 1.0)]
+    got = streamed(spark, spark.createDataFrame(rows, SCHEMA), SCHEMA, lambda f: live_sessions(f, 1000, 1000, sequence=True), "steps", tmp_path)
+    assert [(r.event_id, r.reset, r.mode) for r in sorted(got, key=lambda r: r.event_id)] == [(0, False, "current"), (1, False, "current"), (2, False, "current"), (4, True, "current"), (5, False, "current"), (6, True, "unavailable"), (7, False, "unavailable")]
+
+
+def test_live_monitor_equals_the_batch_rules(spark, tmp_path):
+    r = np.random.default_rng(6)
+    n, keep = 400, 900
+    schema = "user_id long, event_id long, us long, status string, counter long"
+    df = spark.createDataFrame(pd.DataFrame({"user_id": r.integers(0, 3, n), "event_id": range(n), "us": np.cumsum(r.integers(1, 60, n)), "status": r.choice(["still", "still", "still", "still", "moving", "calibrating"], n), "counter": r.integers(0, 70, n)}), schema)
+    got = {g.event_id: (g.reset, g.generation, g.buffered, g.analysed) for g in streamed(spark, df, schema, lambda f: live_monitor(f, 60, keep, 500), "monitor", tmp_path)}
+    w = se.in_order(["user_id"], "us", "event_id")
+    d = df.withColumns({"prev": F.lag("status").over(w), "pc": F.lag("counter").over(w)})
+    d = d.withColumn("reset", st.reset_reason(F.col("status"), F.col("prev"), F.col("counter") > F.col("pc") + 60))
+    d = d.withColumn("generation", F.sum(F.when(F.col("reset").isNotNull(), 1).otherwise(0)).over(w))
+    key = Window.partitionBy("user_id", "generation")
+    age = F.col("us") - F.min("us").over(key)
+    d = d.withColumns({"age": age, "buffered": F.count(F.lit(1)).over(key.orderBy("us").rangeBetween(-keep, 0))})
+    tick = F.floor(F.col("age") / 500)
+    d = d.withColumn("analysed", (tick > 0) & (F.row_number().over(Window.partitionBy("user_id", "generation", tick).orderBy("us", "event_id")) == 1))
+    assert got == {x.event_id: (x.reset, x.generation, x.buffered, x.analysed) for x in d.collect()} and any(v[3] for v in got.values())
