@@ -500,3 +500,50 @@ def contact_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.max("us").over(Window.partitionBy("user_id"))
     t = stream(spark, sf_dir).withColumn("now", now).where(F.col("us") >= F.col("now") - DAY).groupBy("user_id").agg(F.min("value").alias("least"), (F.max("value") - F.min("value")).alias("span"), F.count("*").alias("n"))
     return t.select("user_id", F.when(F.col("least") <= 5, "poor_contact").when(F.col("span") > 200, "contact_step").alias("veto"), "n")
+
+
+GAPS_SQL = f"g AS (SELECT user_id, kind, us - dt AS before_us, us AS after_us, dt, us - dt // 2 AS mid, row_number() OVER (PARTITION BY user_id, kind ORDER BY us, event_id) AS nth FROM (SELECT *, CASE WHEN event_type IN ('view', 'purchase') THEN 'ppg' ELSE 'imu' END AS kind, us - lag(us) OVER (PARTITION BY user_id, event_type IN ('view', 'purchase') ORDER BY us, event_id) AS dt FROM e) WHERE dt > {8 * GAP})"
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stream(spark, sf_dir).withColumn("kind", F.when(F.col("event_type").isin("view", "purchase"), "ppg").otherwise("imu"))
+    d = se.gap_events(e, ["user_id", "kind"], "us", "event_id", 8 * GAP)
+    return d.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "kind").orderBy("after_us", "after_id")))
+
+
+@query(
+    f"""WITH {E_SQL}, {GAPS_SQL}, c AS (SELECT user_id, count(*) FILTER (kind = 'ppg') AS p, count(*) FILTER (kind = 'imu') AS i, coalesce(max(dt), 0) AS longest FROM g GROUP BY user_id),
+o AS (SELECT a.user_id, max(abs(a.mid - b.mid)) AS off FROM g a JOIN g b ON a.user_id = b.user_id AND a.nth = b.nth AND a.kind = 'ppg' AND b.kind = 'imu' GROUP BY a.user_id)
+SELECT user_id, {sorted_sql("CASE WHEN p > 6 THEN 'too_many_ppg_gaps' END", "CASE WHEN i > 6 THEN 'too_many_imu_gaps' END", "CASE WHEN p <> i THEN 'unsynchronized_gap_count' END", f"CASE WHEN longest > {40 * GAP} THEN 'gap_too_long' END", f"CASE WHEN off > {4 * GAP} THEN 'unsynchronized_gap_time' END")} AS reasons FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN c USING (user_id) LEFT JOIN o USING (user_id)"""
+)
+def gap_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a recording's gaps are few, short, and the same in both streams: the nth of one against the nth of the other."""
+    g = _gaps(spark, sf_dir)
+    c = g.groupBy("user_id").agg(F.count_if(F.col("kind") == "ppg").alias("p"), F.count_if(F.col("kind") == "imu").alias("i"), F.max("span_us").alias("longest"))
+    side = lambda k: g.where(F.col("kind") == k).select("user_id", "nth", F.col("mid_us").alias(k))
+    o = side("ppg").join(side("imu"), ["user_id", "nth"]).groupBy("user_id").agg(F.max(F.abs(F.col("ppg") - F.col("imu"))).alias("off"))
+    d = stream(spark, sf_dir).select("user_id").distinct().join(c, "user_id", "left").join(o, "user_id", "left")
+    why = reasons(("too_many_ppg_gaps", F.col("p") > 6), ("too_many_imu_gaps", F.col("i") > 6), ("unsynchronized_gap_count", F.col("p") != F.col("i")), ("gap_too_long", F.col("longest") > 40 * GAP), ("unsynchronized_gap_time", F.col("off") > 4 * GAP))
+    return d.select("user_id", why.alias("reasons"))
+
+
+@query(
+    f"""WITH {E_SQL}, {GAPS_SQL}, s AS (SELECT user_id, min(us) AS a, max(us) AS z FROM e WHERE event_type IN ('view', 'purchase') GROUP BY user_id),
+b AS (SELECT user_id, a AS start_us, 0 AS nth FROM s UNION ALL SELECT user_id, after_us + {HOUR}, nth FROM g WHERE kind = 'ppg'),
+i AS (SELECT b.user_id, b.start_us, coalesce(g.before_us - {HOUR}, s.z) AS end_us FROM b JOIN s USING (user_id) LEFT JOIN g ON g.user_id = b.user_id AND g.kind = 'ppg' AND g.nth = b.nth + 1)
+SELECT i.user_id, i.start_us, i.end_us, count(event_id) AS n, round(quantile_cont(value, 0.5), 6) AS mid FROM i LEFT JOIN e ON e.user_id = i.user_id AND us >= start_us AND us < end_us WHERE end_us > start_us GROUP BY ALL"""
+)
+def continuous_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies between a recording's gaps, with a guard on either side, and the samples of each interval."""
+    e = stream(spark, sf_dir)
+    s = e.where("event_type in ('view', 'purchase')").groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("z"))
+    g = _gaps(spark, sf_dir).where("kind = 'ppg'")
+    starts = s.select("user_id", F.col("a").alias("start_us")).unionByName(g.select("user_id", (F.col("after_us") + HOUR).alias("start_us")))
+    ends = s.select("user_id", F.col("z").alias("end_us")).unionByName(g.select("user_id", (F.col("before_us") - HOUR).alias("end_us")))
+    # the nth start belongs to the nth end: both rise together
+    numbered = lambda d, c: d.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(c)))
+    i = numbered(starts, "start_us").join(numbered(ends, "end_us"), ["user_id", "nth"]).where("end_us > start_us").drop("nth")
+    # intervals are apart, so each sample has at most one: the latest that begins before it
+    got = iv.asof(e, i.withColumns({"us": F.col("start_us"), "event_id": F.lit(-1).cast("long")}), KEY, "us", "event_id", ["start_us", "end_us"]).where("us < asof_end_us")
+    m = got.groupBy("user_id", F.col("asof_start_us").alias("start_us")).agg(F.count("*").alias("n"), r6(median("value")).alias("mid"))
+    return i.join(m, ["user_id", "start_us"], "left").select("user_id", "start_us", "end_us", F.coalesce("n", F.lit(0)).alias("n"), "mid")

@@ -91,6 +91,21 @@ def window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_matrix(windows(spark, sf_dir), "samples", {"bpm": "double", "reasons": "string"}, f)
 
 
+@query
+def estimator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows under both rate estimators and the finger one: what each says, and whether they agree."""
+
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        y = waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))
+        a, b = [waves.window_rate(w, RATE) for w in y], [waves.guided_rate(w, RATE) for w in y]
+        finger, n = waves.finger_rate(60_000 + 4000 * x, RATE)
+        number = lambda got: np.array([np.nan if v is None else v for v, _ in got])
+        return {"original": number(a), "guided": number(b), "finger": finger, "n_peaks": n, "guided_reasons": [w for _, w in b]}
+
+    d = over_matrix(windows(spark, sf_dir), "samples", {"original": "double", "guided": "double", "finger": "double", "n_peaks": "int", "guided_reasons": "string"}, f)
+    return d.withColumn("agree", F.abs(F.col("original") - F.col("guided")) <= 6)
+
+
 @query
 def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of every recording with admission first: only those without clipped, flat or stepping samples are computed."""
