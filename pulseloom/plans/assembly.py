@@ -547,3 +547,144 @@ def continuous_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = iv.asof(e, i.withColumns({"us": F.col("start_us"), "event_id": F.lit(-1).cast("long")}), KEY, "us", "event_id", ["start_us", "end_us"]).where("us < asof_end_us")
     m = got.groupBy("user_id", F.col("asof_start_us").alias("start_us")).agg(F.count("*").alias("n"), r6(median("value")).alias("mid"))
     return i.join(m, ["user_id", "start_us"], "left").select("user_id", "start_us", "end_us", F.coalesce("n", F.lit(0)).alias("n"), "mid")
+
+
+@query(
+    f"""WITH {E_SQL}, d AS (SELECT user_id, us // {DAY} AS trial, us, value, event_type, us - lag(us) OVER ({E_WIN}) AS dt FROM e),
+c AS (SELECT user_id, trial, count(*) AS n, round(quantile_cont(dt, 0.5), 6) AS period, round(avg(value), 6) AS computed, count(*) FILTER (event_type = 'error') AS faults FROM d GROUP BY ALL),
+m AS (SELECT DISTINCT user_id, us // {DAY} AS trial, CASE WHEN (us // {DAY}) % 3 = 0 THEN 77.0 END AS stated FROM e UNION SELECT DISTINCT user_id, -1, 50.0 FROM e)
+SELECT user_id, trial, coalesce(n, 0) AS n, period, coalesce(stated, computed) AS rate, CASE WHEN n IS NULL THEN 'reject' WHEN faults > 0 THEN 'invalid_timing' WHEN n < 2 THEN 'borderline' ELSE 'usable' END AS status FROM m LEFT JOIN c USING (user_id, trial)"""
+)
+def trial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every trial that metadata know: stated values before computed ones, health before quality, and missing files as rejects."""
+    trial = F.expr(f"us div {DAY}").alias("trial")
+    d = se.with_deltas(stream(spark, sf_dir), KEY, "us", "event_id")
+    c = d.groupBy("user_id", trial).agg(F.count("*").alias("n"), r6(median("dt")).alias("period"), r6(F.avg("value")).alias("computed"), F.count_if(F.col("event_type") == "error").alias("faults"))
+    known = stream(spark, sf_dir).select("user_id", trial).distinct().withColumn("stated", F.when(F.col("trial") % 3 == 0, 77.0))
+    known = known.unionByName(known.select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("trial"), F.lit(50.0).alias("stated")))
+    status = F.when(F.col("n").isNull(), "reject").when(F.col("faults") > 0, "invalid_timing").when(F.col("n") < 2, "borderline").otherwise("usable")
+    return known.join(c, ["user_id", "trial"], "left").select("user_id", "trial", F.coalesce("n", F.lit(0)).alias("n"), "period", F.coalesce("stated", "computed").alias("rate"), status.alias("status"))
+
+
+TYPED_SQL = "CASE WHEN event_type = 'error' THEN 'moving' WHEN value < 10 THEN 'poor_contact' WHEN value > 150 THEN 'contact_step' ELSE 'clean' END"
+
+
+@query(
+    f"""WITH {E_SQL}, t AS (SELECT *, {TYPED_SQL} AS kind FROM e), n AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER ({E_WIN}) THEN 1 ELSE 0 END AS new FROM t), r AS (SELECT *, sum(new) OVER ({E_WIN}) AS run FROM n)
+SELECT user_id, CAST(run AS BIGINT) AS run, kind, min(us) AS start_us, max(us) AS end_us, count(*) AS n_rows, CASE WHEN kind = 'clean' THEN 'unreviewed' ELSE 'automatic' END AS review FROM r GROUP BY user_id, run, kind"""
+)
+def typed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording cut into intervals of one kind each."""
+    w = se.in_order(KEY, "us", "event_id")
+    v = F.col("value")
+    kind = F.when(F.col("event_type") == "error", "moving").when(v < 10, "poor_contact").when(v > 150, "contact_step").otherwise("clean")
+    t = stream(spark, sf_dir).withColumn("kind", kind)
+    r = t.withColumn("new", F.when(F.col("kind").eqNullSafe(F.lag("kind").over(w)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return r.groupBy("user_id", "run", "kind").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n_rows")).withColumn("review", F.when(F.col("kind") == "clean", "unreviewed").otherwise("automatic"))
+
+
+@query(
+    f"""WITH {E_SQL}, w AS (SELECT user_id, event_id, us, k, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS back FROM e WHERE event_type = 'error'), l AS (SELECT user_id, event_type, k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us DESC, event_id DESC) AS back FROM e)
+SELECT u.user_id, (SELECT k FROM l WHERE l.user_id = u.user_id AND event_type = 'view' AND back = 1) AS latest_view, (SELECT k FROM l WHERE l.user_id = u.user_id AND event_type = 'click' AND back = 1) AS latest_click,
+ (SELECT count(*) FROM w WHERE w.user_id = u.user_id) AS warnings, (SELECT string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY back) FROM w WHERE w.user_id = u.user_id AND back <= 3) AS last_warnings FROM (SELECT DISTINCT user_id FROM e) u"""
+)
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device's latest record of each kind, how many warnings it gave, and the last three."""
+    e, t = stream(spark, sf_dir), F.col("event_type")
+    at = F.struct("us", "event_id")
+    latest = lambda kind: F.max_by(F.when(t == kind, F.col("k")), F.when(t == kind, at)).alias(f"latest_{kind}")
+    g = e.groupBy("user_id").agg(latest("view"), latest("click"), F.count_if(t == "error").alias("warnings"))
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("event_id")))
+    last = e.where(t == "error").withColumn("back", back).where("back <= 3").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("back", "event_id"))).alias("l"))  # three rows
+    last = last.select("user_id", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ";").alias("last_warnings"))
+    return g.join(last, "user_id", "left")
+
+
+@query(
+    """WITH s AS (SELECT d.doc_id, d.source, l.quality AS truth, CAST(d.n_chars >= 500 AS INTEGER) AS guess, d.doc_id % 7 = 0 AS trained_on FROM documents d JOIN labels l USING (doc_id))
+SELECT source, count(*) FILTER (trained_on) AS refused, count(*) FILTER (NOT trained_on) AS n, count(*) FILTER (NOT trained_on AND truth = 1 AND guess = 1) AS tp, count(*) FILTER (NOT trained_on AND truth = 0 AND guess = 0) AS tn,
+ round((count(*) FILTER (NOT trained_on AND truth = 1 AND guess = 1) / nullif(count(*) FILTER (NOT trained_on AND truth = 1), 0) + count(*) FILTER (NOT trained_on AND truth = 0 AND guess = 0) / nullif(count(*) FILTER (NOT trained_on AND truth = 0), 0)) / 2, 6) AS balanced_accuracy FROM s GROUP BY source"""
+)
+def frozen_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed classifier on trials that it was not fitted to; those it knows are counted and left out."""
+    s = read(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") >= 500).cast("int").alias("guess")).join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth")), "doc_id")
+    fresh = F.col("doc_id") % 7 != 0
+    c = st.confusion(F.when(fresh, F.col("truth")), F.col("guess"))
+    return s.groupBy("source").agg(F.count_if(~fresh).alias("refused"), F.count_if(fresh).alias("n"), c["tp"].alias("tp"), c["tn"].alias("tn"), r6(c["balanced_accuracy"]).alias("balanced_accuracy"))
+
+
+@query(
+    f"""WITH o AS (SELECT o_custkey, o_orderpriority, o_totalprice / 1000 AS truth, avg(o_totalprice / 1000) OVER ({O_WIN} ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS g1, avg(o_totalprice / 1000) OVER ({O_WIN} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS g2, avg(o_totalprice / 1000) OVER ({O_WIN} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS g4, row_number() OVER ({O_WIN}) AS nth FROM orders),
+l AS (SELECT unnest([1, 2, 4]) AS duration, * FROM o WHERE nth > 4)
+SELECT duration, count(*) AS n, round(avg(abs(CASE duration WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE g4 END - truth)), 6) AS mae, count(DISTINCT o_custkey) AS participants FROM l GROUP BY duration"""
+)
+def duration_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same estimate from shorter and longer histories, on the occasions that have the longest."""
+    w = se.in_order(["o_custkey"], *ORDERED)
+    v = F.col("o_totalprice") / 1000
+    o = read(spark, sf_dir, "orders").select("o_custkey", v.alias("truth"), F.row_number().over(w).alias("nth"), *[F.avg(v).over(w.rowsBetween(-d, -1)).alias(f"g{d}") for d in (1, 2, 4)]).where("nth > 4")
+    long = o.select("o_custkey", "truth", F.explode(F.array(*[F.struct(F.lit(d).alias("duration"), F.col(f"g{d}").alias("g")) for d in (1, 2, 4)])).alias("x"))
+    return long.groupBy(F.col("x.duration").alias("duration")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("x.g") - F.col("truth")))).alias("mae"), F.countDistinct("o_custkey").alias("participants"))
+
+
+@query(
+    f"""WITH {E_SQL}, l AS (SELECT *, max(us) OVER (PARTITION BY user_id) AS z FROM e), x AS (SELECT unnest([2, 5, 10]) AS days, * FROM l)
+SELECT user_id, days, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS mid, round(CASE WHEN count(DISTINCT us) > 1 THEN regr_slope(value, (us - z) / {float(DAY)}) END, 6) AS slope FROM x WHERE us > z - days * {DAY} GROUP BY ALL"""
+)
+def observation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of windows of several lengths that end with the recording."""
+    z = F.max("us").over(Window.partitionBy("user_id"))
+    x = stream(spark, sf_dir).withColumn("z", z).where(F.col("us") > F.col("z") - 10 * DAY).withColumn("days", F.explode(F.array(F.lit(2), F.lit(5), F.lit(10)))).where(F.col("us") > F.col("z") - F.col("days").cast("long") * DAY)
+    slope = F.when(F.countDistinct("us") > 1, F.regr_slope(F.col("value"), (F.col("us") - F.col("z")) / float(DAY)))
+    return x.groupBy("user_id", "days").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(median("value")).alias("mid"), r6(slope).alias("slope"))
+
+
+@query(
+    f"""WITH {E_SQL}, p AS (SELECT user_id, event_id, us, value FROM e WHERE event_type = 'purchase'), w AS (SELECT DISTINCT user_id, us // {STEP} * {STEP} AS s FROM e WHERE event_type <> 'error')
+SELECT w.user_id, s AS start_us, count(event_id) AS references, round(avg(value), 6) AS reference FROM w JOIN p ON p.user_id = w.user_id AND s >= us - {DAY} AND s + {WIDTH} <= us + {DAY} GROUP BY ALL"""
+)
+def referenced_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that lie wholly in the support of a reference, found by buckets of time."""
+    p = stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", "event_id", "value", (F.col("us") - DAY).alias("b_start_us"), (F.col("us") + DAY).alias("b_end_us"))
+    o = iv.overlaps(_accepted(spark, sf_dir), p, KEY, DAY).where("start_us >= b_start_us and end_us <= b_end_us")
+    return o.groupBy("user_id", "start_us").agg(F.count("event_id").alias("references"), r6(F.avg("value")).alias("reference"))
+
+
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders WHERE o_orderstatus = 'F')
+SELECT o_custkey, o_orderkey AS package, o_totalprice >= 100000 AS gate_passed, o_orderpriority || '/' || CAST(o_custkey AS VARCHAR) AS identity FROM r WHERE back = 1 ORDER BY o_custkey LIMIT 500"""
+)
+def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest package of each participant with its gate, the first five hundred participants (a limit of the display)."""
+    back = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    r = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").withColumn("back", back).where("back = 1")
+    return r.select("o_custkey", F.col("o_orderkey").alias("package"), (F.col("o_totalprice") >= 100000).alias("gate_passed"), F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string")).alias("identity")).orderBy("o_custkey").limit(500)
+
+
+@query(
+    f"""WITH {E_SQL}, i AS (SELECT *, CAST(user_id AS VARCHAR) || '|' || CAST(us // {10 * DAY} AS VARCHAR) || '|' || CASE WHEN k > 50 THEN 'a' ELSE 'b' END AS identity FROM e), c AS (SELECT *, CASE WHEN identity <> lag(identity) OVER ({E_WIN}) THEN 1 ELSE 0 END AS changed FROM i), g AS (SELECT *, sum(changed) OVER ({E_WIN}) AS gen FROM c)
+SELECT event_id, identity, changed = 1 AS cleared, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, gen ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS held FROM g"""
+)
+def held_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last estimate, held only as long as participant, calibration and model stay the same."""
+    w = se.in_order(KEY, "us", "event_id")
+    identity = F.concat_ws("|", F.col("user_id").cast("string"), F.expr(f"us div {10 * DAY}").cast("string"), F.when(F.col("k") > 50, "a").otherwise("b"))
+    c = stream(spark, sf_dir).withColumn("identity", identity).withColumn("changed", F.coalesce(F.col("identity") != F.lag("identity").over(w), F.lit(False)))
+    g = c.withColumn("gen", F.sum(F.col("changed").cast("int")).over(w))
+    held = F.last(F.when(F.col("event_type") == "view", F.col("value")), True).over(se.in_order([*KEY, "gen"], "us", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return g.select("event_id", "identity", F.col("changed").alias("cleared"), held.alias("held"))
+
+
+@query(
+    """WITH b AS (SELECT c_custkey, c_acctbal, c_mktsegment, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS band FROM customer), q AS (SELECT c_mktsegment, quantile_disc(abs(c_acctbal - 4500), 0.9) AS width FROM b WHERE c_custkey % 2 = 0 GROUP BY c_mktsegment)
+SELECT b.c_mktsegment, band, count(*) AS n, count(*) FILTER (abs(c_acctbal - 4500) <= width) AS covered, round(avg(abs(c_acctbal - 4500)) FILTER (width <= 4900), 6) AS mae_accepted FROM b JOIN q USING (c_mktsegment) WHERE c_custkey % 2 = 1 GROUP BY b.c_mktsegment, band"""
+)
+def conformal_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half widths from one half of the participants, coverage on the other; only narrow strata are accepted."""
+    band_of = F.ntile(4).over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey"))
+    b = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.abs(F.col("c_acctbal") - 4500).alias("off"), band_of.alias("band"))
+    # the ceil(0.9 n)-th smallest
+    n = Window.partitionBy("c_mktsegment")
+    half = b.where("c_custkey % 2 = 0").withColumns({"r": F.row_number().over(n.orderBy("off")), "n": F.count(F.lit(1)).over(n)}).where(F.col("r") == F.ceil(F.col("n") * F.lit(9) / 10))
+    j = b.where("c_custkey % 2 = 1").join(half.select("c_mktsegment", F.col("off").alias("width")), "c_mktsegment")
+    return j.groupBy("c_mktsegment", F.col("band").cast("long").alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("off") <= F.col("width")).alias("covered"), r6(F.avg(F.when(F.col("width") <= 4900, F.col("off")))).alias("mae_accepted"))
