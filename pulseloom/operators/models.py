@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .studies import ranked
+
 
 def moments(df: DataFrame, group: str, features: list[str], target: str) -> DataFrame:
     """A row a group: n and the sums of all products of 1, features and target. Nothing else of the rows is needed."""
@@ -60,21 +62,16 @@ def ridge_left_out(df: DataFrame, group: str, features: list[str], target: str,
 
 
 def bootstrap_mean(df: DataFrame, group: str, value: str, draws: int = 200, seed: int = 11) -> DataFrame:
-    """Mean of value with its 2.5 and 97.5 percentiles over draws that resample whole groups.
+    """Mean of value with its 2.5 and 97.5 percentiles over draws that take as many whole groups as there are, with replacement.
 
-    A group's weight in a draw is Poisson distributed, from a hash of group and draw, so that no group's
-    rows are gathered and reruns agree.
+    The groups' sums are numbered; a draw's j-th pick is a digest of (seed, draw, j), so that reruns agree and
+    no group's rows, and no draw's picks, are gathered.
     """
-    g = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), group, "draw"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-    # inverse Poisson distribution function with mean 1
-    steps, p, acc = [], float(np.exp(-1)), 0.0
-    for k in range(12):
-        acc += p
-        steps.append(acc)
-        p /= k + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    d = g.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = d.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    g = ranked(df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c")), F.col(group))
+    n = g.agg(F.count("*").alias("n"))  # one row
+    picked = g.select(F.col("rank").alias("j")).crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("draw").cast("string"), F.col("j").cast("string")).cast("binary"))
+    picked = picked.select("draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("rank")).groupBy("draw", "rank").agg(F.count("*").alias("w"))
+    means = picked.join(g, "rank").groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("c")), F.lit(0))).alias("m"))
     span = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return g.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.count("*").alias("groups")).crossJoin(F.broadcast(span))
+    return g.agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("mean"), F.count("*").alias("groups")).crossJoin(F.broadcast(span))

@@ -14,7 +14,7 @@ from ..functions.expr import r6
 from ..operators import models
 from ..operators import series as se
 from ..sources import telemetry
-from .catalogue import E_SQL, GAP, KEY, predictions, read, stream
+from .catalogue import E_SQL, GAP, KEY, PRED_SQL, predictions, read, stream
 from .signals import RATE, over_matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,16 +109,29 @@ def beat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.unionByName(short)
 
 
-@query
+@with_sql(
+    f"""WITH {PRED_SQL}, q AS (SELECT o_custkey, truth AS t, guess AS x, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END AS u FROM p WHERE guess IS NOT NULL),
+g AS (SELECT o_custkey, count(*) AS n, sum(x) AS x, sum(u) AS u, sum(t) AS t, sum(x * x) AS xx, sum(x * u) AS xu, sum(u * u) AS uu, sum(x * t) AS xt, sum(u * t) AS ut FROM q GROUP BY o_custkey), a AS (SELECT sum(n) AS n, sum(x) AS x, sum(u) AS u, sum(t) AS t, sum(xx) AS xx, sum(xu) AS xu, sum(uu) AS uu, sum(xt) AS xt, sum(ut) AS ut FROM g),
+l AS (SELECT o_custkey, CAST(a.n - g.n AS DOUBLE) AS n, (a.x - g.x) / (a.n - g.n) AS mx, (a.u - g.u) / (a.n - g.n) AS mu, (a.t - g.t) / (a.n - g.n) AS mt, (a.xx - g.xx) / (a.n - g.n) AS xx, (a.xu - g.xu) / (a.n - g.n) AS xu, (a.uu - g.uu) / (a.n - g.n) AS uu, (a.xt - g.xt) / (a.n - g.n) AS xt, (a.ut - g.ut) / (a.n - g.n) AS ut FROM g, a),
+c AS (SELECT *, sqrt(xx - mx * mx) AS zx, sqrt(uu - mu * mu) AS zu FROM l), s AS (SELECT *, (xu - mx * mu) / (zx * zu) * n AS k, (xt - mx * mt) / zx * n AS rx, (ut - mu * mt) / zu * n AS ru FROM c),
+w AS (SELECT *, (rx * (n + 1) - k * ru) / ((n + 1) * (n + 1) - k * k) / zx AS bx, (ru * (n + 1) - k * rx) / ((n + 1) * (n + 1) - k * k) / zu AS bu FROM s)
+SELECT o_custkey, n AS n_train, round(mt - bx * mx - bu * mu, 6) AS intercept, round(bx, 6) AS b_guess, round(bu, 6) AS b_is_urgent FROM w"""
+)
 def ridge_lopo(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).where("guess is not null").withColumn("is_urgent", (F.col("o_orderpriority") == "1-URGENT").cast("double"))
-    return models.ridge_left_out(p, "o_custkey", ["guess", "is_urgent"], "truth")
+    m = models.ridge_left_out(p, "o_custkey", ["guess", "is_urgent"], "truth")
+    return m.select("o_custkey", "n_train", *[r6(c).alias(c) for c in ("intercept", "b_guess", "b_is_urgent")])
 
 
-@query
+@with_sql(
+    f"""WITH {PRED_SQL}, g AS (SELECT o_custkey, sum(abs(guess - truth)) AS s, count(*) AS c FROM p WHERE guess IS NOT NULL GROUP BY o_custkey), r AS (SELECT *, row_number() OVER (ORDER BY o_custkey) - 1 AS rank, count(*) OVER () AS n FROM g),
+k AS (SELECT draw, CAST('0x' || substr(md5('11/' || CAST(draw AS VARCHAR) || '/' || CAST(rank AS VARCHAR)), 1, 8) AS BIGINT) % n AS pick FROM r, (SELECT unnest(generate_series(1, 200)) AS draw)), m AS (SELECT draw, sum(s) / sum(c) AS m FROM k JOIN r ON pick = rank GROUP BY draw)
+SELECT (SELECT round(sum(s) / sum(c), 6) FROM g) AS mean, (SELECT count(*) FROM g) AS groups, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).where("guess is not null").withColumn("err", F.abs(F.col("guess") - F.col("truth")))
-    return models.bootstrap_mean(p, "o_custkey", "err")
+    b = models.bootstrap_mean(p, "o_custkey", "err")
+    return b.select(r6("mean").alias("mean"), "groups", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @with_sql(
