@@ -48,10 +48,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @with_sql(
     f"""WITH RECURSIVE {SESSION_SQL}, r AS (SELECT user_id, session, nth, event_id, value AS ema FROM n WHERE nth = 1 UNION ALL SELECT n.user_id, n.session, n.nth, n.event_id, r.ema + 0.01::DOUBLE * (n.value - r.ema) FROM r JOIN n ON n.user_id = r.user_id AND n.session = r.session AND n.nth = r.nth + 1)
-SELECT event_id, round(ema, 6) AS ema FROM r"""
+SELECT event_id, round(ema, 9) AS ema FROM r"""
 )
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", r6("ema").alias("ema"))
+    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", F.round("ema", 9).alias("ema"))
 
 
 #: The same rules a row at a time: state, and since when value has been over or under.
