@@ -296,12 +296,11 @@ def read_answers(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, ANSWER)
 
 
-def check_equal(text: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
+def check_equal(text: np.ndarray, start: np.ndarray, end: np.ndarray, lead_start: np.ndarray, lead_end: np.ndarray) -> None:
     """Stop if a range of text differs from the one that it was folded into."""
     for i in range(0, len(start), 50_000):
         some = slice(i, i + 50_000)
-        other = lead[some]
-        if not np.array_equal(end[some] - start[some], end[other] - start[other]) or not np.array_equal(gathered(text, start[some], end[some]), gathered(text, start[other], end[other])):
+        if not np.array_equal(end[some] - start[some], lead_end[some] - lead_start[some]) or not np.array_equal(gathered(text, start[some], end[some]), gathered(text, lead_start[some], lead_end[some])):
             raise RuntimeError("two different fragments have one hash of 128 bits")
 
 
@@ -323,7 +322,8 @@ def fragments(c: Chunk, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray
     lead = order[starts]
     again = np.ones(len(order), bool)
     again[starts] = False
-    check_equal(c.text, np.r_[c.first[order[again]], c.first[lead]], np.r_[c.last[order[again]], c.last[lead]] + LENGTH, np.r_[(np.cumsum(~again) - 1)[again], np.arange(len(lead))] + int(again.sum()))
+    folded, into = order[again], lead[(np.cumsum(~again) - 1)[again]]
+    check_equal(c.text, c.first[folded], c.last[folded] + LENGTH, c.first[into], c.last[into] + LENGTH)
     out["size"] = c.last[lead] + LENGTH - c.first[lead]
     return out, c.first[lead], c.last[lead] + LENGTH
 
@@ -399,7 +399,9 @@ def answers_to(blobs: list[bytes]) -> list[bytes]:
     lead = order[starts]
     kind = np.empty(len(every), np.int64)  # of each fragment, its place among the distinct ones
     kind[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-    check_equal(text, end - size, end, lead[kind])
+    folded = np.flatnonzero(lead[kind] != np.arange(len(every)))
+    into = lead[kind[folded]]
+    check_equal(text, (end - size)[folded], end[folded], (end - size)[into], end[into])
     runs, owners, hashes = [], [], r["hash"][starts]
     filled, at = np.cumsum(size[lead]), 0
     while at < len(lead):  # batches of whole hashes

@@ -128,6 +128,6 @@ def test_hot_anchors_and_periodic_text(monkeypatch):
 
 def test_folding_different_fragments_stops():
     text = np.frombuffer(b"abcdefabcxef", np.uint8)
-    sub.check_equal(text, np.array([0, 6]), np.array([3, 9]), np.array([0, 0]))
+    sub.check_equal(text, np.array([6]), np.array([9]), np.array([0]), np.array([3]))
     with pytest.raises(RuntimeError):
-        sub.check_equal(text, np.array([0, 6]), np.array([6, 12]), np.array([0, 0]))
+        sub.check_equal(text, np.array([6]), np.array([12]), np.array([0]), np.array([6]))
