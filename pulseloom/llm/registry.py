@@ -13,6 +13,7 @@ from .common import small_batches, table
 from .embeddings import embedding_links
 from .lines import line_report
 from .mixing import mix_report
+from .novelty import secret_report
 from .sharding import assign_shards
 from .simhash import near_duplicate_report
 from .substrings import repeat_report
@@ -61,6 +62,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_top(table(spark, sf_dir, "embeddings"))
 
 
+def op12_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(small_batches(spark), sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(table(small_batches(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_lattice": op9_lattice,
     "op10_topk": op10_topk,
+    "op12_novelty": op12_novelty,
     "op13_alignment": op13_alignment,
 }
 
