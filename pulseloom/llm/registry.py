@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .alignment import alignment_report
 from .bpe import bpe_digest
 from .common import small_batches, table
+from .divergence import ORACLE_SQL as DIVERGENCE_SQL
+from .divergence import divergence_report
 from .embeddings import embedding_links
 from .lines import line_report
 from .mixing import mix_report
@@ -62,6 +64,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_top(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_report(table(small_batches(spark), sf_dir, "documents"))
+
+
 def op12_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(small_batches(spark), sf_dir, "documents"))
 
@@ -81,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_lattice": op9_lattice,
     "op10_topk": op10_topk,
+    "op11_divergence": op11_divergence,
     "op12_novelty": op12_novelty,
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_divergence": DIVERGENCE_SQL}
