@@ -3,28 +3,30 @@
 Rows fall into cells, arcs of the ring by the hash of the text, so that equal texts lie together. Cells are
 placed on the ring, heaviest first; one whose shard is full goes on clockwise to the next shard with room.
 A group of equal texts stays on one shard unless no shard has room for it: a text that holds more than HEAVY
-of a shard's mean is a cell of its own, and is cut into HOT_PARTS by the hash of doc_id if it fits nowhere.
-The number of cells is fixed, and only their sizes leave the executors. Law: bytes.
+of a shard's mean is a cell of its own, and if it fits nowhere, its rows are numbered throughout the table and
+cut into HOT_PARTS by that number. The number of cells is fixed, and only their sizes leave the executors. Law: bytes.
+
+Rows are numbered by the portion of a checkpoint that holds them and their place in it, so that no window, for
+slots or for cuts, holds more rows than a portion. What is broadcast is a row for each cell or part, and one for each
+portion and shard or hot text.
 
 Defined results: a null text has size 1 and the checksum of an empty text; null and repeated doc_ids are
-ordinary rows (of a text that must be cut, rows of one doc_id stay together); an empty table gives no rows;
-other columns are left out.
+ordinary rows; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
-#: Cells, and parts of a cell's rows that are numbered apart: the bound of what is collected and broadcast.
-ARC_BITS, PARTS = 14, 8
+#: Cells: the bound of what is collected and broadcast.
+ARC_BITS = 14
 CELLS = 1 << ARC_BITS
 #: A text of more than this share of a shard's mean is a cell of its own, in so many parts; fewer than shards / HEAVY texts are.
 HEAVY, HOT_PARTS = 0.25, 1024
@@ -87,38 +89,40 @@ def assign_shards(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> Dat
     text = text_or_empty()
     own = F.xxhash64(text)
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), own.alias("own"), F.shiftrightunsigned(own, 64 - ARC_BITS).cast("int").alias("cell"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    rows = rows.withColumn("part", (F.col("cell") * PARTS + part).cast("int"))
-    held = rows.groupBy("part").agg(F.first("cell").alias("cell"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # CELLS * PARTS rows at most
-    weights, heavy = Counter(), HEAVY * sum(r.bytes for r in held) / shards
-    for r in held:
-        weights[r.cell] += r.bytes
+    # numbers that stay as they are: a row's portion of the table, and its place there
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id())).withColumn("portion", F.shiftright("row", 33))
+    weights = {r.cell: r.bytes for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes")).collect()}  # CELLS rows at most
+    heavy = HEAVY * sum(weights.values()) / shards
     full = [c for c, w in weights.items() if w > heavy]  # fewer than shards / HEAVY
-    hot = rows.where(F.col("cell").isin(full)).groupBy("own", "cell").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > heavy).orderBy("own").collect() if full else []
-    parts: dict[int, dict[int, int]] = {}
+    hot = rows.where(F.col("cell").isin(full)).groupBy("own", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(F.col("bytes") > heavy).orderBy("own").collect() if full else []
+    rows, parts = rows.withColumn("part", F.col("cell")), {}
     if hot:
-        nth = F.coalesce(*[F.when(F.col("own") == r.own, i) for i, r in enumerate(hot)])
-        # names behind those of all other parts
-        name = CELLS * PARTS + nth * HOT_PARTS + F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))
-        rows = rows.withColumn("part", F.coalesce(name, "part").cast("int"))
-        held = rows.groupBy("part").agg(F.first("cell").alias("cell"), F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-        weights = Counter()
-        for r in held:
-            i = (r.part - CELLS * PARTS) // HOT_PARTS
-            weights[r.cell + (CELLS * (i + 1) if i >= 0 else 0)] += r.bytes  # the same place on the ring
-            if i >= 0:
-                parts.setdefault(r.cell + CELLS * (i + 1), {})[r.part] = r.bytes
-    shard_of = place(weights, shards, slack, parts=parts)
-    first, plan = [0] * shards, []
-    for r in sorted(held, key=lambda r: r.part):
-        s = shard_of[r.cell if r.part < CELLS * PARTS else r.part]
-        plan.append((r.part, s, first[s]))
-        first[s] += r.n
-    table = docs.sparkSession.createDataFrame(pd.DataFrame(plan, columns=["part", "shard", "first"]).astype({"part": "int32", "shard": "int32", "first": "int64"}), "part int, shard int, first long")
-    within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
+        # the rows of a hot text are numbered throughout the table, portion by portion, and cut by that number
+        name = F.coalesce(*[F.when(F.col("own") == r.own, CELLS + i * HOT_PARTS) for i, r in enumerate(hot)])
+        is_hot = F.col("own").isin([r.own for r in hot])
+        before = Window.partitionBy("own").orderBy("portion")
+        starts = rows.where(is_hot).groupBy("own", "portion").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(before) - F.col("n")).drop("n")
+        total = F.coalesce(*[F.when(F.col("own") == r.own, r.n) for r in hot])
+        nth = F.col("start") + F.row_number().over(Window.partitionBy("own", "portion").orderBy("row")) - 1
+        cold = rows.where(~is_hot)
+        rows = rows.where(is_hot).join(F.broadcast(starts), ["own", "portion"]).withColumn("part", (name + F.floor(nth * HOT_PARTS / total)).cast("int")).drop("start")
+        for i, r in enumerate(hot):
+            weights[r.cell] -= r.bytes
+            weights[r.cell + CELLS * (i + 1)] = r.bytes  # the same place on the ring
+            parts[r.cell + CELLS * (i + 1)] = {}
+        rows = cut(cold.unionByName(rows))
+        for r in rows.where(F.col("part") >= CELLS).groupBy("part").agg(F.sum("size").alias("bytes")).collect():  # HOT_PARTS rows a hot text at most
+            i = (r.part - CELLS) // HOT_PARTS
+            parts[hot[i].cell + CELLS * (i + 1)][r.part] = r.bytes
+    shard_of = place({c: w for c, w in weights.items() if w}, shards, slack, parts=parts)
+    table = docs.sparkSession.createDataFrame(pd.DataFrame(shard_of.items(), columns=["part", "shard"]).astype("int32"), "part int, shard int")
+    placed = rows.join(F.broadcast(table), "part")
+    before = Window.partitionBy("shard").orderBy("portion")  # a row for each portion of the table
+    first = placed.groupBy("shard", "portion").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(before) - F.col("n")).drop("n")
+    within = Window.partitionBy("shard", "portion").orderBy("row")
     return (
-        rows.withColumn("nth", F.row_number().over(within))
-        .join(F.broadcast(table), "part")
+        placed.join(F.broadcast(first), ["shard", "portion"])
+        .withColumn("nth", F.row_number().over(within))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from pulseloom.llm.sharding import ARC_BITS, CELLS, HEAVY, SLACK, assign_shards, place, ring, write_shards
 
 from .fixtures import frame, odd_documents
@@ -21,6 +23,18 @@ def test_sizes_near_equal_with_a_third_of_equal_texts(spark):
     assert got.max() / got.mean() < 1.01 and got.min() / got.mean() > 0.97
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_law_holds_for_equal_texts_without_ids_of_their_own(spark, doc_id):
+    rows = [(doc_id, "one text that all rows have", "en", "s", 1)] * 1000 + [(i, None, "en", "s", 1) for i in range(9000)]
+    got = assign_shards(frame(spark, rows)).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() < 0.03 * sizes.mean()
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    alone = assign_shards(frame(spark, rows[:1000])).toPandas().groupby("shard")["size"].sum()
+    assert len(alone) == 8 and alone.max() - alone.min() <= 0.03 * alone.mean()
+
+
 def test_one_more_shard_moves_little():
     weights = {c: 100 + c % 7 for c in range(0, 131072, 13)}
     a, b = place(weights, 8), place(weights, 9)
