@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,11 @@ NO_SCORE = -np.iinfo(np.int64).max
 
 
 def quantized(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding", factor: int = FACTOR) -> DataFrame:
-    """vec_id, dim and v: floor(factor * x) of each component, as little-endian doubles, which hold it exactly."""
+    """vec_id, dim and v: floor(factor * x) of each component, as little-endian doubles, which hold it exactly.
+
+    Where a component's product is beyond all doubles, v has the row's integers in decimal digits instead; its length
+    is then no multiple of 8.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,18 +61,35 @@ def quantized(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding"
                 if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
                     continue
                 x = v.values.to_numpy().astype(np.float64)
-                with np.errstate(over="ignore"):
-                    x = np.floor(factor * x)
                 if not np.isfinite(x).all():
                     continue
+                with np.errstate(over="ignore"):
+                    whole = np.floor(factor * x)
                 ids.append(i)
                 dims.append(len(x))
-                out.append(x.astype("<f8").tobytes())
+                if np.isfinite(whole).all():
+                    out.append(whole.astype("<f8").tobytes())
+                else:  # a product that no double holds
+                    digits = b",".join(b"%d" % math.floor(factor * Fraction(c)) for c in x.tolist())
+                    out.append(digits + b" " * ((1 - len(digits)) % 8))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
 
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), column).mapInArrow(run, "vec_id long, dim int, v binary")
 
 
+def integers(v: bytes) -> list[int]:
+    """The components of a v in digits."""
+    return [int(c) for c in v.split(b",")]
+
+
+def components(v: bytes) -> np.ndarray:
+    """v as doubles; what they do not hold is infinite."""
+    if len(v) % 8 == 0:
+        return np.frombuffer(v, "<f8")
+    most = int(np.finfo(np.float64).max)
+    return np.array([float(c) if abs(c) <= most else math.inf if c > 0 else -math.inf for c in integers(v)])
+
+
 def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Distances of rows; beyond what a double holds infinite or NaN, which prune nothing."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -163,7 +185,7 @@ class Best:
 
 def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Integer inner products: by floating-point multiplication where that is exact, Python's integers where no long holds them."""
-    most = int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
+    most = 2**63 if object in (q.dtype, r.dtype) else int(np.abs(q).max()) * int(np.abs(r).max()) * q.shape[1]
     if most < 2**52:
         return q.astype(np.float64) @ r.astype(np.float64).T
     if most < 2**63 - 1:
@@ -243,13 +265,17 @@ def search(qt: CoverTree, q: np.ndarray, q_rows: np.ndarray, rt: CoverTree, r: n
 def packed(pdf: pd.DataFrame) -> tuple[CoverTree, np.ndarray, np.ndarray, np.ndarray]:
     """The tree over some rows, and their vectors, numbers and ids in the tree's order."""
     pdf = pdf.sort_values("row", kind="stable")
-    v = np.stack([np.frombuffer(b, "<f8") for b in pdf.v])
+    v = np.stack([components(b) for b in pdf.v])
     tree = CoverTree(v)
+    if not np.isfinite(v).all():
+        v = np.array([integers(b) if len(b) % 8 else [int(c) for c in np.frombuffer(b, "<f8").tolist()] for b in pdf.v], object)
     return tree, v[tree.order], pdf.row.to_numpy()[tree.order], pdf.vec_id.to_numpy()[tree.order]
 
 
 def smallest(v: np.ndarray) -> np.ndarray:
     """v in the smallest integers that hold it, or as it is where none do."""
+    if v.dtype == object:
+        return v
     most = np.abs(v).max()
     return v.astype(np.min_scalar_type(-1 - int(most))) if most < 2**53 else v
 
@@ -267,7 +293,8 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     sample = vecs.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).collect()
     pivots: dict[int, np.ndarray] = {}
     for dim in {r.dim for r in sample}:
-        x = np.stack([np.frombuffer(r.v, "<f8") for r in sample if r.dim == dim])
+        x = np.stack([components(r.v) for r in sample if r.dim == dim])
+        x = x[np.isfinite(x).all(axis=1)] if np.isfinite(x).all(axis=1).any() else np.zeros((1, dim))
         pivots[dim] = x[farthest_first(x, min(PIVOTS, max(1, total // BLOCK)))[0]]
     sent = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
 
@@ -278,7 +305,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
             for dim, p in sent.value.items():
                 at = np.flatnonzero(dims == dim)
                 for i in range(0, len(at), 1000):
-                    x = np.stack([np.frombuffer(raw[j], "<f8") for j in at[i : i + 1000]])
+                    x = np.stack([components(raw[j]) for j in at[i : i + 1000]])
                     with np.errstate(over="ignore", invalid="ignore"):
                         cell[at[i : i + 1000]] = ((p**2).sum(axis=1) - 2 * x @ p.T).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "dim", "v", "row", "cell"])
@@ -294,7 +321,7 @@ def search_top(rows: DataFrame, k: int = K, every: int = EVERY, factor: int = FA
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         dim, cell, part = (int(pdf[c].iloc[0]) for c in ("dim", "cell", "part"))
         tree, v, row, ids = packed(pdf)
-        reach = distances(v, sent.value[dim][cell]).max() if dim in sent.value else math.inf
+        reach = distances(v.astype(np.float64) if v.dtype != object else np.stack([components(b) for b in pdf.v]), sent.value[dim][cell]).max() if dim in sent.value else math.inf
         return pd.DataFrame({"dim": [dim], "cell": [cell], "part": [part], "center": [tree.centers[0].tolist()], "radius": [tree.radii[0]], "reach": [float(reach)], "rows": [row.tolist()], "image": [pickle.dumps((tree, smallest(v), row, ids))]})
 
     kind = "dim int, cell int, part int, center array<double>, radius double, reach double, rows array<long>, image binary"

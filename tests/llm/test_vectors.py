@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -84,7 +87,7 @@ def test_decoding_is_nearest():
 
 def brute_top(rows, k=20, every=20):
     """Every row for itself, in Python's integers; scores that no long holds are null."""
-    good = [(i, [int(np.floor(np.float64(64) * c)) for c in v]) for i, v, _ in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(64 * c) for c in v)]
+    good = [(i, [floor(64 * Fraction(c)) for c in v]) for i, v, _ in rows if i is not None and v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v)]
     out = []
     for n, (i, q) in enumerate(good):
         if i % every == 0:
@@ -117,6 +120,13 @@ def test_huge_components_keep_their_order(spark):
     assert sum(x[3] is None for x in want) > 20 and found_top(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
 
 
+def test_finite_components_beyond_all_doubles_once_multiplied(spark):
+    rows = [(0, [1.0, 2.0], 0), (20, [1e307, 1.0], 0), (1, [-1e308, 0.5], 0), (40, [-1.7e308, -1e-300], 0), (2, [0.0, 0.0], 0), (3, [3.25, -1e307], 0), (60, [float("inf"), 1.0], 0)]
+    rows += [(100 + i, [float(i), 1.0 - i], 0) for i in range(30)]
+    want = brute_top(rows)
+    assert {w[0] for w in want} == {0, 20, 40, 100, 120} and found_top(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
+
+
 def test_negative_ties_go_to_the_smaller_id(spark):
     rows = [(20 * i + 1, [10.0, 500.0, 0.0], 0) for i in range(8300)] + [(10_000_001 + 20 * i, [10.0, 0.0, 0.0], 0) for i in range(25)] + [(10_000_000, [-40.0, 0.0, 0.0], 0)]
     got = search_top(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()
