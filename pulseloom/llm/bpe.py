@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_only, list_of, pieces, unused
+from .common import carried, keep_only, list_of, named, pieces, unfolded
 
 #: White space as the tokenizer's pattern has it; str.split() also takes \x1c to \x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -210,22 +210,23 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     """
     made = [c for c in (ids, decoded) if c]
     through = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
-    given = docs.select(*through, docs[text].alias(unused(docs, "__text")))
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
+    given = docs.select(carried(through), named(text).alias("text"))
+    schema = T.StructType([given.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] + [T.StructField("decoded", T.StringType(), False)] * bool(decoded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         keep_only("bpe", _loaded.clear)
         for whole in batches:
             for batch in pieces(whole):
-                *rest, texts = batch.columns
+                row, texts = batch.columns
                 parts = [np.frombuffer(b, "<i4") for b in bpe.encode([t or "" for t in texts.to_pylist()])]
-                cols = [*rest, list_of(parts, pa.int32())]
+                cols = [row, list_of(parts, pa.int32())]
                 if decoded:
                     cols.append(pa.array([bpe.decode(p) for p in parts], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*through, *made])
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    own = [named(c).alias(name) for c, name in zip(schema.names[1:], made, strict=True)]
+    return given.mapInArrow(run, schema).select(*unfolded(through), *own)
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join with texts is broadcast up to so many bytes, as measured; beyond that the join is a shuffle.
@@ -51,11 +51,19 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """name, with underscores behind it until df has no such column."""
-    while name in df.columns:
-        name += "_"
-    return name
+def named(name: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(names: list[str]) -> Column:
+    """The named columns as one, under names of our own, so that none of theirs meets one of ours."""
+    return F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(names)), F.lit(0).alias("none")).alias("row")
+
+
+def unfolded(names: list[str]) -> list[Column]:
+    """The columns that carried() took, under their own names."""
+    return [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, cut, keep_only, parallelism, pieces, scratch, unused
+from .common import BROADCAST_BYTES, carried, cut, keep_only, parallelism, pieces, scratch, unfolded
 
 #: What one edit must leave of a line, and the words that a line has at least where it does.
 SIMILARITY = 0.8
@@ -120,10 +120,9 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of (doc_id, text), and that column's name."""
-    key = unused(docs, "__key")
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+def _keyed(docs: DataFrame, through: list[str]) -> DataFrame:
+    """doc_id, text, doc_key (of both) and row, the columns of docs that go through."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"), carried(through))
 
 
 def small(df: DataFrame, lists: str, entry_bytes: int) -> DataFrame:
@@ -136,7 +135,7 @@ HALVES = ["k1", "k2", "k3", "k4"]
 LINES = "doc_id long, doc_key long, line int, words int, h long, k1 long, k2 long, k3 long, k4 long"
 
 
-def line_table(docs: DataFrame, key: str) -> DataFrame:
+def line_table(docs: DataFrame) -> DataFrame:
     """A row for each line with words: its document and place, number of words, hash and half keys (0: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,7 @@ def line_table(docs: DataFrame, key: str) -> DataFrame:
                 cols += [pa.array(k.astype(np.uint64).view(np.int64)) for k in half_keys(_hasher, start, end)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_key", "line", "words", "h", "k1", "k2", "k3", "k4"])
 
-    return docs.select("doc_id", F.col(key).alias("doc_key"), "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", "doc_key", "text").mapInArrow(run, LINES)
 
 
 def sharing_a_half(classes: DataFrame, n: int) -> DataFrame:
@@ -185,7 +184,7 @@ def sharing_a_half(classes: DataFrame, n: int) -> DataFrame:
     return keys.repartition(n, "k").sortWithinPartitions("k", "h").mapInArrow(run, "h long").distinct()
 
 
-def candidate_texts(docs: DataFrame, key: str, cand: DataFrame) -> DataFrame:
+def candidate_texts(docs: DataFrame, cand: DataFrame) -> DataFrame:
     """id, and the line itself, of the candidates (id, doc_key, line), read again from docs."""
     per_doc = cut(cand.groupBy("doc_key").agg(F.collect_list(F.struct("line", "id")).alias("at")))
 
@@ -198,7 +197,7 @@ def candidate_texts(docs: DataFrame, key: str, cand: DataFrame) -> DataFrame:
                 found += [lines[x["line"]] for x in at]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "content"])
 
-    met = docs.select(F.col(key).alias("doc_key"), "text").join(small(per_doc, "at", PAIR_BYTES), "doc_key")
+    met = docs.select("doc_key", "text").join(small(per_doc, "at", PAIR_BYTES), "doc_key")
     return met.select("text", "at").mapInArrow(run, "id long, content string").dropDuplicates(["id"])
 
 
@@ -266,9 +265,10 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     """docs with the text of each document's lines that repeat no earlier line; dropped names a count column."""
     spark = docs.sparkSession
     n = parallelism(spark)
-    keyed, key = _keyed(docs)
+    through = [c for c in docs.columns if c not in ("text", dropped)]
+    keyed = _keyed(docs, through)
     at = scratch(spark, "lines")
-    line_table(keyed, key).write.parquet(at)
+    line_table(keyed).write.parquet(at)
     lines = spark.read.schema(LINES).parquet(at)
     place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "doc_key", "line")
     at = scratch(spark, "classes")
@@ -277,25 +277,25 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     # ids of the candidates rise with their first places
     cand = classes.join(sharing_a_half(classes, n), "h", "left_semi").orderBy("first").select("h", F.col("first.doc_key").alias("doc_key"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("id"))
     cand = cut(cand)
-    texts = cut(candidate_texts(keyed, key, cand))
+    texts = cut(candidate_texts(keyed, cand))
     near = cut(cand.join(verified(witnesses(texts, n), texts), "id", "left_semi").select("h", F.lit(True).alias("near")))
     # only lines of these classes can go; a table of its own, so that the join deals out a common line's rows
     fate = cut(classes.join(near, "h", "left").where("near or n > 1").select("h", "near", F.col("first.doc_key").alias("first_key"), F.col("first.line").alias("first_line")))
     gone = lines.select("h", "doc_key", "line").join(fate, "h").where(F.col("near").isNotNull() | (F.col("doc_key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
     # of repeated rows each has its lines listed
-    gone_key, gone_lines = unused(keyed, "__gone_key"), unused(keyed, "__gone")
-    gone = cut(gone.groupBy(F.col("doc_key").alias(gone_key)).agg(F.collect_set("line").alias(gone_lines)))
-    return _without(keyed.join(small(gone, gone_lines, NUMBER_BYTES), keyed[key] == gone[gone_key], "left"), docs, gone_lines, dropped)
+    gone = cut(gone.groupBy("doc_key").agg(F.collect_set("line").alias("gone")))
+    out = _without(keyed.join(small(gone, "gone", NUMBER_BYTES), "doc_key", "left").select("row", "text", "gone"))
+    own = dict(zip(through, unfolded(through), strict=True)) | {"text": F.col("text")} | ({dropped: F.col("dropped").alias(dropped)} if dropped else {})
+    return out.select(*(own[c] for c in docs.columns), *[own[dropped]] * (bool(dropped) and dropped not in docs.columns))
 
 
-def _without(joined: DataFrame, docs: DataFrame, gone_lines: str, dropped: str | None) -> DataFrame:
-    """The texts of joined without the lines in its column gone_lines."""
-    through = [c for c in docs.columns if c not in ("text", dropped)]
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField("text", T.StringType())] + ([T.StructField(dropped, T.LongType())] if dropped else []))
+def _without(joined: DataFrame) -> DataFrame:
+    """row, and the text without the lines listed in gone, and their number."""
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *rest, texts, gone = batch.columns
+            row, texts, gone = batch.columns
             out, counts = [], []
             for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
                 if g:
@@ -304,9 +304,9 @@ def _without(joined: DataFrame, docs: DataFrame, gone_lines: str, dropped: str |
                     t = t if t.strip() else ""
                 out.append(t)
                 counts.append(len(g or ()))
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())] + [pa.array(counts, pa.int64())] * bool(dropped), names=[*through, "text"] + [dropped] * bool(dropped))
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.string()), pa.array(counts, pa.int64())], names=schema.names)
 
-    return joined.select(*through, "text", gone_lines).mapInArrow(run, schema).select(*docs.columns, *[dropped] * (bool(dropped) and dropped not in docs.columns))
+    return joined.mapInArrow(run, schema)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

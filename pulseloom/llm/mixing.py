@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, carried, cut, text_or_empty, unfolded
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -179,21 +179,16 @@ def _taken(docs: DataFrame, row: Column | None, weights: tuple[float, ...], shar
     return full.select(*["row"] * (row is not None), "doc_id", "size", "source_size", "target", made.cast("int").alias("copies"))
 
 
-def _row(docs: DataFrame) -> Column:
-    """All columns of docs as one, so that no name of theirs meets one of ours."""
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs with size, source_size, target and copies (0 to cap); needs doc_id, text and source. Columns of those names are replaced."""
     made = ["size", "source_size", "target", "copies"]
-    return _taken(docs, _row(docs), weights, share, cap).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in made), *made)
+    return _taken(docs, carried(docs.columns), weights, share, cap).select(*(c for name, c in zip(docs.columns, unfolded(docs.columns), strict=True) if name not in made), *made)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
-    picked = _taken(docs, _row(docs), weights, share, cap).where("copies > 0")
-    return picked.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    picked = _taken(docs, carried(docs.columns), weights, share, cap).where("copies > 0")
+    return picked.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*unfolded(docs.columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

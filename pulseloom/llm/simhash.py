@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, cut, keep_only, parallelism, pieces, unused
+from .common import BROADCAST_BYTES, carried, cut, keep_only, named, parallelism, pieces, unfolded
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -57,17 +57,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint", drop_text: bool = False) -> DataFrame:
     """docs with a long column of fingerprints (as signed 64-bit integers)."""
     through = [c for c in docs.columns if c != column and not (drop_text and c == text)]
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(column, T.LongType(), False)])
+    given = docs.select(carried(through), named(text).alias("text"))
+    schema = T.StructType([given.schema["row"], T.StructField("fingerprint", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("simhash")
         for whole in batches:
             for batch in pieces(whole):
-                *rest, texts = batch.columns
+                row, texts = batch.columns
                 made = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(made)], names=[*through, column])
+                yield pa.RecordBatch.from_arrays([row, pa.array(made)], names=schema.names)
 
-    return docs.select(*through, docs[text].alias(unused(docs, "__text"))).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select(*unfolded(through), F.col("fingerprint").alias(column))
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -192,10 +193,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # most documents stay, and once: only the others' ids meet the texts
     odd = cut(ids.where("not __kept or __n > 1"))
     odd = F.broadcast(odd) if odd.count() * ID_BYTES <= BROADCAST_BYTES else odd
-    once = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti")
-    again = docs.join(odd.where("__kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    with_id = once.select(*docs.columns).unionByName(again.select(*docs.columns))
-    own = unused(docs, "__fingerprint")
-    loose = fingerprints(docs.where("doc_id is null"), column=own).dropDuplicates([own])
-    loose = loose.join(prints.where("doc_id is not null").select(F.col("fingerprint").alias(own)).distinct(), own, "left_anti")
-    return with_id.select(*docs.columns).unionByName(loose.select(*docs.columns))
+    rows = docs.select(carried(docs.columns), "doc_id", "text")
+    once = rows.where("doc_id is not null").join(odd, "doc_id", "left_anti").select("row")
+    again = rows.join(odd.where("__kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row")
+    loose = fingerprints(rows.where("doc_id is null").select("row", "text"), drop_text=True).dropDuplicates(["fingerprint"])
+    loose = loose.join(prints.where("doc_id is not null").select("fingerprint").distinct(), "fingerprint", "left_anti").select("row")
+    return once.unionByName(again).unionByName(loose).select(*unfolded(docs.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_only, pieces, unused
+from .common import carried, keep_only, named, pieces, unfolded
 
 FEATURES = 1 << 18
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
@@ -174,7 +174,8 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
     made = [c for c in (score, spans) if c]
     through = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    schema = T.StructType([*(docs.schema[c] for c in through), T.StructField(score, T.DoubleType(), False)] + ([T.StructField(spans, span)] if spans else []))
+    given = docs.select(carried(through), named(text).alias("text"))
+    schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType(), False)] + [T.StructField("spans", span)] * bool(spans))
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES + 1 numbers, whatever the input
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -183,7 +184,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
         keep_only("toxicity")
         for whole in batches:
             for batch in pieces(whole):
-                *rest, texts = batch.columns
+                row, texts = batch.columns
                 scores, located = [], []
                 for t in texts.to_pylist():
                     s, p = scorer.score(t or "")
@@ -191,10 +192,11 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
                     if spans:
                         hot = set(np.flatnonzero(p >= 0.5).tolist())
                         located.append([{"start": m.start(), "end": m.end(), "score": float(p[k])} for k, m in enumerate(SENTENCE.finditer(t or "")) if k in hot] if hot else [])
-                cols = [*rest, pa.array(scores, pa.float64())] + [pa.array(located, kind)] * bool(spans)
-                yield pa.RecordBatch.from_arrays(cols, names=[*through, *made])
+                cols = [row, pa.array(scores, pa.float64())] + [pa.array(located, kind)] * bool(spans)
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*through, docs[text].alias(unused(docs, "__text"))).mapInArrow(run, schema)
+    own = [named(c).alias(name) for c, name in zip(schema.names[1:], made, strict=True)]
+    return given.mapInArrow(run, schema).select(*unfolded(through), *own)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
