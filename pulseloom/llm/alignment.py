@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_symbols
 from .common import keep_only, list_of, pieces, scratch
 
-#: Units that a worker keeps (some 400 bytes each), and the longest unit that is kept.
+#: Units that a worker keeps (some 400 bytes each) in two halves, the newer of which takes over what is met again,
+#: and the longest unit that is kept.
 CACHED_UNITS, LONGEST_KEPT = 150_000, 80
 #: Characters of a text that are aligned at once.
 BLOCK = 1 << 20
@@ -46,8 +48,8 @@ BOTH = re.compile(rb"[^\x03]*\x03", re.DOTALL)
 #: A space that opens a unit stands alone and before a sign; Python's white space holds that of both vocabularies.
 UNIT = re.compile(r"(?<! ) (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
+STOPS = ".,"
 LOW = (1 << 32) - 1
-NOTHING = (b"", b"", 0)
 
 
 class Aligner:
@@ -71,10 +73,14 @@ class Aligner:
         if not all(spelt.values()) or not all(self.b_bytes):
             raise ValueError("a token without bytes has no place in a text")
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([b"%d" % i for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        # an id's digits and what follows them within a group and at the end of its side
+        self.a_name, self.b_name = (np.array([[b"%d%s" % (i, c) for i in range(len(x))] for c in (b",", end)], object) for x, end in ((self.a_bytes, b"|"), (self.b_bytes, b";")))
         self.cuttable = self._plain(a_path) and not any("▁" in p.lstrip("▁") or (len(p) > 1 and "\n" in p) for p in names)
+        # no token of B has a letter before a stop, and A never joins them
+        self.stops = not any(x.isalpha() and y in STOPS for p in names for x, y in zip(p, p[1:]))
         self.known: dict[str, tuple] = {}
-        self.bare: dict[str, tuple] = {}  # units behind a line feed, without a space before them
+        self.old: dict[str, tuple] = {}  # what was known before known was begun anew
+        self.bare: dict[str, tuple] = {}  # line feeds, and lines and stops that have no space before them
         self.long: list[tuple[dict, str]] = []  # what is too long to be kept
 
     @staticmethod
@@ -96,39 +102,49 @@ class Aligner:
     def align(self, texts: list[str], spaced: bool = True) -> list[tuple | None]:
         """(groups, links, counts) of each text taken by itself; None where the bytes differ.
 
-        groups is "a1,a2|b1;a3|b2,b3"; links are ids of A times 2^32 plus ids of B; counts is tokens of A plus
+        groups is "a1,a2|b1;a3|b2,b3;"; links are ids of A times 2^32 plus ids of B; counts is tokens of A plus
         tokens of B times 2^32.
         """
-        every_a, every_b = self.encoded(texts, spaced)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = []
-        for t, a, b in zip(texts, every_a, every_b, strict=True):
-            raw = (" " + t if spaced else t).encode()
-            good.append(b"".join([a_bytes[i] for i in a]) == raw and b"".join([b_bytes[i] for i in b]) == raw)
-        kept_a, kept_b = ([x for x, ok in zip(ids, good, strict=True) if ok] for ids in (every_a, every_b))
-        flat_a, flat_b = (np.fromiter((i for ids in kept for i in ids), np.int64) for kept in (kept_a, kept_b))
-        a_ends, b_ends = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        labels = np.zeros(int(a_ends[-1]) if len(a_ends) else 0, np.uint8)
+        raw = [(" " + t if spaced else t).encode() for t in texts]
+        a, b = self.encoded(texts, spaced)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.ones(len(raw), bool)
+        whole = b"".join(raw)
+        sides = []
+        for ids, sizes, spelt in ((a, self.a_size, self.a_bytes), (b, self.b_size, self.b_bytes)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            ends, upto = np.cumsum(sizes[flat]), np.cumsum(n)
+            good &= np.diff(np.r_[0, np.r_[0, ends][upto]]) == size
+            if good.all() and b"".join([spelt[i] for i in flat.tolist()]) != whole:
+                good &= [b"".join([spelt[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+            sides.append((flat, ends, n))
+        if not good.all():  # the others once more, without them
+            rest = iter(self.align([t for t, ok in zip(texts, good, strict=True) if ok], spaced) if good.any() else ())
+            return [next(rest) if ok else None for ok in good]
+        (flat_a, a_ends, n_a), (flat_b, b_ends, n_b) = sides
+        labels = np.zeros(len(whole), np.uint8)
         labels[a_ends - 1] += 1
         labels[b_ends - 1] += 2
-        links = ((flat_a[labels[a_ends - 1] == 3] << 32) | flat_b[labels[b_ends - 1] == 3]).astype("<i8").tobytes()
-        spans = BOTH.findall(labels.tobytes())
-        out, at, link = [], 0, 0
-        next_a, next_b = iter(kept_a), iter(kept_b)
-        for ok in good:
-            if not ok:
-                out.append(None)
-                continue
-            a, b = next(next_a), next(next_b)
-            groups, i, j = [], 0, 0
-            while i < len(a):
-                span = spans[at]
-                at += 1
-                x, y = i + span.count(1) + 1, j + span.count(2) + 1
-                groups.append(b",".join([self.a_name[k] for k in a[i:x]]) + b"|" + b",".join([self.b_name[k] for k in b[j:y]]))
-                i, j = x, y
-            out.append((b";".join(groups), links[8 * link : 8 * (link + len(groups))], len(a) | len(b) << 32))
-            link += len(groups)
+        spans = np.fromiter(map(len, BOTH.findall(labels.tobytes())), np.int64)
+        starts = np.cumsum(spans) - spans
+        in_a, in_b = ((np.add.reduceat((labels == x).astype(np.int64), starts) if len(starts) else starts) + 1 for x in (1, 2))
+        first = np.cumsum(in_a + in_b) - in_a - in_b
+        names = np.empty(len(flat_a) + len(flat_b), object)
+        last = []
+        for flat, count, at, name in ((flat_a, in_a, first, self.a_name), (flat_b, in_b, first + in_a, self.b_name)):
+            nth = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            ends = nth == np.repeat(count, count) - 1
+            names[np.repeat(at, count) + nth] = name[ends.astype(np.int64), flat]
+            last.append(flat[ends])
+        links = ((last[0] << 32) | last[1]).astype("<i8").tobytes()
+        names = names.tolist()
+        tokens = np.cumsum(n_a + n_b)
+        groups = np.searchsorted(starts, np.cumsum(size)) * 8
+        out, x, i = [], 0, 0
+        for y, j, c in zip(tokens.tolist(), groups.tolist(), (n_a | n_b << 32).tolist(), strict=True):
+            out.append((b"".join(names[x:y]), links[i:j], c))
+            x, i = y, j
         return out
 
     def units(self, text: str) -> list[str]:
@@ -140,21 +156,30 @@ class Aligner:
             return [first[1:], *rest] if first else rest
         return text.split(" ")
 
-    @staticmethod
-    def parts(unit: str) -> list[str]:
-        """A unit cut before and behind each line feed that stands between two signs."""
+    def parts(self, unit: str) -> list[str]:
+        """A unit cut around line feeds between two signs, and before the stops at the end of a line of letters."""
         lines = unit.split("\n")
-        return lines if len(lines) > 1 and not any(x == "" or x[:1].isspace() or x[-1:].isspace() for x in lines) else [unit]
+        if len(lines) > 1 and any(x == "" or x[:1].isspace() or x[-1:].isspace() for x in lines):
+            return [unit]
+        out = []
+        for k, line in enumerate(lines):
+            if k:
+                out.append("\n")
+            core = line.rstrip(STOPS)
+            if self.stops and core != line and core.isalpha():
+                out += [core, line[len(core) :]]
+            else:
+                out.append(line)
+        return out
 
     def learn(self, new: set[str]) -> None:
-        """Align units that are not known yet; those of several lines are put together from the lines."""
+        """Align units that are not known yet; those of several parts are put together from these."""
         whole, made, bare = set(), {}, set()
         for u in new:
             first, *rest = self.parts(u) if self.cuttable else [u]
             if rest:
                 made[u] = (first, rest)
                 bare.update(rest)
-                bare.add("\n")
             if first not in self.known:
                 whole.add(first)
         for into, todo, spaced in ((self.known, list(whole), True), (self.bare, [x for x in bare if x not in self.bare], False)):
@@ -163,27 +188,28 @@ class Aligner:
                 into.update(zip(some, self.align(some, spaced), strict=True))
                 self.long += [(into, t) for t in some if len(t) > LONGEST_KEPT]
         for u, (first, rest) in made.items():
-            found = [self.known[first]]
-            for line in rest:
-                found += [self.bare["\n"], self.bare[line]]
+            found = [self.known[first], *map(self.bare.__getitem__, rest)]
             self.known[u] = None if None in found else joined(found)
             if len(u) > LONGEST_KEPT:
                 self.long.append((self.known, u))
 
-    def block(self, text: str) -> list[tuple] | None:
-        """What is known of each unit of a text; None if one of them is not given back."""
-        units = self.units(text)
-        new = set(units).difference(self.known)
+    def look_up(self, split: list[list[str]]) -> list[list[tuple] | None]:
+        """What is known of each unit of some texts; None for a text with a unit that is not given back."""
+        new = set().union(*split).difference(self.known)
+        if again := new.intersection(self.old):
+            self.known.update((u, self.old[u]) for u in again)
+            new -= again
         if new:
             self.learn(new)
-        found = list(map(self.known.__getitem__, units))
+        found = [list(map(self.known.__getitem__, units)) for units in split]
         for into, u in self.long:
             into.pop(u, None)
         self.long.clear()
-        if len(self.known) + len(self.bare) > CACHED_UNITS:
-            self.known.clear()
+        if len(self.known) > CACHED_UNITS // 2:
+            self.old, self.known = self.known, {}
+        if len(self.bare) > CACHED_UNITS // 4:
             self.bare.clear()
-        return None if None in found else found
+        return [None if None in x else x for x in found]
 
     def blocks(self, text: str, most: int = BLOCK) -> Iterator[str]:
         """text in runs of whole units of at least so many characters each, without the space between two runs."""
@@ -196,20 +222,23 @@ class Aligner:
             at = cut.end()
         yield text[at:]
 
-    def text(self, text: str | None, most: int = BLOCK) -> Iterator[tuple[bytes, bytes, int]]:
-        """(groups, links, counts) of each block of a text; nothing if it is not given back."""
-        if not text:
-            return
-        found = [self.block(b) for b in self.blocks(text, most)] if len(text) > most else [self.block(text)]
-        if None in found:  # some unit is not: the bytes of the whole decide
-            whole = self.align([text])[0]
-            found = [[whole]] if whole else []
-        for units in found:
-            yield joined(units)
+    def texts(self, texts: list[str | None], most: int = BLOCK) -> Iterator[list[tuple[bytes, bytes, int]]]:
+        """(groups, links, counts) of the blocks of each text; none for a text that is not given back."""
+        short = [t for t in texts if t and len(t) <= most]
+        ready = iter(self.look_up([self.units(t) for t in short]))
+        for t in texts:
+            if not t:
+                yield []
+                continue
+            found = [next(ready)] if len(t) <= most else [self.look_up([self.units(b)])[0] for b in self.blocks(t, most)]
+            if None in found:  # some unit is not: the bytes of the whole decide
+                whole = self.align([t])[0]
+                found = [[whole]] if whole else []
+            yield [joined(units) for units in found]
 
 
 def joined(found: list[tuple]) -> tuple[bytes, bytes, int]:
-    return b";".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
+    return b"".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -234,18 +263,11 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, digest: bool = False
         for whole in batches:
             for batch in pieces(whole):
                 counts, groups, links = [], [], []
-                for t in batch.column(1).to_pylist():
-                    sha, text, own, total = hashlib.sha256(), [], [], 0
-                    for i, (g, l, n) in enumerate(aligner.text(t, block)):
-                        if digest:
-                            sha.update(b";" * (i > 0) + g)
-                        else:
-                            text.append(g)
-                        own.append(l)
-                        total += n
-                    counts.append(total)
-                    groups.append((sha.hexdigest() if own else "") if digest else b";".join(text).decode())
-                    links.append(np.frombuffer(b"".join(own), "<i8"))
+                for found in aligner.texts(batch.column(1).to_pylist(), block):
+                    g, l, n = joined(found)
+                    counts.append(n)
+                    groups.append((hashlib.sha256(memoryview(g)[:-1]).hexdigest() if g else "") if digest else g[:-1].decode())
+                    links.append(np.frombuffer(l, "<i8"))
                 n = np.array(counts, np.int64)
                 cols = [batch.column(0), pa.array(n & LOW), pa.array(n >> 32), pa.array(groups, pa.string()), list_of(links, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_a", "n_b", "groups", "links"])
