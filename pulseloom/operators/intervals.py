@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import in_order
+from .series import BLOCK, block_of, carried, in_order
 
 
 def window_starts(time: Column, width: int, step: int) -> Column:
@@ -26,16 +26,17 @@ def as_intervals(updates: DataFrame, keys: list[str], time: str, tie: str, lasti
     return updates.withColumns({"start_us": F.col(time), "end_us": end})
 
 
-def asof(df: DataFrame, updates: DataFrame, keys: list[str], time: str, tie: str, columns: list[str]) -> DataFrame:
-    """df with columns of the latest update of its key at or before its time; one shuffle, no range join.
+def asof(df: DataFrame, updates: DataFrame, keys: list[str], time: str, tie: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """df with columns of the latest update of its key at or before its time; no range join.
 
-    Both sides are united on the key and each row looks back; of updates at one time the largest tie counts.
+    Both sides are united and each row looks back within its block of time, and to a row a block for what lies before
+    it; of updates at one time the largest tie counts.
     """
-    left = df.select(*[F.col(c) for c in df.columns], F.lit(1).alias("__side"), *[F.lit(None).cast(updates.schema[c].dataType).alias(f"__{c}") for c in columns], F.lit(False).alias("__is"))
-    right = updates.select(*[(F.col(c) if c in (*keys, time, tie) else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns], F.lit(0).alias("__side"), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__is"))
-    w = Window.partitionBy(*keys).orderBy(time, "__side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__is"), F.struct(*[F.col(f"__{c}").alias(c) for c in columns])), ignorenulls=True).over(w)
-    return left.unionByName(right).withColumn("__last", last).where("__side = 1").select(*df.columns, *[F.col(f"__last.{c}").alias(f"asof_{c}") for c in columns])
+    left = df.select(*[F.col(c) for c in df.columns], F.lit(1).alias("__side"), *[F.lit(None).cast(updates.schema[c].dataType).alias(f"__{c}") for c in columns])
+    right = updates.select(*[(F.col(c) if c in (*keys, time, tie) else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns], F.lit(0).alias("__side"), *[F.col(c).alias(f"__{c}") for c in columns])
+    both = left.unionByName(right).withColumn("__block", block_of(F.col(time), block))
+    found = carried(both, keys, [time, "__side", tie], "__block", F.col("__side") == 0, **{f"asof_{c}": F.col(f"__{c}") for c in columns})
+    return found.where("__side = 1").select(*df.columns, *[f"asof_{c}" for c in columns])
 
 
 def merged(df: DataFrame, keys: list[str], start: str = "start_us", end: str = "end_us") -> DataFrame:

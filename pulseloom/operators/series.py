@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.expr import MAD_SCALE, median
 
 
+#: A day of microseconds: the blocks that long series are cut into.
+BLOCK = 86_400_000_000
+
+
+def block_of(time: Column, block: int) -> Column:
+    """The number of the block of so many microseconds that holds a time, also before 1970."""
+    t = time.cast("long")
+    return ((t - F.pmod(t, F.lit(block))) / block).cast("long")  # a whole multiple, which doubles divide exactly
+
+
 def in_order(keys: list[str], *order: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
@@ -65,10 +75,26 @@ def robust_thresholds(df: DataFrame, keys: list[str], value: str, sigmas: float
     return d.withColumn("threshold", F.col("mid") + F.lit(sigmas) * F.col("mad"))
 
 
-def held(df: DataFrame, keys: list[str], time: str, tie: str, value: Column, longest: int) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], block: str, valid: Column, **columns: Column) -> DataFrame:
+    """df with columns as they were in the last row of its key, at or before each row, for which valid holds.
+
+    Rows look back within their block; what lies before it comes from a row a block, so no window holds a key's whole
+    history. block must not fall along order.
+    """
+    d = df.withColumn("__now", F.when(valid, F.struct(*(c.alias(k) for k, c in columns.items()))))
+    here = F.last("__now", ignorenulls=True).over(Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = d.groupBy(*keys, block).agg(F.max_by("__now", F.when(F.col("__now").isNotNull(), F.struct(*order))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(c).alias(f"__of_{c}") for c in (*keys, block)), before.alias("__before"))
+    d = d.withColumn("__here", here).join(ends, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, block)], "left")
+    last = F.coalesce("__here", "__before")
+    return d.select(*df.columns, *(last.getField(k).alias(k) for k in columns))
+
+
+def held(df: DataFrame, keys: list[str], time: str, tie: str, value: Column, longest: int, block: int = BLOCK) -> DataFrame:
     """df with the last valid value at or before each row, its age, and current, held or unavailable."""
-    w = in_order(keys, time, tie).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumns({"held_value": F.last(value, ignorenulls=True).over(w), "held_us": F.last(F.when(value.isNotNull(), F.col(time)), ignorenulls=True).over(w)})
+    d = df.withColumns({"__value": value, "__block": block_of(F.col(time), block)})
+    d = carried(d, keys, [time, tie], "__block", F.col("__value").isNotNull(), held_value=F.col("__value"), held_us=F.col(time)).drop("__value", "__block")
     d = d.withColumn("age_us", F.col(time) - F.col("held_us"))
     mode = F.when(F.col("age_us") == 0, "current").when(F.col("age_us") <= longest, "held").otherwise("unavailable")
     return d.withColumn("mode", mode).withColumn("shown", F.when(F.col("mode") != "unavailable", F.col("held_value")))

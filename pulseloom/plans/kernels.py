@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp, waves
 from ..functions.expr import r6
-from ..operators import models
+from ..operators import models, scans
 from ..operators import series as se
 from ..sources import telemetry
 from .catalogue import E_SQL, GAP, KEY, PRED_SQL, predictions, read, stream
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: What SQL can say of them after all: round trips, recursions, closed forms.
 SQL: dict[str, str] = {}
 SESSION = [*KEY, "session"]
+#: Events come hours apart here: blocks of five days.
+SCANNED = 5 * scans.BLOCK
 
 
 def query(f):
@@ -51,7 +53,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, round(ema, 9) AS ema FROM r"""
 )
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.exponential(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 0.01).select("event_id", F.round("ema", 9).alias("ema"))
+    return scans.exponential(stream(spark, sf_dir), KEY, "us", "event_id", "value", 0.01, GAP, block=SCANNED).select("event_id", F.round("ema", 9).alias("ema"))
 
 
 #: The same rules a row at a time: state, and since when value has been over or under.
@@ -66,7 +68,7 @@ SELECT event_id, state FROM r"""
 )
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 moving, 0 still, null calibrating; dwell times and warm-up in microseconds."""
-    return se.dwelling(sessions(spark, sf_dir), SESSION, "us", "event_id", "value", 50.0, 35.0, 200_000, 1_000_000, 2_000_000).select("event_id", "state")
+    return scans.dwelling(stream(spark, sf_dir), KEY, "us", "event_id", "value", 50.0, 35.0, 200_000, 1_000_000, 2_000_000, GAP, SCANNED).select("event_id", "state")
 
 
 @query
