@@ -286,7 +286,8 @@ def dedup_lines(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     gone = cut(gone.groupBy("doc_key").agg(F.collect_set("line").alias("gone")))
     out = _without(keyed.join(small(gone, "gone", NUMBER_BYTES), "doc_key", "left").select("row", "text", "gone"))
     own = dict(zip(through, unfolded(through), strict=True)) | {"text": F.col("text")} | ({dropped: F.col("dropped").alias(dropped)} if dropped else {})
-    return out.select(*(own[c] for c in docs.columns), *[own[dropped]] * (bool(dropped) and dropped not in docs.columns))
+    names = docs.columns + [c for c in (dropped,) if c and c not in docs.columns]
+    return out.select(*map(own.__getitem__, names))
 
 
 def _without(joined: DataFrame) -> DataFrame:
