@@ -91,6 +91,16 @@ def carried(df: DataFrame, keys: list[str], order: list[str], block: str, valid:
     return d.select(*df.columns, *(last.getField(k).alias(k) for k in columns))
 
 
+def followed(df: DataFrame, keys: list[str], order: str, block: str, column: str, name: str) -> DataFrame:
+    """df with column as it is in the key's next row; a block's last row finds it in a row a block."""
+    here = F.lead(F.struct(column)).over(Window.partitionBy(*keys, block).orderBy(order))
+    first = df.groupBy(*keys, block).agg(F.min_by(F.struct(column), order).alias("__first"))
+    ahead = F.lead("__first").over(Window.partitionBy(*keys).orderBy(block))
+    first = first.select(*(F.col(c).alias(f"__of_{c}") for c in (*keys, block)), ahead.alias("__ahead"))
+    d = df.withColumn("__here", here).join(first, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, block)], "left")
+    return d.select(*df.columns, F.coalesce("__here", "__ahead").getField(column).alias(name))
+
+
 def held(df: DataFrame, keys: list[str], time: str, tie: str, value: Column, longest: int, block: int = BLOCK) -> DataFrame:
     """df with the last valid value at or before each row, its age, and current, held or unavailable."""
     d = df.withColumns({"__value": value, "__block": block_of(F.col(time), block)})

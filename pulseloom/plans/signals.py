@@ -6,15 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import waves
+from ..functions import rates, waves
+from ..operators import series as se
 from .catalogue import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 RATE = 16.0
+#: Vectors of a recording are looked through in ranges of so many ids.
+RANGE = 4096
 
 
 def query(f):
@@ -24,8 +27,8 @@ def query(f):
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of two vectors of a recording, hopping by one: start_id, label and 128 samples; the last vector has none."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", "embedding", F.lead("embedding").over(w).alias("next"))
+    e = read(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("range", se.block_of(F.col("vec_id"), RANGE))
+    e = se.followed(e, ["label"], "vec_id", "range", "embedding", "next").select("vec_id", "label", "embedding", "next")
     return e.where(F.col("next").isNotNull() & (F.size("embedding") == 64) & (F.size("next") == 64)).select("vec_id", "label", F.concat("embedding", "next").alias("samples"))
 
 
@@ -80,27 +83,30 @@ def beat_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(over_matrix(windows(spark, sf_dir), "samples", made, f))
 
 
+def pulse_band(x: np.ndarray) -> np.ndarray:
+    return waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))
+
+
 @query
 def window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each window's rate by three methods behind five gates, with the reasons against it."""
 
     def f(x: np.ndarray) -> dict[str, np.ndarray]:
-        got = [waves.window_rate(w, RATE) for w in waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))]
-        return {"bpm": np.array([np.nan if b is None else b for b, _ in got]), "reasons": [w for _, w in got]}
+        return dict(zip(("bpm", "reasons"), rates.by_agreement(pulse_band(x), RATE), strict=True))
 
     return over_matrix(windows(spark, sf_dir), "samples", {"bpm": "double", "reasons": "string"}, f)
 
 
 @query
 def estimator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same windows under both rate estimators and the finger one: what each says, and whether they agree."""
+    """The same windows under every estimator named: what each says, and whether the two live ones agree."""
+    estimators = {"original": rates.by_agreement, "guided": rates.guided}
 
     def f(x: np.ndarray) -> dict[str, np.ndarray]:
-        y = waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))
-        a, b = [waves.window_rate(w, RATE) for w in y], [waves.guided_rate(w, RATE) for w in y]
-        finger, n = waves.finger_rate(60_000 + 4000 * x, RATE)
-        number = lambda got: np.array([np.nan if v is None else v for v, _ in got])
-        return {"original": number(a), "guided": number(b), "finger": finger, "n_peaks": n, "guided_reasons": [w for _, w in b]}
+        y, out = pulse_band(x), {}
+        for name, estimator in estimators.items():
+            out[name], out[f"{name}_reasons"] = estimator(y, RATE)
+        return out | dict(zip(("finger", "n_peaks"), rates.finger(60_000 + 4000 * x, RATE), strict=True))
 
     d = over_matrix(windows(spark, sf_dir), "samples", {"original": "double", "guided": "double", "finger": "double", "n_peaks": "int", "guided_reasons": "string"}, f)
     return d.withColumn("agree", F.abs(F.col("original") - F.col("guided")) <= 6)

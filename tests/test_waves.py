@@ -94,21 +94,7 @@ def test_welch_of_a_sine_and_its_power():
     assert abs(p[1].sum() * (f[1] - f[0]) - x[1].var()) < 0.15
 
 
-def test_rates_and_their_gates():
-    x = w.zero_phase(pulse(noise=0.05), w.band_pass(4, 0.7, 3.0, RATE))[0]
-    bpm, why = w.window_rate(x, RATE)
-    assert why == "" and abs(bpm - 72) < 1.5
-    assert w.window_rate(np.random.default_rng(3).normal(size=1200), RATE)[1] != ""
-    assert w.window_rate(np.zeros(1200), RATE)[0] is None and w.autocorrelation_bpm(np.zeros(100), RATE) is None
-
-
-def test_guided_and_finger_rates():
-    x = w.zero_phase(pulse(noise=0.05), w.band_pass(4, 0.7, 3.0, RATE))[0]
-    bpm, why = w.guided_rate(x, RATE)
-    assert why == "" and abs(bpm - 72) < 1.5
-    assert w.guided_rate(np.random.default_rng(3).normal(size=1200), RATE)[0] is None and w.guided_rate(x[:10], RATE)[1] == "invalid_input"
-    got, n = w.finger_rate(90_000 + 6000 * np.stack([pulse(), pulse(90), np.zeros(1200)]), RATE)
-    assert np.allclose(got[:2], [72, 90], atol=1) and np.isnan(got[2]) and n[2] == 0
+def test_rolling_mean():
     r = np.random.default_rng(5).normal(size=(3, 40))
     for k in (1, 4, 7):
         plain = [[row[max(0, i - (k - 1) // 2 - (k - 1) % 2) : i + (k - 1) // 2 + 1].mean() for i in range(40)] for row in r]
