@@ -35,7 +35,7 @@ def asof(df: DataFrame, updates: DataFrame, keys: list[str], time: str, tie: str
     left = df.select(*[F.col(c) for c in df.columns], F.lit(1).alias("__side"), *[F.lit(None).cast(updates.schema[c].dataType).alias(f"__{c}") for c in columns])
     right = updates.select(*[(F.col(c) if c in (*keys, time, tie) else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns], F.lit(0).alias("__side"), *[F.col(c).alias(f"__{c}") for c in columns])
     both = left.unionByName(right).withColumn("__block", block_of(F.col(time), block))
-    found = carried(both, keys, [time, "__side", tie], "__block", F.col("__side") == 0, **{f"asof_{c}": F.col(f"__{c}") for c in columns})
+    found = carried(both, keys, [time, "__side", tie], "__block", (F.col("__side") == 0, {f"asof_{c}": F.col(f"__{c}") for c in columns}))
     return found.where("__side = 1").select(*df.columns, *[f"asof_{c}" for c in columns])
 
 

@@ -75,20 +75,21 @@ def robust_thresholds(df: DataFrame, keys: list[str], value: str, sigmas: float
     return d.withColumn("threshold", F.col("mid") + F.lit(sigmas) * F.col("mad"))
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], block: str, valid: Column, **columns: Column) -> DataFrame:
-    """df with columns as they were in the last row of its key, at or before each row, for which valid holds.
+def carried(df: DataFrame, keys: list[str], order: list[str], block: str, *marks: tuple[Column, dict[str, Column]]) -> DataFrame:
+    """df with, for each mark (valid, columns), the columns as in the last row of its key, at or before each row, that is valid.
 
     Rows look back within their block; what lies before it comes from a row a block, so no window holds a key's whole
     history. block must not fall along order.
     """
-    d = df.withColumn("__now", F.when(valid, F.struct(*(c.alias(k) for k, c in columns.items()))))
-    here = F.last("__now", ignorenulls=True).over(Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = d.groupBy(*keys, block).agg(F.max_by("__now", F.when(F.col("__now").isNotNull(), F.struct(*order))).alias("__end"))
-    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select(*(F.col(c).alias(f"__of_{c}") for c in (*keys, block)), before.alias("__before"))
-    d = d.withColumn("__here", here).join(ends, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, block)], "left")
-    last = F.coalesce("__here", "__before")
-    return d.select(*df.columns, *(last.getField(k).alias(k) for k in columns))
+    at = range(len(marks))
+    d = df.withColumns({f"__now{i}": F.when(valid, F.struct(*(c.alias(k) for k, c in columns.items()))) for i, (valid, columns) in enumerate(marks)})
+    back = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.groupBy(*keys, block).agg(*(F.max_by(f"__now{i}", F.when(F.col(f"__now{i}").isNotNull(), F.struct(*order))).alias(f"__end{i}") for i in at))
+    ahead = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(c).alias(f"__of_{c}") for c in (*keys, block)), *(F.last(f"__end{i}", ignorenulls=True).over(ahead).alias(f"__before{i}") for i in at))
+    d = d.withColumns({f"__here{i}": F.last(f"__now{i}", ignorenulls=True).over(back) for i in at})
+    d = d.join(ends, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, block)], "left")
+    return d.select(*df.columns, *(F.coalesce(f"__here{i}", f"__before{i}").getField(k).alias(k) for i in at for k in marks[i][1]))
 
 
 def followed(df: DataFrame, keys: list[str], order: str, block: str, column: str, name: str) -> DataFrame:
@@ -104,7 +105,7 @@ def followed(df: DataFrame, keys: list[str], order: str, block: str, column: str
 def held(df: DataFrame, keys: list[str], time: str, tie: str, value: Column, longest: int, block: int = BLOCK) -> DataFrame:
     """df with the last valid value at or before each row, its age, and current, held or unavailable."""
     d = df.withColumns({"__value": value, "__block": block_of(F.col(time), block)})
-    d = carried(d, keys, [time, tie], "__block", F.col("__value").isNotNull(), held_value=F.col("__value"), held_us=F.col(time)).drop("__value", "__block")
+    d = carried(d, keys, [time, tie], "__block", (F.col("__value").isNotNull(), {"held_value": F.col("__value"), "held_us": F.col(time)})).drop("__value", "__block")
     d = d.withColumn("age_us", F.col(time) - F.col("held_us"))
     mode = F.when(F.col("age_us") == 0, "current").when(F.col("age_us") <= longest, "held").otherwise("unavailable")
     return d.withColumn("mode", mode).withColumn("shown", F.when(F.col("mode") != "unavailable", F.col("held_value")))

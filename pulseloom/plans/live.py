@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series as se
-from ..streaming import paired
+from ..streaming import paired, silence
 from .catalogue import E_SQL, HOUR, KEY, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,43 @@ def paired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = paired.checked_windows(optical, motion, PAIRED)
     mean = F.aggregate(F.filter("samples", lambda s: s["x"].isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, s: F.struct((a["s"] + s["x"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / F.nullif(a["n"], F.lit(0.0)))
     return w.select(F.col("device").alias("user_id"), "start_us", "ppg_samples", "imu_samples", *(F.round(c, 6).alias(c) for c in ("ppg_completeness", "imu_completeness")), "reasons", F.round(mean, 6).alias("mean_x"))
+
+
+#: Ticks every two hours, and patience to match.
+PATIENCE = silence.Patience(beat=2 * HOUR, connection=10 * HOUR, motion=20 * HOUR, analysis=30 * HOUR, hold=90 * HOUR, forget=100 * HOUR)
+_HOLD = ", ".join(f"'{x}'" for x in silence.HOLDABLE)
+
+
+@query(
+    "silent_records",
+    f"""WITH {E_SQL},
+r AS (SELECT user_id, us, CASE event_type WHEN 'view' THEN 'sample' WHEN 'click' THEN 'motion' WHEN 'signup' THEN 'motion' WHEN 'purchase' THEN 'analysis' ELSE 'fault' END AS kind,
+  CASE WHEN event_type IN ('click', 'signup') THEN CASE WHEN value > 60 THEN 'moving' WHEN value < 5 THEN 'calibrating' ELSE 'still' END WHEN event_type = 'purchase' THEN CASE WHEN value < 30 THEN 'poor_waveform_quality' ELSE 'accepted' END END AS status,
+  CASE WHEN event_type = 'purchase' AND value >= 30 THEN value END AS value FROM e),
+n AS (SELECT *, us - lag(us) OVER w AS dt, lead(us) OVER w AS nxt FROM r WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+l AS (SELECT *, sum(CASE WHEN dt > {PATIENCE.forget} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS life FROM n),
+t AS (SELECT DISTINCT user_id, life, unnest(generate_series((us + {PATIENCE.beat} - 1) // {PATIENCE.beat} * {PATIENCE.beat}, least(coalesce(nxt, {1 << 62}) - 1, us + {PATIENCE.forget}, (SELECT max(us) FROM e)), {PATIENCE.beat})) AS us FROM l),
+u AS (SELECT user_id, life, us, kind, status, value, 1 AS turn FROM l UNION ALL SELECT user_id, life, us, 'tick', NULL, NULL, 2 FROM t),
+h AS (SELECT user_id, us, kind,
+  last_value(CASE WHEN kind <> 'tick' THEN us END IGNORE NULLS) OVER w AS line_us, last_value(CASE WHEN kind = 'motion' THEN us END IGNORE NULLS) OVER w AS motion_us, last_value(CASE WHEN kind = 'motion' THEN status END IGNORE NULLS) OVER w AS motion,
+  last_value(CASE WHEN kind = 'analysis' THEN us END IGNORE NULLS) OVER w AS analysis_us, last_value(CASE WHEN kind = 'analysis' THEN status WHEN kind = 'fault' THEN 'invalid_timing' END IGNORE NULLS) OVER w AS analysis,
+  last_value(CASE WHEN kind = 'analysis' THEN coalesce(value, -1) WHEN kind = 'fault' THEN -1 END IGNORE NULLS) OVER w AS estimate,
+  last_value(CASE WHEN kind = 'analysis' AND value IS NOT NULL THEN us WHEN kind = 'fault' THEN -1 END IGNORE NULLS) OVER w AS good_us, last_value(CASE WHEN kind = 'analysis' AND value IS NOT NULL THEN value WHEN kind = 'fault' THEN -1 END IGNORE NULLS) OVER w AS good
+  FROM u WINDOW w AS (PARTITION BY user_id, life ORDER BY us, turn ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT user_id, us, line_us, motion_us, motion, analysis_us, analysis, nullif(estimate, -1) AS estimate, nullif(good_us, -1) AS good_us, nullif(good, -1) AS good FROM h WHERE kind = 'tick'),
+s AS (SELECT *, CASE WHEN coalesce(us - motion_us > {PATIENCE.motion}, true) THEN 'motion_stale' WHEN motion = 'moving' THEN 'motion_detected' WHEN motion <> 'still' THEN motion
+  WHEN estimate IS NOT NULL AND us - line_us > {PATIENCE.connection} THEN 'connection_stale' WHEN estimate IS NOT NULL AND coalesce(us - analysis_us > {PATIENCE.analysis}, true) THEN 'analysis_stale' ELSE coalesce(analysis, 'warming_up') END AS status FROM k),
+m AS (SELECT *, CASE WHEN estimate IS NOT NULL AND motion = 'still' AND status NOT IN ('motion_stale', 'motion_detected', 'connection_stale', 'analysis_stale') THEN 'current' WHEN status IN ({_HOLD}) AND good IS NOT NULL AND us - good_us <= {PATIENCE.hold} THEN 'held' ELSE 'unavailable' END AS mode FROM s)
+SELECT user_id, us AS tick_us, CASE WHEN us - line_us > {PATIENCE.connection} THEN 'stale' ELSE 'connected' END AS connection, status, mode, CASE mode WHEN 'current' THEN estimate WHEN 'held' THEN good END AS value, CASE WHEN mode <> 'unavailable' THEN us - good_us END AS age_us,
+  coalesce(status IN ({_HOLD}) AND mode = 'unavailable' AND us - good_us > {PATIENCE.hold}, false) AS expired FROM m""",
+)
+def silent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a display of each device shows at every tick, also while the device is silent."""
+    e = stream(spark, sf_dir)
+    of = F.col("event_type")
+    kind = F.when(of == "view", "sample").when(of.isin("click", "signup"), "motion").when(of == "purchase", "analysis").otherwise("fault")
+    motion = F.when(F.col("value") > 60, "moving").when(F.col("value") < 5, "calibrating").otherwise("still")
+    status = F.when(of.isin("click", "signup"), motion).when(of == "purchase", F.when(F.col("value") < 30, "poor_waveform_quality").otherwise("accepted"))
+    rows = e.select(F.col("user_id").alias("device"), "us", kind.alias("kind"), status.alias("status"), F.when((of == "purchase") & (F.col("value") >= 30), F.col("value")).alias("value"))
+    until = rows.agg(F.max("us")).first()[0]  # one number
+    return silence.records(silence.ticks_of(rows, until or 0, PATIENCE, 10 * 24 * HOUR), PATIENCE).withColumnRenamed("device", "user_id")
