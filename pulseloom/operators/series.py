@@ -165,6 +165,35 @@ def thinned(df: DataFrame, keys: list[str], at: str, apart: int) -> DataFrame:
     return d.where("__kept = 1").select(*keys, at)
 
 
+def spaced_tops(df: DataFrame, keys: list[str], time: str, tie: str, value: str, least: Column, apart: int) -> DataFrame:
+    """keys, time, tie, value and nth of the local maxima over least that lie at least apart; a nearer one takes the last one's place if it is higher.
+
+    Only local maxima are run through in order, with one top in memory; windows see neighbours alone.
+    """
+    w = in_order(keys, time, tie)
+    d = df.withColumns({"__a": F.lag(value).over(w), "__b": F.lead(value).over(w)})
+    d = d.where((F.col(value) > least) & (F.col(value) >= F.col("__a")) & (F.col(value) > F.col("__b")))
+
+    def start() -> Callable:
+        last = top = None
+
+        def step(at: int, x: float | None) -> int:
+            """1 a new top, 2 one in place of the last, 0 neither."""
+            nonlocal last, top
+            far = last is None or at - last >= apart
+            if far or x > top:
+                last, top = at, x
+                return 1 if far else 2
+            return 0
+
+        return step
+
+    run = scanned(d.select(*keys, time, tie, value), keys, time, tie, value, "__step int", start).where("__step > 0")
+    run = run.withColumns({"nth": F.sum(F.when(F.col("__step") == 1, 1).otherwise(0)).over(w).cast("long"), "__next": F.lead("__step").over(w)})
+    kept = run.where("__next is null or __next = 1").select(*keys, time, tie, "nth")
+    return d.select(*keys, time, tie, value).join(kept, [*keys, time, tie])
+
+
 def exponential(df: DataFrame, keys: list[str], time: str, tie: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
     """Each key's values in order with the recursive mean g += alpha * (x - g), begun at the first value.
 

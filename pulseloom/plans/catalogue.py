@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import MAD_SCALE, band, median, micros, middle, r6, ratio, reasons, timing_quality
 from ..operators import intervals as iv
+from ..operators import orderstats
 from ..operators import series as se
 from ..operators import studies as st
 
@@ -142,7 +143,7 @@ def per_bucket_median_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, round(any_value(mid), 6) AS mid, round({MAD_SCALE} * quantile_cont(abs(value - mid), 0.5), 9) AS mad, round(any_value(mid) + 6 * {MAD_SCALE} * quantile_cont(abs(value - mid), 0.5), 9) AS threshold FROM e JOIN m USING (user_id) GROUP BY user_id""",
 )
 def robust_mad_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.robust_thresholds(stream(spark, sf_dir), KEY, "value").select("user_id", r6("mid").alias("mid"), *[F.round(c, 9).alias(c) for c in ("mad", "threshold")])
+    return orderstats.robust_thresholds(stream(spark, sf_dir), KEY, "value").select("user_id", r6("mid").alias("mid"), *[F.round(c, 9).alias(c) for c in ("mad", "threshold")])
 
 
 def _frame(before: int, after: int) -> str:
@@ -161,7 +162,33 @@ def rolling_mean_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rolling_median_centred", f"WITH {E_SQL} SELECT event_id, round(quantile_cont(value, 0.5) OVER {_frame(5, 5)}, 6) AS mid FROM e")
 def rolling_median_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.rolling(stream(spark, sf_dir), KEY, "us", "event_id", 5, 5, m=median("value")).select("event_id", r6("m").alias("mid"))
+    return orderstats.rolling_median(stream(spark, sf_dir), KEY, "us", "event_id", "value", 5, 5, block=10 * 24 * HOUR).select("event_id", r6("mid").alias("mid"))
+
+
+@query("rolling_median_wide", f"WITH {E_SQL} SELECT event_id, round(value - quantile_cont(value, 0.5) OVER {_frame(500, 500)}, 6) AS residual FROM e")
+def rolling_median_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each value without the median of the thousand rows around it."""
+    e = stream(spark, sf_dir)
+    mid = orderstats.rolling_median(e, KEY, "us", "event_id", "value", 500, 500, block=10 * 24 * HOUR).select("event_id", "mid")
+    return e.select("event_id", "value").join(mid, "event_id").select("event_id", r6(F.col("value") - F.col("mid")).alias("residual"))
+
+
+#: Local maxima over a quarter of the standard deviation above the mean; one within 12 hours of the last takes its place if it is higher.
+@query(
+    "spaced_tops",
+    f"""WITH RECURSIVE {E_SQL}, d AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+g AS (SELECT user_id, avg(value) + 0.25 * stddev_pop(value) AS least FROM e GROUP BY user_id),
+c AS (SELECT d.user_id, d.us, d.event_id, d.value, row_number() OVER (PARTITION BY d.user_id ORDER BY d.us, d.event_id) AS nth FROM d JOIN g USING (user_id) WHERE value > round(least, 9) AND value >= a AND value > b),
+r AS (SELECT user_id, nth, event_id, us AS last_us, value AS top, 1 AS found, true AS taken FROM c WHERE nth = 1
+UNION ALL SELECT c.user_id, c.nth, CASE WHEN c.us - r.last_us >= {12 * HOUR} OR c.value > r.top THEN c.event_id ELSE r.event_id END, CASE WHEN c.us - r.last_us >= {12 * HOUR} OR c.value > r.top THEN c.us ELSE r.last_us END,
+  CASE WHEN c.us - r.last_us >= {12 * HOUR} OR c.value > r.top THEN c.value ELSE r.top END, r.found + CASE WHEN c.us - r.last_us >= {12 * HOUR} THEN 1 ELSE 0 END, c.us - r.last_us >= {12 * HOUR} OR c.value > r.top FROM r JOIN c ON c.user_id = r.user_id AND c.nth = r.nth + 1)
+SELECT user_id, found AS nth, arg_max(event_id, nth) AS event_id, round(arg_max(top, nth), 6) AS height FROM r GROUP BY user_id, found""",
+)
+def spaced_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stream(spark, sf_dir)
+    least = e.groupBy("user_id").agg(F.round(F.avg("value") + 0.25 * F.stddev_pop("value"), 9).alias("least"))
+    tops = se.spaced_tops(e.join(least, "user_id"), KEY, "us", "event_id", "value", F.col("least"), 12 * HOUR)
+    return tops.select("user_id", "nth", "event_id", r6("value").alias("height"))
 
 
 @query("mask_dilation", f"WITH {E_SQL} SELECT event_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER {_frame(2, 2)} = 1 AS masked FROM e")
