@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gram
+from ..operators import combined, gram
 from ..operators import series as se
 from .catalogue import O_WIN, ORDERED, r6, read
 
@@ -136,3 +136,45 @@ def duration_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = gram.predicted(o, gram.left_out(o, "who", names, ["truth"], {str(d): [f"g{d}"] for d in durations}), ["who"], names)
     off = F.col("predicted") - F.col("truth")
     return p.groupBy(F.col("model").alias("duration")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(off))).alias("mae"), r6(F.avg(off)).alias("bias"))
+
+
+SETUP = combined.Design(setup="setup", target_setup=1, time="us", tie="o_orderkey", features=("prior",), targets=("truth",), setups=(0, 1), alphas=(1.0, 2000.0), splits=3)
+LOCKED = 883_612_800_000_000  # from 1998 on
+#: Later occasions of the target setup and their folds: three runs of a quarter each, behind what is left.
+_FOLDED = f"t AS (SELECT us, o_orderkey, row_number() OVER (ORDER BY us, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM q WHERE setup = 1 AND us < {LOCKED}), s AS (SELECT *, (place - (n - 3 * (n // 4))) // (n // 4) AS fold FROM t WHERE place >= n - 3 * (n // 4))"
+
+
+def _setup_sql(alpha: float, tag: str) -> str:
+    """The three models of every fold and variant under one penalty."""
+    ctes = solve_sql("l", "variant, fold").replace("n + 1 AS d", f"n + {alpha} AS d")
+    for name in ("c", "k", "det", "w"):
+        ctes = ctes.replace(f"{name} AS (SELECT", f"{name}{tag} AS (SELECT", 1)
+    return ctes.replace("FROM c)", f"FROM c{tag})").replace("FROM k)", f"FROM k{tag})").replace("FROM det)", f"FROM det{tag})")
+
+
+_SAID = " UNION ALL ".join(
+    f"SELECT q.us, q.o_orderkey, q.setup, q.t, variant, fold, '{m}' AS model, {a}::DOUBLE AS alpha, {e} AS said FROM q CROSS JOIN w{tag}"
+    for tag, a in (("_a", 1.0), ("_b", 2000.0))
+    for m, e in (("pooled", "mt + a1 * (x1 - m1)"), ("partial", "CASE WHEN variant = 'alone' THEN mt + a1 * (x1 - m1) ELSE mt + f1 * (x1 - m1) + f2 * (x2 - m2) + f3 * (x3 - m3) END"))
+)
+
+
+@query(
+    f"""WITH {X_SQL}, q AS (SELECT o_orderkey, o_custkey % 2 AS setup, epoch_us(o_orderdate) AS us, x1, CASE WHEN o_custkey % 2 = 0 THEN x1 ELSE 0 END AS x2, CASE WHEN o_custkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x3, t FROM (SELECT x.o_orderkey, x.o_custkey, x.x1, x.t, o_orderdate FROM x JOIN orders USING (o_orderkey))),
+{_FOLDED}, b AS (SELECT fold, min(us) AS bound FROM s GROUP BY fold UNION ALL SELECT 3, {LOCKED}),
+l AS (SELECT 'combined' AS variant, fold, {SUMS_SQL} FROM q JOIN b ON q.us < b.bound AND q.us < {LOCKED} GROUP BY fold UNION ALL SELECT 'alone' AS variant, fold, {SUMS_SQL} FROM q JOIN b ON q.us < b.bound AND q.us < {LOCKED} AND q.setup = 1 GROUP BY fold),
+{_setup_sql(1.0, "_a")}, {_setup_sql(2000.0, "_b")}, y AS ({_SAID}),
+v AS (SELECT variant, y.model, alpha, count(*) AS n, avg(abs(said - t)) AS mae FROM y JOIN s ON y.o_orderkey = s.o_orderkey AND y.fold = s.fold GROUP BY ALL),
+h AS (SELECT variant, model, alpha, count(*) AS n_locked, avg(abs(said - t)) AS mae_locked FROM y WHERE fold = 3 AND setup = 1 AND us >= {LOCKED} GROUP BY ALL)
+SELECT variant, model, alpha, n, round(mae, 6) AS mae, row_number() OVER (ORDER BY round(mae, 9), alpha, variant DESC, model DESC) = 1 AS chosen, n_locked, round(mae_locked, 6) AS mae_locked FROM v JOIN h USING (variant, model, alpha)"""
+)
+def setup_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one parity as the setup that counts, the others as auxiliary: selection on later rows, then locked ones."""
+    x = examples(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us")), "o_orderkey").withColumn("setup", F.col("o_custkey") % 2)
+    scores, models = combined.selected(x.where(F.col("us") < LOCKED), SETUP, 400 * se.BLOCK)
+    late = x.where((F.col("us") >= LOCKED) & (F.col("setup") == 1))
+    named = models.withColumns({"chosen": F.lit(True), "model": F.concat_ws("/", "variant", "model", F.col("alpha").cast("string"))})
+    judged = combined.judged_once(late, named, SETUP, LOCKED - 1)
+    part = F.split("model", "/")
+    locked = judged.groupBy(part[0].alias("variant"), part[1].alias("model"), part[2].cast("double").alias("alpha")).agg(F.count("*").alias("n_locked"), r6(F.avg(F.abs("error"))).alias("mae_locked"))
+    return scores.select("variant", "model", "alpha", "n", r6("mae").alias("mae"), "chosen").join(locked, ["variant", "model", "alpha"])
