@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series as se
-from ..streaming import paired, silence
+from ..streaming import paired, shadow, silence
 from .catalogue import E_SQL, HOUR, KEY, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +28,8 @@ PAIRED = paired.Rules(width=8 * HOUR // 1000, step=4 * HOUR // 1000, late=HOUR /
 _W, _S, _R, _G = (x * 1000 for x in (PAIRED.width, PAIRED.step, PAIRED.reach, PAIRED.longest_gap))
 
 
-@query(
-    "paired_windows",
-    f"""WITH {E_SQL},
+#: Windows of both streams as the CTE j.
+_WINDOWS = f"""{E_SQL},
 o AS (SELECT user_id, us, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq FROM e WHERE event_type IN ('view', 'click')),
 m AS (SELECT user_id, us, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq FROM e WHERE event_type NOT IN ('view', 'click') AND event_id % 97 <> 0),
 a AS (SELECT o.*, CASE WHEN o.us - m.us <= {_R} THEN m.us END AS a_us, m.x AS a_x FROM o ASOF LEFT JOIN m ON o.user_id = m.user_id AND o.us >= m.us),
@@ -48,11 +47,21 @@ j AS (SELECT k.user_id, k.start_us, coalesce(p.n, 0) AS ppg_samples, coalesce(i.
    CASE WHEN coalesce(p.bare, false) THEN 'insufficient_imu_interpolation_coverage' END,
    CASE WHEN p.mid IS NULL OR i.mid IS NULL OR p.first - k.start_us > p.mid OR k.start_us + {_W} - p.last > p.mid OR i.first - k.start_us > i.mid OR k.start_us + {_W} - i.last > i.mid THEN 'outside_common_sensor_coverage' END,
    CASE WHEN coalesce(p.fault, false) THEN 'ppg_sequence_fault' END, CASE WHEN coalesce(p.n, 0) < 2 OR p.widest > {_G} THEN 'ppg_timestamp_gap' END) AS reasons
-  FROM k LEFT JOIN g p ON p.user_id = k.user_id AND p.start_us = k.start_us AND p.kind = 'ppg' LEFT JOIN g i ON i.user_id = k.user_id AND i.start_us = k.start_us AND i.kind = 'imu')
+  FROM k LEFT JOIN g p ON p.user_id = k.user_id AND p.start_us = k.start_us AND p.kind = 'ppg' LEFT JOIN g i ON i.user_id = k.user_id AND i.start_us = k.start_us AND i.kind = 'imu')"""
+
+
+@query(
+    "paired_windows",
+    f"""WITH {_WINDOWS}
 SELECT user_id, start_us, ppg_samples, imu_samples, round(ppg_completeness, 6) AS ppg_completeness, round(imu_completeness, 6) AS imu_completeness, reasons, round(mean_x, 6) AS mean_x FROM j""",
 )
 def paired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and clicks as the optical stream, other events as motion with some rows lost, in checked windows."""
+    w = _windows(spark, sf_dir)
+    return w.select(F.col("device").alias("user_id"), "start_us", "ppg_samples", "imu_samples", *(F.round(c, 6).alias(c) for c in ("ppg_completeness", "imu_completeness")), "reasons", F.round("mean_x", 6).alias("mean_x"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream(spark, sf_dir)
     nth = F.row_number().over(se.in_order(KEY, "us", "event_id")).cast("long")
     of = lambda rows, **made: rows.select(F.col("user_id").alias("device"), F.timestamp_micros("us").alias("ts"), nth.alias("seq"), *(c.alias(k) for k, c in made.items()))
@@ -60,7 +69,7 @@ def paired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     motion = of(e.where("event_type not in ('view', 'click') and event_id % 97 <> 0"), x=F.col("value"), y=F.col("k").cast("double"), z=F.lit(1.0))
     w = paired.checked_windows(optical, motion, PAIRED)
     mean = F.aggregate(F.filter("samples", lambda s: s["x"].isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, s: F.struct((a["s"] + s["x"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / F.nullif(a["n"], F.lit(0.0)))
-    return w.select(F.col("device").alias("user_id"), "start_us", "ppg_samples", "imu_samples", *(F.round(c, 6).alias(c) for c in ("ppg_completeness", "imu_completeness")), "reasons", F.round(mean, 6).alias("mean_x"))
+    return w.withColumn("mean_x", mean)
 
 
 #: Ticks every two hours, and patience to match.
@@ -101,3 +110,26 @@ def silent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(F.col("user_id").alias("device"), "us", kind.alias("kind"), status.alias("status"), F.when((of == "purchase") & (F.col("value") >= 30), F.col("value")).alias("value"))
     until = rows.agg(F.max("us")).first()[0]  # one number
     return silence.records(silence.ticks_of(rows, until or 0, PATIENCE, 10 * 24 * HOUR), PATIENCE).withColumnRenamed("device", "user_id")
+
+
+_CONFIG = '{"window_seconds": 28800, "window_step_seconds": 14400}'
+#: A package as a study would have frozen it.
+PACKAGE = shadow.opened(shadow.frozen("logistic_v1", ["mean_x", "ppg_samples"], [48.0, 3.0], [20.0, 1.5], [-0.8, 0.9], 0.25, 0.55, _CONFIG), _CONFIG)
+_P = "round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(0.25::DOUBLE + (mean_x - 48.0::DOUBLE) / 20.0::DOUBLE * -0.8::DOUBLE + (ppg_samples - 3.0::DOUBLE) / 1.5::DOUBLE * 0.9::DOUBLE))), 6)"
+
+
+@query(
+    "shadow_records",
+    f"""WITH {_WINDOWS},
+v AS (SELECT *, array_to_string(list_filter(string_split(reasons, ';'), lambda x: x NOT IN ('outside_common_sensor_coverage', 'incomplete_ppg_window', 'incomplete_imu_window', 'ppg_timestamp_gap', '')), ';') AS why FROM j),
+u AS (SELECT *, CASE WHEN why = '' THEN {_P} END AS p FROM v)
+SELECT user_id AS device, round(greatest(start_us + {_W}, 0) / 1e6, 3) AS elapsed_s, start_us / 1000.0::DOUBLE AS window_start_timestamp_ms, (start_us + {_W}) / 1000.0::DOUBLE AS window_end_timestamp_ms, CASE WHEN p >= 0.55 THEN 'unusable' WHEN p < 0.55 THEN 'usable' END AS prediction, p < 0.55 AS usable,
+ p AS unusable_probability, 0.55::DOUBLE AS decision_threshold, CASE WHEN why <> '' THEN 'invalid_window' WHEN p >= 0.55 THEN 'unusable' WHEN p < 0.55 THEN 'usable' ELSE 'analysis_error' END AS status,
+ CASE WHEN why <> '' THEN why WHEN p IS NOT NULL THEN '{shadow.REASON}' ELSE 'a feature is missing or not finite' END AS reason, ppg_samples AS ppg_sample_count, imu_samples AS imu_sample_count, round(ppg_completeness, 6) AS ppg_completeness, round(imu_completeness, 6) AS imu_completeness,
+ '{PACKAGE.name}' AS model_name, '{PACKAGE.sha256}' AS model_sha256, true AS shadow_mode, false AS affects_bp_or_hr FROM u""",
+)
+def shadow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a frozen classifier says of the paired windows; few events a window, so gaps and edges do not refuse them here."""
+    mild = ["outside_common_sensor_coverage", "incomplete_ppg_window", "incomplete_imu_window", "ppg_timestamp_gap", ""]
+    why = F.array_join(F.filter(F.split("reasons", ";"), lambda r: ~r.isin(mild)), ";")
+    return shadow.shadowed(_windows(spark, sf_dir).withColumn("reasons", why), PACKAGE)
