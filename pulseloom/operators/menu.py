@@ -122,21 +122,30 @@ def _digest(features: list[str], target: str, note: dict) -> str:
     return hashlib.sha256(json.dumps([features, target, note], sort_keys=True).encode()).hexdigest()
 
 
+def _files(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of each file of a model, by its place below it: a few rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/model")
+    return {r.name: r.sha for r in files.select(F.regexp_extract("path", "/model/(.*)$", 1).alias("name"), F.sha2("content", 256).alias("sha")).collect()}
+
+
 def freeze(model: PipelineModel, path: str, features: list[str], target: str, **note: object) -> None:
-    """Write a fitted model with a manifest of its schema; a path that is taken is left alone."""
+    """Write a fitted model with a manifest of its schema and of its files; a path that is taken is left alone."""
     spark = SparkSession.active()
     model.write().save(f"{path}/model")  # refuses to overwrite
+    note = {**note, "files": _files(spark, path)}
     row = {"features": features, "target": target, "note": note, "digest": _digest(features, target, note)}
     spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
 def thaw(spark: SparkSession, path: str, features: list[str], target: str) -> PipelineModel:
-    """A frozen model, if its manifest is whole and fits the schema at hand; an error in any other case."""
+    """A frozen model, if its manifest and files are what was written and fit the schema at hand; an error in any other case."""
     row = json.loads(spark.read.text(f"{path}/manifest").first().value)
     if row["digest"] != _digest(row["features"], row["target"], row["note"]):
         raise ValueError("the manifest was changed")
     if row["features"] != features or row["target"] != target:
         raise ValueError("the model was fitted to another schema")
+    if row["note"]["files"] != _files(spark, path):
+        raise ValueError("the model's files were changed")
     return PipelineModel.load(f"{path}/model")
 
 

@@ -652,13 +652,13 @@ def referenced_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders WHERE o_orderstatus = 'F')
-SELECT o_custkey, o_orderkey AS package, o_totalprice >= 100000 AS gate_passed, o_orderpriority || '/' || CAST(o_custkey AS VARCHAR) AS identity FROM r WHERE back = 1 ORDER BY o_custkey LIMIT 500"""
+SELECT o_custkey, o_orderkey AS package, o_totalprice >= 100000 AS gate_passed, o_orderpriority || '/' || CAST(o_custkey AS VARCHAR) AS identity FROM r WHERE back = 1"""
 )
 def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest package of each participant with its gate, the first five hundred participants (a limit of the display)."""
+    """The newest package of each participant with its gate."""
     back = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
     r = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").withColumn("back", back).where("back = 1")
-    return r.select("o_custkey", F.col("o_orderkey").alias("package"), (F.col("o_totalprice") >= 100000).alias("gate_passed"), F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string")).alias("identity")).orderBy("o_custkey").limit(500)
+    return r.select("o_custkey", F.col("o_orderkey").alias("package"), (F.col("o_totalprice") >= 100000).alias("gate_passed"), F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string")).alias("identity"))
 
 
 @query(

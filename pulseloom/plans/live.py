@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import consensus
 from ..operators import series as se
 from ..streaming import paired, shadow, silence
 from .catalogue import E_SQL, HOUR, KEY, stream
@@ -133,3 +134,32 @@ def shadow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     mild = ["outside_common_sensor_coverage", "incomplete_ppg_window", "incomplete_imu_window", "ppg_timestamp_gap", ""]
     why = F.array_join(F.filter(F.split("reasons", ";"), lambda r: ~r.isin(mild)), ";")
     return shadow.shadowed(_windows(spark, sf_dir).withColumn("reasons", why), PACKAGE)
+
+
+@query(
+    "gated_consensus",
+    f"""WITH {E_SQL},
+w AS (SELECT user_id, us // {96 * HOUR} AS trial, us // {HOUR} AS start_s, us // {HOUR} + 20 AS end_s, 60 + value * (user_id % 5) / 7.3::DOUBLE AS bpm, CASE WHEN event_type = 'error' THEN 'motion_contaminated' WHEN event_type = 'signup' THEN 'poor_contact' WHEN k < 10 THEN 'poor_waveform_quality' ELSE 'accepted' END AS status FROM e),
+g AS (SELECT * FROM w WHERE status = 'accepted'),
+c AS (SELECT a.user_id, a.trial, a.bpm AS centre, count(*) AS members, coalesce(stddev_pop(b.bpm), 0) AS spread FROM (SELECT DISTINCT user_id, trial, bpm FROM g) a JOIN g b ON a.user_id = b.user_id AND a.trial = b.trial AND b.bpm BETWEEN a.bpm - 5 AND a.bpm + 5 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, trial ORDER BY members DESC, round(spread, 6), centre) AS rn FROM c), win AS (SELECT * FROM n WHERE rn = 1),
+i AS (SELECT g.*, abs(g.bpm - win.centre) <= 5 AS inside FROM g JOIN win USING (user_id, trial)), o AS (SELECT * FROM i WHERE NOT inside),
+ru AS (SELECT user_id, trial, max(m) AS runner_up FROM (SELECT a.user_id, a.trial, a.bpm, count(*) AS m FROM (SELECT DISTINCT user_id, trial, bpm FROM o) a JOIN o b ON a.user_id = b.user_id AND a.trial = b.trial AND b.bpm BETWEEN a.bpm - 5 AND a.bpm + 5 GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT user_id, trial, count(*) FILTER (inside) AS winners, round(median(CASE WHEN inside THEN bpm END), 2) AS mid, coalesce(nullif(regr_slope(CASE WHEN inside THEN bpm END, CASE WHEN inside THEN (start_s + end_s) / 2.0::DOUBLE END), 'NaN'::DOUBLE), 0) AS trend FROM i GROUP BY ALL),
+u AS (SELECT *, max(end_s) OVER (PARTITION BY user_id, trial ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g), v AS (SELECT user_id, trial, sum(greatest(end_s - greatest(start_s, coalesce(upto, start_s)), 0))::BIGINT AS coverage_s FROM u GROUP BY ALL),
+t AS (SELECT user_id, trial, count(*) AS windows, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'motion_contaminated') AS moved, count(*) FILTER (status = 'poor_contact') AS loose, count(*) FILTER (status = 'poor_waveform_quality') AS poor FROM w GROUP BY ALL),
+j AS (SELECT t.*, coalesce(v.coverage_s, 0) AS coverage_s, coalesce(f.winners, 0) AS winners, coalesce(ru.runner_up, 0) AS runner_up, coalesce(f.trend, 0) AS trend, f.mid FROM t LEFT JOIN v USING (user_id, trial) LEFT JOIN f USING (user_id, trial) LEFT JOIN ru USING (user_id, trial)),
+z AS (SELECT *, CASE WHEN accepted < 3 OR coverage_s < 30 THEN CASE WHEN greatest(moved, loose) > 0 THEN CASE WHEN moved >= loose THEN 'motion_contaminated' ELSE 'contact_artifact' END WHEN poor > 0 THEN 'poor_waveform_quality' ELSE 'insufficient_clean_data' END
+  WHEN winners >= ceil(0.6::DOUBLE * accepted) AND winners >= 2 * runner_up AND abs(trend) <= 0.15 THEN 'usable' ELSE 'ambiguous_hr' END AS status FROM j)
+SELECT user_id, trial, status, CASE WHEN accepted < 3 OR coverage_s < 30 THEN 'too few windows or too little coverage' WHEN NOT (winners >= ceil(0.6::DOUBLE * accepted) AND winners >= 2 * runner_up) THEN 'no cluster is well ahead' WHEN abs(trend) > 0.15 THEN 'the rate changes too quickly' ELSE 'consensus' END AS reason,
+ CASE WHEN status = 'usable' THEN mid END AS bpm, windows, accepted, coverage_s, winners, runner_up, round(trend, 6) AS trend FROM z""",
+)
+def gated_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four days of a device as a trial of windows of twenty hours (seconds here are hours), under the published gates."""
+    e = stream(spark, sf_dir)
+    of = F.col("event_type")
+    status = F.when(of == "error", "motion_contaminated").when(of == "signup", "poor_contact").when(F.col("k") < 10, "poor_waveform_quality").otherwise("accepted")
+    start = F.expr(f"us div {HOUR}")
+    w = e.select("user_id", F.expr(f"us div {96 * HOUR}").alias("trial"), start.alias("start_s"), (start + 20).alias("end_s"), (60 + F.col("value") * (F.col("user_id") % 5) / 7.3).alias("bpm"), status.alias("status"))
+    d = consensus.consensus(w, ["user_id", "trial"])
+    return d.select(*(F.round(c, 6).alias(c) if c == "trend" else F.col(c) for c in d.columns))

@@ -129,7 +129,8 @@ def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = {**dict.fromkeys(names, "double"), "morphology": "string"}
     done = over_matrix(w.where("rejection = ''"), "samples", made, f)
-    refused = w.where("rejection <> ''").select("vec_id", "label", "rejection", *[F.lit(None).cast(t).alias(n) for n, t in made.items()])
+    odd = read(spark, sf_dir, "embeddings").where("embedding is null or size(embedding) <> 64").select("vec_id", "label", F.lit("wrong_length").alias("rejection"))
+    refused = w.where("rejection <> ''").select("vec_id", "label", "rejection").unionByName(odd).select("*", *[F.lit(None).cast(t).alias(n) for n, t in made.items()])
     both = _rounded(done).unionByName(refused)
     return both.withColumn("rejection", F.when(F.col("rejection") == "", F.col("morphology")).otherwise(F.col("rejection"))).withColumn("accepted", F.col("rejection") == "").drop("morphology")
 

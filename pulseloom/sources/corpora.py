@@ -70,7 +70,7 @@ def _merged(metadata: Column, label: Column) -> Column:
 
 
 def local_recordings(spark: SparkSession, raw_dir: str, labels: DataFrame, profile: str | None = None, identities: DataFrame | None = None) -> DataFrame:
-    """Recordings of *_metadata.json with both pressures, their labels merged in, and the signal files that there are.
+    """Recordings of *_metadata.json, their labels merged in, and the signal files that there are; without both pressures, with a fault.
 
     profile filters by ppg_profile, identities (IDENTITY columns) are a semi-join. A signal file is the one that the
     metadata name, if it is there, else the one of the metadata's own name. A label that contradicts is a fault.
@@ -86,11 +86,12 @@ def local_recordings(spark: SparkSession, raw_dir: str, labels: DataFrame, profi
     both = m.join(labels.select(*IDENTITY, "sbp", "dbp", "omron_hr", F.col("fault").alias("label_fault")), IDENTITY, "left")
     pairs = {"systolic": ("systolic_mmhg", "sbp"), "diastolic": ("diastolic_mmhg", "dbp"), "rate": ("cuff_hr_bpm", "omron_hr")}
     wrong = [F.when(~R.values_agree(F.col(a), F.col(b)), f"conflicting {k}") for k, (a, b) in pairs.items()]
+    lacking = [F.when(_merged(F.col(a), F.col(b)).try_cast("double").isNull(), f"no {k} pressure") for k, (a, b) in pairs.items() if k != "rate"]
     named = both.select(
         *IDENTITY, *[_merged(F.col(a), F.col(b)).try_cast("double").alias(k) for k, (a, b) in pairs.items()], F.coalesce("recording_start_time", F.concat_ws(":", "session_id", "trial_id")).alias("chronological_order"),
-        F.array_join(F.array_compact(F.array(F.when(F.col("label_fault") != "", F.col("label_fault")), *wrong)), ";").alias("fault"),
+        F.array_join(F.array_compact(F.array(F.when(F.col("label_fault") != "", F.col("label_fault")), *wrong, *lacking)), ";").alias("fault"),
         F.regexp_extract(F.coalesce("output_csv_path", F.lit("")), "([^/]*)$", 1).alias("given"), F.regexp_replace("file", "_metadata[.]json$", "_ppg.csv").alias("own"), F.regexp_replace("file", "_metadata[.]json$", "_imu.csv").alias("imu_own"),
-    ).where("systolic is not null and diastolic is not null")
+    )
     files = file_names(spark, raw_dir).select("path", "file")
     found = lambda c: files.select(F.col("file").alias(c), F.col("path").alias(f"{c}_path"))
     d = named.join(found("given"), "given", "left").join(found("own"), "own", "left").join(found("imu_own"), "imu_own", "left")

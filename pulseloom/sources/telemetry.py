@@ -160,6 +160,7 @@ def packet_samples(df: DataFrame, packet: str = "packet") -> DataFrame:
             whole: list[tuple] = []  # (place, row) of what is no sample
             for i, p in enumerate(packets):
                 if not p:
+                    whole.append((i, ("error", None, "empty packet")))
                     continue
                 got = _layout(p[0], len(p))
                 if isinstance(got, tuple):

@@ -6,6 +6,7 @@ device; late rows are a fault, never merged. State is a few numbers a device, an
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +17,11 @@ SESSION_OUT = "user_id long, event_id long, us long, session long, reset boolean
 SESSION_STATE = "us long, event_id long, session long, held double, held_us long"
 
 
-def live_sessions(events: DataFrame, longest: int, hold: int, sequence: bool = False) -> DataFrame:
+def live_sessions(events: DataFrame, longest: int, hold: int, sequence: bool = True) -> DataFrame:
     """events (user_id, event_id, us, event_type, value) with session ids and the last valid value held.
 
     A row before the device's last one, or after a gap longer than longest, starts a new session and clears what
-    is held; with sequence, so does a row of the same time, or one whose event_id is not the next. Error rows
+    is held; so does, but for sequence=False, a row of the same time, or one whose event_id is not the next. Error rows
     have no value; a value is held for hold microseconds. A trigger's rows of one device are sorted by time.
     """
 
@@ -58,7 +59,7 @@ def live_monitor(events: DataFrame, jump: int, keep: int, period: int) -> DataFr
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, counter, generation, first, tick, times = state.get if state.exists else (None, None, 0, None, 0, [])
-        times, rows = list(times), []
+        times, rows = deque(times), []
         for e in pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable").itertuples():
             was, reset = status or "", None
             if e.status == "moving" and was != "moving":
@@ -70,13 +71,15 @@ def live_monitor(events: DataFrame, jump: int, keep: int, period: int) -> DataFr
             elif counter is not None and e.counter > counter + jump:
                 reset = "invalid_timing"
             if reset:
-                generation, first, tick, times = generation + 1, None, 0, []
+                generation, first, tick, times = generation + 1, None, 0, deque()
             first = int(e.us) if first is None else first
-            times = [t for t in times if t >= e.us - keep] + [int(e.us)]
+            times.append(int(e.us))
+            while times[0] < e.us - keep:
+                times.popleft()
             now = (int(e.us) - first) // period
             rows.append((key[0], e.event_id, e.us, reset, generation, len(times), now > tick))
             status, counter, tick = e.status, int(e.counter), now
-        state.update((status, counter, generation, first, tick, times))
+        state.update((status, counter, generation, first, tick, list(times)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESET_OUT.split(", ")])
 
     return events.groupBy("user_id").applyInPandasWithState(step, RESET_OUT, RESET_STATE, "append", GroupStateTimeout.NoTimeout)

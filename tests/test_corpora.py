@@ -50,7 +50,8 @@ def test_labels_and_local_recordings(spark, tree):
     with pytest.raises(Exception, match="label"):
         c.strict(labels).collect()
     got = {r.trial_id: r for r in c.local_recordings(spark, str(tree / "raw"), labels.where("fault = ''"), "arm").collect()}
-    assert set(got) == {"t1", "t2", "t3"}
+    assert set(got) == {"t1", "t2", "t3", "t4"}
+    assert "no systolic pressure" in got["t4"].fault or "no diastolic pressure" in got["t4"].fault  # stays, with a fault
     assert got["t1"].ppg_path.endswith("named.csv") and got["t1"].rate == 71 and got["t1"].fault == "" and got["t1"].imu_path is None
     assert got["t2"].ppg_path.endswith("a_b_t2_ppg.csv") and got["t2"].imu_path.endswith("a_b_t2_imu.csv")
     assert got["t3"].fault == "conflicting systolic" and got["t3"].ppg_path is None

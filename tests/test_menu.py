@@ -83,6 +83,16 @@ def test_frozen_models_fail_closed(spark, rows, tmp_path):
         menu.thaw(spark, other, FEATURES, "y")
 
 
+def test_a_changed_model_file_is_noticed(spark, rows, tmp_path):
+    path = str(tmp_path / "package")
+    models = menu.regressors(FEATURES, "y")
+    menu.freeze(models["ridge"].fit(rows), path, FEATURES, "y")
+    menu.thaw(spark, path, FEATURES, "y")
+    models["ridge"].fit(rows.withColumn("y", F.col("y") * 2)).write().overwrite().save(f"{path}/model")
+    with pytest.raises(ValueError, match="files were changed"):
+        menu.thaw(spark, path, FEATURES, "y")
+
+
 def test_impossible_pressures_are_withheld(spark):
     d = spark.createDataFrame([(120.0, 80.0), (80.0, 80.0), (500.0, 80.0), (float("nan"), 80.0), (None, 80.0)], "s double, d double")
     got = [tuple(r) for r in menu.guarded(d, "s", "d").select("s", "d", "status").collect()]

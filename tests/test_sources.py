@@ -21,7 +21,7 @@ def test_packets_round_trip(spark):
     got = telemetry.decode_packets(spark.createDataFrame(packets, "id int, packet binary")).orderBy("id", "seq").collect()
     assert [(r.timestamp_ms, r.a, r.b) for r in got if r.id == 1] == ppg and [r.seq for r in got if r.id == 1] == list(range(9, 24))
     assert [(r.timestamp_ms, r.a, r.b, r.c) for r in got if r.id == 2] == imu
-    assert [(r.id, r.kind, r.error) for r in got if r.id > 2] == [(3, "error", "batch of a wrong length")]
+    assert [(r.id, r.kind, r.error) for r in got if r.id > 2] == [(3, "error", "batch of a wrong length"), (4, "error", "empty packet"), (5, "error", "empty packet")]
 
 
 def looped(packets):

@@ -22,7 +22,7 @@ def test_live_sessions_equal_the_batch(spark, tmp_path):
     for k in range(4):  # four files, four batches in order
         df.where(f"event_id between {100 * k} and {100 * k + 99}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
     files = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = live_sessions(files, 150, 60).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = live_sessions(files, 150, 60, sequence=False).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     s = se.with_sessions(df, ["user_id"], "us", "event_id", 150)
