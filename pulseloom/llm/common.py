@@ -66,14 +66,21 @@ def unfolded(names: list[str]) -> list[Column]:
     return [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)]
 
 
+#: What Python workers are started with: one heap, which gives large blocks back at once, for Arrow as well.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
     """Rows are texts here: fewer of them in an Arrow batch keep both sides of a Python worker's pipe small.
 
-    The setting holds for the whole session, as Spark reads it when a plan runs; results do not depend on it.
+    Workers also get the settings of WORKER. Both hold for the whole session, as Spark reads them when a plan runs;
+    results do not depend on them.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    for k, v in WORKER.items():
+        spark.sparkContext.environment.setdefault(k, v)
     return spark
 
 

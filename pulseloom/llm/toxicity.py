@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from .common import carried, keep_only, named, pieces, unfolded
 
-FEATURES = 1 << 18
+#: Hashed features, and how many a word has at most.
+FEATURES, PER_WORD = 1 << 18, 5
 #: Documents of each label that the fit takes, the first by a hash of doc_id.
 SAMPLE = 2500
 STEPS, RATE, LASSO = 100, 0.2, 2e-5
@@ -64,29 +65,37 @@ def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
         weights[-1] = -30.0
         return weights
     y = labels.astype(float)
-    of_word: dict[str, list[int]] = {}
+    # words as numbers, with each one's features; then which words stand in which sentence of which document
+    number: dict[str, int] = {}
+    of_word, words, sent_of, doc_of = array("i"), array("i"), array("i"), array("i")
     seen = np.zeros((2, FEATURES), np.int32)  # documents of each label that have a feature
     for t, label in zip(texts, labels.tolist(), strict=True):
-        found: set[int] = set()
-        for w in set(t.split()):
-            if w not in of_word:
-                of_word[w] = features(w)
-            found.update(of_word[w])
-        seen[int(label), list(found)] += 1
-    # weights start at 0 and never fall below it, so what speaks for nothing can be left out at once
-    share_of = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
-    useful = (seen.sum(axis=0) >= LEAST_DOCS) & (share_of[1] >= LEAST_LIFT * share_of[0])
-    of_word = {w: kept for w, f in of_word.items() if (kept := [x for x in f if useful[x]])}
-    x, sent_of, doc_of = array("i"), array("i"), array("i")
+        here = set(t.split())
+        for w in here.difference(number):
+            number[w] = len(number)
+            own = features(w)
+            of_word.extend(own + [-1] * (PER_WORD - len(own)))
+        has: set[int] = set()
+        for w in here:
+            has.update(of_word[number[w] * PER_WORD : (number[w] + 1) * PER_WORD])
+        seen[int(label), [x for x in has if x >= 0]] += 1
     for d, t in enumerate(texts):
         for s in sentences(t):
-            if words := s.split():
-                for w in words:
-                    if w in of_word:
-                        x.extend(of_word[w])
-                        sent_of.extend([len(doc_of)] * len(of_word[w]))
+            if found := s.split():
+                words.extend([number.get(w, -1) for w in found])
+                sent_of.extend([len(doc_of)] * len(found))
                 doc_of.append(d)
-    x, sent_of, doc_of = (np.array(v, np.int64) for v in (x, sent_of, doc_of))
+    number.clear()
+    # weights start at 0 and never fall below it, so what speaks for nothing can be left out at once
+    share_of = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
+    useful = np.append((seen.sum(axis=0) >= LEAST_DOCS) & (share_of[1] >= LEAST_LIFT * share_of[0]), False)  # the last for -1
+    of_word = np.append(np.frombuffer(of_word, np.int32), [-1] * PER_WORD).astype(np.int32).reshape(-1, PER_WORD)  # the last for words of no text as a whole
+    words, sent_of, doc_of = np.frombuffer(words, np.int32), np.frombuffer(sent_of, np.int32), np.array(doc_of, np.int64)
+    some = useful[of_word].any(axis=1)[words]  # few words have a useful feature
+    words, sent_of = words[some], sent_of[some]
+    x = of_word[words]
+    keep = useful[x]
+    x, sent_of = x[keep].astype(np.int64), np.repeat(sent_of.astype(np.int64), keep.sum(axis=1))
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for _ in range(2):
         used, x = np.unique(x, return_inverse=True)
