@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dsp, waves
+from ..functions import dsp, rates, waves
 from ..functions.expr import r6
 from ..operators import models, scans
 from ..operators import series as se
@@ -78,11 +78,13 @@ def bandpass_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
     def f(x: np.ndarray) -> dict[str, np.ndarray]:
         y = waves.zero_phase(x, waves.band_pass(4, 0.7, 3.0, RATE))
         s = waves.spectral(y, RATE, 0.7, 3.0)
-        got = [waves.window_rate(w, RATE) for w in y]
-        return {"dominant_hz": s["dominant_hz"], "entropy": s["entropy"], "bpm": np.array([np.nan if b is None else b for b, _ in got]), "rejection": [w for _, w in got]}
+        bpm, why = rates.by_agreement(y, RATE)
+        return {"dominant_hz": s["dominant_hz"], "entropy": s["entropy"], "bpm": bpm, "rejection": why}
 
-    e = read(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
-    return over_matrix(e, "embedding", {"dominant_hz": "double", "entropy": "double", "bpm": "double", "rejection": "string"}, f)
+    e, made = read(spark, sf_dir, "embeddings"), {"dominant_hz": "double", "entropy": "double", "bpm": "double", "rejection": "string"}
+    fit = F.coalesce(F.size("embedding") == 64, F.lit(False))
+    odd = e.where(~fit).select("vec_id", *(F.lit("wrong_length" if k == "rejection" else None).cast(t).alias(k) for k, t in made.items()))
+    return over_matrix(e.where(fit).select("vec_id", "embedding"), "embedding", made, f).unionByName(odd)
 
 
 #: Samples that a window of a session holds at most.
