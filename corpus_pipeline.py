@@ -17,18 +17,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights = toxicity.train(docs, common.table(common.small_batches(spark), sf_dir, "labels"))
+    weights = toxicity.train(docs, common.table(common.lean_workers(spark), sf_dir, "labels"))
     return toxicity.toxicity(docs.select(*COLUMNS), weights, score="__score").where("__score < 0.5").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.lean_workers(spark)
     out = lines.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.lean_workers(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.lean_workers(spark)
     return bpe.bpe_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -73,15 +73,22 @@ WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLO
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
     """Rows are texts here: fewer of them in an Arrow batch keep both sides of a Python worker's pipe small.
 
-    Workers also get the settings of WORKER. Both hold for the whole session, as Spark reads them when a plan runs;
-    results do not depend on them.
+    The setting holds for the whole session, as Spark reads it when a plan runs; results do not depend on it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    return spark
+
+
+def lean_workers(spark: SparkSession) -> SparkSession:
+    """small_batches(), and Python workers with the settings of WORKER: they serve one stage after another and would add up.
+
+    It costs time where much is allocated, so only the pipeline asks for it. It holds for workers started from now on.
+    """
     for k, v in WORKER.items():
         spark.sparkContext.environment.setdefault(k, v)
-    return spark
+    return small_batches(spark)
 
 
 _kept: list = [None, None]
