@@ -20,6 +20,7 @@ from .sharding import assign_shards
 from .simhash import near_duplicate_report
 from .substrings import repeat_report
 from .tokenfile import token_digest
+from .topk import ORACLE_SQL as TOPK_SQL
 from .topk import search_top
 from .toxicity import toxicity_report
 
@@ -92,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_divergence": DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_topk": TOPK_SQL, "op11_divergence": DIVERGENCE_SQL}

@@ -47,6 +47,16 @@ FIRST = 2
 NO_SCORE = -np.iinfo(np.int64).max
 
 
+#: The same by comparing everything with everything; for scores that a double holds exactly.
+ORACLE_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({FACTOR} * x::DOUBLE)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, q.r, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.r <> v.r AND len(q.e) = len(v.e) WHERE q.vec_id % {EVERY} = 0),
+k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= {K}
+"""
+
+
 def quantized(rows: DataFrame, vec_id: str = "vec_id", column: str = "embedding", factor: int = FACTOR) -> DataFrame:
     """vec_id, dim and v: floor(factor * x) of each component, as little-endian doubles, which hold it exactly.
 

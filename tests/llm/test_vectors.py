@@ -174,3 +174,15 @@ def test_tree_covers_and_prunes():
     for i in range(50):
         want = sorted((-int(v), j) for j, v in enumerate(s[i]) if j != q.order[i])[:20]
         assert list(zip((-best.score[i]).tolist(), best.id[i].tolist(), strict=True)) == want
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from pulseloom.llm.registry import ORACLE_SQL, QUERIES
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op10_topk"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op10_topk"](spark, small).collect())) == want and want
