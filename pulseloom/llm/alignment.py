@@ -37,7 +37,9 @@ from .common import keep_only, list_of, pieces, scratch
 
 #: Units that a worker keeps (some 400 bytes each) in two halves, the newer of which takes over what is met again,
 #: and the longest unit that is kept.
-CACHED_UNITS, LONGEST_KEPT = 150_000, 80
+CACHED_UNITS, LONGEST_KEPT = 200_000, 80
+#: Units that A encodes as one text.
+TOGETHER = 500
 #: Characters of a text that are aligned at once.
 BLOCK = 1 << 20
 #: Pairs of ids whose counts are broadcast, 17 bytes each.
@@ -91,13 +93,26 @@ class Aligner:
         pre = spec["pre_tokenizer"] or {}
         return spec["normalizer"] is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
 
-    def encoded(self, texts: list[str], spaced: bool) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for each text, with a space before it or without."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t if spaced else t for t in texts], add_special_tokens=False)]
+    def ids_a(self, texts: list[str], spaced: bool, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of A of all texts, number of each one's), with a space before each text or without; size is their bytes.
+
+        Units are encoded many at a time, one behind the other: A parts them by itself, and their bytes say where.
+        """
+        if spaced and self.cuttable and not any(not t or t[0].isspace() for t in texts):
+            runs = [" " + " ".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)), np.int64)
+            ends, upto = np.cumsum(self.a_size[flat]), np.cumsum(size)
+            at = np.minimum(np.searchsorted(ends, upto), max(len(ends) - 1, 0))
+            if len(ends) and ends[-1] == upto[-1] and (ends[at] == upto).all():
+                return flat, np.diff(np.r_[0, at + 1])
+        return flattened([e.ids for e in self.a.encode_batch_fast([" " + t if spaced else t for t in texts], add_special_tokens=False)])
+
+    def ids_b(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B."""
         if spaced:
-            return a, self.b.encode(texts, num_threads=1)
+            return flattened(self.b.encode(texts, num_threads=1))
         # B puts a space before every text: of "\nabc" the first two tokens are that space and the line feed
-        return a, [ids[2:] for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
+        return flattened([ids[2:] for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)])
 
     def align(self, texts: list[str], spaced: bool = True) -> list[tuple | None]:
         """(groups, links, counts) of each text taken by itself; None where the bytes differ.
@@ -106,18 +121,15 @@ class Aligner:
         tokens of B times 2^32.
         """
         raw = [(" " + t if spaced else t).encode() for t in texts]
-        a, b = self.encoded(texts, spaced)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         good = np.ones(len(raw), bool)
         whole = b"".join(raw)
         sides = []
-        for ids, sizes, spelt in ((a, self.a_size, self.a_bytes), (b, self.b_size, self.b_bytes)):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        for (flat, n), sizes, spelt in ((self.ids_a(texts, spaced, size), self.a_size, self.a_bytes), (self.ids_b(texts, spaced), self.b_size, self.b_bytes)):
             ends, upto = np.cumsum(sizes[flat]), np.cumsum(n)
             good &= np.diff(np.r_[0, np.r_[0, ends][upto]]) == size
-            if good.all() and b"".join([spelt[i] for i in flat.tolist()]) != whole:
-                good &= [b"".join([spelt[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+            if good.all() and b"".join(map(spelt.__getitem__, flat.tolist())) != whole:
+                good &= [b"".join(map(spelt.__getitem__, x.tolist())) == r for x, r in zip(np.split(flat, upto[:-1]), raw, strict=True)]
             sides.append((flat, ends, n))
         if not good.all():  # the others once more, without them
             rest = iter(self.align([t for t, ok in zip(texts, good, strict=True) if ok], spaced) if good.any() else ())
@@ -176,6 +188,9 @@ class Aligner:
         """Align units that are not known yet; those of several parts are put together from these."""
         whole, made, bare = set(), {}, set()
         for u in new:
+            if u.isalpha():  # nothing to part
+                whole.add(u)
+                continue
             first, *rest = self.parts(u) if self.cuttable else [u]
             if rest:
                 made[u] = (first, rest)
@@ -237,6 +252,11 @@ class Aligner:
             yield [joined(units) for units in found]
 
 
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+
 def joined(found: list[tuple]) -> tuple[bytes, bytes, int]:
     return b"".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
 
