@@ -37,7 +37,9 @@ from .common import keep_only, list_of, pieces, scratch
 
 #: Units that a worker keeps (some 400 bytes each) in two halves, the newer of which takes over what is met again,
 #: and the longest unit that is kept.
-CACHED_UNITS, LONGEST_KEPT = 200_000, 80
+CACHED_UNITS, LONGEST_KEPT = 100_000, 80
+#: Bytes of texts whose units are looked up and learned together.
+BATCH = 1 << 20
 #: Units that A encodes as one text.
 TOGETHER = 500
 #: Characters of a text that are aligned at once.
@@ -281,7 +283,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, digest: bool = False
         aligner = loaded(a_path, b_path)
         keep_only("alignment", _loaded.clear)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, BATCH):
                 counts, groups, links = [], [], []
                 for found in aligner.texts(batch.column(1).to_pylist(), block):
                     g, l, n = joined(found)

@@ -84,7 +84,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
 def lean_workers(spark: SparkSession) -> SparkSession:
     """small_batches(), and Python workers with the settings of WORKER: they serve one stage after another and would add up.
 
-    It costs time where much is allocated, so only the pipeline asks for it. It holds for workers started from now on.
+    It costs time where much is allocated, so only what is short of memory asks for it. It holds for workers started from
+    now on.
     """
     for k, v in WORKER.items():
         spark.sparkContext.environment.setdefault(k, v)

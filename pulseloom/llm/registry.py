@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import alignment_report
 from .bpe import bpe_digest
-from .common import small_batches, table
+from .common import lean_workers, small_batches, table
 from .divergence import ORACLE_SQL as DIVERGENCE_SQL
 from .divergence import divergence_report
 from .embeddings import embedding_links
@@ -74,7 +74,7 @@ def op12_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment_report(table(small_batches(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment_report(table(lean_workers(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
