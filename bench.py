@@ -14,14 +14,14 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 
 
 def main() -> None:
-    from pulseloom.plans import admission, assembly, catalogue, kernels, modelling, signals
+    from pulseloom.plans import admission, assembly, catalogue, kernels, live, modelling, moments, signals
     from pulseloom.session import local_session
 
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, app="bench", spark__sql__shuffle__partitions=cpus)
     catalogue.QUERIES["json_status_fields"](spark, sf).collect()  # the session's own start
     taken = {}
-    for name, f in {**catalogue.QUERIES, **admission.QUERIES, **assembly.QUERIES, **kernels.QUERIES, **signals.QUERIES, **modelling.QUERIES}.items():
+    for name, f in {**catalogue.QUERIES, **admission.QUERIES, **assembly.QUERIES, **kernels.QUERIES, **live.QUERIES, **moments.QUERIES, **signals.QUERIES, **modelling.QUERIES}.items():
         began = time.perf_counter()
         f(spark, sf).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.perf_counter() - began, 3)
