@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-12
+#: A sum of n squares is good to about n * EPS of itself; a variance within so many times that is rounding.
+EPS, ROUNDING = float(np.finfo(float).eps), 16.0
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,10 +55,12 @@ def unpacked(flat: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def solved(a: np.ndarray, features: list[str], targets: list[str], sets: dict[str, list[str]], alpha: float, centre: np.ndarray) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+def solved(a: np.ndarray, features: list[str], targets: list[str], sets: dict[str, list[str]], alpha: float, centre: np.ndarray, total: np.ndarray | None = None) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
     """(intercepts, coefficients by features) of each set and target for a stack of moment matrices; NaN where n is under 2.
 
-    Features are standardised within the rows that a matrix sums up; one without spread gets no weight.
+    Features are standardised within the rows that a matrix sums up; one without spread gets no weight. What is left of
+    a constant column by the rounding of many rows is no spread: standardised, it would correlate beyond one. total is
+    the matrix that the others were taken off, with its rounding.
     """
     p = len(features)
     n = a[:, 0, 0]
@@ -64,8 +68,11 @@ def solved(a: np.ndarray, features: list[str], targets: list[str], sets: dict[st
     n1 = np.where(ok, n, 1)
     mean = a[:, 0, 1:] / n1[:, None]
     cov = a[:, 1:, 1:] / n1[:, None, None] - mean[:, :, None] * mean[:, None, :]
-    sd = np.sqrt(np.maximum(np.einsum("gii->gi", cov)[:, :p], 0))
-    use = sd > TINY
+    var = np.einsum("gii->gi", cov)[:, :p]
+    whole = a if total is None else total[None]
+    noise = ROUNDING * EPS * whole[:, :1, 0] * np.einsum("gii->gi", whole)[:, 1 : p + 1] / n1[:, None]
+    sd = np.sqrt(np.maximum(var, 0))
+    use = (sd > TINY) & (var > noise)
     z = np.where(use, sd, 1.0)
     both = use[:, :, None] & use[:, None, :]
     gram = np.where(both, cov[:, :p, :p] / (z[:, :, None] * z[:, None, :]), 0) * n1[:, None, None]
@@ -103,7 +110,8 @@ def ridge_models(sums: DataFrame, keys: list[str], features: list[str], targets:
                 continue
             flat = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             a = unpacked(flat if total is None else total - flat, k)
-            for (model, target), (intercept, b) in solved(a, features, targets, sets, alpha, c).items():
+            of = None if total is None else unpacked(total[None], k)[0]
+            for (model, target), (intercept, b) in solved(a, features, targets, sets, alpha, c, of).items():
                 rows = batch.num_rows
                 cols = [*(batch.column(x) for x in keys), pa.array([model] * rows), pa.array([target] * rows), pa.array(np.rint(a[:, 0, 0]).astype(np.int64)), pa.array(intercept, from_pandas=True)]
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(features)), pa.array(b.ravel())))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import combined, gram
@@ -25,9 +25,9 @@ def query(sql: str):
     return add
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def examples(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
     prior = F.lag("o_totalprice").over(se.in_order(["o_custkey"], *ORDERED)) / 1000
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", prior.alias("prior"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"), F.month("o_orderdate").cast("double").alias("month"), (F.col("o_totalprice") / 1000).alias("truth"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", prior.alias("prior"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"), F.month("o_orderdate").cast("double").alias("month"), (F.col("o_totalprice") / 1000).alias("truth"), *(c.alias(k) for k, c in more.items()))
     return o.where("prior is not null")
 
 
@@ -138,7 +138,7 @@ def duration_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("model").alias("duration")).agg(F.count("*").alias("n"), r6(F.avg(F.abs(off))).alias("mae"), r6(F.avg(off)).alias("bias"))
 
 
-SETUP = combined.Design(setup="setup", target_setup=1, time="us", tie="o_orderkey", features=("prior",), targets=("truth",), setups=(0, 1), alphas=(1.0, 2000.0), splits=3)
+SETUP = combined.Design(setup="setup", target_setup=1, time="us", tie="o_orderkey", features=("prior",), targets=("truth",), setups=(0, 1), alphas=(1.0, 2000.0), splits=3, simpler=True)
 LOCKED = 883_612_800_000_000  # from 1998 on
 #: Later occasions of the target setup and their folds: three runs of a quarter each, behind what is left.
 _FOLDED = f"t AS (SELECT us, o_orderkey, row_number() OVER (ORDER BY us, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM q WHERE setup = 1 AND us < {LOCKED}), s AS (SELECT *, (place - (n - 3 * (n // 4))) // (n // 4) AS fold FROM t WHERE place >= n - 3 * (n // 4))"
@@ -170,7 +170,7 @@ SELECT variant, model, alpha, n, round(mae, 6) AS mae, row_number() OVER (ORDER
 )
 def setup_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one parity as the setup that counts, the others as auxiliary: selection on later rows, then locked ones."""
-    x = examples(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us")), "o_orderkey").withColumn("setup", F.col("o_custkey") % 2)
+    x = examples(spark, sf_dir, us=F.unix_micros(F.col("o_orderdate").cast("timestamp")), setup=F.col("o_custkey") % 2)
     scores, models = combined.selected(x.where(F.col("us") < LOCKED), SETUP, 400 * se.BLOCK)
     late = x.where((F.col("us") >= LOCKED) & (F.col("setup") == 1))
     named = models.withColumns({"chosen": F.lit(True), "model": F.concat_ws("/", "variant", "model", F.col("alpha").cast("string"))})

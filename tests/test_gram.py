@@ -70,3 +70,18 @@ def test_half_widths_by_rank_of_the_worst(spark):
     got = {r.band: r.half_width for r in g.half_widths(errors, ["band"], "who", "e", 0.8, 3).collect()}
     assert got == {"s": 7.0, "few": float("inf")}
     assert {r.half_width for r in g.half_widths(errors, ["band"], "who", "e", 1.0, 3).collect()} == {float("inf")}
+
+
+def test_a_constant_column_stays_one_over_a_million_rows():
+    """Rounding left spread in columns that are constant in a group far from the overall mean, and no Cholesky factor."""
+    r = np.random.default_rng(0)
+    n, sets = 1_000_000, {"pooled": ["x"], "partial": ["x", "of", "level"]}
+    for parts in (2, 3, 5, 13):
+        for _ in range(4):
+            c = np.array([150.1 + r.random(), 75.03 + r.random(), 0.5001 - r.random() * 1e-3, 150.2])
+            x = r.random(n) * 400
+            v = [np.ones(n), x - c[0], np.full(n, -c[1]), np.full(n, -c[2]), 0.3 * x + r.random(n) * 100 - c[3]]
+            sums = [sum(np.cumsum(part)[-1] for part in np.array_split(v[i] * v[j], parts)) for i in range(5) for j in range(i, 5)]
+            got = g.solved(g.unpacked(np.array([sums]), 5), sets["partial"], ["t"], sets, 1.0, c)
+            assert abs(got["pooled", "t"][1][0, 0] - 0.3) < 0.01
+            assert np.allclose(got["pooled", "t"][1], got["partial", "t"][1], atol=1e-9) and np.allclose(got["pooled", "t"][0], got["partial", "t"][0])
