@@ -39,7 +39,7 @@ def consensus(windows: DataFrame, keys: list[str], gates: Gates = Gates()) -> Da
     every = windows.groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(ok).alias("accepted"), *(c.alias(k) for k, c in counted.items()))
     good = windows.where(ok).select(*keys, "start_s", "end_s", F.col("bpm").cast("double").alias("bpm"))
     span = covered(good.select(*keys, F.col("start_s").alias("start_us"), F.col("end_s").alias("end_us")), keys).select(*keys, F.col("covered_us").alias("coverage_s"))
-    inside, wins = winning_cluster(good, keys, "bpm", gates.reach)
+    inside, wins = winning_cluster(good, keys, "bpm", gates.reach, lambda a, b: b.between(a - gates.reach, a + gates.reach))
     of = lambda c: F.when(F.col("inside"), c)
     slope = F.regr_slope(of(F.col("bpm")), of((F.col("start_s") + F.col("end_s")) / 2))
     won = inside.groupBy(*keys).agg(F.count_if("inside").alias("winners"), F.round(median(of(F.col("bpm"))), 2).alias("mid"), F.coalesce(F.nanvl(slope, F.lit(0.0)), F.lit(0.0)).alias("trend"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,18 +91,35 @@ def ranked(df: DataFrame, *order: Column, partitions: int = 16) -> DataFrame:
     return part.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__nth")).drop("__at", "__part", "__nth", "__before")
 
 
-def winning_cluster(df: DataFrame, keys: list[str], value: str, within: int) -> tuple[DataFrame, DataFrame]:
+def neighbours(df: DataFrame, keys: list[str], value: str, within: int, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """A row a key and distinct value: keys, centre, members, mean and spread of the key's values within reach of it.
+
+    near(centre, value) says what is in reach, by default a difference of at most within as doubles subtract. A range frame
+    adds within to the centre instead, and may round to the other side of the limit. Distinct values meet by an equi-join on cells
+    that are no narrower than within, a power of two wide, so that division does not round; a key's cells are many tasks.
+    """
+    near = near or (lambda a, b: F.abs(a - b) <= within)
+    width = float(1 << max(within - 1, 0).bit_length())
+    some = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__n"))
+    some = some.withColumn("__cell", F.floor(F.least(F.greatest(F.col("__value") / width, F.lit(-1e18)), F.lit(1e18))))
+    centres = some.select(*keys, F.col("__value").alias("centre"), F.explode(F.sequence(F.col("__cell") - 1, F.col("__cell") + 1)).alias("__cell"))
+    met = centres.join(some, [*keys, "__cell"]).where(near(F.col("centre"), F.col("__value")))
+    n, off = F.col("__n"), F.col("__value") - F.col("centre")  # small numbers, which keep their digits squared
+    sums = met.groupBy(*keys, "centre").agg(F.sum(n).alias("members"), F.sum(n * off).alias("__s"), F.sum(n * off * off).alias("__ss"))
+    shift = F.col("__s") / F.col("members")
+    return sums.select(*keys, "centre", "members", (F.col("centre") + shift).alias("mean"), F.sqrt(F.greatest(F.col("__ss") / F.col("members") - shift * shift, F.lit(0.0))).alias("spread"))
+
+
+def winning_cluster(df: DataFrame, keys: list[str], value: str, within: int, near: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(df with inside, a row a key: centre, members, runner_up, n).
 
     The centre is the value with most others within reach, of equals the one with the least spread, then the
-    smallest; the runner-up is the best count among what the winner leaves. Range frames, not self-joins.
+    smallest; the runner-up is the best count among what the winner leaves. near is as in neighbours.
     """
-    near = Window.partitionBy(*keys).orderBy(value).rangeBetween(-within, within)
-    c = df.select(*keys, F.col(value).alias("centre"), F.count("*").over(near).alias("members"), F.coalesce(F.stddev_pop(value).over(near), F.lit(0.0)).alias("spread"))
     best = Window.partitionBy(*keys).orderBy(F.desc("members"), F.round("spread", 6), "centre")
-    win = c.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(*keys, "centre", "members")
+    win = neighbours(df, keys, value, within, near).withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(*keys, "centre", "members")
     inside = df.join(win, keys).withColumn("inside", F.abs(F.col(value) - F.col("centre")) <= within).drop("centre", "members")
-    rest = inside.where("not inside").select(*keys, F.count("*").over(near).alias("m")).groupBy(*keys).agg(F.max("m").alias("runner_up"))
+    rest = neighbours(inside.where("not inside"), keys, value, within, near).groupBy(*keys).agg(F.max("members").alias("runner_up"))
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return inside, win.join(n, keys).join(rest, keys, "left").withColumn("runner_up", F.coalesce("runner_up", F.lit(0)))
 

@@ -715,11 +715,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY members DESC, v
 SELECT user_id, event_id AS centre_id, members, mean FROM r WHERE rn = 1""",
 )
 def consensus_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The centre with most values within 5 of it: a range frame over the ordered values, not a self-join."""
-    near = Window.partitionBy("user_id").orderBy("value").rangeBetween(-5, 5)
-    v = stream(spark, sf_dir).where("event_type = 'view'").select("user_id", "event_id", "value", F.count("*").over(near).alias("members"), F.avg("value").over(near).alias("mean"))
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("members"), "value", "event_id"))
-    return v.withColumn("rn", rn).where("rn = 1").select("user_id", F.col("event_id").alias("centre_id"), "members", r6("mean").alias("mean"))
+    """The centre with most values within 5 of it, of equals the smallest value and then event."""
+    v = stream(spark, sf_dir).where("event_type = 'view'").select("user_id", "event_id", "value")
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("members"), "centre"))
+    best = st.neighbours(v, KEY, "value", 5).withColumn("rn", rn).where("rn = 1")
+    first = v.groupBy("user_id", F.col("value").alias("centre")).agg(F.min("event_id").alias("centre_id"))
+    return best.join(first, ["user_id", "centre"]).select("user_id", "centre_id", "members", r6("mean").alias("mean"))
 
 
 @query(
