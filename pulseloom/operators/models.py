@@ -65,13 +65,14 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, draws: int = 200, seed
     """Mean of value with its 2.5 and 97.5 percentiles over draws that take as many whole groups as there are, with replacement.
 
     The groups' sums are numbered; a draw's j-th pick is a digest of (seed, draw, j), so that reruns agree and
-    no group's rows, and no draw's picks, are gathered.
+    no group's rows, and no draw's picks, are gathered: picks stream past a hash table of a part of the groups' sums.
     """
-    g = ranked(df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c")), F.col(group))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = ranked(df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c")), F.col(group), partitions=max(16, parts))
     n = g.agg(F.count("*").alias("n"))  # one row
     picked = g.select(F.col("rank").alias("j")).crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("draw").cast("string"), F.col("j").cast("string")).cast("binary"))
-    picked = picked.select("draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("rank")).groupBy("draw", "rank").agg(F.count("*").alias("w"))
-    means = picked.join(g, "rank").groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("c")), F.lit(0))).alias("m"))
+    picked = picked.select("draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("rank"))
+    means = picked.join(g.select("rank", "s", "c").hint("shuffle_hash"), "rank").groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
     span = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return g.agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("mean"), F.count("*").alias("groups")).crossJoin(F.broadcast(span))

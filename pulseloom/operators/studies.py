@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +84,10 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def ranked(df: DataFrame, *order: Column, partitions: int = 16) -> DataFrame:
     """df with rank, its place from 0 in the whole order: rows are dealt by ranges and numbered within them, so that
-    no task sees all of them; one count a range is summed up in the driver's plan."""
+    no task sees all of them; one count a range is summed up in the driver's plan. The ranges are kept on disk: dealt a
+    second time for the counts, they would be drawn from another sample and end elsewhere."""
     part = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part = part.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    part = part.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.DISK_ONLY)
     sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
     return part.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__nth")).drop("__at", "__part", "__nth", "__before")
