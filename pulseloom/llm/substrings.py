@@ -11,8 +11,9 @@ equal anchors and meet in the shard of the anchor's hash:
 3. the chunk sends the text around those, the neighbouring windows of an anchor as one fragment, equal
    fragments once with their least doc_id; windows of the hot anchors go one by one, each to the shard of
    its own hash;
-4. a shard sorts the suffixes of all its fragments by induction, and common prefixes of LENGTH or more give
-   the groups of equal windows and the least doc_id of each; runs of windows are sent back;
+4. a shard sorts the suffixes of all its fragments by induction, in its last step only those that begin a
+   window, and common prefixes of LENGTH or more give the groups of equal windows and the least doc_id of
+   each; runs of windows are sent back;
 5. the chunk removes the bytes that they cover.
 
 All steps are one plan, in which the texts are dealt once and that exchange is used again. A passage in a
@@ -349,19 +350,17 @@ def least_owners(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: np
     s = gathered(text.astype(np.uint16) + np.uint16(2), start, end, 1)
     s[np.cumsum(size + 1) - 1] = 1
     s = np.append(s, np.uint16(0))
-    sa = suffix_array(s)
-    plcp = common_prefixes(s, sa)
-    head = (np.cumsum(size + 1) - (size + 1)).astype(np.int32)
-    owner = np.append(np.repeat(np.arange(len(size), dtype=np.int32), size + 1), np.int32(len(size) - 1))
-    place = np.arange(len(s), dtype=np.int32) - head[owner]
-    room = place + LENGTH <= size.astype(np.int32)[owner]
-    room[-1] = False
-    starts = np.flatnonzero(plcp[sa] < LENGTH)
-    group = np.minimum.reduceat(least[owner[sa]], starts)
-    of = np.empty(len(s), np.int64)
-    of[sa] = np.repeat(group, np.diff(np.append(starts, len(s))))
-    w = np.flatnonzero(room)
-    f, p, v = owner[w], place[w], of[w]
+    windows = size - LENGTH + 1
+    f = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    p = np.arange(len(f), dtype=np.int32) - (np.cumsum(windows) - windows).astype(np.int32)[f]
+    w = (np.cumsum(size + 1) - (size + 1)).astype(np.int32)[f] + p
+    sa = suffix_array(s, w)
+    starts = np.flatnonzero(common_prefixes(s, sa)[sa] < LENGTH)
+    owner = np.empty(len(s), np.int64)
+    owner[w] = least[f]
+    group = np.minimum.reduceat(owner[sa], starts) if len(sa) else owner[:0]
+    owner[sa] = np.repeat(group, np.diff(np.append(starts, len(sa))))
+    v = owner[w]
     cuts = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (v[1:] != v[:-1]))) if len(f) else np.zeros(0, int)
     count = np.diff(np.append(cuts, len(f)))
     return np.stack([f[cuts], p[cuts], count], axis=1).astype(np.int64) if len(cuts) else np.zeros((0, 3), np.int64), v[cuts]

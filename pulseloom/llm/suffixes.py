@@ -3,17 +3,18 @@
 Suffixes are smaller (S) or larger (L) than the one after them. The leftmost-smaller ones (LMS) are
 sorted first: their substrings, each up to the next LMS place, are sorted and named, and where names
 repeat, the string of names is sorted in its turn by the same method. Induction then places all suffixes
-in linear time, since every suffix sorts the one before it. It goes from bucket to bucket (first symbols):
-with few symbols, as bytes have, a bucket is a few waves over whole numpy arrays; names are many and their
-buckets hold a handful, so there it goes from suffix to suffix.
+by the LMS suffixes behind them: two that have the same symbols up to their next LMS places stand as those
+do. Symbols are packed, so that a sort over whole numpy arrays takes several at once. Where few symbols
+stand in long runs, it goes from bucket to bucket (first symbols) instead, a few waves over arrays each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols per suffix up to which induction takes whole buckets: a bucket costs some 50 microseconds, a suffix half of one.
-WAVES = 1 / 100
+#: Symbols for each symbol up to a next LMS place, up to which induction goes by buckets: those cost some milliseconds each
+#: in a shard, and a symbol some ten nanoseconds.
+WAVES = 1 / 50_000
 
 
 def smaller(s: np.ndarray) -> np.ndarray:
@@ -40,35 +41,35 @@ def _spread(found: np.ndarray, symbols: np.ndarray, buckets: list[list[np.ndarra
     buckets[int(symbols[-1])].append(found[at:])
 
 
-def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
-    """The order of all suffixes of s, from LMS suffixes in an order that holds within each bucket."""
-    return by_bucket(s, small, lms, names) if names <= WAVES * len(s) else by_suffix(s, small, lms, names)
-
-
-def by_suffix(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
-    """Induction from suffix to suffix."""
-    counts = np.bincount(s, minlength=names)
-    behind = np.cumsum(counts)
-    symbols, is_small, order = s.tolist(), small.tolist(), [-1] * len(s)
-    tail = behind.tolist()
-    for i in reversed(lms.tolist()):
-        c = symbols[i]
-        tail[c] -= 1
-        order[tail[c]] = i
-    head = (behind - counts).tolist()
-    for i in order:  # grows ahead of the loop: larger suffixes go behind the place at hand
-        if i > 0 and not is_small[i - 1]:
-            c = symbols[i - 1]
-            order[head[c]] = i - 1
-            head[c] += 1
-    tail = behind.tolist()
-    for k in range(len(s) - 1, -1, -1):
-        i = order[k]
-        if i > 0 and is_small[i - 1]:
-            c = symbols[i - 1]
-            tail[c] -= 1
-            order[tail[c]] = i - 1
-    return np.array(order, lms.dtype)
+def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int, places: np.ndarray | None = None) -> np.ndarray:
+    """The order of all suffixes of s, or of those at places, from the LMS suffixes in order."""
+    gap = np.diff(np.sort(lms).astype(np.int64), prepend=0)
+    if names > WAVES * int((gap * (gap + 1) // 2).sum()):
+        return by_runs(s, lms, names, np.arange(len(s)) if places is None else places)
+    order = by_bucket(s, small, lms, names)
+    if places is None:
+        return order
+    among = np.zeros(len(s), bool)
+    among[places] = True
+    return order[among[order]]
+
+
+def next_of(lms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The next LMS place behind each place; the last symbol has itself."""
+    rising = np.sort(lms).astype(np.int64)
+    return rising[np.minimum(np.searchsorted(rising, places, side="right"), len(rising) - 1)]
+
+
+def by_runs(s: np.ndarray, lms: np.ndarray, names: int, places: np.ndarray) -> np.ndarray:
+    """The suffixes at places in order, by their symbols up to the next LMS place and by the LMS suffix there.
+
+    What no such place tells apart is the last symbol alone; its suffix is the first.
+    """
+    end = next_of(lms, places)
+    run, _ = named_ranges(s, places.astype(np.int64), end + 1, names)
+    rank = np.zeros(len(s), np.int64)
+    rank[lms] = np.arange(len(lms))
+    return places[np.argsort(run << 32 | rank[end])].astype(lms.dtype)
 
 
 def by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) -> np.ndarray:
@@ -127,64 +128,70 @@ def by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, names: int) ->
     return np.concatenate(out[::-1])
 
 
-def named_substrings(s: np.ndarray, lms: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
-    """The rank of each LMS substring, equal ones alike, and the number of ranks.
+def named_ranges(s: np.ndarray, start: np.ndarray, end: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
+    """The rank of each range of s that goes up to and with an LMS place, equal ones alike, and the number of ranks.
 
-    Several symbols are packed in a number, and only what is still tied goes on to the next ones. A substring
-    that is the beginning of another is the larger of the two, as its last suffix is of type S and the other's of L.
+    Several symbols are packed in a number, and only what is still tied goes on to the next ones. A range that is
+    the beginning of another is the larger of the two, as its last suffix is of type S and the other's of L.
     """
     n, bits = len(s), int(symbols).bit_length()
     per = 63 // bits
-    start, end = lms.astype(np.int64), np.append(lms[1:], n - 1).astype(np.int64) + 1
-
-    def packed(at: np.ndarray, done: int) -> np.ndarray:
-        out = np.zeros(len(at), np.int64)
-        place, stop = start[at] + done, end[at]
-        for o in range(per):
-            out = out << bits | np.where(place + o < stop, s[np.minimum(place + o, n - 1)], symbols)
-        return out
-
-    key = packed(np.arange(len(lms)), 0)
-    order = np.argsort(key, kind="stable")
+    behind = np.append(s, np.zeros(per, s.dtype))
+    full = np.zeros(n, np.int64)  # the symbols from each place on
+    for o in range(per):
+        full <<= bits
+        full |= behind[o : o + n]
+    # of so many symbols all are kept, and behind them stand ones larger than all
+    rest = np.array([(1 << bits * (per - k)) - 1 for k in range(per + 1)], np.int64)
+    fill = np.array([sum(symbols << bits * j for j in range(per - k)) for k in range(per + 1)], np.int64)
+
+    def packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = np.clip(end - start, 0, per)
+        return full[np.minimum(start, n - 1)] & ~rest[length] | fill[length]
+
+    key = packed(start, end)
+    order = np.argsort(key)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
     done = per
+    at = np.arange(len(order))
     while True:
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(order)))
-        tied = (sizes > 1) & np.logical_or.reduceat((end - start)[order] > done, starts)
-        if not tied.any():
+        # whole groups of equal ranges so far, some of which go on
+        starts = np.flatnonzero(new[at])
+        sizes = np.diff(np.append(starts, len(at)))
+        tied = (sizes > 1) & np.logical_or.reduceat((end - start)[order[at]] > done, starts)
+        at = at[np.repeat(tied, sizes)]
+        if not len(at):
             break
-        at = np.flatnonzero(np.repeat(tied, sizes))
-        mine, group = order[at], (np.cumsum(new) - 1)[at]
-        key = packed(mine, done)
+        mine, group = order[at], np.cumsum(new[at])
+        key = packed(start[mine] + done, end[mine])
         turn = np.lexsort((key, group))
         order[at], key = mine[turn], key[turn]
         new[at] = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
         done += per
     rank = np.cumsum(new) - 1
-    names = np.empty(len(lms), np.int32)
+    names = np.empty(len(start), np.int64)
     names[order] = rank
     return names, int(rank[-1]) + 1
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The suffixes of s in order. s: integers from 0, the last of which is the only 0."""
+def suffix_array(s: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of s in order, or those at places. s: integers from 0, the last of which is the only 0."""
     n, symbols = len(s), int(s.max()) + 1
     if n == 1:
-        return np.zeros(1, np.int32)
+        return np.zeros(1, np.int32) if places is None else places
     small = smaller(s)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    names, kinds = named_substrings(s, lms, symbols)
-    order = suffix_array(names) if kinds < len(lms) else np.argsort(names)
-    return induce(s, small, lms[order], symbols)
+    names, kinds = named_ranges(s, lms.astype(np.int64), np.append(lms[1:], n - 1).astype(np.int64) + 1, symbols)
+    order = suffix_array(names.astype(np.int32)) if kinds < len(lms) else np.argsort(names)
+    return induce(s, small, lms[order], symbols, *(() if places is None else (places,)))
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each place of s the length it shares with the suffix before it in sa (permuted LCP).
+    """For each place of s the length it shares with the suffix before it in sa (permuted LCP), which may hold some suffixes only.
 
-    Only irreducible places, whose left neighbours differ, are compared; elsewhere the value is one less
-    than at the place before.
+    Only irreducible places, whose left neighbours differ or are no neighbours in sa, are compared; elsewhere the value
+    is one less than at the place before.
     """
     n = len(s)
     prior = np.full(n, -1, np.int32)
@@ -192,7 +199,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     at = np.arange(n, dtype=np.int32)
     has = prior >= 0
     reducible = np.zeros(n, bool)
-    reducible[1:] = has[1:] & (prior[1:] > 0) & (s[:-1] == s[np.maximum(prior[1:] - 1, 0)])
+    reducible[1:] = has[1:] & has[:-1] & (prior[:-1] == prior[1:] - 1) & (s[:-1] == s[np.maximum(prior[1:] - 1, 0)])
     value = np.zeros(n, np.int32)
     i = np.flatnonzero(~reducible & has)
     # four symbols at a time; behind the end stand symbols that match nothing

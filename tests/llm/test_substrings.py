@@ -131,3 +131,29 @@ def test_folding_different_fragments_stops():
     sub.check_equal(text, np.array([6]), np.array([9]), np.array([0]), np.array([3]))
     with pytest.raises(RuntimeError):
         sub.check_equal(text, np.array([6]), np.array([12]), np.array([0]), np.array([6]))
+
+
+def test_suffixes_at_some_places_and_their_prefixes(monkeypatch):
+    r = random.Random(4)
+    for waves in (512, 0):
+        monkeypatch.setattr(suffixes, "WAVES", waves)
+        for _ in range(150):
+            s = [c for _ in range(r.randrange(1, 12)) for c in [r.randrange(1, 4)] * r.choice([1, 1, 2, 30])] * r.choice([1, 3]) + [0]
+            places = sorted(r.sample(range(len(s)), r.randrange(1, len(s) + 1)))
+            want = sorted(places, key=lambda i: s[i:])
+            sa = suffix_array(np.array(s, np.uint16), np.array(places))
+            assert sa.tolist() == want
+            p = common_prefixes(np.array(s, np.uint16), sa)
+            for a, b in zip(want, want[1:], strict=False):
+                assert p[b] == next(m for m in range(len(s)) if s[a + m] != s[b + m])
+
+
+def test_a_shard_places_its_windows_alone(monkeypatch):
+    """A window takes some three other suffixes of its fragment along, which only serve to sort it."""
+    placed, inner = [], suffixes.induce
+    monkeypatch.setattr(suffixes, "induce", lambda *given: placed.append(inner(*given)) or placed[-1])
+    r = random.Random(6)
+    text = np.array([r.randrange(97, 101) for _ in range(3000)], np.uint8)
+    start = np.arange(0, 2900, 29)
+    runs, _ = sub.least_owners(text, start, start + 65, np.arange(len(start)))
+    assert len(placed[-1]) == 16 * len(start) == runs[:, 2].sum()
