@@ -101,29 +101,29 @@ def ticking(rows: DataFrame, late: str, patience: Patience = Patience()) -> Data
 
 
 def ticks_of(rows: DataFrame, until: int, patience: Patience = Patience(), block: int = BLOCK) -> DataFrame:
-    """TICKS of a table of rows (device, us, kind, status, value), up to and with the time until."""
+    """TICKS of a table of rows (device, us, kind, status, value), up to and with the time until.
+
+    What is known changes with rows alone, so rows are ordered and looked through, and each becomes its ticks at the end.
+    """
     up = F.col("us") + (patience.beat - 1)
     start = up - F.pmod(up, F.lit(patience.beat))  # the first tick at or behind a row
-    d = rows.withColumn("__block", block_of(F.col("us"), block))
+    order = ["us", "kind", "status", "value"]
+    d = rows.select("device", *order).withColumn("__block", block_of(F.col("us"), block))
     # a row's ticks: from it up to the next row of the device, or until the device is forgotten
-    nxt = F.lead("us").over(Window.partitionBy("device", "__block").orderBy("us"))
+    nxt = F.lead("us").over(Window.partitionBy("device", "__block").orderBy(*order))
     first = d.groupBy("device", "__block").agg(F.min("us").alias("__first"))
     ahead = first.select(F.col("device").alias("__d"), F.col("__block").alias("__b"), F.lead("__first").over(Window.partitionBy("device").orderBy("__block")).alias("__ahead"))
     d = d.withColumn("__next", nxt).join(ahead, F.col("device").eqNullSafe(F.col("__d")) & (F.col("__block") == F.col("__b")), "left")
-    end = F.least(F.coalesce("__next", "__ahead", F.lit(1 << 62)) - 1, F.col("us") + patience.forget, F.lit(until))
-    beats = d.where(start <= end).select("device", F.explode(F.sequence(start, end, F.lit(patience.beat))).alias("us")).distinct()
-    none = lambda t: F.lit(None).cast(t)
-    # a silence that is too long clears all: it stands as a row of its own, just behind its end
-    quiet = d.where(F.coalesce("__next", "__ahead") - F.col("us") > patience.forget).select("device", (F.coalesce("__next", "__ahead") - 1).alias("us"), F.lit("forgotten").alias("kind"), none("string").alias("status"), none("double").alias("value"), F.lit(0).alias("__turn"))
-    both = rows.select("device", "us", "kind", "status", "value", F.lit(1).alias("__turn")).unionByName(quiet)
-    both = both.unionByName(beats.select("device", "us", F.lit("tick").alias("kind"), none("string").alias("status"), none("double").alias("value"), F.lit(2).alias("__turn")))
-    both = both.withColumn("__block", block_of(F.col("us"), block))
-    kind, order = F.col("kind"), ["us", "__turn", "kind", "status", "value"]
-    lost = kind == "forgotten"
+    nxt = F.coalesce("__next", "__ahead")
+    end = F.least(F.coalesce(nxt, F.lit(1 << 62)) - 1, F.col("us") + patience.forget, F.lit(until))
+    # a silence that is too long clears all: it stands as a row of its own, just behind the one before it
+    turns = F.when(nxt - F.col("us") > patience.forget, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    d = d.select("device", *order, "__block", start.alias("__from"), end.alias("__to"), F.explode(turns).alias("__turn"))
+    kind, lost = F.col("kind"), F.col("__turn") == 1
     kept = lambda valid, **columns: (valid | lost, {k: F.when(~lost, c) for k, c in columns.items()})
     us, value, analysis = F.col("us"), F.col("value"), kind == "analysis"
-    both = carried(
-        both, ["device"], order, "__block",
+    d = carried(
+        d, ["device"], ["us", "__turn", *order[1:]], "__block",
         kept(kind.isin("sample", "motion", "analysis", "fault"), line_us=us),
         kept(kind == "sample", sample_us=us),
         kept(kind == "motion", motion_us=us, motion=F.col("status")),
@@ -131,7 +131,8 @@ def ticks_of(rows: DataFrame, until: int, patience: Patience = Patience(), block
         kept(kind.isin("analysis", "fault"), analysis=F.when(kind == "fault", "invalid_timing").otherwise(F.col("status")), estimate=F.when(analysis, value)),
         kept((analysis & value.isNotNull()) | (kind == "fault"), good_us=F.when(analysis, us), good=F.when(analysis, value)),
     )
-    return both.where("kind = 'tick'").select("device", F.col("us").alias("tick_us"), *_FIELDS)
+    ticks = F.explode(F.sequence("__from", "__to", F.lit(patience.beat)))
+    return d.where("__turn = 0 and __from <= __to").select("device", ticks.alias("tick_us"), *_FIELDS)
 
 
 def records(ticks: DataFrame, patience: Patience = Patience()) -> DataFrame:

@@ -105,3 +105,15 @@ def test_gates_come_in_order(spark):
     assert shown(1000, analysis="poor_waveform_quality", estimate=None) == ("poor_waveform_quality", "held", 120.0, False)
     assert shown(1000, analysis="invalid_timing", estimate=None, good=None, good_us=None) == ("invalid_timing", "unavailable", None, False)
     assert shown(1000, **dict.fromkeys(base)) == ("motion_stale", "unavailable", None, False)
+
+
+def test_ticks_are_not_sorted_with_the_rows(spark, monkeypatch):
+    """Rows alone are looked through, also with several at one time and ends of silences; their ticks are made behind that."""
+    data = rows() + [(4, T0 + timedelta(microseconds=t), k, "still" if k == "motion" else None, 99.0 if k == "analysis" else None) for t in (10, 1000, 70_000) for k in ("fault", "analysis", "motion")]
+    seen, inner = [], s.carried
+    monkeypatch.setattr(s, "carried", lambda d, *more: seen.append(d.count()) or inner(d, *more))
+    until = us(max(x[1] for x in data)) + 70_000
+    want = loop(data, until, P)
+    got = s.ticks_of(table(spark, data), until, P, 7000).collect()
+    assert {(r.device, r.tick_us): tuple(r[2:]) for r in got} == want and len(got) == len(want)
+    assert len(data) < seen[0] < 1.1 * len(data) < len(want)
