@@ -74,11 +74,9 @@ def beat_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"sign": "int", "n_beats": "int", "bpm": "double", "interval_cv": "double", "template_correlation": "double", "rejection": "string", **dict.fromkeys(waves.BEAT_FEATURES, "double")}
 
     def f(x: np.ndarray) -> dict[str, np.ndarray]:
-        found = [waves.morphology(w, RATE) for w in waves.zero_phase(x, waves.band_pass(4, 0.5, 7.2, RATE))]
-        mid = np.array([np.median(b["features"], axis=0) if len(b["features"]) else np.full(len(waves.BEAT_FEATURES), np.nan) for b in found])
-        number = lambda k: np.array([np.nan if b[k] is None else b[k] for b in found], float)
-        out = {"sign": np.array([b["sign"] for b in found], np.int32), "n_beats": np.array([b["beats"] for b in found], np.int32), "bpm": number("bpm"), "interval_cv": number("cv"), "template_correlation": number("agreement"), "rejection": [b["rejection"] for b in found]}
-        return out | {k: mid[:, i] for i, k in enumerate(waves.BEAT_FEATURES)}
+        b = waves.morphologies(waves.zero_phase(x, waves.band_pass(4, 0.5, 7.2, RATE)), RATE)
+        out = {"sign": b["sign"].astype(np.int32), "n_beats": b["beats"].astype(np.int32), "bpm": b["bpm"], "interval_cv": b["cv"], "template_correlation": b["agreement"], "rejection": b["rejection"]}
+        return out | {k: b["features"][:, i] for i, k in enumerate(waves.BEAT_FEATURES)}
 
     return _rounded(over_matrix(windows(spark, sf_dir), "samples", made, f))
 
@@ -123,9 +121,8 @@ def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [waves.BEAT_FEATURES.index(n) for n in names[2:]]
 
     def f(x: np.ndarray) -> dict[str, np.ndarray]:
-        found = [waves.morphology(v, RATE) for v in waves.zero_phase(x, waves.band_pass(4, 0.5, 7.2, RATE))]
-        rows = np.array([[np.nan if b["bpm"] is None else b["bpm"], np.nan if b["agreement"] is None else b["agreement"], *(np.median(b["features"][:, at], axis=0) if len(b["features"]) else [np.nan] * 3)] for b in found])
-        return {n: rows[:, i] for i, n in enumerate(names)} | {"morphology": [b["rejection"] for b in found]}
+        b = waves.morphologies(waves.zero_phase(x, waves.band_pass(4, 0.5, 7.2, RATE)), RATE)
+        return dict(zip(names, [b["bpm"], b["agreement"], *b["features"][:, at].T], strict=True)) | {"morphology": b["rejection"]}
 
     made = {**dict.fromkeys(names, "double"), "morphology": "string"}
     done = over_matrix(w.where("rejection = ''"), "samples", made, f)

@@ -153,3 +153,20 @@ def test_lag_correlation_and_orientation():
     g = np.zeros((1, 100, 3))
     g[0, :50, 0] = g[0, 50:, 1] = 1
     assert abs(w.orientation(g, 20)[0] - 90) < 1e-9
+
+
+@pytest.mark.parametrize("rate,n,rounded", [(16.0, 128, 9), (25.0, 400, 1), (16.0, 200, 0)])
+def test_beats_of_many_windows_against_each_alone(rate, n, rounded):
+    """Also with plateaus, equal peaks, flat and missing samples."""
+    r = np.random.default_rng(n)
+    x = 3 * np.sin(np.arange(n) / r.uniform(1.5, 6, (120, 1)) + r.uniform(0, 6, (120, 1))) * r.uniform(0.2, 1.5, (120, 1)) + r.normal(size=(120, n)) * r.uniform(0, 1, (120, 1))
+    x = np.concatenate([np.round(x, rounded), np.zeros((2, n)), np.full((1, n), np.nan)])
+    got = w.morphologies(x, rate, abreast=50)
+    for i, one in enumerate(w.morphology(row, rate) for row in x):
+        assert (got["sign"][i], got["beats"][i], got["peaks"][i], got["rejection"][i]) == (one["sign"], one["beats"], one["peaks"], one["rejection"])
+        for k in ("bpm", "cv", "agreement"):
+            assert np.isnan(got[k][i]) if one[k] is None else abs(got[k][i] - one[k]) < 1e-12
+        want = np.median(one["features"], axis=0) if len(one["features"]) else np.full(len(w.BEAT_FEATURES), np.nan)
+        assert np.allclose(got["features"][i], want, rtol=0, atol=1e-12, equal_nan=True)
+    assert len({*got["rejection"].tolist()}) >= 3 and {*got["sign"].tolist()} == {1, -1}
+    assert len(w.morphologies(x[:0], rate)["bpm"]) == 0
